@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, curriculum, pieces, pii, quality, rans, urlrules
+from . import chat, chosen_path, curriculum, iblt, pieces, pii, quality, rans, urlrules
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": chosen_path.op1_ngram_join,
         "op2_rans_tokens": rans.op2_rans_tokens,
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_url_filters": urlrules.op6_url_filters,
+        "op7_iblt_fingerprints": iblt.op7_iblt_fingerprints,
         "op9_curriculum": curriculum.op9_curriculum,
         "op10_pii": pii.op10_pii,
     }
