@@ -136,3 +136,65 @@ def test_peeling_recovers(spark):
     got = df.select("a", "b", iblt.differing(F.col("x"), F.col("y"), iblt.base_table(F.col("x")), iblt.base_table(F.col("y"))).alias("d")).collect()
     for r in got:
         assert sorted((x.k, x.n) for x in r.d) == sorted([(v, 1) for v in r.a] + [(v, -1) for v in r.b])
+
+
+def covered(texts, length):
+    """Flags by brute force: where each string of so many bytes starts."""
+    at = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - length + 1):
+            at.setdefault(t[i : i + length], []).append((k, i))
+    flags = [bytearray(len(t)) for t in texts]
+    for places in at.values():
+        if len(places) > 1:
+            for k, i in places:
+                flags[k][i : i + length] = b"\1" * length
+    return flags
+
+
+def test_suffixes(spark):
+    from veilframe.llm import suffixes
+
+    rng = random.Random(11)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    passage = "".join(rng.choice("abcdefgh \n") for _ in range(1500))
+    for k in range(40):  # parts of a passage in unlike surroundings, and edits within it
+        a, n = rng.randrange(1000), rng.randrange(380, 900)
+        own = "".join(rng.choice("ijklmé") for _ in range(rng.randrange(600)))
+        part = passage[a : a + n]
+        if k % 3 == 0:
+            i = rng.randrange(len(part))
+            part = part[:i] + "#" + part[i + 1 :]
+        rows.append((5000 + k, own[:200] + part + own[200:]))
+    rows += [(6000, None), (6001, ""), (6002, "z" * 3000), (6003, "ab" * 900), (6004, passage[:399]), (6005, passage[:400]), (6006, "é" * 1000), rows[0], rows[0], (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = [(t or "").encode() for _, t in rows]
+    want = []
+    for (doc_id, _), t, f in zip(rows, texts, covered(texts, suffixes.LENGTH)):
+        spans = len(re.findall(rb"\x01+", bytes(f)))
+        want.append((doc_id, len(t), sum(f), spans, hashlib.sha256(bytes(c for c, x in zip(t, f) if not x)).hexdigest()))
+    for coded, ranges in ((512, 96), (7, 3)):
+        suffixes.front_coded.__defaults__, suffixes.RANGE = (coded,), ranges
+        got = suffixes.dedup(df, suffixes.OUT, suffixes.digest).collect()
+        suffixes.front_coded.__defaults__, suffixes.RANGE = (512,), 96
+        assert Counter(map(tuple, got)) == Counter(want)
+    assert suffixes.dedup(df.limit(0), suffixes.OUT, suffixes.digest).count() == 0
+
+
+def test_merging():
+    from veilframe.llm import suffixes
+
+    rng = random.Random(2)
+    for n in (1, 2, 3, 5, 9):
+        lists = [sorted({bytes(rng.choice(b"ab") for _ in range(8)) for _ in range(rng.randrange(40))}) for _ in range(n)]
+
+        def run(x):
+            before = b""
+            for s in x:
+                yield suffixes.shared_prefix(before, s, 0), s, s
+                before = s
+
+        out = list(suffixes.merged([run(x) for x in lists]))
+        assert [s for _, s, _ in out] == sorted(s for x in lists for s in x)
+        for (_, a, _), (k, b, _) in zip(out, out[1:]):
+            assert k == suffixes.shared_prefix(a, b, 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chosen_path, curriculum, iblt, pieces, pii, quality, rans, urlrules
+from . import chat, chosen_path, curriculum, iblt, pieces, pii, quality, rans, suffixes, urlrules
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_url_filters": urlrules.op6_url_filters,
         "op7_iblt_fingerprints": iblt.op7_iblt_fingerprints,
+        "op8_suffix_dedup": suffixes.op8_suffix_dedup,
         "op9_curriculum": curriculum.op9_curriculum,
         "op10_pii": pii.op10_pii,
     }
