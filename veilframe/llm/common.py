@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +66,13 @@ def text_of(name: str = "text") -> Column:
 def n_words(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+", -1), "")).cast("bigint")
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 5000, size: int = 20_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of so many rows and about so many bytes of a column at most."""
+    sizes, at = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), 0
+    while at < batch.num_rows:
+        held = np.cumsum(sizes[at : at + rows])
+        n = max(1, int(np.searchsorted(held, size, "right")))
+        yield batch.slice(at, n)
+        at += n
