@@ -32,8 +32,8 @@ SYMBOLS = "#*$%&|<>"
 #: Character classes: lower case, upper case, white space, digits, sentence marks, other.
 CLASSES = 6
 #: Farthest allowed from the reference, and fewest symbols that are judged: characters, words.
-FAR_CLASSES, FAR_WORDS = 0.30, 0.45
-LEAST_CHARS, LEAST_WORDS = 200, 50
+FAR_CLASSES, FAR_WORDS = 0.28, 0.30
+LEAST_CHARS, LEAST_WORDS = 200, 80
 
 
 def _covered(hashes: Column) -> Column:
