@@ -36,12 +36,10 @@ def hyphen_joined(text: Column) -> Column:
 
 
 def hyphen_cuts(text: Column) -> Column:
-    """array<int>: places in the joined text where two characters were taken out, ascending."""
-    parts = F.split(text, HYPHEN, -1)
-    return let(
-        F.transform(parts, lambda p: F.length(p)),
-        lambda n: F.when(F.size(n) > 1, F.transform(F.sequence(F.lit(1), F.size(n) - 1), lambda k: F.aggregate(F.slice(n, F.lit(1), k), F.lit(0), lambda a, x: a + x))).otherwise(F.array().cast("array<int>")),
-    )
+    """array<int>: places in the joined text where two characters were taken out, ascending: running sums of what stands between."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, p: let(acc["at"] + F.length(p), lambda at: F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out")))
+    return let(F.aggregate(F.split(text, HYPHEN, -1), zero, step)["out"], lambda ends: F.slice(ends, F.lit(1), F.size(ends) - 1))
 
 
 def original_start(start: Column, cuts: Column) -> Column:

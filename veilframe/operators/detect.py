@@ -66,7 +66,7 @@ STREETS = "St|Street|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Way|Cour
 DOMAINS = "com|org|net|edu|gov|io|info|biz|eu|dk|de|uk|us|se|no|fi|fr|es|it|nl|be|ch|at|pl|pt|ie|cz|ru|cn|jp|in|au|ca|br|dev|app|ai|co|me|tv"
 MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
 NATIVE = (
-    ("EMAIL_ADDRESS", "email", rf"(?<![\w.%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++(?i:{DOMAINS})\b", 1.0, "(?U)"),
+    ("EMAIL_ADDRESS", "email", rf"(?<![\w.%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{{1,63}}\.){{1,20}}(?i:{DOMAINS})\b", 1.0, "(?U)"),
     ("PHONE_NUMBER", "phone", r"(?<![\w+])(?:\+\d{1,3}[ -]?)?(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{2} \d{2} \d{2} \d{2}|\d{10}|\d{8})(?!\w)", 0.4, "(?U)"),
     ("PERSON", "given_name", rf"(?<!\w)(?:(?i:{'|'.join(GIVEN)}))(?:[ \n]\p{{Lu}}\.)?(?:[ \n](?!(?i:and|or|og)\b)\p{{Lu}}[\p{{L}}'-]*){{1,2}}(?!\w)", 0.85, "(?U)"),
     ("LOCATION", "street_en", rf"(?<!\w)\d+[A-Za-z]? (?:\p{{Lu}}[\p{{L}}'-]* ){{1,3}}(?:{STREETS})\b\.?(?:, \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?)?(?:, \p{{Lu}}{{2,3}}\b)?", 0.85, "(?U)"),

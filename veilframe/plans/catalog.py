@@ -1,9 +1,316 @@
-"""The registered queries and their SQL."""
+"""The registered queries, each over whole tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import spans as S
+from ..functions import text as T
+from ..operators import detect as D
+from ..operators import grouping, rewrite, typst
+
+#: A dictionary whose rules are plain text, whole words and short enough to strike inside inserted ids.
+RULES = (
+    ("person", 1, "<PERSON_1>", 1, "MIT License", None), ("person", 2, "<PERSON_2>", 1, "License", None),
+    ("location", 1, "<LOCATION_1>", 1, "tion", None), ("location", 1, "<LOCATION_1>", 2, "with the", None), ("general_number", 1, "<GENERAL_NUMBER_1>", 1, "1", None),
+)
+LONG = "category string, entity_no int, id string, variant_no int, variant string, pattern string"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _detector(name: str) -> D.Detector:
+    return D.Registry.default().named(name).detectors[0]
+
+
+def _surfaces(rows: DataFrame, key: str, text: Column, name: str) -> DataFrame:
+    """How often each match of a detector occurs in a row."""
+    found = rows.select(F.col(key), F.explode(F.regexp_extract_all(text, F.lit(_detector(name).regex), F.lit(0))).alias("surface"))
+    return found.groupBy(key, "surface").agg(F.count("*").alias("n"))
+
+
+def _surfaces_sql(source: str, key: str, text: str, pattern: str, group: int = 0) -> str:
+    return f"SELECT {key}, surface, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all({text}, '{pattern}', {group})) AS surface FROM {source}) GROUP BY ALL"
+
+
+#: On texts: name of the detector, its pattern for SQL.
+TEXT_PATTERNS = {
+    "general_number": r"[+(\d][\d\.\-,/()+ ]*\d(?:[.,+][a-zA-Z]{1,3})?", "digit_sequence": r"\b\d{4,6}\b", "four_digit_code": r"\b\d{4}\b",
+    "date_number": r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", "dotted_triplet": r"\d{2}\.\d{2}\.\d{2}", "email": rf"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+(?:{D.DOMAINS})\b",
+}
+#: On texts made of other columns: name, table, key, Spark text, SQL text, pattern for SQL.
+_key = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+_sql_key = lambda c, n: f"lpad({c}::VARCHAR, {n}, '0')"
+MADE = {
+    "cpr_number": ("orders", "o_orderkey", lambda: F.concat(F.lit("nr "), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit("-"), F.substring(F.col("o_orderdate").cast("string"), 1, 4), F.lit(" x")), f"'nr ' || {_sql_key('o_orderkey', 6)} || '-' || substr(o_orderdate::VARCHAR, 1, 4) || ' x'", r"\b\d{6}-\d{4}\b"),
+    "id_code": ("orders", "o_orderkey", lambda: F.concat(F.lit("nr "), _key("o_custkey", 8), F.lit(" ("), _key("o_orderkey", 9), F.lit(")a")), f"'nr ' || {_sql_key('o_custkey', 8)} || ' (' || {_sql_key('o_orderkey', 9)} || ')a'", r"\b\d{3,}[-\d]{3,}\s*\(\d{3,}\)\b"),
+    "year_based_id": ("orders", "o_orderkey", lambda: F.concat(F.lit("nr "), F.substring(F.col("o_orderdate").cast("string"), 1, 4), F.lit("-"), F.lpad(F.col("o_custkey").cast("string"), 5, "0"), F.lit(",")), f"'nr ' || substr(o_orderdate::VARCHAR, 1, 4) || '-' || {_sql_key('o_custkey', 5)} || ','", r"\b\d{4}-\d{5}\b"),
+    "parenthesized_code": ("part", "p_partkey", lambda: F.concat(F.col("p_name"), F.lit(" ("), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(")")), f"p_name || ' (' || {_sql_key('p_partkey', 6)} || ')'", r"\(\d{6}\)"),
+    "channel_identifier": ("part", "p_partkey", lambda: F.concat(F.lit("ch "), F.substring(_key("p_partkey", 9), 8, 2), F.lit(","), F.substring(_key("p_partkey", 9), 9, 1), F.lit(".abc")), f"'ch ' || substr({_sql_key('p_partkey', 9)}, 8, 2) || ',' || substr({_sql_key('p_partkey', 9)}, 9, 1) || '.abc'", r"\b\d{1,2},\d{1,2}\.[a-zA-Z]{2,3}\b"),
+}
+
+
+def span_offsets(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(S.places(F.col("text"), _detector("general_number").regex)).alias("m"))
+    return docs.select("doc_id", F.col("m.start").cast("bigint").alias("start_at"), F.col("m.end").cast("bigint").alias("end_at"))
+
+
+_SPANS = r"""SELECT doc_id, i, start_at, start_at + len(f[i]) AS end_at FROM (
+  SELECT doc_id, f, i, coalesce(list_sum(list_transform(g[1:i], lambda x: len(x))), 0)::BIGINT + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: len(x))), 0)::BIGINT AS start_at
+  FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS f, string_split_regex(text, '{p}') AS g, unnest(range(1, len(f) + 1)) AS i FROM documents))"""
+
+
+def _spans_sql(name: str) -> str:
+    return _SPANS.replace("{p}", TEXT_PATTERNS[name])
+
+
+RESOLVED = (("general_number", "GENERAL_NUMBER", 0.7, 5), ("digit_sequence", "GENERAL_NUMBER", 0.8, 5), ("date_number", "DATE_NUMBER", 0.7, 3), ("dotted_triplet", "DATE_NUMBER", 0.7, 3), ("email", "EMAIL_ADDRESS", 1.0, 1))
+
+
+def resolve_overlaps(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    of = lambda name: F.transform(S.places(F.col("text"), _detector(name).regex), lambda m: S.span(_detector(name).entity_type, m["start"], m["end"], _detector(name).score))
+    found = docs.select("doc_id", F.explode(D.resolved(F.concat(*[of(n) for n, *_ in RESOLVED]))).alias("s"))
+    return found.select("doc_id", "s.entity_type", F.col("s.start").cast("bigint").alias("start_at"), F.col("s.end").cast("bigint").alias("end_at"))
+
+
+RESOLVE_SQL = (
+    "WITH RECURSIVE every AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS entity_type, {s} AS score, {k} AS prio, start_at, end_at FROM ({_spans_sql(n)})" for n, t, s, k in RESOLVED)
+    + """), ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start_at, end_at DESC, prio) AS rn FROM every),
+steps AS (
+  SELECT doc_id, rn, [{'s': start_at, 'e': end_at}] AS taken, true AS ok FROM ranked WHERE rn = 1
+  UNION ALL
+  SELECT r.doc_id, r.rn, CASE WHEN free THEN list_append(taken, {'s': r.start_at, 'e': r.end_at}) ELSE taken END, free
+  FROM (SELECT s.doc_id, s.taken, r.rn, r.start_at, r.end_at, len(list_filter(s.taken, lambda x: x.s < r.end_at AND r.start_at < x.e)) = 0 AS free FROM steps s JOIN ranked r ON r.doc_id = s.doc_id AND r.rn = s.rn + 1) r)
+SELECT r.doc_id, r.entity_type, r.start_at, r.end_at FROM ranked r JOIN steps s ON r.doc_id = s.doc_id AND r.rn = s.rn WHERE s.ok"""
+)
+
+
+def interval_anti_join(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    of = lambda name: docs.select("doc_id", F.explode(S.places(F.col("text"), _detector(name).regex)).alias("m")).select("doc_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"))
+    out = D.not_overlapping(of("email"), of("general_number"))
+    return out.select("doc_id", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"))
+
+
+INTERVAL_SQL = f"WITH b AS ({_spans_sql('email')}), e AS ({_spans_sql('general_number')}) SELECT doc_id, start_at, end_at FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = e.doc_id AND e.start_at < b.end_at AND b.start_at < e.end_at)"
+
+
+def _emails(spark, sf_dir) -> DataFrame:
+    return D.mentions(D.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"), D.Registry.default().named("email")))
+
+
+def mentions_distinct(spark, sf_dir):
+    return _emails(spark, sf_dir)
+
+
+_EMAILS = f"""SELECT surface, row_number() OVER (ORDER BY first) AS ord FROM (
+  SELECT surface, min((doc_id, i)) AS first FROM (SELECT doc_id, f[i] AS surface, i FROM (SELECT doc_id, regexp_extract_all(text, '{TEXT_PATTERNS['email']}') AS f, unnest(range(1, len(f) + 1)) AS i FROM documents)) GROUP BY surface)"""
+
+
+def found_counts(spark, sf_dir):
+    return D.found_counts(_emails(spark, sf_dir)).select("category", "found")
+
+
+def entity_ids(spark, sf_dir):
+    return grouping.dictionary(_emails(spark, sf_dir), ["email_address"]).select("id", "variant")
+
+
+def pseudonymize_counts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    own = grouping.kept(grouping.dictionary(_emails(spark, sf_dir), ["email_address"]))
+    return rewrite.totals(rewrite.pseudonymize(docs, own)).select("category", "found", "replaced")
+
+
+_CATEGORIES = "(VALUES " + ", ".join(f"('{c}')" for c in D.CATEGORIES) + ") AS v(category)"
+
+
+def normalized(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.col("c_name"), F.lit(" Østergård-Ærø")).alias("t")).unionByName(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("+45 ("), F.col("s_name"), F.lit(") code 12-34")).alias("t")))
+    return rows.select("k", T.normalized_name(F.col("t")).alias("name"), T.normalized_number(F.col("t")).alias("number"), T.valid_name(F.col("t")).alias("valid"))
+
+
+NORMALIZED_SQL = """WITH r AS (SELECT c_custkey AS k, c_name || ' Østergård-Ærø' AS t FROM customer UNION ALL SELECT s_suppkey, '+45 (' || s_name || ') code 12-34' FROM supplier),
+w AS (SELECT *, list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '') AS words FROM r)
+SELECT k, replace(replace(replace(replace(replace(lower(t), 'å', 'aa'), 'æ', 'ae'), 'ø', 'oe'), '-', ''), chr(10), ' ') AS name, translate(t, ' -()+', '') AS number,
+  len(words) BETWEEN 1 AND 3 AND len(list_filter(words, lambda x: NOT regexp_matches(x, '\\pL'))) = 0 AND len(list_filter(words, lambda x: lower(x) IN ('multiline', 'phone', 'account', 'code', 'street'))) = 0 AS valid FROM w"""
+
+
+def similar_pairs(spark, sf_dir):
+    items = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("norm"))
+    return grouping.similar_pairs(items, 60).select("a", "b", F.round("score", 6).alias("score"))
+
+
+SIMILAR_SQL = """WITH RECURSIVE p AS (SELECT x.n_nationkey::BIGINT AS a, y.n_nationkey::BIGINT AS b, x.n_name AS s, y.n_name AS t FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey),
+lcs AS (
+  SELECT a, b, s, t, 0 AS i, list_transform(range(len(t) + 1), lambda z: 0) AS line FROM p
+  UNION ALL
+  SELECT a, b, s, t, i + 1, list_reduce(list_concat([[0]], list_transform(range(1, len(t) + 1), lambda j: [j])), lambda acc, z: list_append(acc, CASE WHEN s[i + 1] = t[z[1]] THEN line[z[1]] + 1 ELSE greatest(line[z[1] + 1], acc[-1]) END)) FROM lcs WHERE i < len(s))
+SELECT a, b, round(200.0 * line[-1] / (len(s) + len(t)), 6)::DOUBLE AS score FROM lcs WHERE i = len(s) AND 200.0 * line[-1] / (len(s) + len(t)) > 60"""
+
+
+def number_groups(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = D.mentions(D.detect(docs, D.Registry.default().named("general_number", "digit_sequence")))
+    return grouping.dictionary(found, ["general_number"]).select("id", "variant_no", "variant")
+
+
+def name_groups(spark, sf_dir):
+    names = _table(spark, sf_dir, "nation").select(F.lit("person").alias("category"), F.col("n_name").alias("surface"), F.col("n_nationkey").cast("bigint").alias("ord"))
+    more = _table(spark, sf_dir, "nation").select(F.lit("person"), F.concat(F.col("n_name"), F.lit(" republic")), F.col("n_nationkey").cast("bigint") + 1000)
+    return grouping.dictionary(names.union(more), ["person"]).select("id", "variant_no", "variant")
+
+
+def _rules(spark) -> DataFrame:
+    return spark.createDataFrame(list(RULES), LONG)
+
+
+def _rewritten(spark, docs: DataFrame) -> DataFrame:
+    return rewrite.pseudonymize(docs, _rules(spark))
+
+
+def _cascade_sql(t: str) -> str:
+    """The rules in order of length: MIT License, with the, License, tion, 1."""
+    a = f"regexp_replace({t}, '\\bMIT License\\b', '<PERSON_1>', 'g')"
+    b = f"replace({a}, 'with the', '<LOCATION_1>')"
+    c = f"regexp_replace({b}, '\\bLicense\\b', '<PERSON_2>', 'g')"
+    return f"replace(replace({c}, 'tion', '<LOCATION_1>'), '1', '<GENERAL_NUMBER_1>')"
+
+
+def pseudonymize_documents(spark, sf_dir):
+    return _rewritten(spark, _table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text")
+
+
+def pseudonymize_conversations(spark, sf_dir):
+    return _rewritten(spark, _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", "text")
+
+
+def replacement_counts(spark, sf_dir):
+    return rewrite.totals(_rewritten(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))).select("category", "found", "replaced")
+
+
+_COUNTS_SQL = f"""WITH s AS (SELECT text AS t0, regexp_replace(text, '\\bMIT License\\b', '<PERSON_1>', 'g') AS t1 FROM documents),
+u AS (SELECT *, replace(t1, 'with the', '<LOCATION_1>') AS t2 FROM s), v AS (SELECT *, regexp_replace(t2, '\\bLicense\\b', '<PERSON_2>', 'g') AS t3 FROM u), w AS (SELECT *, replace(t3, 'tion', '<LOCATION_1>') AS t4 FROM v),
+c AS (SELECT sum(len(regexp_extract_all(t0, '\\bMIT License\\b')) + len(regexp_extract_all(t2, '\\bLicense\\b')))::BIGINT AS p, sum((len(t1) - len(replace(t1, 'with the', ''))) // 8 + (len(t3) - len(replace(t3, 'tion', ''))) // 4)::BIGINT AS l, sum(len(t4) - len(replace(t4, '1', '')))::BIGINT AS g FROM w)
+SELECT category, CASE category WHEN 'person' THEN p WHEN 'location' THEN l WHEN 'general_number' THEN g ELSE 0 END AS found, CASE category WHEN 'person' THEN p WHEN 'location' THEN l WHEN 'general_number' THEN g ELSE 0 END AS replaced FROM c, {_CATEGORIES}"""
+
+
+def hyphen_join(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit(" "), F.lit("-\n")).alias("t"))
+    return docs.select("doc_id", T.hyphen_joined(F.col("t")).alias("joined"), F.size(T.hyphen_cuts(F.col("t"))).cast("bigint").alias("n_cuts"))
+
+
+HYPHEN_SQL = r"""WITH t AS (SELECT doc_id, replace(text, ' ', '-' || chr(10)) AS t FROM documents), a AS (SELECT doc_id, t, regexp_replace(t, '([\pL\p{Nd}])-\n([\pL\p{Nd}])', '\1\2', 'g') AS u FROM t),
+b AS (SELECT doc_id, t, regexp_replace(u, '([\pL\p{Nd}])-\n([\pL\p{Nd}])', '\1\2', 'g') AS joined FROM a) SELECT doc_id, joined, ((len(t) - len(joined)) // 2)::BIGINT AS n_cuts FROM b"""
+
+
+def tex_extract(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("\\section{"), F.col("p_name"), F.lit("}\n\n  \\textbf{big} and "), F.col("p_brand"), F.lit(" \\LaTeX")).alias("t"))
+    return rows.select("p_partkey", T.tex_to_prose(F.col("t")).alias("prose"))
+
+
+TEX_SQL = r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace('\section{' || p_name || '}' || chr(10) || chr(10) || '  \textbf{big} and ' || p_brand || ' \LaTeX', '\\[\w]+.*?(\s|\})', ' ', 'g'), '(?s)\\begin\{.*?\}.*?\\end\{.*?\}', ' ', 'g'), '\s+', ' ', 'g')) AS prose FROM part"""
+
+
+def md_to_typst(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("# "), F.col("p_name"), F.lit("\n### **"), F.col("p_brand"), F.lit("** _x_ *y*\n[t]("), F.col("p_partkey").cast("string"), F.lit(")")).alias("t"))
+    return rows.select("p_partkey", T.typst_markup(F.col("t")).alias("markup"))
+
+
+def _md_sql() -> str:
+    t = "'# ' || p_name || chr(10) || '### **' || p_brand || '** _x_ *y*' || chr(10) || '[t](' || p_partkey::VARCHAR || ')'"
+    for n in range(1, 5):
+        t = f"regexp_replace({t}, '(?m)^#{{{n}}}\\s+(.*)$', '{'=' * n} \\1', 'g')"
+    for p, r in ((r"\*(.*?)\*", r"_\1_"), (r"\*\*(.*?)\*\*", r"*\1*"), (r"__(.*?)__", r"*\1*"), (r"\[(.*?)\]\((.*?)\)", r'#link("\2")[\1]')):
+        t = f"regexp_replace({t}, '{p}', '{r}', 'g')"
+    return f"SELECT p_partkey, {t} AS markup FROM part"
+
+
+def fake_format(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("no. "), F.col("o_orderdate").cast("string").substr(1, 10), F.lit(" x")).alias("t"), F.lpad(F.col("o_custkey").cast("string"), 8, "7").alias("d"))
+    return rows.select("o_orderkey", T.masked_digits(F.col("t"), F.col("d")).alias("fake"))
+
+
+FAKE_SQL = "SELECT o_orderkey, 'no. ' || d[1:4] || '-' || d[5:6] || '-' || d[7:8] || ' x' AS fake FROM (SELECT o_orderkey, lpad(o_custkey::VARCHAR, 8, '7') AS d FROM orders)"
+
+
+def typst_variables(spark, sf_dir):
+    names = _table(spark, sf_dir, "nation").select(F.lit("person").alias("category"), (F.col("n_nationkey") + 1).cast("int").alias("entity_no"), F.format_string("<PERSON_%d>", F.col("n_nationkey") + 1).alias("id"), F.lit(1).alias("variant_no"), F.col("n_name").alias("variant"), F.lit(None).cast("string").alias("pattern"))
+    more = names.withColumn("variant_no", F.lit(2)).withColumn("variant", F.concat("variant", F.lit(' "x"')))
+    out = typst.variables(names.unionByName(more))
+    return out.select("var", typst.let_line(F.col("var"), F.col("real_value")).alias("real_line"), typst.let_line(F.col("var"), F.col("fake_value")).alias("fake_line"))
+
+
+TYPST_SQL = """WITH v AS (SELECT n_nationkey + 1 AS e, n_name AS n FROM nation), a AS (SELECT 'P' || e || 'V2' AS var, n AS r, 'Person' || e || ' Var2' AS f FROM v UNION ALL SELECT 'P' || e || 'V1', n || ' "x"', 'Person' || e || ' Var1' FROM v)
+SELECT var, '#let ' || var || ' = "' || replace(r, '"', chr(92) || '"') || '"' || chr(10) AS real_line, '#let ' || var || ' = "' || f || '"' || chr(10) AS fake_line FROM a"""
+
+
+def possible_variants(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", T.possible_variant(F.concat(F.substring("n_name", 1, 1), F.lit(". B.")), F.concat(F.col("n_name"), F.lit(" A Bob"))).alias("short_fits"), T.possible_variant(F.col("n_name"), F.col("n_name")).alias("same_fits"))
+
+
+def context_boost(spark, sf_dir):
+    docs = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.when(F.col("o_custkey") % 2 == 0, F.lit("my Phone is ")).otherwise(F.lit("it is ")), _key("o_orderkey", 9)).alias("t"))
+    spans = T.let(F.col("t"), lambda t: S.boosted(t, F.transform(S.places(t, _detector("general_number").regex), lambda m: S.span("GENERAL_NUMBER", m["start"], m["end"], 0.7)), D.NUMBER_CONTEXT))
+    return docs.select("o_orderkey", F.explode(spans).alias("s")).select("o_orderkey", F.round("s.score", 6).alias("score"))
+
+
+def bib_prose(spark, sf_dir):
+    from ..sources.files import prose
+
+    raw = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("x.bib").alias("path"), F.lit("bib").alias("fmt"), F.concat(F.lit("@book{k, title = {"), F.col("p_name"), F.lit('}, note = "'), F.col("p_brand"), F.lit('"}')).alias("text"))
+    return prose(raw).select("doc_id", "text")
+
+
+def detect_all(spark, sf_dir):
+    found = D.detect(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "category", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"), "surface")
 
 
 def queries() -> dict:
-    return {}
+    out = {}
+    for name in TEXT_PATTERNS:
+        out[f"detect_{name}"] = lambda spark, sf_dir, name=name: _surfaces(_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), name)
+    for name, (source, key, text, _, _) in MADE.items():
+        out[f"detect_{name}"] = lambda spark, sf_dir, name=name, source=source, key=key, text=text: _surfaces(_table(spark, sf_dir, source), key, text(), name)
+    out["detect_phone"] = lambda spark, sf_dir: _surfaces(_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), "phone")
+    for f in (
+        span_offsets, resolve_overlaps, interval_anti_join, mentions_distinct, found_counts, entity_ids, pseudonymize_counts, normalized, similar_pairs, number_groups, name_groups, pseudonymize_documents,
+        pseudonymize_conversations, replacement_counts, hyphen_join, tex_extract, md_to_typst, fake_format, typst_variables, possible_variants, context_boost, bib_prose, detect_all,
+    ):
+        out[f.__name__] = f
+    return out
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    out = {f"detect_{n}": _surfaces_sql("documents", "doc_id", "text", p) for n, p in TEXT_PATTERNS.items()}
+    out |= {f"detect_{n}": _surfaces_sql(source, key, text, p) for n, (source, key, _, text, p) in MADE.items()}
+    phone = r"(?:^|[^\w+])((?:\+\d{1,3}[ -]?)?(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{2} \d{2} \d{2} \d{2}|\d{10}|\d{8}))\b"
+    return out | {
+        "detect_phone": _surfaces_sql("documents", "doc_id", "text", phone, 1),
+        "span_offsets": f"SELECT doc_id, start_at, end_at FROM ({_spans_sql('general_number')})",
+        "resolve_overlaps": RESOLVE_SQL,
+        "interval_anti_join": INTERVAL_SQL,
+        "mentions_distinct": f"SELECT 'email_address' AS category, surface, ord FROM ({_EMAILS})",
+        "found_counts": f"SELECT category, CASE WHEN category = 'email_address' THEN (SELECT count(*) FROM ({_EMAILS})) ELSE 0 END AS found FROM {_CATEGORIES}",
+        "entity_ids": f"SELECT '<EMAIL_ADDRESS_' || ord || '>' AS id, surface AS variant FROM ({_EMAILS})",
+        "pseudonymize_counts": f"WITH n AS (SELECT sum(len(regexp_extract_all(text, '{TEXT_PATTERNS['email']}')))::BIGINT AS n FROM documents) SELECT category, CASE WHEN category = 'email_address' THEN n ELSE 0 END AS found, CASE WHEN category = 'email_address' THEN n ELSE 0 END AS replaced FROM n, {_CATEGORIES}",
+        "normalized": NORMALIZED_SQL,
+        "similar_pairs": SIMILAR_SQL,
+        "pseudonymize_documents": f"SELECT doc_id, {_cascade_sql('text')} AS text FROM documents",
+        "pseudonymize_conversations": f"SELECT conv_id, turn, {_cascade_sql('text')} AS text FROM conversations",
+        "replacement_counts": _COUNTS_SQL,
+        "hyphen_join": HYPHEN_SQL,
+        "tex_extract": TEX_SQL,
+        "md_to_typst": _md_sql(),
+        "fake_format": FAKE_SQL,
+        "typst_variables": TYPST_SQL,
+        "possible_variants": "SELECT n_nationkey, true AS short_fits, false AS same_fits FROM nation",
+        "context_boost": "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS score FROM orders",
+        "bib_prose": "SELECT p_partkey AS doc_id, p_name || ' ' || p_brand || ' book k' AS text FROM part",
+    }
