@@ -83,9 +83,9 @@ def with_own_rules(docs: DataFrame, table: DataFrame, gram: int = 4) -> DataFram
     """docs with _rules: the rules whose variant occurs in the row's text, and those that a replacement may bring about: variants
     shorter than a gram (such as a digit inside an inserted tag). A longer variant that only an inserted tag completes is not seen."""
     keyed = table.withColumn("_g", F.substring("variant", 1, gram))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.withColumn("_row", F.sha2("text", 256))  # equal texts have equal rules
     every = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - gram + 1, F.lit(1))), lambda i: F.col("text").substr(i, F.lit(gram)))
-    met = rows.select("_row", "text", F.explode(F.array_distinct(every)).alias("_g")).join(keyed.where(F.length("variant") >= gram), "_g").where(F.contains("text", F.col("variant")))
+    met = rows.select("_row", "text").distinct().select("_row", "text", F.explode(F.array_distinct(every)).alias("_g")).join(keyed.where(F.length("variant") >= gram), "_g").where(F.contains("text", F.col("variant")))
     own = met.groupBy("_row").agg(F.collect_set(F.struct(*table.columns)).alias("_own"))
     always = table.where(F.length("variant") < gram).groupBy().agg(F.coalesce(F.collect_list(F.struct(*table.columns)), F.array().cast(RULE)).alias("_always"))
     rows = rows.join(own, "_row", "left").crossJoin(always)  # one row
