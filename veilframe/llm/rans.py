@@ -21,21 +21,20 @@ table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 
 MAGIC = b"VRANS1"
-BITS, LANES, STEPS, BLOCK = 20, 512, 256, 1 << 18
+BITS, LANES, STEPS, BLOCK = 18, 512, 256, 1 << 18
 LOW = np.uint64(1 << 31)
 HEADER = struct.Struct("<6sBIIIIII")  # magic, bits, lanes, steps between checkpoints, ids, words, crc of words, crc of ids
 
@@ -62,7 +61,7 @@ class Tables:
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.freq), dtype=np.int32), self.freq.astype(np.int64))
+            self._slots = np.repeat(np.arange(len(self.freq), dtype=np.uint16 if len(self.freq) <= 1 << 16 else np.int32), self.freq.astype(np.int64))
         return self._slots
 
 
@@ -128,10 +127,18 @@ def decode_block(data: bytes, t: Tables, first: int = 0, last: int | None = None
     return ids
 
 
+#: A piece with white space (of any script) at its end, behind its first character, or first but for space and newline.
+_S = r"[\s\pZ\x0b\x1c-\x1f\x85]"
+ODD = rf"(?s)^.{_S}|{_S}$|^[\t\r\f\x0b\x1c-\x1f\x85\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"
+
+
 class Encoder:
-    """Texts to bytes of little-endian 32-bit ids, by a tokenizers file; a worker keeps one for all its tasks."""
+    """Texts to bytes of little-endian ids, by a tokenizers file; a worker keeps one for all its tasks.
+
+    Texts are cut before every space and newline. Between two white-space characters that isn't where the tokenizer cuts, so texts
+    in which such a pair is seen go to it whole; all others are put together from their distinct pieces."""
 
-    MOST = 400_000
+    MOST = 300_000
     kept: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
@@ -139,10 +146,10 @@ class Encoder:
 
         self.path, self.tok = path, Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.new: dict[str, bytes] = {}
+        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.newline = self._whole("\n")
-        self.double = re.compile(r"\s\s|[\x1c-\x1f\x85]")
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -150,124 +157,125 @@ class Encoder:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, keys: Iterable[str]) -> None:
-        """Pieces go to the tokenizer many at a time, a newline between them, which it always keeps apart."""
-        mark, known = np.frombuffer(self.newline, "<u4"), {}
-        plain, odd = [], []
-        for k in keys:
-            piece = k[1:] if k[0] in "\n\0" else " " + k
-            good = k and piece and not piece[-1].isspace() and not (piece[0].isspace() and piece[0] != " ") and "\n" not in piece
-            (plain if good else odd).append((k, piece))
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.asarray(self.tok.encode("\n".join(p for _, p in some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == mark[0])
-            if len(mark) != 1 or len(cuts) != len(some) - 1:
-                odd += some
+        return self._ids(text).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces without white space but at their beginning: many at a time, a newline before each, which the tokenizer
+        always keeps apart."""
+        new, mark, width = self.new, np.frombuffer(self.newline, self.kind), self.kind.itemsize
+        for i in range(0, len(pieces), 500):
+            some = pieces[i : i + 500]
+            ids = self._ids("".join([p if p[0] == "\n" else "\n" + p for p in some]))
+            begins = (np.flatnonzero(ids == mark[0]) * width).tolist()
+            if len(mark) != 1 or len(begins) != len(some):
+                new.update((p, self._whole(p)) for p in some)
                 continue
-            ends = [*cuts.tolist(), len(ids)]
-            raw, at = ids.tobytes(), 0
-            for (k, _), end in zip(some, ends):
-                known[k] = raw[4 * at : 4 * end]
-                at = end + 1
-        for k, piece in odd:
-            known[k] = self._whole(piece)
-        for k in known:
-            if k[0] == "\n":
-                known[k] = self.newline + known[k]
-        self.new.update(known)
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split, missing = [], set()
+            raw = ids.tobytes()
+            new.update(zip(some, [raw[a if p[0] == "\n" else a + width : b] for p, a, b in zip(some, begins, [*begins[1:], len(raw)])]))
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
         if len(self.new) > self.MOST:
-            self.old, self.new = self.new, {}
-        for t in texts:
-            if self.double.search(t):
-                split.append(None)
-                continue
-            first, *rest = t.replace("\n", " \n").split(" ")
-            rest = ["\0" + first, *[x or " " for x in rest]] if first else [x or " " for x in rest]
-            split.append(rest)
-            missing.update(rest)
-        missing -= self.new.keys()
-        for k in missing & self.old.keys():
-            self.new[k] = self.old[k]
-        missing -= self.old.keys()
-        if " " in missing:  # a space that ends the text
-            self.new[" "] = self._whole(" ")
-            missing.discard(" ")
-        self._learn(missing)
-        get = self.new.__getitem__
-        return [self._whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
-
-
-IDS = "part int, seq long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, ids binary"
-SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
+            self.old, self.new = self.new, {"": b""}
+        texts = texts.cast(pa.large_string())
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x01 "), "\n", "\x01\n")
+        lists = pc.split_pattern(cut, "\x01")
+        del cut
+        coded = pc.dictionary_encode(lists.values)
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # 1: white space alone, which only may end a text; 2: white space at an end where the tokenizer may cut elsewhere
+        alone = pc.is_in(coded.dictionary, pa.array([" ", "\n"], pa.large_string())).to_numpy(zero_copy_only=False)
+        other = pc.match_substring_regex(coded.dictionary, ODD).to_numpy(zero_copy_only=False)
+        get = self.new.get
+        known = list(map(get, distinct))
+        if None in known:
+            old, plain = self.old, []
+            for k in [k for k, x in enumerate(known) if x is None]:
+                p = distinct[k]
+                if p in old:
+                    self.new[p] = old[p]
+                elif alone[k] or other[k]:
+                    self.new[p] = self._whole(p)
+                else:
+                    plain.append(p)
+            self._learn(plain)
+            known = list(map(get, distinct))
+        values = pa.array(known, pa.large_binary())
+        first = lists.offsets.to_numpy()
+        taken = pc.take(values, coded.indices)
+        data, ends = memoryview(taken.buffers()[2] or b""), np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[first] if len(taken) else np.zeros(len(first), np.int64)
+        odd = np.where(alone, 1, np.where(other, 2, 0)).astype(np.int8)[at]
+        odd[first[1:] - 1] &= 2
+        whole = np.add.reduceat(odd, first[:-1], dtype=np.int64) > 0 if len(texts) else np.zeros(0, bool)
+        whole |= pc.match_substring(texts, "\x01").to_numpy(zero_copy_only=False)
+        return [self._whole(texts[i].as_py()) if w else bytes(data[x:y]) for i, (w, x, y) in enumerate(zip(whole.tolist(), ends.tolist(), ends[1:].tolist()))]
+
+
+IDS = "part int, before long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, ids binary, counts binary"
+SCHEMA = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
 def token_blocks(docs: DataFrame, path: str, end: int = 0, block: int = BLOCK) -> DataFrame:
-    """Documents in ascending order of ids, tokenized, in blocks of plain ids; part and seq tell the order."""
+    """Documents in ascending order of ids, tokenized, in blocks of plain ids; part and before (ids of the part before the block) tell the order."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, enc = TaskContext.get().partitionId(), 0, Encoder.of(path)
+        part, before, enc = TaskContext.get().partitionId(), 0, Encoder.of(path)
         names, lengths, held, n = [], [], [], 0
-        tail = struct.pack("<I", end)
+        tail, counts = np.asarray([end], enc.kind).tobytes(), np.zeros(enc.tok.get_vocab_size(), np.int64)
 
-        def made():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary())], schema=SCHEMA)
+        def made(last: bool = False):
+            nonlocal counts
+            ids = b"".join(held)
+            counts = counts + np.bincount(np.frombuffer(ids, enc.kind), minlength=len(counts))
+            some = np.flatnonzero(counts) if last else ()
+            said = np.stack([some, counts[some]], 1).astype("<i8").tobytes() if last else None
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, before, n, names, lengths, ids, said), SCHEMA.types)], schema=SCHEMA)
 
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                some = b.slice(i, 500)
-                for name, ids in zip(some.column(0).to_pylist(), enc.batch(some.column(1).to_pylist())):
-                    k = len(ids) // 4 + 1
+            for some in slices(b, 1, 2500, 8_000_000):
+                for name, ids in zip(some.column(0).to_pylist(), enc.batch(some.column(1))):
+                    k = len(ids) // enc.kind.itemsize + 1
                     if n and n + k > block:
                         yield made()
-                        names, lengths, held, n, seq = [], [], [], 0, seq + 1
+                        names, lengths, held, n, before = [], [], [], 0, before + n
                     names.append(name)
                     lengths.append(k)
                     held += (ids, tail)
                     n += k
         if names:
-            yield made()
+            yield made(last=True)
 
     return rows.mapInArrow(run, IDS)
 
 
 def frequencies(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """ids and their counts over the whole corpus: at most as many as the vocabulary has, wherever they are counted."""
+    """ids and their counts over the whole corpus: each partition's last block has its counts; at most as many as the vocabulary has meet here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0):
-                more = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(more) > len(counts):
-                    more[: len(counts)] += counts
-                    counts = more
-                else:
-                    counts[: len(more)] += more
-        ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids], pa.int64())], names=["id", "n"])
+                both = np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["id", "n"])
 
-    got = blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = blocks.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return got.id.to_numpy(np.int64), got.n.to_numpy(np.int64)
 
 
-CODED = "part int, seq long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
+CODED = "part int, before long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
 def encode(docs: DataFrame, path: str, end: int = 0, bits: int = BITS) -> tuple[DataFrame, Tables]:
     """The coded blocks, with start (ids before the block), and the tables that they share."""
+    kind = Encoder.of(path).kind
     blocks = materialize(token_blocks(docs, path, end))
     tables = Tables(*frequencies(blocks), bits)
 
@@ -275,15 +283,16 @@ def encode(docs: DataFrame, path: str, end: int = 0, bits: int = BITS) -> tuple[
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                payload = encode_block(np.frombuffer(row.column(5)[0].as_buffer(), "<u4"), tables)
+                payload = encode_block(np.frombuffer(row.column(5)[0].as_buffer(), kind), tables)
                 yield pa.RecordBatch.from_arrays([*row.columns[:5], pa.array([payload], pa.binary())], names=[*SCHEMA.names[:5], "payload"])
 
     coded = blocks.mapInArrow(run, CODED)
-    before = lambda *by: W.partitionBy(*by).orderBy("part" if not by else "seq").rowsBetween(W.unboundedPreceding, -1)
-    sizes = blocks.select("part", "seq", "n_ids")
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before()), F.lit(0)).alias("_before"))
-    starts = sizes.select("part", "seq", F.coalesce(F.sum("n_ids").over(before("part")), F.lit(0)).alias("_in")).join(parts, "part").select("part", "seq", (F.col("_in") + F.col("_before")).alias("start"))
-    return materialize(coded.join(starts, ["part", "seq"])), tables
+    rows, at, starts = sorted(blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()), 0, []
+    for part, n in rows:  # a row per partition
+        starts.append((part, at))
+        at += n
+    parts = blocks.sparkSession.createDataFrame(starts, "part int, _start long")
+    return materialize(coded.join(parts, "part").withColumn("start", F.col("_start") + F.col("before")).drop("_start")), tables
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
