@@ -173,10 +173,10 @@ def test_suffixes(spark):
     for (doc_id, _), t, f in zip(rows, texts, covered(texts, suffixes.LENGTH)):
         spans = len(re.findall(rb"\x01+", bytes(f)))
         want.append((doc_id, len(t), sum(f), spans, hashlib.sha256(bytes(c for c, x in zip(t, f) if not x)).hexdigest()))
-    for coded, ranges in ((512, 96), (7, 3)):
+    for coded, ranges in ((256, 192), (7, 3)):
         suffixes.front_coded.__defaults__, suffixes.RANGE = (coded,), ranges
         got = suffixes.dedup(df, suffixes.OUT, suffixes.digest).collect()
-        suffixes.front_coded.__defaults__, suffixes.RANGE = (512,), 96
+        suffixes.front_coded.__defaults__, suffixes.RANGE = (256,), 192
         assert Counter(map(tuple, got)) == Counter(want)
     assert suffixes.dedup(df.limit(0), suffixes.OUT, suffixes.digest).count() == 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,10 +45,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as a write has ended: what it wrote is what later steps read."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, outlives a lost executor."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

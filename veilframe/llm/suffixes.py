@@ -3,18 +3,19 @@
 Every byte that a string of LENGTH bytes covers goes if the string also starts somewhere else, in any document. Strings that
 are equal stand next to each other among the sorted suffixes, so it is enough to sort suffixes, cut after LENGTH bytes, and look at the
 common prefix of neighbours. Each task sorts the suffixes of its documents into a run (equal ones become one), which is written in
-front-coded blocks: how much a suffix shares with the one before, and the rest. Blocks go to ranges of the order, whose
+front-coded blocks: how much a suffix shares with the one before, and the rest (compressed). Blocks go to ranges of the order, whose
 limits are a bounded sample. A range merges its runs by a loser tree whose players carry the length of what they share with
 the last winner: the longer one wins, only equal lengths need comparing, and only from there on.
 
-Most suffixes can't have a twin and are never cut out:
+Most suffixes can't have a twin, or have an obvious one, and are never cut out:
 1. A string has an anchor, the least (leftmost) hash of its GRAM-byte substrings. Equal strings have equal anchors at equal
    places, so strings whose anchor's hash occurs once are unique.
-2. Around anchors that repeat, starts are taken together in blocks of STARTS, at fixed distances from the anchor. The bytes that
-   all strings of a block share are its core; where the core's hash occurs once, none of its strings has a twin.
-3. Blocks whose whole texts are equal (128 bits of hash) are one class before the exchange, as equal keys are in any
-   pre-aggregation: all strings of a class with two members are repeated. If a core has several classes, one member of
-   each goes to the sort, which finds what the classes share.
+2. The strings that share an anchor's occurrence are a span. Spans whose whole texts are equal (128 bits of hash) are one class
+   before the exchange, as equal keys are in any pre-aggregation: all strings of a class with two members are repeated.
+   If an anchor's hash has several classes, one member of each goes on.
+3. Those spans are cut into blocks of STARTS starts, at fixed distances from the anchor. The bytes that all strings of a block
+   share are its core; where the core's hash occurs once, none of its strings has a twin. Blocks form classes as spans do, and
+   if a core has several, one member of each goes to the sort, which finds what they share.
 
 Scale: texts are shuffled once, into a table bucketed by row number, which all steps read in place; the rest moves hashes and places.
 Runs collapse equal suffixes, so a string that a third of all documents share comes to a range once per run. Ranges are made
@@ -31,27 +32,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, slices, table
+from .common import forget, materialize, shared_dir, slices, table, tidy
 
-LENGTH, GRAM, STARTS = 400, 64, 16
+LENGTH, GRAM, STARTS = 400, 64, 8
 #: Suffixes in a front-coded block, blocks in a range (about), most limits that come to the driver.
-CODED, RANGE, LIMITS = 512, 96, 20_000
+CODED, RANGE, LIMITS = 256, 192, 20_000
 
 _rng = np.random.default_rng(8_080)
-BYTE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
-BASE = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) <= n:
-        base, size = int(BASE[which]), 1 << max(12, int(n).bit_length())
-        have = _POWERS[which] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
-    return have
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[-1][0]) <= n:
+        base, size = int(BASE), 1 << max(12, int(n).bit_length())
+        _POWERS[:] = [tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))]
+    return _POWERS[-1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,10 +67,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Hashes:
     """Hashes of any substrings of some bytes."""
 
-    def __init__(self, raw: np.ndarray, which: int = 0):
-        up, self.down = powers(which, len(raw) + 1)
+    def __init__(self, raw: np.ndarray):
+        up, self.down = powers(len(raw) + 1)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(BYTE[which][raw] * up[: len(raw)], out=self.sums[1:])
+        np.cumsum(BYTE[raw] * up[: len(raw)], out=self.sums[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
@@ -84,8 +86,9 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """document, place of the anchor, first and last start of the strings that it stands for (all within the document), hash."""
-    none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
+    """document, place of the anchor, first and last start of the strings that it stands for (all within the document), hash of
+    the anchor, hash of all bytes of the strings."""
+    none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
     if len(raw) < length:
         return none
     h = Hashes(raw)
@@ -114,7 +117,8 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = G
     stop[:-1] &= ~fits[1:] | (least[1:] != least[:-1])
     place = (least[start] & np.uint64(0xFFFFFFF)).astype(np.int64)
     doc = np.searchsorted(at, start, "right") - 1
-    return doc, place - at[doc], start - at[doc], np.flatnonzero(stop) - at[doc], grams[place]
+    last = np.flatnonzero(stop)
+    return doc, place - at[doc], start - at[doc], last - at[doc], grams[place], h.of(start, last + length)
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -123,22 +127,38 @@ def stored(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     name = f"texts_{uuid.uuid4().hex}"
-    rows.repartition(parts, "row").write.bucketBy(parts, "row").option("path", shared_dir(spark)).saveAsTable(name)
+    with tidy(spark):
+        rows.repartition(parts, "row").write.bucketBy(parts, "row").option("path", shared_dir(spark)).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
 def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """row, spans: array<struct<a, lo, hi>> of the anchors whose hash occurs more than once."""
+    """row, a, lo, hi (all within the text), h, w: the anchors whose hash h occurs more than once; w is the hash of their span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for some in slices(b, 1, 2000, 1_500_000):
-                doc, a, lo, hi, h = anchors(*joined(some.column(1)))
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(a), pa.array(lo), pa.array(hi)], names=["row", "h", "a", "lo", "hi"])
+                doc, a, lo, hi, h, w = anchors(*joined(some.column(1)))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(doc)), *[pa.array(x.astype(np.int32)) for x in (a, lo, hi)], pa.array(h.view(np.int64)), pa.array(w.view(np.int64))], names=["row", "a", "lo", "hi", "h", "w"])
 
-    found = materialize(texts.select("row", "text").mapInArrow(run, "row long, h long, a long, lo long, hi long"))
+    found = materialize(texts.select("row", "text").mapInArrow(run, "row long, a int, lo int, hi int, h long, w long"))
     twice = found.groupBy("h").count().where("count > 1").select(F.col("h").alias("_h"))
-    return found.join(twice, F.col("h") == F.col("_h"), "left_semi").groupBy("row").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("spans"))
+    out = materialize(found.join(twice, F.col("h") == F.col("_h"), "left_semi"))
+    forget(found)
+    return out
+
+
+def span_classes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """settled (row, lo, hi): spans that another one equals, all their strings repeat; and mixed (row, spans: array<struct<a, lo, hi>>):
+    one span of each class where an anchor's hash has several."""
+    key = [F.col("h"), F.col("w"), (F.col("lo") - F.col("a")).alias("x"), (F.col("hi") - F.col("lo")).alias("y")]
+    keyed = found.select("row", "a", "lo", "hi", *key)
+    classes = materialize(keyed.groupBy("h", "w", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct("row", "a", "lo", "hi")).alias("one")))
+    several = classes.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("k")).where("k > 1")
+    many = classes.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in "hwxy"])
+    settled = keyed.join(many, (F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_semi").select("row", "lo", "hi")
+    mixed_up = classes.join(several, F.col("h") == F.col("_h"), "left_semi")
+    return settled, mixed_up.groupBy("one.row").agg(F.collect_list(F.struct("one.a", "one.lo", "one.hi")).alias("spans"))
 
 
 def _spans(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -150,14 +170,15 @@ def _spans(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def blocks(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """row, st, core, f, g: the blocks around repeated anchors, with the hashes of core and whole; a block that a document's end
-    cuts has a whole of its own."""
+    """row, st, core, f: the blocks of spans, with the hashes of core and whole; a block that a document's end cuts has a whole of
+    its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for some in slices(b, 1, 2000, 1_500_000):
                 raw, at = joined(some.column(1))
-                doc, (a, lo, hi) = _spans(some.column(2))
+                doc, fields = _spans(some.column(2))
+                a, lo, hi = (x.astype(np.int64) for x in fields)
                 first, last = (lo - a) // STARTS, (hi - a) // STARTS
                 n = last - first + 1
                 doc, k = np.repeat(doc, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -165,16 +186,16 @@ def blocks(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 doc, st = np.divmod(np.unique((doc << 40) + st + STARTS), 1 << 40)  # each once
                 st -= STARTS
                 begin, end = at[doc], at[doc + 1]
-                h, g = Hashes(raw), Hashes(raw, 1)
+                h = Hashes(raw)
                 core = h.of(begin + st + STARTS - 1, begin + st + LENGTH)
                 whole = (st >= 0) & (begin + st + LENGTH + STARTS - 1 <= end)
                 x, y = np.maximum(begin + st, begin), np.minimum(begin + st + LENGTH + STARTS - 1, end)
                 row = some.column(0).to_numpy()[doc]
-                own = mixed(row.astype(np.uint64) * BASE[1] + st.astype(np.uint64))
-                f, g = np.where(whole, h.of(x, y), own), np.where(whole, g.of(x, y), ~own)
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(st.astype(np.int32)), *[pa.array(v.view(np.int64)) for v in (core, f, g)]], names=["row", "st", "core", "f", "g"])
+                own = mixed(row.astype(np.uint64) * BASE + st.astype(np.uint64))
+                f = np.where(whole, h.of(x, y), own)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(st.astype(np.int32)), *[pa.array(v.view(np.int64)) for v in (core, f)]], names=["row", "st", "core", "f"])
 
-    return texts.select("row", "text").join(spans, "row").select("row", "text", "spans").mapInArrow(run, "row long, st int, core long, f long, g long")
+    return texts.select("row", "text").join(spans, "row").select("row", "text", "spans").mapInArrow(run, "row long, st int, core long, f long")
 
 
 def shared_prefix(x: bytes, y: bytes, at: int) -> int:
@@ -277,7 +298,7 @@ def sorted_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         def made():
             nonlocal count
             whole = sorted((s, r, t) for s, (r, t) in held.items())
-            out = [(part + (count << 24), no, low, high, a.tobytes(), r.tobytes(), t.tobytes(), rest) for no, low, high, a, r, t, rest in front_coded(whole)]
+            out = [(part + (count << 24), no, low, high, a.tobytes(), r.tobytes(), t.tobytes(), zstandard.compress(rest)) for no, low, high, a, r, t, rest in front_coded(whole)]
             if twice:
                 out.append((part + (count << 24), None, None, None, None, np.array([r for r, _ in twice], "<i8").tobytes(), np.array([t for _, t in twice], "<i4").tobytes(), None))
             count += 1
@@ -341,7 +362,7 @@ def twins(runs: DataFrame) -> DataFrame:
         def suffixes(blocks: list, low: bytes | None, high: bytes | None):
             before = None
             for shared, rows, starts, rest in blocks:
-                for (n, s), r, t in zip(decoded(np.frombuffer(shared, "<u2"), rest), np.frombuffer(rows, "<i8").tolist(), np.frombuffer(starts, "<i4").tolist()):
+                for (n, s), r, t in zip(decoded(np.frombuffer(shared, "<u2"), zstandard.decompress(rest)), np.frombuffer(rows, "<i8").tolist(), np.frombuffer(starts, "<i4").tolist()):
                     if (low is None or s >= low) and (high is None or s < high):
                         # the first of a block is written whole; what it shares with the one before is seen here
                         yield (n if n or before is None else shared_prefix(before, s, 0)), s, (r, t)
@@ -377,33 +398,31 @@ def twins(runs: DataFrame) -> DataFrame:
 
 
 def repeats(texts: DataFrame) -> DataFrame:
-    """row, settled (blocks of STARTS starts that all repeat), single (starts that repeat), of stored() texts."""
-    found = materialize(blocks(texts, repeated_anchors(texts)))
-    classes = found.groupBy("core", "f", "g").agg(F.count("*").alias("n"), F.min(F.struct("row", "st")).alias("one"))
-    classes = materialize(classes)
+    """row, ranges: array<struct<lo, hi>> of starts that repeat, both included, of stored() texts."""
+    anchored = repeated_anchors(texts)
+    spans, mixed_up = span_classes(anchored)
+    found = materialize(blocks(texts, mixed_up))
+    classes = materialize(found.groupBy("core", "f").agg(F.count("*").alias("n"), F.min(F.struct("row", "st")).alias("one")))
     cores = classes.groupBy(F.col("core").alias("_core")).agg(F.count("*").alias("k")).where("k > 1")
-    mixed_up = classes.join(cores, F.col("core") == F.col("_core"), "left_semi")
-    wanted = mixed_up.select("one.row", "one.st").groupBy("row").agg(F.collect_list("st").alias("starts"))
-    many = classes.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in ("core", "f", "g")])
-    settled = found.join(many, (F.col("core") == F.col("_core")) & (F.col("f") == F.col("_f")) & (F.col("g") == F.col("_g")), "left_semi").select("row", "st")
-    single = twins(materialize(sorted_runs(texts, wanted)))
-    both = settled.select("row", F.col("st").alias("settled"), F.lit(None).cast("int").alias("single")).unionByName(single.select("row", F.lit(None).cast("int").alias("settled"), F.col("start").alias("single")))
-    return both.groupBy("row").agg(F.collect_list("settled").alias("settled"), F.collect_list("single").alias("single"))
+    wanted = classes.join(cores, F.col("core") == F.col("_core"), "left_semi").select("one.row", "one.st").groupBy("row").agg(F.collect_list("st").alias("starts"))
+    many = classes.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in ("core", "f")])
+    whole = found.join(many, (F.col("core") == F.col("_core")) & (F.col("f") == F.col("_f")), "left_semi")
+    runs = materialize(sorted_runs(texts, wanted))
+    every = spans.unionByName(whole.select("row", F.col("st").alias("lo"), (F.col("st") + STARTS - 1).alias("hi"))).unionByName(twins(runs).select("row", F.col("start").alias("lo"), F.col("start").alias("hi")))
+    out = materialize(every.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    for done in (anchored, found, classes, runs):
+        forget(done)
+    return out
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed(n: int, settled: np.ndarray, single: np.ndarray) -> np.ndarray:
-    """Flags of the bytes that go, from the starts that repeat."""
-    edge = np.zeros(n + LENGTH + 2 * STARTS + 1, np.int64)
-    if len(settled):
-        first, last = np.maximum(settled, 0), np.minimum(settled + STARTS - 1, n - LENGTH)
-        np.add.at(edge, first, 1)
-        np.add.at(edge, last + LENGTH, -1)
-    if len(single):
-        np.add.at(edge, single, 1)
-        np.add.at(edge, single + LENGTH, -1)
+def removed(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Flags of the bytes that go, from the ranges of starts that repeat."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, np.maximum(lo, 0), 1)
+    np.add.at(edge, np.minimum(hi, n - LENGTH) + LENGTH, -1)
     return np.cumsum(edge)[:n] > 0
 
 
@@ -419,12 +438,12 @@ def dedup(docs: DataFrame, schema: str, of) -> DataFrame:
         for b in batches:
             rows, data = [], b.column(1).cast(pa.large_binary())
             for k, doc_id in enumerate(b.column(0).to_pylist()):
-                text, lists = data[k].as_py(), [b.column(c)[k] for c in (2, 3)]
-                settled, single = (np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) if x.is_valid else none for x in lists)
-                rows.append(of(doc_id, text, removed(len(text), settled, single)))
+                text, ranges = data[k].as_py(), b.column(2)[k]
+                lo, hi = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.values.flatten()) if ranges.is_valid else (none, none)
+                rows.append(of(doc_id, text, removed(len(text), lo, hi)))
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows) if rows else [[]] * len(names), schema.split(", "))], names=names)
 
-    return texts.join(found, "row", "left").select("doc_id", "text", "settled", "single").mapInArrow(run, schema)
+    return texts.join(found, "row", "left").select("doc_id", "text", "ranges").mapInArrow(run, schema)
 
 
 def digest(doc_id, text: bytes, gone: np.ndarray) -> tuple:
