@@ -5,8 +5,8 @@ is as long as some rule's path. An expression equals a rule's own host and path
 rules on a short prefix of their SHA-256 digest (an equi-join whose keys are few bytes), then full digests confirm, and of
 the rules that fit the longest wins (ties: the longer host, then block before allow).
 
-Scale: the join is on digest prefixes; which side is shipped is left to Spark, which broadcasts the rules only below its size
-threshold and otherwise shuffles, splitting hot keys (a host with a third of all pages) at run time. Expansions grow with
+Scale: each host and path is judged once, however many pages have it; the join is on digest prefixes; which side is shipped is left to Spark, which broadcasts the rules only below its size
+threshold and otherwise shuffles. Verdicts go back to pages by host and path, where Spark splits hot keys at run time. Expansions grow with
 labels times distinct rule-path lengths, not with the rules.
 
 Cases: a null url or one without :// has an empty host and path, fits no rule and is allowed; rows with equal page_id are
@@ -35,8 +35,8 @@ def path_of(url: Column) -> Column:
 
 
 def suffixes(host: Column) -> Column:
-    """The host and what is left without its first labels; none for an empty host."""
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(let(F.split(host, r"\."), lambda labels: F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))))
+    """The host and what is left without its first labels, if that isn't empty: a rule without a host fits nothing."""
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.filter(let(F.split(host, r"\."), lambda labels: F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))), lambda h: h != ""))
 
 
 def expressions(host: Column, path: Column, lengths: Column) -> Column:
@@ -52,17 +52,19 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataF
         F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("h"), (F.col("verdict") == "block").alias("blocks"), F.concat("host", "path").alias("rule"), "verdict").alias("_rank"),
     ).withColumn("_prefix", F.substring("_digest", 1, PREFIX))
     lengths = rules.groupBy().agg(F.sort_array(F.collect_set(F.length("path"))).alias("_lengths"))  # a row; distinct lengths, which a URL's length bounds
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.monotonically_increasing_id().alias("_row"))
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     lengths = F.lit([r[0] for r in lengths.collect()][0] or []).cast("array<int>")
     found = (
-        rows.withColumn("_text", F.explode(F.array_distinct(expressions(F.col("host"), F.col("path"), lengths))))
-        .select("_row", F.sha2("_text", 256).alias("_full"))
+        rows.select("host", "path").distinct()
+        .withColumn("_text", F.explode(F.array_distinct(expressions(F.col("host"), F.col("path"), lengths))))
+        .withColumn("_full", F.sha2("_text", 256)).drop("_text")
         .withColumn("_prefix", F.substring("_full", 1, PREFIX))
         .join(keyed, "_prefix")
         .where(F.col("_full") == F.col("_digest"))
-        .groupBy("_row").agg(F.max("_rank").alias("_rank"))
-    )
-    return rows.join(found, "_row", "left").select("page_id", "host", "path", F.col("_rank.rule").alias("rule"), F.coalesce("_rank.verdict", F.lit(otherwise)).alias("verdict"))
+        .groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(F.max("_rank").alias("_rank"))
+    )
+    out = rows.join(found, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
+    return out.select("page_id", "host", "path", F.col("_rank.rule").alias("rule"), F.coalesce("_rank.verdict", F.lit(otherwise)).alias("verdict"))
 
 
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:
