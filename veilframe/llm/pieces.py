@@ -40,7 +40,7 @@ MARK = SPACE.encode()
 class Model:
     """Pieces, scores and bytes of a SentencePiece file."""
 
-    KEPT = 150_000
+    KEPT = 100_000
     #: Longer words are searched on their own.
     LONG = 40
     loaded: dict[tuple[str, int], "Model"] = {}
@@ -310,7 +310,7 @@ def _mapped(docs: DataFrame, path: str, n: int, schema: str, of) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(path, n)
         for b in batches:
-            for some in slices(b, 1):
+            for some in slices(b, 1, 1200, 4_000_000):
                 columns = of(model, some.column(1), model.batch(some.column(1)))
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(kinds[0]), *[pa.array(x, k) for x, k in zip(columns, kinds[1:])]], names=names)
 
