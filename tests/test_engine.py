@@ -202,7 +202,6 @@ def test_name_merge(spark):
     names = ["Doe", "John Doe", "Jane Smith", "Smith", "Ann Smith", "J. A. Doe"]
     df = spark.createDataFrame([("person", n, k + 1) for k, n in enumerate(names)], "category string, surface string, ord long")
     got = grouping.dictionary(df, ["person"]).orderBy("entity_no", "variant_no").collect()
-    assert [(r.id, r.variant) for r in got] == [("<PERSON_1>", "Jane Smith"), ("<PERSON_2>", "Ann Smith"), ("<PERSON_3>", "J. A. Doe"), ("<PERSON_4>", "John Doe"), ("<PERSON_5>", "Smith"), ("<PERSON_6>", "Doe")] or True
     groups = {}
     for r in got:
         groups.setdefault(r.id, []).append(r.variant)
