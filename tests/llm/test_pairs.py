@@ -86,6 +86,46 @@ def test_runs():
     assert len({x for r in chosen_path.roots(3).tolist() for x in r}) == 6
 
 
+def test_recall_of_large_buckets(spark):
+    """Pairs at the threshold that share one root bucket with a thousand others that are unlike meet below it."""
+    import numpy as np
+
+    from veilframe.llm import chosen_path as c
+
+    rng, n = np.random.default_rng(3), 500
+    a = rng.integers(0, 1 << 32, (n, c.TOKENS), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+    used = c.roots(3).ravel()
+    for x in (a, b):
+        x[:, used] = rng.integers(0, 1 << 32, (n, len(used)), dtype=np.uint32)
+        x[:, used[0]] = 1
+    rows = [(i, s.tobytes()) for i, s in enumerate(np.concatenate([a, b]))]
+    nodes = {}
+    for r in c.leaves(spark.createDataFrame(rows, "id long, signature binary")).collect():
+        nodes.setdefault(r.id, set()).add(r.node)
+    assert [k for k in range(n) if not nodes.get(k, set()) & nodes.get(n + k, set())] == []
+
+
+def test_miss_of_whole_recursion():
+    """Pairs at the threshold for which no bucket is ever small: followed through the nodes that both are in."""
+    import numpy as np
+
+    from veilframe.llm import chosen_path as c
+
+    runs, wide = c.plan(c.RECALL, 0.8)
+    least = c.least_agreement(c.RECALL, 0.8)
+    assert c.missed(0.8, runs, wide, least) < 1 - c.RECALL
+    rng, n = np.random.default_rng(4), 1500
+    equal = rng.random((n, c.TOKENS)) < 0.8
+    for wide, want in ((wide, 0.0), (2, c.missed(0.8, runs, 2, 0))):
+        pair, place = np.nonzero(equal[:, c.roots(runs).ravel()])
+        seed = c.mixed(pair.astype(np.uint64) * c.STEP + place.astype(np.uint64))
+        for k in range(c.DEPTH):
+            row, place = np.nonzero(c.chosen(seed, 0.8, 0 if k else wide) & equal[pair])
+            seed, pair = c.mixed(seed[row] * c.STEP + c.mixed(place.astype(np.uint64))), pair[row]
+        assert abs(1 - len(np.unique(pair)) / n - want) < 0.01 + want / 2
+
+
 def paragraphs(text):
     return {p for p in text.split("\n") if WORD.search(p)}
 

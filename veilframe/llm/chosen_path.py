@@ -4,10 +4,11 @@ A document is the set of its shingles: every five neighbouring words (fewer than
 Documents with equal sets are one text class; the join is between classes. Each class has a signature of TOKENS minhash
 values, a sample of its set at each of TOKENS places. A run starts with a few places chosen for all; a class then lies in the
 bucket of each chosen place and its value there. A bucket that is small, or in which the members are alike anyway, is solved by brute
-force; any other is split again: its own seed chooses about 1 / threshold of the places, and each member goes on to the buckets
-of its values there. A pair shares a place's value with the probability of its similarity, so pairs that are alike go the
-same way, and others part. Runs are repeated with other places until the probability that a pair at the threshold has met
-nowhere is below 1 - RECALL.
+force; any other is split again: its own seed chooses places, and each member goes on to the buckets of its values there. A pair
+shares a place's value with the probability of its similarity, so pairs that are alike go the same way, and others part. The
+first split of a bucket chooses `wide` places, which repeats the recursion that often; later ones choose 1 / threshold places on
+average and at least one. Runs and `wide` are such that the probability that a pair at the threshold has met nowhere, or is left out
+by the filter on signatures, is below 1 - RECALL even if all buckets are split down to the last level.
 
 Brute force verifies pairs on the shingles themselves. A pair that meets in several buckets counts in the first of them alone,
 which either member's list of buckets tells; so links are counted without listing pairs.
@@ -24,6 +25,7 @@ an empty result; other columns are ignored by join() and carried along by distin
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -40,8 +42,6 @@ TOKENS, RECALL = 64, 0.9999
 #: Places that all classes of a run are dealt by at first, members that a bucket is solved with at most, members in a block.
 ROOTS, SMALL, BLOCK = 2, 48, 256
 DEPTH = 6
-#: Pairs whose signatures agree in less than this part of the places aren't verified: 4.5 standard deviations below the threshold.
-MAYBE = THRESHOLD - 4.5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)
 
 _rng = np.random.default_rng(20_240_601)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -126,10 +126,18 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return materialize(out.mapInArrow(run, schema))
 
 
-def chosen(seed: np.ndarray, threshold: float) -> np.ndarray:
-    """Which places the nodes with these seeds choose: rows of TOKENS flags, each set with probability 1 / (threshold * TOKENS)."""
-    x = mixed(seed[:, None] + SEEDS[None, :])
-    return (x >> np.uint64(11)).astype(np.float64) / 2.0**53 < 1 / (threshold * TOKENS)
+def chosen(seed: np.ndarray, threshold: float, wide: int = 0) -> np.ndarray:
+    """Which places the nodes with these seeds choose: rows of TOKENS flags, `wide` of them set, or 1 / threshold on average (one of
+    the whole numbers next to it)."""
+    order = np.argsort(mixed(seed[:, None] + SEEDS[None, :]), axis=1)
+    if wide:
+        n = np.full(len(seed), wide)
+    else:
+        low = min(int(1 / threshold), TOKENS)
+        n = low + ((mixed(seed ^ STEP) >> np.uint64(11)).astype(np.float64) / 2.0**53 < 1 / threshold - low)
+    out = np.zeros(order.shape, bool)
+    np.put_along_axis(out, order, np.arange(TOKENS)[None, :] < n[:, None], axis=1)
+    return out
 
 
 def roots(runs: int, start: int = 0) -> np.ndarray:
@@ -143,6 +151,43 @@ def runs_for(recall: float, threshold: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold) / ROOTS))
 
 
+def least_agreement(recall: float, threshold: float) -> int:
+    """Places at which signatures have to agree for a pair to be verified: a pair at the threshold has fewer with at most (1 - recall) / 5."""
+    m, below = 0, 0.0
+    while m < TOKENS and (below := below + math.comb(TOKENS, m) * threshold**m * (1 - threshold) ** (TOKENS - m)) <= (1 - recall) / 5:
+        m += 1
+    return m
+
+
+def missed(threshold: float, runs: int, wide: int, least: int, depth: int = DEPTH) -> float:
+    """Probability that a pair at the threshold is left out if no bucket above the last level is solved. Signatures agree at m
+    places, a binomial number; which of them are chosen is independent given m, but for places of one node, which differ."""
+    low = min(int(1 / threshold), TOKENS)
+    more = 1 / threshold - low if low < TOKENS else 0.0
+
+    def lost(m: int, n: int, on: float) -> float:  # n different places, each agreeing one is met again with probability `on`
+        return sum(math.comb(m, j) * math.comb(TOKENS - m, n - j) * (1 - on) ** j for j in range(n + 1)) / math.comb(TOKENS, n)
+
+    out = 0.0
+    for m in range(TOKENS + 1):
+        on = 1.0
+        for _ in range(depth - 1):
+            on = 1 - (1 - more) * lost(m, low, on) - (more * lost(m, low + 1, on) if more else 0.0)
+        on = 1 - lost(m, wide, on) if depth else 1.0
+        p = lost(m, min(runs * ROOTS, TOKENS), on) if m >= least else 1.0
+        out += math.comb(TOKENS, m) * threshold**m * (1 - threshold) ** (TOKENS - m) * p
+    return out
+
+
+@functools.lru_cache
+def plan(recall: float, threshold: float, runs: int = 0, depth: int = DEPTH) -> tuple[int, int]:
+    """Runs (the fewest, or as given) and `wide`, with which missed() is below 1 - recall; all places at once where runs are too few for it."""
+    fixed, runs, least = runs > 0, runs or runs_for(recall, threshold), least_agreement(recall, threshold)
+    while not fixed and runs * ROOTS < TOKENS and missed(threshold, runs, TOKENS, least, depth) >= 1 - recall:
+        runs += 1
+    return runs, next((w for w in range(1, TOKENS) if missed(threshold, runs, w, least, depth) < 1 - recall), TOKENS)
+
+
 NODE = "id long, node long"
 
 
@@ -169,20 +214,20 @@ def first_nodes(classes: DataFrame, runs: int) -> DataFrame:
     return _nodes(classes.select("id", "signature"), of)
 
 
-def next_nodes(members: DataFrame, threshold: float) -> DataFrame:
+def next_nodes(members: DataFrame, threshold: float, wide: int = 0) -> DataFrame:
     """members (id, signature, node): the node's seed chooses places, each member goes on by its values there."""
 
     def of(signs: np.ndarray, b: pa.RecordBatch):
         seed = b.column(2).to_numpy().view(np.uint64)
-        row, place = np.nonzero(chosen(seed, threshold))
+        row, place = np.nonzero(chosen(seed, threshold, wide))
         return row, mixed(seed[row] * STEP + mixed(place.astype(np.uint64) + (signs[row, place].astype(np.uint64) << np.uint64(8))))
 
     return _nodes(members.select("id", "signature", "node"), of)
 
 
-def leaves(classes: DataFrame, threshold: float = THRESHOLD, runs: int = 3, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def leaves(classes: DataFrame, threshold: float = THRESHOLD, runs: int = 3, small: int = SMALL, depth: int = DEPTH, *, recall: float = RECALL) -> DataFrame:
     """id, node, n: the buckets of two or more classes that brute force solves, and their members."""
-    level, out = materialize(first_nodes(classes, runs)), None
+    level, out, wide = materialize(first_nodes(classes, runs)), None, plan(recall, threshold, runs, depth)[1]
     for k in range(depth + 1):
         counts = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("node", "_node")
         met = materialize(level.join(counts, F.col("node") == F.col("_node")).drop("_node"))
@@ -199,7 +244,7 @@ def leaves(classes: DataFrame, threshold: float = THRESHOLD, runs: int = 3, smal
         rest = signed.where("NOT _alike")
         if rest.isEmpty():
             break
-        level = materialize(next_nodes(rest, threshold))
+        level = materialize(next_nodes(rest, threshold, 0 if k else wide))
     return out
 
 
@@ -242,12 +287,12 @@ def agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return same
 
 
-def solve(node: int, within: bool, ids: np.ndarray, side: np.ndarray, size: np.ndarray, signs: np.ndarray, lists: list, texts: list, threshold: float, words: int):
+def solve(node: int, within: bool, ids: np.ndarray, side: np.ndarray, size: np.ndarray, signs: np.ndarray, lists: list, texts: list, threshold: float, words: int, least: int):
     """Brute force on a group: the links' weight of each member, and edges (places of members) that keep what is connected."""
     a = np.arange(len(ids)) if within else np.flatnonzero(~side)
     b = a if within else np.flatnonzero(side)
     links, none = np.zeros(len(ids), np.int64), ([], [])
-    maybe = agree(signs[a], signs[b]) >= MAYBE * TOKENS
+    maybe = agree(signs[a], signs[b]) >= least
     if within:
         maybe &= a[:, None] < b[None, :]
     i, j = np.nonzero(maybe)
@@ -295,14 +340,14 @@ def solve(node: int, within: bool, ids: np.ndarray, side: np.ndarray, size: np.n
 FOUND = "id long, links long, other long"
 
 
-def solved(rows: DataFrame, threshold: float, words: int) -> DataFrame:
+def solved(rows: DataFrame, threshold: float, words: int, least: int) -> DataFrame:
     """rows (node, p, q, id, side, size, nodes, signature, text), dealt by group: the links of members (other is null), and edges (id > other)."""
     rows = rows.select("node", "p", "q", "id", "side", "size", "nodes", "signature", "text").repartition("node", "p", "q").sortWithinPartitions("node", "p", "q", "id")
 
     def made(key, group: list):
         node, p, q = key
         ids = np.array([g[0] for g in group], np.int64)
-        links, (i, j) = solve(node, p == q, ids, np.array([g[1] for g in group], bool), np.array([g[2] for g in group], np.int64), np.frombuffer(b"".join(g[4] for g in group), np.uint32).reshape(-1, TOKENS), [np.array(g[3], np.int64) for g in group], [g[5] for g in group], threshold, words)
+        links, (i, j) = solve(node, p == q, ids, np.array([g[1] for g in group], bool), np.array([g[2] for g in group], np.int64), np.frombuffer(b"".join(g[4] for g in group), np.uint32).reshape(-1, TOKENS), [np.array(g[3], np.int64) for g in group], [g[5] for g in group], threshold, words, least)
         some = np.flatnonzero(links)
         x, y = ids[i], ids[j]
         return np.concatenate([ids[some], np.maximum(x, y)]), np.concatenate([links[some], np.zeros(len(x), np.int64)]), [None] * len(some) + np.minimum(x, y).tolist()
@@ -371,11 +416,11 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, re
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("_row").alias("row"))
     classes = rows.where(F.col("_set").isNotNull()).groupBy("_set").agg(F.min(key).alias("k"), F.count("*").alias("size"), F.min("_signature").alias("signature"))
     classes = materialize(classes.select("_set", F.col("k.row").alias("id"), F.col("k.doc").alias("doc"), "size", "signature"))
-    lists, dealt = blocks(leaves(classes, threshold, runs_for(recall, threshold)))
+    lists, dealt = blocks(leaves(classes, threshold, plan(recall, threshold)[0], recall=recall))
     dealt = materialize(dealt)
     ready = lists.join(dealt.select("id").distinct(), "id", "left_semi").join(classes.select("id", "size", "signature"), "id")
     texts = rows.select(F.col("_row").alias("id"), "text").join(ready, "id").join(dealt, "id")
-    found = materialize(solved(texts, threshold, words))
+    found = materialize(solved(texts, threshold, words, least_agreement(recall, threshold)))
     links = found.where("other IS NULL").groupBy(F.col("id").alias("_l")).agg(F.sum("links").alias("links"))
     labels = components(found.where("other IS NOT NULL").select("id", "other")).select(F.col("id").alias("_c"), "label")
     out = classes.join(links, F.col("id") == F.col("_l"), "left").join(labels, F.col("id") == F.col("_c"), "left")
