@@ -158,6 +158,22 @@ def test_large_dictionaries(spark, monkeypatch):
     assert sorted(map(repr, rewrite.pseudonymize(docs, d).collect())) == one
 
 
+def test_large_dictionaries_rewrite_inserted_ids(spark, monkeypatch):
+    from veilframe.operators import rewrite
+
+    rows = [
+        ("person", 1, "<PERSON_1500>", 1, "Ann Margaret Lee", None), ("general_number", 1, "<GENERAL_NUMBER_7777>", 1, "1500", None), ("code_number", 1, "<C>", 1, "777", None),
+        ("location", 1, "<L>", 1, "at <PERS", None), ("email_address", 1, "", 1, "cut@x.org", None), ("id_number", 1, "<I>", 1, "left right", None), ("person", 2, "<P2>", 1, "absent", None),
+    ]
+    d = spark.createDataFrame(rows, "category string, entity_no int, id string, variant_no int, variant string, pattern string")
+    texts = ["met Ann Margaret Lee there", "Ann Margaret Lee", "look at Ann Margaret Lee", "x left cut@x.org right", "left  cut@x.org right", "nothing", "", None, "1500 Ann Margaret Lee 1500"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few = sorted(rewrite.pseudonymize(docs, d).collect())
+    monkeypatch.setattr(rewrite, "RULES", 3)
+    assert sorted(rewrite.pseudonymize(docs, d).collect()) == few
+    assert "1500" not in few[0].text and few[0].counts["code_number"] == 1 and few[2].counts["location"] == 1
+
+
 def plain_leaders(items, similar):
     lead, out = [], {}
     for k, x in enumerate(items):

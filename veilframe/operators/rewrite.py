@@ -3,15 +3,18 @@
 Rules are the variants of all entities, longest first (then by category, entity, variant); each sees what the ones before
 it wrote. A dictionary is small, as people review it, but its size is looked at: up to RULES rules travel as one array and
 run inside each row, without a shuffle; of a larger dictionary each text first meets the variants that occur in it, by an
-equi-join on grams, and runs those alone."""
+equi-join on grams, and runs those alone. What they write may complete further variants: the places around inserted ids meet the
+dictionary too, until no text gets another rule. So both ways give the same result."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spans as S
 from ..functions.text import count_literal, let, literal, replacement
 from .detect import CATEGORIES
+from .grouping import kept
 
 RULES = 2000
 #: Categories whose variants are replaced wherever they stand, and not only as whole words.
@@ -42,20 +45,29 @@ def rules(dictionary: DataFrame, boundary=plain_boundary, by: str = "id") -> Dat
 RULE = "array<struct<ord:struct<n:int,c:bigint,e:int,v:int>,category:string,variant:string,by:string,bounded:boolean>>"
 
 
-def rewritten(text: Column, rule_array: Column) -> Column:
-    """struct<text, counts>: the text after all rules in turn, and how often each category was replaced."""
-    zero = F.struct(text.alias("text"), F.transform(F.array(*[F.lit(c) for c in CATEGORIES]), lambda _: F.lit(0).cast("bigint")).alias("counts"))
+def rewritten(text: Column, rule_array: Column, reach: int | None = None) -> Column:
+    """struct<text, counts>: the text after all rules in turn, and how often each category was replaced; with reach also near: what
+    stood around each id, so many characters to both sides, when it had been inserted."""
+    zero = F.struct(text.alias("text"), F.transform(F.array(*[F.lit(c) for c in CATEGORIES]), lambda _: F.lit(0).cast("bigint")).alias("counts"), *([] if reach is None else [F.array().cast("array<string>").alias("near")]))
+
+    def around(x: Column, by: Column) -> Column:
+        begin = lambda m: F.greatest(m["start"] - reach, F.lit(0))
+        found = F.transform(S.places(x, literal(by)), lambda m: x.substr(begin(m) + 1, m["end"] + reach - begin(m)))
+        return F.when(by == "", F.array(x)).otherwise(F.array_distinct(found))
 
     def step(acc: Column, r: Column) -> Column:
         def done(x: Column) -> Column:
             n = F.when(r["bounded"], F.regexp_count(x["text"], x["p"]).cast("bigint")).otherwise(count_literal(x["text"], r["variant"]))
             out = F.when(r["bounded"], F.regexp_replace(x["text"], x["p"], replacement(r["by"]))).otherwise(F.replace(x["text"], r["variant"], r["by"]))
             at = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), r["category"]) - 1
-            return F.struct(out.alias("text"), F.transform(x["counts"], lambda c, i: F.when(i == at, c + n).otherwise(c)).alias("counts"))
+            counts = F.transform(x["counts"], lambda c, i: F.when(i == at, c + n).otherwise(c)).alias("counts")
+            if reach is None:
+                return F.struct(out.alias("text"), counts)
+            return let(out, lambda o: F.struct(o.alias("text"), counts, F.when(o == x["text"], x["near"]).otherwise(F.array_union(x["near"], around(o, r["by"]))).alias("near")))
 
         whole = F.concat(F.lit(r"(?U)\b"), literal(r["variant"]), F.lit(r"\b"))
         # most variants aren't in a text: looking for the bare variant is cheap
-        return F.when(F.contains(acc["text"], r["variant"]), let(F.struct(acc["text"].alias("text"), acc["counts"].alias("counts"), whole.alias("p")), done)).otherwise(acc)
+        return F.when(F.contains(acc["text"], r["variant"]), let(F.struct(*[acc[c].alias(c) for c in ("text", "counts", *(() if reach is None else ("near",)))], whole.alias("p")), done)).otherwise(acc)
 
     return F.aggregate(rule_array, zero, step)
 
@@ -80,16 +92,30 @@ def pseudonymize(docs: DataFrame, dictionary: DataFrame, boundary=plain_boundary
 
 
 def with_own_rules(docs: DataFrame, table: DataFrame, gram: int = 4) -> DataFrame:
-    """docs with _rules: the rules whose variant occurs in the row's text, and those that a replacement may bring about: variants
-    shorter than a gram (such as a digit inside an inserted tag). A longer variant that only an inserted tag completes is not seen."""
-    keyed = table.withColumn("_g", F.substring("variant", 1, gram))
+    """docs with _rules: the rules that apply to the row's text. These are the variants shorter than a gram, those that occur in the text,
+    and those that occur near an id that such rules insert, in rounds until none is added: any other finds nothing at its turn."""
+    fields, none = F.struct(*table.columns), F.array().cast(RULE)
     rows = docs.withColumn("_row", F.sha2("text", 256))  # equal texts have equal rules
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - gram + 1, F.lit(1))), lambda i: F.col("text").substr(i, F.lit(gram)))
-    met = rows.select("_row", "text").distinct().select("_row", "text", F.explode(F.array_distinct(every)).alias("_g")).join(keyed.where(F.length("variant") >= gram), "_g").where(F.contains("text", F.col("variant")))
-    own = met.groupBy("_row").agg(F.collect_set(F.struct(*table.columns)).alias("_own"))
-    always = table.where(F.length("variant") < gram).groupBy().agg(F.coalesce(F.collect_list(F.struct(*table.columns)), F.array().cast(RULE)).alias("_always"))
-    rows = rows.join(own, "_row", "left").crossJoin(always)  # one row
-    return rows.withColumn("_rules", F.sort_array(F.concat(F.coalesce("_own", F.array().cast(RULE)), "_always"))).drop("_row", "_own", "_always")
+    texts = rows.where(F.col("text").isNotNull()).select("_row", "text").dropDuplicates(["_row"])
+    keyed = table.where(F.length("variant") >= gram).select(F.substring("variant", 1, gram).alias("_g"), fields.alias("_rule"))
+    always = table.where(F.length("variant") < gram).groupBy().agg(F.coalesce(F.collect_list(fields), none).alias("_always"))
+    reach = table.agg(F.max(F.length("variant"))).first()[0] or 0
+
+    def met(parts: DataFrame) -> DataFrame:  # parts (_row, text): _row, _rule
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - gram + 1, F.lit(1))), lambda i: F.col("text").substr(i, F.lit(gram)))
+        return parts.select("_row", "text", F.explode(F.array_distinct(every)).alias("_g")).join(keyed, "_g").where(F.contains("text", F.col("_rule.variant"))).select("_row", "_rule").distinct()
+
+    def listed(found: DataFrame, to: DataFrame) -> DataFrame:  # always is one row
+        own = found.groupBy("_row").agg(F.collect_list("_rule").alias("_own"))
+        return to.join(own, "_row", "left").crossJoin(always).withColumn("_rules", F.sort_array(F.concat(F.coalesce("_own", none), "_always"))).drop("_own", "_always")
+
+    found, open_ = kept(met(texts)), texts
+    while True:
+        near = listed(found, open_).withColumn("_r", rewritten(F.col("text"), F.col("_rules"), reach)).select("_row", F.explode("_r.near").alias("text"))
+        new = kept(met(near).join(found, ["_row", "_rule"], "left_anti"))
+        if new.isEmpty():
+            return listed(found, rows).drop("_row")
+        found, open_ = kept(found.unionByName(new)), texts.join(new.select("_row").distinct(), "_row", "left_semi")
 
 
 def totals(rewritten_docs: DataFrame) -> DataFrame:
