@@ -126,6 +126,29 @@ def pseudonymize_counts(spark, sf_dir):
     return rewrite.totals(rewrite.pseudonymize(docs, own)).select("category", "found", "replaced")
 
 
+def _mentions(spark, sf_dir) -> DataFrame:
+    """What all detectors find in whole documents."""
+    return D.mentions(D.detect(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
+
+
+def all_mentions(spark, sf_dir):
+    return _mentions(spark, sf_dir)
+
+
+def all_found_counts(spark, sf_dir):
+    return D.found_counts(_mentions(spark, sf_dir)).select("category", "found")
+
+
+def all_entity_ids(spark, sf_dir):
+    return grouping.dictionary(_mentions(spark, sf_dir)).select("category", "id", "variant_no", "variant")
+
+
+def all_pseudonymize_counts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    own = grouping.kept(grouping.dictionary(_mentions(spark, sf_dir)))
+    return rewrite.totals(rewrite.pseudonymize(docs, own)).select("category", "found", "replaced")
+
+
 _CATEGORIES = "(VALUES " + ", ".join(f"('{c}')" for c in D.CATEGORIES) + ") AS v(category)"
 
 
@@ -282,6 +305,7 @@ def queries() -> dict:
     for f in (
         span_offsets, resolve_overlaps, interval_anti_join, mentions_distinct, found_counts, entity_ids, pseudonymize_counts, normalized, similar_pairs, number_groups, name_groups, pseudonymize_documents,
         pseudonymize_conversations, replacement_counts, hyphen_join, tex_extract, md_to_typst, fake_format, typst_variables, possible_variants, context_boost, bib_prose, detect_all,
+        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts,
     ):
         out[f.__name__] = f
     return out
