@@ -52,6 +52,26 @@ def test_tokens(spark, docs):
     assert rans.checksums(coded, tables).count() == 0
 
 
+def test_rans_table_file(spark, tmp_path):
+    import numpy as np
+
+    from veilframe.llm import rans
+
+    ids = np.random.default_rng(2).integers(0, 300, 5000).astype(np.uint16)
+    for some in (ids, ids[:0]):
+        t = rans.Tables(*np.unique(some, return_counts=True))
+        data = rans.encode_block(some, t, lanes=16, steps=64)
+        path = rans.write_tables(spark, t)  # blocks and this file are all that a reader has
+        del t
+        assert (rans.decode_block(data, rans.read_tables(path)) == some).all()
+    t = rans.Tables(*np.unique(ids, return_counts=True))
+    data = rans.encode_block(ids, t, lanes=16, steps=64)
+    with pytest.raises(ValueError):
+        rans.decode_block(data, rans.Tables(*np.unique(ids[:900], return_counts=True)))
+    with pytest.raises(ValueError):
+        rans.Tables.unpacked(t.packed()[:-1] + b"x")
+
+
 def test_blocks():
     import numpy as np
 

@@ -7,7 +7,8 @@ states and the place in the words every STEPS steps, so that parts of a block ca
 guard the words (before decoding) and the ids (after). Beside the payload a block names its documents, their lengths and the number of
 ids before it; blocks so can be found and decoded in any order, by any task.
 
-The frequency table counts all ids of the corpus, scaled to 2^BITS with at least 1 for each id that occurs.
+The frequency table counts all ids of the corpus, scaled to 2^BITS with at least 1 for each id that occurs. It is a file too, with a
+CRC-32 sum that each block's header names; what decodes gets its table from that file.
 
 Scale: texts move once (a range partition by id, then a sort inside each partition); ids are written once, counted (the counts
 meet as rows of at most the vocabulary's size) and coded where they lie. A task holds one block of BLOCK ids, more only for a
@@ -31,12 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import materialize, shared_dir, slices, table
 
-MAGIC = b"VRANS1"
+MAGIC, TABLE = b"VRANS2", b"VRANST"
 BITS, LANES, STEPS, BLOCK = 18, 512, 256, 1 << 18
 LOW = np.uint64(1 << 31)
-HEADER = struct.Struct("<6sBIIIIII")  # magic, bits, lanes, steps between checkpoints, ids, words, crc of words, crc of ids
+HEADER = struct.Struct("<6sBIIIIIII")  # magic, bits, lanes, steps between checkpoints, ids, words, crc of words, crc of ids, crc of the table
+TABLE_HEADER = struct.Struct("<6sBII")  # magic, bits, ids, crc of ids and frequencies
 
 
 class Tables:
@@ -52,12 +54,34 @@ class Tables:
         freq = 1 + np.floor(share).astype(np.int64)
         for i in np.argsort(np.floor(share) - share, kind="stable")[: (1 << bits) - int(freq.sum())] if len(counts) else ():
             freq[i] += 1
+        self._laid(freq)
+
+    def _laid(self, freq: np.ndarray) -> None:
+        bits, ids = self.bits, self.ids
+        self.crc = zlib.crc32(self._body(freq))
         self.freq, self.start = freq.astype(np.uint64), np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64) if len(freq) else freq.astype(np.uint64)
         self.most = self.freq << np.uint64(63 - bits)  # a state from here on gives a word away first
         self.place = np.zeros(int(self.ids.max()) + 1 if len(ids) else 1, np.int32)
         self.place[self.ids] = np.arange(len(ids))
         self._slots = None
 
+    def _body(self, freq: np.ndarray) -> bytes:
+        return self.ids.astype("<u4").tobytes() + freq.astype("<u4").tobytes()
+
+    def packed(self) -> bytes:
+        return TABLE_HEADER.pack(TABLE, self.bits, len(self.ids), self.crc) + self._body(self.freq)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> "Tables":
+        magic, bits, n, crc = TABLE_HEADER.unpack_from(data)
+        body = data[TABLE_HEADER.size :]
+        if magic != TABLE or len(body) != 8 * n or zlib.crc32(body) != crc:
+            raise ValueError("damaged table")
+        both, out = np.frombuffer(body, "<u4").reshape(2, n), cls.__new__(cls)
+        out.bits, out.ids = bits, both[0].astype(np.uint32)
+        out._laid(both[1].astype(np.int64))
+        return out
+
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
@@ -88,13 +112,13 @@ def encode_block(ids: np.ndarray, t: Tables, lanes: int = LANES, steps: int = ST
     stream = np.concatenate(words[::-1]) if words else np.empty(0, np.uint32)
     body = stream.astype("<u4").tobytes()
     points = b"".join(struct.pack("<I", n_words - m) + s.astype("<u8").tobytes() for _, (m, s) in sorted(marks.items()))
-    return HEADER.pack(MAGIC, t.bits, lanes, steps, n, n_words, zlib.crc32(body), zlib.crc32(np.asarray(ids, "<u4").tobytes())) + points + body
+    return HEADER.pack(MAGIC, t.bits, lanes, steps, n, n_words, zlib.crc32(body), zlib.crc32(np.asarray(ids, "<u4").tobytes()), t.crc) + points + body
 
 
 def decode_block(data: bytes, t: Tables, first: int = 0, last: int | None = None) -> np.ndarray:
     """The ids of a block, or of its parts first..last (by checkpoint) alone."""
-    magic, bits, lanes, steps, n, n_words, crc, crc_ids = HEADER.unpack_from(data)
-    if magic != MAGIC or bits != t.bits:
+    magic, bits, lanes, steps, n, n_words, crc, crc_ids, crc_table = HEADER.unpack_from(data)
+    if magic != MAGIC or bits != t.bits or crc_table != t.crc:
         raise ValueError("not a block of this format and table")
     total, size = -(-n // lanes), 4 + 8 * lanes
     parts = -(-total // steps)
@@ -274,7 +298,7 @@ CODED = "part int, before long, n_ids long, doc_ids array<bigint>, lengths array
 
 
 def encode(docs: DataFrame, path: str, end: int = 0, bits: int = BITS) -> tuple[DataFrame, Tables]:
-    """The coded blocks, with start (ids before the block), and the tables that they share."""
+    """The coded blocks, with start (ids before the block), and the tables that they share, as read from their file."""
     kind = Encoder.of(path).kind
     blocks = materialize(token_blocks(docs, path, end))
     tables = Tables(*frequencies(blocks), bits)
@@ -292,7 +316,18 @@ def encode(docs: DataFrame, path: str, end: int = 0, bits: int = BITS) -> tuple[
         starts.append((part, at))
         at += n
     parts = blocks.sparkSession.createDataFrame(starts, "part int, _start long")
-    return materialize(coded.join(parts, "part").withColumn("start", F.col("_start") + F.col("before")).drop("_start")), tables
+    return materialize(coded.join(parts, "part").withColumn("start", F.col("_start") + F.col("before")).drop("_start")), read_tables(write_tables(blocks.sparkSession, tables))
+
+
+def write_tables(spark: SparkSession, tables: Tables) -> str:
+    """Writes the tables as a file of their own to the shared folder: its path."""
+    path = shared_dir(spark)
+    spark.createDataFrame([(tables.packed(),)], "tables binary").coalesce(1).write.parquet(path)
+    return path
+
+
+def read_tables(path: str) -> Tables:
+    return Tables.unpacked(bytes(SparkSession.active().read.parquet(path).first()[0]))
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
