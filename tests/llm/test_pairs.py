@@ -238,3 +238,25 @@ def test_merging():
         assert [s for _, s, _ in out] == sorted(s for x in lists for s in x)
         for (_, a, _), (k, b, _) in zip(out, out[1:]):
             assert k == suffixes.shared_prefix(a, b, 0)
+
+
+def test_anchors_in_parts():
+    import numpy as np
+
+    from veilframe.llm import suffixes
+
+    rng = np.random.default_rng(6)
+    raw = rng.integers(97, 99, 6000).astype(np.uint8)
+    raw[4000:5000] = raw[500:1500]
+    at = np.array([0, 3, 10, 900, 900, 4800, 6000])
+
+    def starts(most):
+        doc, a, lo, hi, h, w = suffixes.anchors(raw, at, 40, 8, most)
+        assert (w == suffixes.Hashes(raw).of(at[doc] + lo, at[doc] + hi + 40)).all()
+        rows = list(zip(doc.tolist(), a.tolist(), lo.tolist(), hi.tolist(), h.tolist()))
+        return sorted((d, s, x, k) for d, x, i, j, k in rows for s in range(i, j + 1))
+
+    whole = starts(1 << 20)
+    assert len(whole) == sum(max(0, n - 39) for n in np.diff(at).tolist())
+    for most in (40, 41, 100, 777, 5999):
+        assert starts(most) == whole

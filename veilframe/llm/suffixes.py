@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 from .common import forget, materialize, shared_dir, slices, table, tidy
 
 LENGTH, GRAM, STARTS = 400, 64, 8
-#: Suffixes in a front-coded block, blocks in a range (about), most limits that come to the driver.
-CODED, RANGE, LIMITS = 256, 192, 20_000
+#: Suffixes in a front-coded block, blocks in a range (about), most limits that come to the driver,
+#: and bytes whose anchors are found at once (fewer than 2^28, as places are packed beside hashes).
+CODED, RANGE, LIMITS, PART = 256, 192, 20_000, 1 << 24
 
 _rng = np.random.default_rng(8_080)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -85,18 +86,25 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def anchors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM, most: int = PART) -> tuple[np.ndarray, ...]:
     """document, place of the anchor, first and last start of the strings that it stands for (all within the document), hash of
-    the anchor, hash of all bytes of the strings."""
+    the anchor, hash of all bytes of the strings. More than `most` bytes are taken in parts that share length - 1 bytes, so each string
+    is in one of them; an anchor's strings may so be in two rows."""
     none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
     if len(raw) < length:
         return none
+    if len(raw) > (most := max(most, length)):
+        found = []
+        for p in range(0, len(raw) - length + 1, most - length + 1):
+            here = np.clip(at - p, 0, min(most, len(raw) - p))
+            doc, a, lo, hi, h, w = anchors(raw[p : p + most], here, length, gram, most)
+            moved = p + here[doc] - at[doc]
+            found.append((doc, a + moved, lo + moved, hi + moved, h, w))
+        return tuple(np.concatenate(x) for x in zip(*found))
     h = Hashes(raw)
     begin = np.arange(len(raw) - gram + 1)
     grams = h.of(begin, begin + gram)
-    least = grams & ~np.uint64(0xFFFFFFF) | begin.astype(np.uint64) if len(raw) < 1 << 28 else None
-    if least is None:
-        raise ValueError("a slice of texts is too long")
+    least = grams & ~np.uint64(0xFFFFFFF) | begin.astype(np.uint64)
     wide, size = length - gram + 1, 1
     while size * 2 <= wide:
         least = np.minimum(least[:-size], least[size:])
