@@ -188,6 +188,16 @@ def name_groups(spark, sf_dir):
     return grouping.dictionary(names.union(more), ["person"]).select("id", "variant_no", "variant")
 
 
+def supplier_pairs(spark, sf_dir):
+    items = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("id"), F.col("s_name").alias("norm"))
+    return grouping.similar_pairs(items, 85).select("a", "b", F.round("score", 6).alias("score"))
+
+
+def supplier_name_groups(spark, sf_dir):
+    names = _table(spark, sf_dir, "supplier").select(F.lit("person").alias("category"), F.col("s_name").alias("surface"), F.col("s_suppkey").cast("bigint").alias("ord"))
+    return grouping.dictionary(names, ["person"]).select("id", "variant_no", "variant")
+
+
 def _rules(spark) -> DataFrame:
     return spark.createDataFrame(list(RULES), LONG)
 
@@ -305,7 +315,7 @@ def queries() -> dict:
     for f in (
         span_offsets, resolve_overlaps, interval_anti_join, mentions_distinct, found_counts, entity_ids, pseudonymize_counts, normalized, similar_pairs, number_groups, name_groups, pseudonymize_documents,
         pseudonymize_conversations, replacement_counts, hyphen_join, tex_extract, md_to_typst, fake_format, typst_variables, possible_variants, context_boost, bib_prose, detect_all,
-        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts,
+        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups,
     ):
         out[f.__name__] = f
     return out
