@@ -37,17 +37,22 @@ def test_tokens(spark, docs):
     from veilframe.llm import rans
 
     rows, df = docs
+    more = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n<|endoftext|> y", "end. it's. we'll, ... don't!) (a)... \u0130. \u0250; 3. 4,5", "no\u2028. \u00aa, \u4e2d. a.b.c. 'tis' 's. x's."]
+    rows = [*rows, *[(20_000 + k, t, *[None] * 5) for k, t in enumerate(more)]]
+    df = spark.createDataFrame(rows, DOCS)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    want, start = [], 0
-    for doc_id, text in sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
-        ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
-        want.append((doc_id, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
-        start += len(ids)
-    coded, tables = rans.encode(df, path)
-    assert [tuple(r) for r in rans.checksums(coded, tables).orderBy("start").collect()] == want
-    assert [len(r.ids) // 4 for r in rans.decode(coded, tables).orderBy("start").collect()] == [w[2] for w in want]
+    for plain in (False, True):
+        tok = Tokenizer.from_file(path)
+        if plain:
+            tok.encode_special_tokens = True
+        want, start = [], 0
+        for doc_id, text in sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+            ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
+            want.append((doc_id, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+            start += len(ids)
+        coded, tables = rans.encode(df, path, plain=plain)
+        assert [tuple(r) for r in rans.checksums(coded, tables).orderBy("start").collect()] == want
+        assert [len(r.ids) // 4 for r in rans.decode(coded, tables).orderBy("start").collect()] == [w[2] for w in want]
     coded, tables = rans.encode(df.limit(0), path)
     assert rans.checksums(coded, tables).count() == 0
 

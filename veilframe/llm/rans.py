@@ -1,7 +1,7 @@
 """Token ids in blocks of a static range asymmetric numeral system (rANS).
 
 Format: a table of blocks in ascending order of document ids. A block holds the ids of neighbouring documents, whole documents
-only, as one self-contained byte string: a header, checkpoints, and the 32-bit words of LANES interleaved coders that share
+only, as one byte string: a header, checkpoints, and the 32-bit words of LANES interleaved coders that share
 one static frequency table. Token i belongs to lane i mod LANES; a step codes one token of each lane. A checkpoint stores the
 states and the place in the words every STEPS steps, so that parts of a block can be decoded independently. CRC-32 sums
 guard the words (before decoding) and the ids (after). Beside the payload a block names its documents, their lengths and the number of
@@ -15,9 +15,11 @@ meet as rows of at most the vocabulary's size) and coded where they lie. A task
 longer document. The number of ids before a partition is a sum over one row per partition.
 
 Words are cached: a text is cut before single spaces and newlines, where the tokenizer's own cut always is, and only pieces that the
-worker hasn't met go to the tokenizer; texts with two white-space characters in a row go to it whole.
+worker hasn't met go to the tokenizer, without the punctuation at their end, which is a piece of its own; texts with two white-space
+characters in a row go to it whole, as do texts with a string of a special token.
 
-Cases: a null or empty text has the end id alone; null ids come first; documents with equal ids are ordered by text; an empty
+Cases: a string of a special token within a text becomes that token, as the tokenizers library does on its own (`plain`: it is
+ordinary text); a null or empty text has the end id alone; null ids come first; documents with equal ids are ordered by text; an empty
 table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_dir, slices, table
 
 MAGIC, TABLE = b"VRANS2", b"VRANST"
-BITS, LANES, STEPS, BLOCK = 18, 512, 256, 1 << 18
+BITS, LANES, STEPS, BLOCK = 18, 1024, 256, 1 << 19
 LOW = np.uint64(1 << 31)
 HEADER = struct.Struct("<6sBIIIIIII")  # magic, bits, lanes, steps between checkpoints, ids, words, crc of words, crc of ids, crc of the table
 TABLE_HEADER = struct.Struct("<6sBII")  # magic, bits, ids, crc of ids and frequencies
@@ -154,95 +156,119 @@ def decode_block(data: bytes, t: Tables, first: int = 0, last: int | None = None
 #: A piece with white space (of any script) at its end, behind its first character, or first but for space and newline.
 _S = r"[\s\pZ\x0b\x1c-\x1f\x85]"
 ODD = rf"(?s)^.{_S}|{_S}$|^[\t\r\f\x0b\x1c-\x1f\x85\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"
+#: A Latin letter and punctuation from there to the end: the tokenizer always cuts between them and nowhere in the punctuation.
+TAIL = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-&(-/:-@\[-`{-~]+)$"
 
 
 class Encoder:
     """Texts to bytes of little-endian ids, by a tokenizers file; a worker keeps one for all its tasks.
 
-    Texts are cut before every space and newline. Between two white-space characters that isn't where the tokenizer cuts, so texts
-    in which such a pair is seen go to it whole; all others are put together from their distinct pieces."""
+    Texts are cut before every space and newline, and those pieces before the punctuation at their end. Between two white-space
+    characters the tokenizer cuts elsewhere, so texts in which such a pair is seen go to it whole; all others are put together from
+    their distinct parts. Parts and their ids are Arrow arrays, of at most 2 * MOST parts between batches."""
 
     MOST = 300_000
-    kept: dict[str, "Encoder"] = {}
+    kept: dict[tuple[str, bool], "Encoder"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
-        self.path, self.tok = path, Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.newline = self._whole("\n")
+        self.parts, self.ids = pa.array([""], pa.large_string()), pa.array([b""], pa.large_binary())
+        self.used = np.ones(1, bool)
+        self.newline = self._of("\n")
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
+    def of(cls, path: str, plain: bool = False) -> "Encoder":
+        if (path, plain) not in cls.kept:
+            cls.kept[path, plain] = cls(path, plain)
+        return cls.kept[path, plain]
 
-    def _ids(self, text: str) -> np.ndarray:
+    def _of(self, text: str) -> np.ndarray:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _whole(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of pieces without white space but at their beginning: many at a time, a newline before each, which the tokenizer
-        always keeps apart."""
-        new, mark, width = self.new, np.frombuffer(self.newline, self.kind), self.kind.itemsize
-        for i in range(0, len(pieces), 500):
-            some = pieces[i : i + 500]
-            ids = self._ids("".join([p if p[0] == "\n" else "\n" + p for p in some]))
-            begins = (np.flatnonzero(ids == mark[0]) * width).tolist()
-            if len(mark) != 1 or len(begins) != len(some):
-                new.update((p, self._whole(p)) for p in some)
-                continue
-            raw = ids.tobytes()
-            new.update(zip(some, [raw[a if p[0] == "\n" else a + width : b] for p, a, b in zip(some, begins, [*begins[1:], len(raw)])]))
+    def _one_by_one(self, parts: pa.Array) -> pa.Array:
+        return pa.array([self._of(x).tobytes() for x in parts.to_pylist()], pa.large_binary())
+
+    def _together(self, parts: pa.Array) -> pa.Array:
+        """Parts without white space but at their beginning, many at a time, a newline before each, which the tokenizer always keeps apart."""
+        led, large = pc.starts_with(parts, "\n").to_numpy(zero_copy_only=False), pa.large_string()
+        raw, at = _joined(pc.if_else(pa.array(led), parts, pc.binary_join_element_wise(pa.scalar("", large), parts, pa.scalar("\n", large))))
+        ids, begins, n = [], [], 0
+        for i in range(0, len(parts), 500):
+            j = min(i + 500, len(parts))
+            got = self._of(str(raw[at[i] : at[j]], "utf-8"))
+            begin = np.flatnonzero(got == self.newline[0])
+            if len(self.newline) != 1 or len(begin) != j - i:
+                each = [np.concatenate([self.newline[: not led[k]], self._of(parts[k].as_py())]) for k in range(i, j)]
+                got, begin = np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
+            ids.append(got)
+            begins.append(begin + n)
+            n += len(got)
+        ids, begins = np.concatenate(ids), np.concatenate(begins)
+        keep = np.ones(n, bool)
+        keep[begins[~led]] = False
+        ends = np.concatenate([[0], np.cumsum(np.diff(np.append(begins, n)) - ~led)]) * self.kind.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids[keep])])
+
+    def _known(self, parts: pa.Array) -> pa.Array:
+        """Ids of different parts; those not met before are learned."""
+        at = pc.index_in(parts, self.parts)
+        new = parts.filter(at.is_null())
+        self.used[at.drop_null().to_numpy()] = True
+        if len(new):
+            odd = pc.or_(pc.match_substring_regex(new, ODD), pc.is_in(new, pa.array([" ", "\n"], pa.large_string())))
+            strange, plain = new.filter(odd), new.filter(pc.invert(odd))
+            learned = [f(x) for f, x in ((self._one_by_one, strange), (self._together, plain)) if len(x)]
+            self.parts, self.ids = pa.concat_arrays([self.parts, strange, plain]), pa.concat_arrays([self.ids, *learned])
+            self.used = np.concatenate([self.used, np.ones(len(new), bool)])
+            at = pc.index_in(parts, self.parts)
+        out = self.ids.take(at)
+        if len(self.parts) > 2 * self.MOST:  # what the last batches used stays, if it isn't too much
+            stay = self.used if self.used.sum() <= self.MOST else np.arange(len(self.used)) < 1
+            self.parts, self.ids = self.parts.filter(pa.array(stay)), self.ids.filter(pa.array(stay))
+            self.used = np.arange(int(stay.sum())) < 1
+        return out
 
     def batch(self, texts: pa.Array) -> list[bytes]:
-        if len(self.new) > self.MOST:
-            self.old, self.new = self.new, {"": b""}
+        if not len(texts):
+            return []
         texts = texts.cast(pa.large_string())
-        cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x01 "), "\n", "\x01\n")
-        lists = pc.split_pattern(cut, "\x01")
-        del cut
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\x01 "), "\n", "\x01\n"), "\x01")
         coded = pc.dictionary_encode(lists.values)
-        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        pieces, at, first = coded.dictionary, coded.indices, lists.offsets.to_numpy()
+        del lists, coded
+        cut = pc.split_pattern(pc.replace_substring_regex(pieces, TAIL, "\\1\x01\\2"), "\x01", max_splits=1)
+        parts = pc.dictionary_encode(cut.values)
+        data, ends = _joined(self._known(parts.dictionary).take(parts.indices))
+        values = pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(ends[cut.offsets.to_numpy()].astype(np.int64)), pa.py_buffer(data)])
         # 1: white space alone, which only may end a text; 2: white space at an end where the tokenizer may cut elsewhere
-        alone = pc.is_in(coded.dictionary, pa.array([" ", "\n"], pa.large_string())).to_numpy(zero_copy_only=False)
-        other = pc.match_substring_regex(coded.dictionary, ODD).to_numpy(zero_copy_only=False)
-        get = self.new.get
-        known = list(map(get, distinct))
-        if None in known:
-            old, plain = self.old, []
-            for k in [k for k, x in enumerate(known) if x is None]:
-                p = distinct[k]
-                if p in old:
-                    self.new[p] = old[p]
-                elif alone[k] or other[k]:
-                    self.new[p] = self._whole(p)
-                else:
-                    plain.append(p)
-            self._learn(plain)
-            known = list(map(get, distinct))
-        values = pa.array(known, pa.large_binary())
-        first = lists.offsets.to_numpy()
-        taken = pc.take(values, coded.indices)
-        data, ends = memoryview(taken.buffers()[2] or b""), np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[first] if len(taken) else np.zeros(len(first), np.int64)
-        odd = np.where(alone, 1, np.where(other, 2, 0)).astype(np.int8)[at]
+        alone = pc.is_in(pieces, pa.array([" ", "\n"], pa.large_string())).to_numpy(zero_copy_only=False)
+        other = pc.match_substring_regex(pieces, ODD).to_numpy(zero_copy_only=False)
+        odd = np.where(alone, 1, np.where(other, 2, 0)).astype(np.int8)[at.to_numpy()]
         odd[first[1:] - 1] &= 2
-        whole = np.add.reduceat(odd, first[:-1], dtype=np.int64) > 0 if len(texts) else np.zeros(0, bool)
-        whole |= pc.match_substring(texts, "\x01").to_numpy(zero_copy_only=False)
-        return [self._whole(texts[i].as_py()) if w else bytes(data[x:y]) for i, (w, x, y) in enumerate(zip(whole.tolist(), ends.tolist(), ends[1:].tolist()))]
+        whole = np.add.reduceat(odd, first[:-1], dtype=np.int64) > 0
+        for mark in ("\x01", *self.special):
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        data, ends = _joined(values.take(at))
+        ends = ends[first].tolist()
+        return [self._of(texts[i].as_py()).tobytes() if w else bytes(data[x:y]) for i, (w, x, y) in enumerate(zip(whole.tolist(), ends, ends[1:]))]
+
+
+def _joined(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of an array with large offsets and no nulls, and where its values begin (and the last ends)."""
+    at = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset) if len(values) else np.zeros(1, np.int64)
+    return memoryview(values.buffers()[2] or b"")[at[0] : at[-1]], at - at[0]
 
 
 IDS = "part int, before long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, ids binary, counts binary"
 SCHEMA = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
-def token_blocks(docs: DataFrame, path: str, end: int = 0, block: int = BLOCK) -> DataFrame:
+def token_blocks(docs: DataFrame, path: str, end: int = 0, block: int = BLOCK, plain: bool = False) -> DataFrame:
     """Documents in ascending order of ids, tokenized, in blocks of plain ids; part and before (ids of the part before the block) tell the order."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -252,7 +278,7 @@ def token_blocks(docs: DataFrame, path: str, end: int = 0, block: int = BLOCK) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before, enc = TaskContext.get().partitionId(), 0, Encoder.of(path)
+        part, before, enc = TaskContext.get().partitionId(), 0, Encoder.of(path, plain)
         names, lengths, held, n = [], [], [], 0
         tail, counts = np.asarray([end], enc.kind).tobytes(), np.zeros(enc.tok.get_vocab_size(), np.int64)
 
@@ -297,10 +323,10 @@ def frequencies(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 CODED = "part int, before long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
-def encode(docs: DataFrame, path: str, end: int = 0, bits: int = BITS) -> tuple[DataFrame, Tables]:
+def encode(docs: DataFrame, path: str, end: int = 0, bits: int = BITS, plain: bool = False) -> tuple[DataFrame, Tables]:
     """The coded blocks, with start (ids before the block), and the tables that they share, as read from their file."""
-    kind = Encoder.of(path).kind
-    blocks = materialize(token_blocks(docs, path, end))
+    kind = Encoder.of(path, plain).kind
+    blocks = materialize(token_blocks(docs, path, end, plain=plain))
     tables = Tables(*frequencies(blocks), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
