@@ -1,9 +1,11 @@
 """URL rules and mixing against plain Python, and the registered queries against their SQL."""
 
+import hashlib
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -79,11 +81,46 @@ def test_mix(spark):
         for r in got:
             largest[r.source] = max(largest[r.source], r["size"])
         assert all(abs(taken[s] - target[s]) <= largest[s] for s in order)
+    # positions by the plain definition: documents of a source in the order of a digest, each copy's middle inverted by bisection
+    places, at = {s: k for k, s in enumerate(order)}, Counter()
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    turns = sorted((digest("" if d is None else str(d)), len(WORD.findall(t or "")), digest(t or ""), repr((d, s)), d, s) for d, t, s in rows)
+    want = []
+    for _, size, _, _, d, s in turns:
+        m, at[s] = at[s] + size / 2, at[s] + size
+        values = curriculum.SCHEDULES[places[s] % 3]
+        want.append((d, s, size, [inverse(x / target[s], values) for x in (m, m + sizes[s], m + 2 * sizes[s]) if x < target[s] - 1e-9]))
+    key = lambda x: repr((x[0], x[1], x[2], [round(p, 6) for p in x[3]]))
+    assert sorted(map(key, want)) == sorted(key((r.doc_id, r.source, r["size"], r.positions)) for r in got)
     out = curriculum.ordered(df)
     assert out.columns == df.columns and out.count() == sum(r.copies for r in got)
+    own = df.select("doc_id", "text", "source", F.lit("mine").alias("size"), F.lit("x").alias("copies"), F.lit(7).alias("_key"), F.lit(8).alias("_source"), F.lit(9).alias("key"), F.create_map(F.lit("a"), F.col("doc_id")).alias("_m"))
+    out = curriculum.ordered(own).collect()
+    assert {(r["size"], r.copies, r._key, r._source, r.key) for r in out} == {("mine", "x", 7, 8, 9)} and all(r._m == {"a": r.doc_id} for r in out)
+    least = {}
+    for d, s, _, p in want:
+        for x in p:
+            least.setdefault((d, s), []).append(x)
+    firsts = [min(least[r.doc_id, r.source]) for r in dict.fromkeys((r.doc_id, r.source) for r in out) for r in [next(x for x in out if (x.doc_id, x.source) == r)]]
+    assert all(a <= b + 1e-9 for a, b in zip(firsts, firsts[1:]))
+    assert Counter((r.doc_id, r.source) for r in out) == Counter({k: len(v) for k, v in least.items()})
     assert curriculum.mix(df.limit(0)).count() == 0 and curriculum.ordered(df.limit(0)).count() == 0
 
 
+def inverse(share, values):
+    """The time at which the integral of a schedule has reached a share of the whole, by bisection."""
+    n = len(values) - 1
+
+    def until(t):
+        return sum(max(0.0, min(1.0, t * n - k)) * (a + (b - a) * max(0.0, min(1.0, t * n - k)) / 2) for k, (a, b) in enumerate(zip(values, values[1:])))
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if until(mid) < share * until(1.0) else (lo, mid)
+    return lo
+
+
 def test_positions():
     from veilframe.llm import curriculum
 

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space between words, and a word, as Java and Python regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
@@ -61,7 +62,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, outlives a lost executor."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     with tidy(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,6 +74,27 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: a generator of one row, which the optimizer neither copies nor moves."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def packed(df: DataFrame, name: str = "_m") -> DataFrame:
+    """All columns as one struct, so that none can clash with an operator's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def unpacked(df: DataFrame, names: list[str], name: str = "_m") -> DataFrame:
+    return df.select(*[F.col(name)[c].alias(c) for c in names])
+
+
+def row_key(row: Column, kind: StructType) -> Column:
+    """128 bits that tell different rows (a struct) apart; equal rows have equal keys, however often a table is read."""
+    fields = [F.to_json(F.struct(row[f.name])) if "map<" in f.dataType.simpleString() else row[f.name] for f in kind.fields]
+    nulls = F.array(*[x.isNull() for x in fields])
+    return F.struct(F.xxhash64(nulls, *fields).alias("a"), F.xxhash64(F.lit(1), nulls, *fields).alias("b"))
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
