@@ -6,15 +6,18 @@ tables of one size holds only the digests that one document has and the other ha
 count is 1 or -1 and whose check fits its digest holds just that one; it is noted and taken out of its other cells,
 which may leave more such cells. If cells are left over, peeling failed and is tried again with larger tables.
 
-The fingerprint is the smallest table (BASE cells in a segment). When its difference can't be peeled, the digests are dealt into
-groups of about LOAD and each group has tables of its own, which double until its difference can be peeled. (After DOUBLINGS doublings
-the sets themselves are compared; two different digests would have to agree in all their hashes for that.)
+A fingerprint is the number of digests and one table, with as many cells in a segment as the document has paragraphs (the next power
+of two, LARGEST at most), and twice as many until the table can be peeled by itself. Tables of fewer cells are folds of it: cells whose places are equal in the lower bits add up. Two
+fingerprints are compared by them alone: first a fold of BASE cells in a segment is subtracted and peeled, which a few differences
+pass; then the largest that both have; then each table is peeled by itself, which gives the whole sets. Only where a document has
+too many paragraphs for LARGEST (some 150,000) and differs too much from the other, the number of differences is estimated, by the part of the
+difference's cells that are empty.
 
 The likeness of two documents is the Jaccard similarity of their sets of paragraphs, from the sizes and the recovered digests.
 
-Scale: tables are arrays in a row, work in them is bounded by a constant per paragraph, and only edits() shuffles: documents are
-dealt by ranges of doc_id, whose limits are approximate quantiles, sorted within them, and see their successor; the last of a range
-gets the first of the next from a join with one row per range.
+Scale: tables are arrays in a row; an item is looked at some 64 times, and for the cells of its 64th of the table; only edits() shuffles, texts once: documents are dealt by ranges of doc_id (limits are approximate quantiles, at most
+LIMITS of them, between which ids are cut evenly as often as needed), sorted within them, and see their successor; the first of a range goes
+to the range before too, told by a join with one row per range, which is broadcast while Spark's threshold allows it.
 
 Cases: null is the empty text, which has no paragraphs; two documents without paragraphs have likeness 1; of rows with equal ids the one with the larger
 text hash comes first; null ids come last; a single document is its own successor; an empty table gives an empty result; other columns are ignored."""
@@ -25,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let, table, text_of
+from .common import let, materialize, once, table, text_of
 
-BASE, LOAD, FIRST, DOUBLINGS = 4, 20, 16, 7
-#: Documents in a range of ids, about; most ranges.
-RANGE, RANGES = 2000, 10_000
-CELLS = "array<struct<n:bigint,k:bigint,c:bigint>>"
+#: Cells in a segment of the smallest and the largest table; rounds of peeling (each takes all that is pure, so few are needed);
+#: how often a fingerprint's table is doubled (two digests that share all three cells part with 7 / 8 each time).
+BASE, LARGEST, ROUNDS, DOUBLINGS = 4, 1 << 16, 100, 4
+#: Documents in a range of ids, about; most limits that come to the driver.
+RANGE, LIMITS = 2000, 10_000
+FOUND = "array<struct<k:bigint,n:bigint>>"
 
 
 def digests(text: Column) -> Column:
@@ -38,135 +43,194 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, "\n", -1), lambda p: p.rlike(r"[^\x20\x09-\x0D]")), lambda p: F.xxhash64(p)))
 
 
-def check(k: Column, level: Column) -> Column:
-    return F.xxhash64(k, level)
+def check(k: Column) -> Column:
+    return F.xxhash64(k, F.lit(0))
 
 
 def _slot(c: Column, segment: Column, size: Column) -> Column:
-    """Place in a segment of a digest with check hash c."""
-    return F.when(segment == 0, F.pmod(c, size)).when(segment == 1, F.pmod(F.shiftright(c, 21), size)).otherwise(F.pmod(F.shiftright(c, 42), size))
+    """Place in a segment of a digest with check hash c; size is a power of two."""
+    return F.call_function("shiftrightunsigned", c, 21 * segment).bitwiseAND(size.cast("bigint") - 1).cast("int")
 
 
-def cells(items: Column, size: Column, level: Column) -> Column:
-    """The table of some digests: 3 * size cells."""
-    empty = F.struct(*[F.lit(0).cast("bigint").alias(x) for x in "nkc"])
-    add = lambda acc, x: F.struct((acc["n"] + 1).alias("n"), acc["k"].bitwiseXOR(x["k"]).alias("k"), acc["c"].bitwiseXOR(x["c"]).alias("c"))
-    hashed = F.transform(items, lambda k: F.struct(k.alias("k"), check(k, level).alias("c")))
+def _empty() -> Column:
+    return F.struct(*[F.lit(0).cast("bigint").alias(x) for x in "nkc"])
 
-    def of(known: Column) -> Column:
-        segment = lambda s: let(
-            F.transform(known, lambda x: F.struct(_slot(x["c"], F.lit(s), size).alias("at"), x["k"].alias("k"), x["c"].alias("c"))),
-            lambda placed: F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(F.filter(placed, lambda x: x["at"] == i), empty, add)),
-        )
-        return F.concat(*[segment(s) for s in range(3)])
 
-    return let(hashed, of)
+def _cell(n: Column, a: Column, b: Column) -> Column:
+    return F.struct(n.alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["c"].bitwiseXOR(b["c"]).alias("c"))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return _cell(a["n"] + b["n"], a, b)
+
+
+def _filled(placed: Column, low: Column, size: Column) -> Column:
+    """Cells low .. low + size - 1 of items with their place `at`."""
+    return F.transform(F.sequence(low, low + size - 1), lambda i: F.aggregate(F.filter(placed, lambda x: x["at"] == i), _empty(), _add))
+
+
+def cells(items: Column, size: Column) -> Column:
+    """The table of some items (k, n: how often it counts): 3 * size cells. In a large one items are split 64 ways first."""
+
+    def segment(s: Column) -> Column:
+        placed = F.transform(items, lambda x: F.struct(_slot(check(x["k"]), s, size).alias("at"), x["k"].alias("k"), x["n"].alias("n"), check(x["k"]).alias("c")))
+        width = F.shiftright(size, 6)
+        part = lambda p, g: let(F.filter(p, lambda x: (x["at"] >= g * width) & (x["at"] < (g + 1) * width)), lambda some: _filled(some, g * width, width))
+        return let(placed, lambda p: F.when(size <= 64, _filled(p, F.lit(0), size)).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda g: part(p, g)))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), segment))
+
+
+def folded(table: Column, size: Column, to: Column) -> Column:
+    """A table of `size` cells in a segment as one of `to`: cells whose lower bits are equal add up."""
+
+    def cell(i: Column) -> Column:
+        begin = (i / to).cast("int") * size + i % to
+        return F.aggregate(F.sequence(F.lit(0), (size / to).cast("int") - 1), _empty(), lambda acc, m: _add(acc, F.get(table, begin + m * to)))
+
+    return F.when(size == to, table).otherwise(F.transform(F.sequence(F.lit(0), 3 * to - 1), cell))
 
 
 def minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
+    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x, y))
 
 
-def peel(difference: Column, size: Column, level: Column) -> Column:
+def peel(difference: Column, size: Column) -> Column:
     """struct<cells, found: array<struct<k,n>>, live> of a difference; it has been peeled if all cells are empty. n is 1 for
     digests of the first table, -1 for those of the second."""
-    start = F.struct(difference.alias("cells"), F.array().cast("array<struct<k:bigint,n:bigint>>").alias("found"), F.lit(True).alias("live"))
+    start = F.struct(difference.alias("cells"), F.array().cast(FOUND).alias("found"), F.lit(True).alias("live"))
 
     def rounds(acc: Column, _) -> Column:
-        pure = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (check(c["k"], level) == c["c"]))
+        pure = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (check(c["k"]) == c["c"]))
         new = F.array_distinct(F.transform(pure, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
 
         def taken(found: Column) -> Column:
-            known = F.transform(found, lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"), check(x["k"], level).alias("c")))
-            without = lambda c, x: F.struct((c["n"] - x["n"]).alias("n"), c["k"].bitwiseXOR(x["k"]).alias("k"), c["c"].bitwiseXOR(x["c"]).alias("c"))
-            left = let(known, lambda xs: F.transform(acc["cells"], lambda c, i: F.aggregate(F.filter(xs, lambda x: _slot(x["c"], F.floor(i / size), size) == i % size), c, without)))
-            return F.when(F.size(found) == 0, F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(False).alias("live"))).otherwise(
-                F.struct(left.alias("cells"), F.concat(acc["found"], found).alias("found"), F.lit(True).alias("live"))
-            )
+            left = F.struct(minus(acc["cells"], cells(found, size)).alias("cells"), F.concat(acc["found"], found).alias("found"), F.lit(True).alias("live"))
+            return F.when(F.size(found) == 0, F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(False).alias("live"))).otherwise(left)
 
         return F.when(acc["live"], let(new, taken)).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), 3 * size), start, rounds)  # a round that finds nothing is the last that does anything
+    return F.aggregate(F.sequence(F.lit(1), F.least(3 * size, F.lit(ROUNDS))), start, rounds)  # a round that finds nothing is the last that does anything
 
 
 def _done(peeled: Column) -> Column:
-    return F.forall(peeled["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0))
+    return F.size(_all_empty(peeled["cells"])) == F.size(peeled["cells"])
 
 
-def _group(a: Column, b: Column) -> Column:
-    """array<struct<k,n>> by which two small sets differ: tables twice as large until they can be peeled."""
-    start = F.struct(F.array().cast("array<struct<k:bigint,n:bigint>>").alias("found"), F.lit(False).alias("ok"))
+def _alone(f: Column) -> Column:
+    """struct<keys, ok> of a fingerprint: the digests that its table peels to."""
+    return let(peel(f["cells"], f["size"]), lambda p: F.struct(F.transform(p["found"], lambda x: x["k"]).alias("keys"), _done(p).alias("ok")))
 
-    def attempt(acc: Column, level: Column) -> Column:
-        size = (FIRST * F.pow(F.lit(2), level - 1)).cast("int")
-        tried = let(size, lambda s: let(peel(minus(cells(a, s, level), cells(b, s, level)), s, level), lambda p: F.struct(p["found"].alias("found"), _done(p).alias("ok"))))
-        return F.when(acc["ok"], acc).otherwise(tried)
 
-    def last(r: Column) -> Column:
-        of = lambda x, y, n: F.transform(F.array_except(x, y), lambda k: F.struct(k.alias("k"), F.lit(n).cast("bigint").alias("n")))
-        return F.when(r["ok"], r["found"]).otherwise(F.concat(of(a, b, 1), of(b, a, -1)))
+def fingerprints(rows: DataFrame, sets: list[Column]) -> DataFrame:
+    """rows with _f: for each array of digests, struct<f: the fingerprint (n, size, cells), set: struct<keys, ok>, what it peels to>.
 
-    return let(F.aggregate(F.sequence(F.lit(1), F.lit(DOUBLINGS)), start, attempt), last)
+    Its table is twice as large until it can be peeled by itself."""
+    rows = once(rows, "_s", F.array(*[F.transform(x, lambda k: F.struct(k.alias("k"), F.lit(1).cast("bigint").alias("n"))) for x in sets]))
 
+    def made(items: Column, size: Column) -> Column:
+        f = F.struct(F.size(items).alias("n"), size.alias("size"), cells(items, size).alias("cells"))
+        return let(f, lambda f: F.struct(f.alias("f"), _alone(f).alias("set")))
 
-def differing(a: Column, b: Column, table_a: Column, table_b: Column) -> Column:
-    """array<struct<k,n>>: digests that one of two documents has; their sets and their smallest tables are given."""
-    zero = F.lit(0)
+    def first(n: Column) -> Column:
+        return F.least(F.lit(LARGEST), F.greatest(F.lit(BASE), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1))))).cast("int")))
 
-    def large(_) -> Column:
-        groups = F.greatest(F.ceil((F.size(a) + F.size(b)) / LOAD), F.lit(1)).cast("int")
-        part = lambda x, g, i: F.filter(x, lambda k: F.pmod(k, g) == i)
-        return let(groups, lambda g: F.flatten(F.transform(F.sequence(zero, g - 1), lambda i: let(F.struct(part(a, g, i).alias("a"), part(b, g, i).alias("b")), lambda x: _group(x["a"], x["b"])))))
+    rows = once(rows, "_f", F.transform("_s", lambda items: let(first(F.size(items)), lambda size: made(items, size))))
+    for _ in range(DOUBLINGS):
+        more = lambda items, x: F.when(x["set"]["ok"] | (x["f"]["size"] >= LARGEST), x).otherwise(let(x["f"]["size"] * 2, lambda size: made(items, size)))
+        rows = once(rows, "_g", F.zip_with("_s", "_f", more)).drop("_f").withColumnRenamed("_g", "_f")
+    return rows.drop("_s")
 
-    return let(peel(minus(table_a, table_b), F.lit(BASE), zero), lambda p: F.when(_done(p), p["found"]).otherwise(large(p)))
 
+def _all_empty(table: Column) -> Column:
+    return F.filter(table, lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0))
 
-def base_table(items: Column) -> Column:
-    return cells(items, F.lit(BASE), F.lit(0))
 
+def differing(rows: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """rows of fingerprints() with _d: for each pair of them struct<found: array<struct<k,n>>, ok, n: double>, the digests that one of two
+    documents has, if they can be recovered, and how many there are (estimated if not). Each try is a step of its own."""
+    places = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i, j in pairs])
+    fingerprint = lambda i: F.get("_f", i)["f"]
+    least = lambda a, b: F.least(a["size"], b["size"])
+    apart = lambda a, b: F.abs(a["n"] - b["n"])
 
-def written(t: Column) -> Column:
-    """A table as a string: count, digest and check of each cell in hexadecimal."""
-    return F.lower(F.array_join(F.transform(t, lambda c: F.concat_ws(".", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["c"]))), "-"))
+    def difference(a: Column, b: Column, size: Column) -> Column:
+        return minus(*(folded(f["cells"], f["size"], size) for f in (a, b)))
+
+    def attempt(p: Column, size_of) -> Column:
+        a, b = fingerprint(p["a"]), fingerprint(p["b"])
+        tried = let(size_of(a, b), lambda size: let(peel(difference(a, b, size), size), lambda r: F.struct(r["found"].alias("found"), _done(r).alias("ok"))))
+        return F.when(apart(a, b) <= 2.5 * size_of(a, b), tried).otherwise(F.struct(F.array().cast(FOUND).alias("found"), F.lit(False).alias("ok")))  # more don't fit
+
+    def whole(p: Column) -> Column:
+        x, y = F.get("_f", p["a"])["set"], F.get("_f", p["b"])["set"]
+        less = lambda p, q, n: F.transform(F.array_except(p, q), lambda k: F.struct(k.alias("k"), F.lit(n).cast("bigint").alias("n")))
+        return F.struct(F.concat(less(x["keys"], y["keys"], 1), less(y["keys"], x["keys"], -1)).alias("found"), (x["ok"] & y["ok"]).alias("ok"))
+
+    def counted(p: Column, r: Column) -> Column:
+        a, b = fingerprint(p["a"]), fingerprint(p["b"])
+        size = least(a, b)
+        empty = F.size(_all_empty(difference(a, b, size)))
+        about = F.when(empty > 0, -size.cast("double") * F.log(empty / (3.0 * size))).otherwise((a["n"] + b["n"]).cast("double"))
+        n = F.when(r["ok"], F.size(r["found"]).cast("double")).otherwise(F.least((a["n"] + b["n"]).cast("double"), F.greatest(apart(a, b).cast("double"), about)))
+        return F.struct(r["found"].alias("found"), r["ok"].alias("ok"), n.alias("n"))
+
+    out = once(rows, "_d", F.transform(places, lambda p: attempt(p, lambda a, b: F.lit(BASE))))
+    for again in (lambda p: attempt(p, least), whole):
+        out = once(out, "_e", F.zip_with(places, "_d", lambda p, r: F.when(r["ok"], r).otherwise(again(p)))).drop("_d").withColumnRenamed("_e", "_d")  # noqa: B023
+    return once(out, "_e", F.zip_with(places, "_d", counted)).drop("_d").withColumnRenamed("_e", "_d")
+
+
+def written(f: Column) -> Column:
+    """A fingerprint as a string: the number of digests, cells in a segment, and each cell's count, digest and check in hexadecimal (nothing for an empty one)."""
+    number = lambda x: F.lower(F.hex(x))
+    cell = lambda c: F.when((c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0), "").otherwise(F.concat_ws(".", *[number(c[x]) for x in "nkc"]))
+    return F.concat_ws("-", number(f["n"]), number(f["size"]), F.array_join(F.transform(f["cells"], cell), "-"))
 
 
 def likeness(n_a: Column, n_b: Column, n_different: Column) -> Column:
     return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a + n_b - n_different) / (n_a + n_b + n_different))
 
 
-def _ranges(docs: DataFrame) -> Column:
-    """The number of a row's range of ids, ascending; at most RANGES limits come to the driver."""
-    n = docs.count()
-    parts = max(1, min(RANGES, n // RANGE))
-    if parts == 1:
-        return F.lit(0)
-    limits = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] or []
-    limits = sorted(set(limits))
+def _ranges(docs: DataFrame, size: int) -> Column:
+    """The number of a row's range of ids, ascending; at most LIMITS limits come to the driver, more ranges are even parts between two of them."""
+    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    parts = max(1, min(LIMITS, n // size))
+    if low is None or n <= size:
+        return F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast("bigint")
+    limits = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
+    limits = sorted({low, high + 1, *(limits or [])})
+    more = max(1, n // (size * parts))
     width = max(1, int(len(limits) ** 0.5))
     groups = [limits[i : i + width] for i in range(0, len(limits), width)]
-    tops, inner = F.lit([g[0] for g in groups]).cast("array<bigint>"), F.array(*[F.lit(g).cast("array<bigint>") for g in groups])
-    below = lambda x: F.size(F.filter(x, lambda b: b < F.col("doc_id")))
-    top = F.greatest(below(tops) - 1, F.lit(0))
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(top * width + below(F.get(inner, top)))
+    tops, inner, every = F.lit([g[0] for g in groups]).cast("array<bigint>"), F.array(*[F.lit(g).cast("array<bigint>") for g in groups]), F.lit(limits).cast("array<bigint>")
+    up_to = lambda x: F.size(F.filter(x, lambda b: b <= F.col("doc_id")))
 
+    def numbered(k: Column) -> Column:  # ids from limit k on, below the next
+        begin, end = F.get(every, k).cast("double"), F.get(every, k + 1).cast("double")
+        even = F.floor((F.col("doc_id").cast("double") - begin) / (end - begin) * more)
+        return k.cast("bigint") * more + F.least(F.lit(more - 1), F.greatest(F.lit(0), even))
 
-def successors(docs: DataFrame) -> DataFrame:
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(let(up_to(tops) - 1, lambda top: let(top * width + up_to(F.get(inner, top)) - 1, numbered)))
+
+
+def successors(docs: DataFrame, size: int = RANGE) -> DataFrame:
     """doc_id, text, next_text: of the next document in descending order of ids, after the last the first."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), _ranges(docs).alias("_range"))
-    heads = rows.groupBy("_range").agg(F.max(F.struct("doc_id", "_h")).alias("k")).select(F.col("_range").alias("_of"), F.col("k.doc_id").alias("_id"), F.col("k._h").alias("_hash"))
-    texts = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))).groupBy("_of").agg(F.first("text").alias("_head"))
-    down = W.orderBy(F.desc("_of"))  # a row per range
-    after = heads.select("_of").withColumn("_after", F.coalesce(F.lead("_of").over(down), F.max("_of").over(W.partitionBy())))
-    after = after.join(texts.withColumnRenamed("_of", "_after"), "_after").select("_of", "_head")
-    seen = rows.withColumn("_next", F.lead("text").over(W.partitionBy("_range").orderBy(F.desc("doc_id"), F.desc("_h"))))
-    out = seen.join(after, (F.col("_range") == F.col("_of")) & F.col("_next").isNull(), "left")
-    return out.select("doc_id", "text", F.coalesce("_next", "_head", F.lit("")).alias("next_text"))
-
-
-def edits(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), _ranges(docs, size).alias("_range"))
+    heads = rows.groupBy("_range").agg(F.max(F.struct("doc_id", "_h")).alias("k"))
+    down = W.orderBy("_range")  # a row per range; the first of a range also goes to the range above it, that of the highest to the lowest
+    heads = materialize(heads.select(F.col("k.doc_id").alias("_id"), F.col("k._h").alias("_hash"), F.coalesce(F.lead("_range").over(down), F.min("_range").over(W.partitionBy())).alias("_to")))
+    lent = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))).select("doc_id", "text", "_h", F.col("_to").alias("_range"), F.lit(True).alias("_lent"))
+    every = rows.withColumn("_lent", F.lit(False)).unionByName(lent)
+    # what is lent to a range follows its own rows: the first of the range below, or the first of all
+    seen = every.withColumn("next_text", F.lead("text").over(W.partitionBy("_range").orderBy("_lent", F.desc("doc_id"), F.desc("_h"))))
+    return seen.where("NOT _lent").select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
+
+
+def edits(docs: DataFrame, size: int = RANGE) -> DataFrame:
     """doc_id, n_chars, text, edited, next_text: the last third of a text is replaced by the beginning of the next document."""
-    out = successors(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    out = successors(docs, size).withColumn("n_chars", F.length("text").cast("bigint"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), F.length("text") - third), F.col("next_text").substr(F.lit(1), third))
     return out.select("doc_id", "n_chars", "text", edited.alias("edited"), "next_text")
@@ -174,16 +238,12 @@ def edits(docs: DataFrame) -> DataFrame:
 
 def compare(rows: DataFrame) -> DataFrame:
     """rows with text, edited, next_text: their fingerprints and likenesses (text and edited, text and next)."""
-    sets = F.struct(*[digests(F.col(c)).alias(c) for c in ("text", "edited", "next_text")])
-
-    def tables(s: Column) -> Column:
-        return let(F.struct(*[base_table(s[c]).alias(c) for c in ("text", "edited", "next_text")]), lambda t: result(s, t))
-
-    def result(s: Column, t: Column) -> Column:
-        near = lambda c: likeness(F.size(s["text"]), F.size(s[c]), F.size(differing(s["text"], s[c], t["text"], t[c])))
-        return F.struct(written(t["text"]).alias("fingerprint"), written(t["edited"]).alias("edited_fingerprint"), near("edited").alias("near_edited"), near("next_text").alias("near_next"))
-
-    return rows.withColumn("_r", let(sets, tables))
+    names = rows.columns
+    rows = differing(fingerprints(rows, [digests(F.col(c)) for c in ("text", "edited", "next_text")]), [(0, 1), (0, 2)])
+    of = lambda i: F.get("_f", F.lit(i))["f"]
+    near = lambda i: likeness(of(0)["n"], of(i)["n"], F.get("_d", F.lit(i - 1))["n"])
+    out = F.struct(written(of(0)).alias("fingerprint"), written(of(1)).alias("edited_fingerprint"), near(1).alias("near_edited"), near(2).alias("near_next"))
+    return rows.select(*names, out.alias("_r"))
 
 
 def op7_iblt_fingerprints(spark, sf_dir: str) -> DataFrame:
