@@ -5,23 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let
+from .text import let, running
 
 SPAN = "struct<entity_type:string,start:int,end:int,score:double>"
 NONE = f"array<{SPAN}>"
 
 
 def places(text: Column, pattern: str) -> Column:
-    """array<struct<start, end>> of all matches: running sums over the gaps between them and the matches."""
+    """array<struct<start, end, m>> of all matches and what they match: running sums over the gaps between them and the matches."""
 
     def of(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(x["gaps"], i))
-            end = start + F.length(F.get(x["found"], i))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-        return F.when(F.size(x["found"]) == 0, zero["out"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), zero, step)["out"])
+        ends = let(F.transform(x["found"], lambda m, i: F.length(F.get(x["gaps"], i)) + F.length(m)), lambda e: running(e))
+        return let(ends, lambda e: F.transform(x["found"], lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("start"), F.get(e, i).alias("end"), m.alias("m"))))
 
     return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), of)
 
@@ -50,16 +45,38 @@ def disjoint(spans: Column, priority: list[str]) -> Column:
 
 
 def _greedy(spans: Column, clash, priority: list[str]) -> Column:
-    return F.aggregate(ordered(spans, priority), F.array().cast(NONE), lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    """Best first, each unless it clashes with one that was taken; result in that order. Only spans that hang together by overlaps can
+    clash, so each such group is settled by itself."""
+
+    def settled(some: Column) -> Column:
+        return F.when(F.size(some) == 1, some).otherwise(F.aggregate(ordered(some, priority), F.array().cast(NONE), lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.concat(acc, F.array(x)))))
+
+    def parted(x: Column) -> Column:  # spans by start, and the largest end until each
+        sorted_, reach = x["s"], x["reach"]
+        firsts = F.filter(F.sequence(F.lit(0), F.size(sorted_) - 1), lambda i: (i == 0) | (F.get(sorted_, i)["start"] >= F.get(reach, i - 1)))
+        return let(firsts, lambda f: F.flatten(F.transform(f, lambda i, k: let(F.slice(sorted_, i + 1, F.coalesce(F.get(f, k + 1), F.size(sorted_)) - i), settled))))
+
+    by_start = F.transform(F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s.alias("s")))), lambda k: k["s"])
+    reach = lambda s: let(F.transform(s, lambda x: x["end"]), lambda e: running(e, F.greatest))
+    parts = let(by_start, lambda s: let(F.struct(s.alias("s"), reach(s).alias("reach")), parted))
+    return let(spans, lambda x: F.when(F.size(x) < 2, x).otherwise(ordered(parts, priority)))
+
+
+def words_in(text: Column) -> Column:
+    """The words of a text with their places."""
+    return places(text, r"(?U)\w+")
 
 
-def boosted(text: Column, spans: Column, context: tuple[str, ...], by: float = 0.35, tokens: int = 5) -> Column:
-    """Scores raised (to 1 at most) where one of the words before a span contains a context word."""
+def boosted(words: Column, spans: Column, context: tuple[str, ...], by: float = 0.35, tokens: int = 5) -> Column:
+    """Scores raised (to 1 at most) where one of the words before a span contains a context word; words are words_in() its text."""
 
     def of(s: Column) -> Column:
-        before = F.filter(F.split(text.substr(F.lit(1), s["start"]), r"(?U)\W+", -1), lambda w: w != "")
-        last = let(before, lambda w: F.slice(w, F.greatest(F.size(w) - tokens + 1, F.lit(1)), tokens))
-        near = F.exists(last, lambda w: F.lower(w).rlike("|".join(context)))
+        # the words that begin before the span, by bisection
+        halve = lambda acc, _: let(F.floor((acc["low"] + acc["high"]) / 2).cast("int"), lambda mid: F.when(acc["low"] >= acc["high"], acc).when(F.get(words, mid)["start"] < s["start"], F.struct((mid + 1).alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), mid.alias("high"))))
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(words) + 1)).cast("int"))
+        n = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(words).alias("high")), halve)["low"]
+        last = lambda k: F.transform(F.slice(words, F.greatest(k - tokens + 1, F.lit(1)), F.least(F.lit(tokens), k)), lambda w: w["m"].substr(F.lit(1), s["start"] - w["start"]))
+        near = let(n, lambda k: F.exists(last(k), lambda w: F.lower(w).rlike("|".join(context))))
         return span(s["entity_type"], s["start"], s["end"], F.when(near, F.least(s["score"] + by, F.lit(1.0))).otherwise(s["score"]))
 
     return F.transform(spans, of)

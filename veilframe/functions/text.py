@@ -15,6 +15,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def running(values: Column, with_before=lambda x, y: x + y) -> Column:
+    """What each value of an array is together with all before it (their sum): rounds of doubled distance, n log n steps in all."""
+    rounds = F.ceil(F.log2(F.size(values))).cast("int")
+    step = lambda acc, r: let(F.call_function("shiftleft", F.lit(1), r), lambda far: F.transform(acc, lambda x, i: F.when(i < far, x).otherwise(with_before(x, F.get(acc, i - far)))))
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(F.sequence(F.lit(0), rounds - 1), values, step))
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
@@ -37,9 +44,8 @@ def hyphen_joined(text: Column) -> Column:
 
 def hyphen_cuts(text: Column) -> Column:
     """array<int>: places in the joined text where two characters were taken out, ascending: running sums of what stands between."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, p: let(acc["at"] + F.length(p), lambda at: F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out")))
-    return let(F.aggregate(F.split(text, HYPHEN, -1), zero, step)["out"], lambda ends: F.slice(ends, F.lit(1), F.size(ends) - 1))
+    lengths = F.transform(F.split(text, HYPHEN, -1), lambda p: F.length(p))
+    return let(lengths, lambda n: F.slice(let(n, lambda e: running(e)), F.lit(1), F.size(n) - 1))
 
 
 def original_start(start: Column, cuts: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from ..functions.text import hyphen_cuts, hyphen_joined, let, original_end, original_start, stripped
+from ..functions.frames import once
+from ..functions.text import hyphen_cuts, hyphen_joined, original_end, original_start, stripped
 
 #: Fixed values, in the order that ties and outputs follow.
 CATEGORIES = ("person", "email_address", "location", "phone_number", "date_number", "id_number", "code_number", "general_number")
@@ -102,21 +103,34 @@ class Registry:
         return [d for d in self.detectors if language in d.languages]
 
 
-def detected(text: Column, detectors: list[Detector]) -> Column:
-    """All spans of a text: each recognizer's, without those that one of its own contains; context raises scores after that."""
-    groups: dict[tuple, list[Detector]] = {}
-    for d in detectors:
-        groups.setdefault((d.group or d.entity_type, d.context), []).append(d)
+def detected(rows: DataFrame, name: str, text: Column, detectors: list[tuple[Column | None, list[Detector]]]) -> DataFrame:
+    """rows with a column of all spans of a text: each recognizer's, without those that one of its own contains; context raises scores
+    after that. detectors: those of the rows for which a condition holds, the last ones (without a condition) of all others. Each step is
+    computed once a row, words only where a context could count."""
+
+    def groups(some: list[Detector]) -> dict[tuple, list[Detector]]:
+        out: dict[tuple, list[Detector]] = {}
+        for d in some:
+            out.setdefault((d.group or d.entity_type, d.context), []).append(d)
+        return out
+
+    def chosen(of) -> Column:
+        value = None
+        for condition, some in reversed(detectors):
+            value = of(groups(some)) if condition is None else F.when(condition, of(groups(some))).otherwise(value)
+        return value
 
     def matches(d: Detector) -> Column:
         return F.transform(S.places(text, d.regex), lambda m: S.span(d.entity_type, m["start"], m["end"], d.score))
 
-    def recognized(context: tuple[str, ...], some: list[Detector]) -> Column:
-        found = S.without_contained(F.concat(*map(matches, some)), PRIORITY)
-        return let(found, lambda x: S.boosted(text, x, context)) if context else found
-
-    every = [recognized(context, some) for (_, context), some in groups.items()]
-    return S.without_contained(F.concat(*every), PRIORITY) if every else F.array().cast(S.NONE)
+    none, names = F.array().cast(f"array<{S.NONE}>"), rows.columns
+    rows = once(rows, "_raw", chosen(lambda g: F.array(*[F.concat(*map(matches, some)) for some in g.values()]) if g else none))
+    rows = once(rows, "_own", F.transform("_raw", lambda x: S.without_contained(x, PRIORITY)))
+    asks = chosen(lambda g: F.exists(F.array(*[F.size(F.get("_own", F.lit(k))) > 0 for k, (_, context) in enumerate(g) if context] or [F.lit(False)]), lambda x: x))
+    rows = once(rows, "_words", F.when(asks, S.words_in(text)))
+    raised = lambda context, k: S.boosted(F.col("_words"), F.get("_own", F.lit(k)), context) if context else F.get("_own", F.lit(k))
+    rows = once(rows, "_raised", chosen(lambda g: F.flatten(F.array(*[raised(context, k) for k, (_, context) in enumerate(g)])) if g else F.flatten(none)))
+    return once(rows, name, S.without_contained(F.col("_raised"), PRIORITY)).select(*names, name)
 
 
 def resolved(spans: Column) -> Column:
@@ -131,13 +145,8 @@ def detect(docs: DataFrame, registry: Registry | None = None, language: str = "e
     column lang, rows of the languages en and da use their own detectors, all others `language`'s."""
     registry = registry or Registry.default()
     base = docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []), hyphen_joined(F.coalesce("text", F.lit(""))).alias("dtext"))
-    spans_in = lambda lang: let(F.col("dtext"), lambda t: detected(t, registry.of(lang)))
-    found = spans_in(language)
-    if "lang" in docs.columns:
-        for other in ("en", "da"):
-            if other != language and registry.of(other) != registry.of(language):
-                found = F.when(F.col("lang") == other, spans_in(other)).otherwise(found)
-    rows = base.withColumn("spans", found)
+    others = [x for x in ("en", "da") if "lang" in docs.columns and x != language and registry.of(x) != registry.of(language)]
+    rows = detected(base, "spans", F.col("dtext"), [*[(F.col("lang") == x, registry.of(x)) for x in others], (None, registry.of(language))])
     if registry.models:
         keys = base.select("doc_id", F.col("dtext").alias("text"))
         extra = None
@@ -146,8 +155,8 @@ def detect(docs: DataFrame, registry: Registry | None = None, language: str = "e
             extra = got if extra is None else extra.unionByName(got)
         extra = extra.groupBy("doc_id").agg(F.collect_list(F.struct("entity_type", "start", "end", "score")).alias("more"))
         rows = rows.join(extra, "doc_id", "left").withColumn("spans", F.concat("spans", F.coalesce("more", F.array().cast(S.NONE)))).drop("more")
-    rows = rows.withColumn("spans", let(F.col("spans"), resolved)).withColumn("cuts", hyphen_cuts(F.coalesce("text", F.lit(""))))
-    rows = rows.select("doc_id", "text", "cuts", F.posexplode("spans").alias("sel_rank", "s"))
+    rows = once(once(rows, "best", resolved(F.col("spans"))), "cuts", hyphen_cuts(F.coalesce("text", F.lit(""))))
+    rows = rows.select("doc_id", "text", "cuts", F.posexplode("best").alias("sel_rank", "s"))
     start, end = original_start(F.col("s.start"), F.col("cuts")), original_end(F.col("s.end"), F.col("cuts"))
     rows = rows.select("doc_id", "sel_rank", "s.entity_type", category_of(F.col("s.entity_type")).alias("category"), start.alias("start"), end.alias("end"), "s.score", "text")
     surface = stripped(F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))

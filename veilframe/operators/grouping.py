@@ -10,8 +10,6 @@ other text, moved by no more than there are edits. Pairs that meet so are verifi
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,26 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.frames import materialize as kept
 from ..functions.text import normalized_name, normalized_number, possible_variant, valid_name
 
 #: Similarity above which two surfaces of a category are one entity. Others are only themselves.
 THRESHOLDS = {"person": 85, "phone_number": 80, "date_number": 95, "id_number": 80, "code_number": 80, "general_number": 80}
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Written to the folder that the cluster shares (spark.checkpoint.dir) and read again."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="veilframe-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, the rows of its table as bits of a number."""
     where: dict[str, int] = {}

@@ -289,7 +289,7 @@ def possible_variants(spark, sf_dir):
 
 def context_boost(spark, sf_dir):
     docs = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.when(F.col("o_custkey") % 2 == 0, F.lit("my Phone is ")).otherwise(F.lit("it is ")), _key("o_orderkey", 9)).alias("t"))
-    spans = T.let(F.col("t"), lambda t: S.boosted(t, F.transform(S.places(t, _detector("general_number").regex), lambda m: S.span("GENERAL_NUMBER", m["start"], m["end"], 0.7)), D.NUMBER_CONTEXT))
+    spans = T.let(F.col("t"), lambda t: S.boosted(S.words_in(t), F.transform(S.places(t, _detector("general_number").regex), lambda m: S.span("GENERAL_NUMBER", m["start"], m["end"], 0.7)), D.NUMBER_CONTEXT))
     return docs.select("o_orderkey", F.explode(spans).alias("s")).select("o_orderkey", F.round("s.score", 6).alias("score"))
 
 
