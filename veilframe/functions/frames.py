@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -55,3 +56,21 @@ def forget(df: DataFrame) -> None:
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that is computed once a row: a generator of one row, which the optimizer neither copies nor moves."""
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its rows' numbers from 0 in an order, without sorting it in one task: sorted by ranges, and each range starts where those
+    before it end (a row per range). Rows that are equal in the order get different numbers."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())  # range and place in it
+    rows = materialize(rows)
+    part = F.shiftright("_id", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return rows.withColumn("_part", part).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_id")
+
+
+def numbered_within(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """df with its rows' numbers from 1 within each value of a key (of which there are few), in an order."""
+    rows = numbered(df, [F.col(key), *order], "_no")
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_no").alias("_first"))
+    return rows.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn(name, F.col("_no") - F.col("_first") + 1).drop("_key", "_no", "_first")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from ..functions.frames import once
+from ..functions.frames import numbered_within, once
 from ..functions.text import hyphen_cuts, hyphen_joined, original_end, original_start, stripped
 
 #: Fixed values, in the order that ties and outputs follow.
@@ -175,10 +175,8 @@ def not_overlapping(base: DataFrame, extra: DataFrame) -> DataFrame:
 
 def mentions(found: DataFrame) -> DataFrame:
     """category, surface, ord: the distinct surfaces of a corpus in the order of their first selection."""
-    from pyspark.sql import Window as W
-
     first = found.groupBy("category", "surface").agg(F.min(F.struct("doc_id", "sel_rank")).alias("first"))
-    return first.select("category", "surface", F.row_number().over(W.partitionBy("category").orderBy("first", "surface")).cast("bigint").alias("ord"))
+    return numbered_within(first, "category", [F.col("first"), F.col("surface")], "ord").select("category", "surface", "ord")
 
 
 def found_counts(mentioned: DataFrame) -> DataFrame:

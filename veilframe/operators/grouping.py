@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.frames import materialize as kept
+from ..functions.frames import numbered as in_order
+from ..functions.frames import numbered_within
 from ..functions.text import normalized_name, normalized_number, possible_variant, valid_name
 
 #: Similarity above which two surfaces of a category are one entity. Others are only themselves.
@@ -95,7 +97,7 @@ def merged_names(groups: DataFrame) -> DataFrame:
     longer group's goes behind it; groups are numbered by their longest name, longest first."""
     longest = W.partitionBy("leader").orderBy(F.desc(F.length("surface")), "ord")
     rep = groups.withColumn("_k", F.row_number().over(longest)).where("_k = 1").select(F.col("leader").alias("g"), F.col("surface").alias("rep"))
-    rep = rep.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.length("rep")), "g")))  # a row per group
+    rep = kept(in_order(rep, [F.desc(F.length("rep")), F.col("g")], "rank"))
     word = lambda c: F.split(F.trim(normalized_name(F.col(c))), r"(?U)\s+")
     small = rep.select(F.col("g").alias("sg"), F.col("rep").alias("srep"), F.col("rank").alias("srank"), F.substring(F.get(word("rep"), F.lit(0)), 1, 1).alias("_c"))
     cores = rep.withColumn("_c", F.explode(F.array_distinct(F.transform(word("rep"), lambda w: w.substr(1, 1)))))
@@ -126,8 +128,9 @@ def grouped(mentioned: DataFrame, category: str) -> DataFrame:
 
 def numbered(groups: DataFrame) -> DataFrame:
     """category, entity_no, id, variant_no, variant, pattern: entities numbered from 1 per category in the groups' order."""
-    no = F.dense_rank().over(W.partitionBy("category").orderBy("group_ord"))
-    out = groups.withColumn("entity_no", no)
+    groups = kept(groups)
+    no = numbered_within(groups.select("category", "group_ord").distinct(), "category", [F.col("group_ord")], "entity_no")
+    out = groups.join(no.select("category", "group_ord", F.col("entity_no").cast("int").alias("entity_no")), ["category", "group_ord"])
     return out.select("category", "entity_no", F.format_string("<%s_%d>", F.upper("category"), "entity_no").alias("id"), F.col("var_ord").alias("variant_no"), F.col("surface").alias("variant"), F.lit(None).cast("string").alias("pattern"))
 
 

@@ -283,8 +283,44 @@ SELECT var, '#let ' || var || ' = "' || replace(r, '"', chr(92) || '"') || '"' |
 
 
 def possible_variants(spark, sf_dir):
-    n = _table(spark, sf_dir, "nation")
-    return n.select("n_nationkey", T.possible_variant(F.concat(F.substring("n_name", 1, 1), F.lit(". B.")), F.concat(F.col("n_name"), F.lit(" A Bob"))).alias("short_fits"), T.possible_variant(F.col("n_name"), F.col("n_name")).alias("same_fits"))
+    """Short forms made of a part's words against a name made of the next part's, its brand and its last word."""
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
+    word = lambda k: F.get(F.split("p_name", " "), F.lit(k))
+    full = F.concat_ws(" ", "next_name", "p_brand", word(1))
+    forms = {"first": word(0), "initial": F.concat(word(0).substr(1, 1), F.lit(". "), word(1)), "ordered": F.concat_ws(" ", "p_brand", word(1)), "turned": F.concat_ws(" ", word(1), "p_brand"), "itself": full}
+    return part.join(after, "p_partkey").select("p_partkey", *[T.possible_variant(x, full).alias(f"{name}_fits") for name, x in forms.items()])
+
+
+def _variant_sql(short: str, full: str) -> str:
+    """Words of the short form in order: the first word from the last place on that fits, if there is one; no more words than the full name has."""
+    a, b = (f"list_filter(string_split(lower({x}), ' '), lambda w: w <> '')" for x in (short, full))
+    a, b = f"list_transform({a}, lambda w: replace(w, '-', ''))", f"list_transform({b}, lambda w: replace(w, '-', ''))"
+    fits = f"({b}[j] = z.w OR (z.w LIKE '%.' AND len(z.w) <= 4 AND starts_with({b}[j], z.w[1])))"
+    step = f"lambda acc, z: {{'w': '', 'k': CASE WHEN acc.k < 0 THEN -1 ELSE coalesce(list_filter(range(acc.k + 1, len({b}) + 1), lambda j: {fits})[1], -1) END}}"
+    return f"len({a}) < len({b}) AND list_reduce(list_concat([{{'w': '', 'k': 0::BIGINT}}], list_transform({a}, lambda w: {{'w': w, 'k': 0::BIGINT}})), {step}).k > 0"
+
+
+def _variants_sql() -> str:
+    full = "(next_name || ' ' || p_brand || ' ' || b)"
+    forms = {"first": "a", "initial": "(a[1] || '. ' || b)", "ordered": "(p_brand || ' ' || b)", "turned": "(b || ' ' || p_brand)", "itself": full}
+    columns = ", ".join(f"{_variant_sql(x, full)} AS {name}_fits" for name, x in forms.items())
+    return f"SELECT p_partkey, {columns} FROM (SELECT x.p_partkey, x.p_brand, string_split(x.p_name, ' ')[1] AS a, string_split(x.p_name, ' ')[2] AS b, y.p_name AS next_name FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1)"
+
+
+def date_groups(spark, sf_dir):
+    """Dates in three spellings, which at that similarity are one entity only if all their digits are the same."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").substr(1, 10).alias("d"))
+    spelled = F.array(F.col("d"), F.replace(F.col("d"), F.lit("-"), F.lit(" ")), F.replace(F.col("d"), F.lit("-"), F.lit("")))
+    rows = orders.select(F.col("o_orderkey").cast("bigint").alias("doc_id"), F.lit("date_number").alias("category"), F.posexplode(spelled).alias("sel_rank", "surface"))
+    return grouping.dictionary(D.mentions(rows), ["date_number"]).select("id", F.col("variant_no").cast("bigint").alias("variant_no"), "variant")
+
+
+DATES_SQL = """WITH d AS (SELECT o_orderkey AS k, substr(o_orderdate::VARCHAR, 1, 10) AS d FROM orders),
+s AS (SELECT k, 0 AS r, d AS v FROM d UNION ALL SELECT k, 1, replace(d, '-', ' ') FROM d UNION ALL SELECT k, 2, replace(d, '-', '') FROM d),
+m AS (SELECT v, min((k, r)) AS first FROM s GROUP BY v), n AS (SELECT *, translate(v, ' -()+', '') AS norm FROM m),
+g AS (SELECT norm, row_number() OVER (ORDER BY min(first)) AS e FROM n GROUP BY norm)
+SELECT '<DATE_NUMBER_' || e || '>' AS id, row_number() OVER (PARTITION BY e ORDER BY first) AS variant_no, v AS variant FROM n JOIN g USING (norm)"""
 
 
 def context_boost(spark, sf_dir):
@@ -315,7 +351,7 @@ def queries() -> dict:
     for f in (
         span_offsets, resolve_overlaps, interval_anti_join, mentions_distinct, found_counts, entity_ids, pseudonymize_counts, normalized, similar_pairs, number_groups, name_groups, pseudonymize_documents,
         pseudonymize_conversations, replacement_counts, hyphen_join, tex_extract, md_to_typst, fake_format, typst_variables, possible_variants, context_boost, bib_prose, detect_all,
-        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups,
+        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups,
     ):
         out[f.__name__] = f
     return out
@@ -344,7 +380,8 @@ def oracle_sql() -> dict[str, str]:
         "md_to_typst": _md_sql(),
         "fake_format": FAKE_SQL,
         "typst_variables": TYPST_SQL,
-        "possible_variants": "SELECT n_nationkey, true AS short_fits, false AS same_fits FROM nation",
+        "possible_variants": _variants_sql(),
+        "date_groups": DATES_SQL,
         "context_boost": "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS score FROM orders",
         "bib_prose": "SELECT p_partkey AS doc_id, p_name || ' ' || p_brand || ' book k' AS text FROM part",
     }
