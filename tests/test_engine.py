@@ -283,3 +283,31 @@ def test_typst_export(spark, tmp_path):
     values = re.findall(r'GN1V\d = "(\d\d[ -]\d\d)"', fake.read_text())
     assert len(values) == 2 and values[0].replace(" ", "") == values[1].replace("-", "")
     assert counts["general_number_replaced"] == 2
+
+
+def test_dictionary_as_yaml_and_table(spark, tmp_path, capsys):
+    """The file round trip, what isn't allowed in it, and a dictionary as a table on the command line."""
+    from veilframe import cli
+    from veilframe.sources import dictionary as K
+
+    mapping = {"PERSON": [{"id": "<PERSON_1>", "variants": ["Ann", "A: \"n\"\n"], "pattern": "x"}], "LOCATION": [{"id": "<LOCATION_1>", "variants": []}], "OTHER": 3}
+    entities = K.Dictionary(mapping)
+    again = K.from_yaml(K.to_yaml(entities))
+    assert again.plain() == entities.plain() and again.person[0].variants[1] == 'A: "n"\n' and again.plain()["EMAIL_ADDRESS"] == []
+    assert K.from_rows(K.to_rows(spark, entities)).plain()["PERSON"] == mapping["PERSON"]
+    assert K.from_yaml("").plain() == K.Dictionary().plain()
+    for wrong in ([1], {"PERSON": 1}, {"PERSON": [1]}, {"PERSON": [{"id": 1, "variants": []}]}, {"PERSON": [{"id": "a", "variants": [1]}]}, {"PERSON": [{"id": "a"}]}, {"PERSON": [{"id": "a", "variants": [], "pattern": 1}]}):
+        with pytest.raises(ValueError):
+            K.Dictionary(wrong)
+    with pytest.raises(AttributeError):
+        entities.nobody
+    text = tmp_path / "a.md"
+    text.write_text("Hello John Doe and Jon Doe, CPR: 123456-1234")
+    cli.extract([str(text)], str(tmp_path / "d.parquet"))
+    cli.extract([str(text)], str(tmp_path / "d.yaml"))
+    done = []
+    for name in ("d.parquet", "d.yaml"):
+        cli.plain(str(text), str(tmp_path / name), str(tmp_path / f"{name}.md"))
+        done.append((tmp_path / f"{name}.md").read_text())
+    assert done[0] == done[1] and "<PERSON_1>" in done[0] and "John" not in done[0]
+    assert "PERSON replaced: 2" in capsys.readouterr().out

@@ -22,7 +22,7 @@ class Anonymizer:
             raise ValueError(f"no detectors for language {language}")
         self.language, self.registry = language, registry or D.Registry.default()
         self.spark = spark or SparkSession.builder.getOrCreate()
-        self.entities = K.Config()
+        self.entities, self.table = K.Dictionary(), None
         self.counts = self._zero()
 
     @staticmethod
@@ -55,18 +55,20 @@ class Anonymizer:
 
     def detect_entities(self, texts: list[str]) -> None:
         """Detects in texts, in their order, and adds the entities found to the dictionary."""
-        found = K.from_rows(self.detect_documents(self._docs(texts)))
-        for c in D.CATEGORIES:
-            getattr(self.entities, c).extend(getattr(found, c))
+        self.entities.extend(K.from_rows(self.detect_documents(self._docs(texts))))
 
     def generate_yaml(self) -> str:
         return K.to_yaml(self.entities)
 
     def load_replacements(self, config: dict) -> None:
-        self.entities = K.Config.model_validate(config)
+        self.entities, self.table = K.Dictionary(config), None
+
+    def use_table(self, table: DataFrame) -> None:
+        """A dictionary in long form (as of detect_documents) instead of one on the driver: it may be of any size."""
+        self.table = table
 
     def dictionary(self) -> DataFrame:
-        return K.to_rows(self.spark, self.entities)
+        return K.to_rows(self.spark, self.entities) if self.table is None else self.table
 
     def anonymize_documents(self, docs: DataFrame) -> DataFrame:
         return rewrite.pseudonymize(docs, self.dictionary())

@@ -32,7 +32,10 @@ def _guarded(run) -> None:
 
 def _loaded(config: str) -> Anonymizer:
     anonymizer = Anonymizer()
-    anonymizer.entities = K.from_yaml(Path(config).read_text(encoding="utf-8"))
+    if config.endswith(".parquet"):
+        anonymizer.use_table(anonymizer.spark.read.schema(K.LONG).parquet(config))
+    else:
+        anonymizer.entities = K.from_yaml(Path(config).read_text(encoding="utf-8"))
     return anonymizer
 
 
@@ -45,14 +48,18 @@ def extract(paths: list[str], config: str = "__temp.yaml", language: str = "en")
         print("Reading input text files...")
         corpus = files.read_corpus(anonymizer.spark, paths).select("doc_id", "text")
         print(f"Detecting entities in {language}...")
-        anonymizer.entities = K.from_rows(anonymizer.detect_documents(corpus))
+        table = anonymizer.detect_documents(corpus)
+        if config.endswith(".parquet"):  # of any size; not to be read by people
+            table.write.mode("overwrite").parquet(config)
+        else:
+            anonymizer.entities = K.from_rows(table)
+            files.write_text(config, anonymizer.generate_yaml())
         print("Detected entities:")
         for c in CATEGORIES:
             print(f"  {c.upper()} found: {anonymizer.counts[f'{c}_found']}")
-        text = anonymizer.generate_yaml()
-        files.write_text(config, text)
         print(f"Config written to {config}")
-        print(text)
+        if not config.endswith(".parquet"):
+            print(anonymizer.generate_yaml())
 
     _guarded(run)
 
