@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilframe.functions.frames import forget, settled
 from veilframe.llm import chosen_path, curriculum, pieces, pii, quality
-from veilframe.llm.common import materialize, table
+from veilframe.llm.common import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage has written goes when the next one's rows are there."""
+    before, docs = None, table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        out = settled(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        if before is not None:
+            forget(before)
+        before = docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
