@@ -5,13 +5,17 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Folders that settled() is going to delete.
+_passing: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, which a cluster sets.
 
@@ -22,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.mkdtemp(prefix="veilframe-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/{uuid.uuid4().hex}"
+    _passing.append(f"{top}/{uuid.uuid4().hex}")
+    return _passing[-1]
 
 
 @contextlib.contextmanager
@@ -45,12 +50,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a materialized table that nothing reads any more."""
-    sc = df.sparkSession.sparkContext
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make(), materialized; all other folders that were written for them go."""
+    begin = len(_passing)
+    out = materialize(make())  # its folder is the last
+    for folder in _passing[begin:-1]:
+        _delete(spark, folder)
+    del _passing[begin:]
+    return out
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:

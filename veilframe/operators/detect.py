@@ -103,6 +103,20 @@ class Registry:
         return [d for d in self.detectors if language in d.languages]
 
 
+def model_from(of: Callable[[str], list]) -> Callable:
+    """For Registry.add_model: a function on batches from one on texts. of(text) gives (entity_type, start, end, score) of all that a statistical
+    model finds, in code points, end exclusive; a model that takes long to load is best loaded at its first call and kept."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [(d, *x) for d, t in zip(b.doc_id, b.text) for x in of(t)]
+            yield pd.DataFrame(rows, columns=["doc_id", "entity_type", "start", "end", "score"])
+
+    return run
+
+
 def detected(rows: DataFrame, name: str, text: Column, detectors: list[tuple[Column | None, list[Detector]]]) -> DataFrame:
     """rows with a column of all spans of a text: each recognizer's, without those that one of its own contains; context raises scores
     after that. detectors: those of the rows for which a condition holds, the last ones (without a condition) of all others. Each step is
