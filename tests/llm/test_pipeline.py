@@ -3,8 +3,11 @@
 import random
 from collections import Counter
 
-from test_pairs import shingles
+from test_pairs import WORD, shingles
 from test_rows import pii_base, quality_base
+from test_tables import filled
+
+from veilframe.functions.frames import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,7 +24,7 @@ def test_stages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     seen = {}
     for name, stage in p.STAGES:
-        out = p.materialize(stage(spark, docs, sf))
+        out = materialize(stage(spark, docs, sf))
         seen[name] = ([tuple(r) for r in docs.select(*COLUMNS).collect()], [tuple(r) for r in out.collect()] if name == "SentencePiece encoding" else [tuple(r) for r in out.select(*COLUMNS).collect()])
         if name != "SentencePiece encoding":
             assert out.columns == COLUMNS
@@ -47,6 +50,15 @@ def test_stages(spark):
         assert pii_base(texts[r[0]]) or "[" in r[1] or r[1] == texts[r[0]]
     before, after = seen["mixing to target weights"]
     assert not set(after) - set(before) and max(Counter(after).values()) <= 3
+    size = lambda r: len(WORD.findall(r[1] or ""))
+    sizes, taken = Counter(), Counter()
+    for r in before:
+        sizes[r[3]] += size(r)
+    for r in after:
+        taken[r[3]] += size(r)
+    order = [*sorted((s for s in sizes if s is not None), key=lambda s: s.encode()), *[None] * (None in sizes)]
+    for s, target in zip(order, filled([sizes[s] for s in order], [k % 3 + 1 for k in range(len(order))])):
+        assert abs(taken[s] - target) <= max(size(r) for r in before if r[3] == s)
     before, after = seen["SentencePiece encoding"]
     assert len(before) == len(after) and all(r[-1] for r in after)
 
@@ -54,5 +66,14 @@ def test_stages(spark):
 def test_run(spark):
     import corpus_pipeline as p
 
-    assert p.run(spark, "/root/testdata/sf0.001").count() > 0
+    import os
+
+    from veilframe.functions.frames import shared_dir
+
+    top = shared_dir(spark).rsplit("/", 1)[0].removeprefix("file:")
+    there = set(os.listdir(top))
+    out = p.run(spark, "/root/testdata/sf0.001")
+    assert len(set(os.listdir(top)) - there) == 1  # the table that the last stage reads
+    rows, docs = out.collect(), {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert rows and {r.doc_id for r in rows} <= docs.keys() and all(r.round_trip for r in rows)
     assert len(p.STAGES) == 5

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.frames import forget, materialize, once, shared_dir, tidy  # noqa: F401  for this subpackage's modules
+from ..functions.text import let  # noqa: F401
+
 #: White space between words, and a word, as Java and Python regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,61 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def let(value: Column, body) -> Column:
-    """body(x) with x bound to the value of an expression, which is so evaluated once a row."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def total(values: Column, kind: str = "bigint") -> Column:
     return F.aggregate(values, F.lit(0).cast(kind), lambda acc, x: acc + x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, which a cluster sets.
-
-    Only a local master, where driver and executors are one process, may leave it unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="veilframe-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/{uuid.uuid4().hex}"
-
-
-@contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go as soon as a write has ended: what it wrote is what later steps read."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage, outlives a lost executor."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    with tidy(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing reads any more."""
-    sc = df.sparkSession.sparkContext
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once a row: a generator of one row, which the optimizer neither copies nor moves."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def packed(df: DataFrame, name: str = "_m") -> DataFrame:
     """All columns as one struct, so that none can clash with an operator's own."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))

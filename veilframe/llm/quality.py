@@ -2,11 +2,13 @@
 
 Two histograms describe a document: how often each character class occurs, and how often each common word of its language
 does (all other words are one more bin). The references of a language are the pooled histograms of all its documents that
-pass the base rules and the length guard. A document is compared with them by Jensen-Shannon distance (the square root of
+pass the base rules and the length guard; of a language with too few of them only the character classes are judged, against all
+languages' together, so that a language of a few odd documents isn't its own reference. A document is compared with them by
+Jensen-Shannon distance (the square root of
 the divergence to base 2, so 0 to 1); one that is farther than a threshold is rejected. Guards: a histogram over fewer
 symbols than its guard asks for is noise and isn't judged, nor is one whose language has no reference.
 
-Scale: one narrow pass computes the counts of a text inside its row (no word or window is shuffled); the references are an
+Scale: one narrow pass, in which each text is measured once, computes the counts of a text inside its row (no word or window is shuffled); the references are an
 aggregation with partial sums to a row per language. The counts are written once, a few numbers per document, and read for
 the references and for the verdicts.
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, materialize, table, text_of, total
+from .common import SPACE, forget, let, materialize, once, packed, table, text_of, total, unpacked
 
 #: Common words by language.
 COMMON = {
@@ -34,6 +36,8 @@ CLASSES = 6
 #: Farthest allowed from the reference, and fewest symbols that are judged: characters, words.
 FAR_CLASSES, FAR_WORDS = 0.28, 0.30
 LEAST_CHARS, LEAST_WORDS = 200, 80
+#: Documents that a language's own references are made of at least.
+LEAST_DOCS = 20
 
 
 def _covered(hashes: Column) -> Column:
@@ -91,13 +95,17 @@ def measures(text: Column, lang: Column) -> Column:
     return F.struct(words.alias("w"), _of_chars(text).alias("c"), dup.alias("n_dup_lines"))
 
 
+def _measured(rows: DataFrame, text: Column, lang: Column) -> DataFrame:
+    """rows with the base counts and the histograms of a text that isn't null; each text is measured once."""
+    m = once(rows, "_c", let(F.struct(text.alias("t"), lang.alias("l")), lambda x: measures(x["t"], x["l"])))
+    common = F.col("_c.w.common")
+    m = m.select(*rows.columns, "_c.w.n_words", "_c.c.word_chars", "_c.c.n_symbols", "_c.n_dup_lines", "_c.w.n_repeat_words", "_c.c.classes", F.when(F.size(common) > 0, F.concat(common, F.array(F.col("_c.w.n_words") - total(common)))).otherwise(common).alias("common"))
+    return m.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts and the histograms, a row per document."""
-    m = docs.select("doc_id", "lang", F.get(F.transform(F.array(F.struct(text_of().alias("t"), F.col("lang").alias("l"))), lambda x: measures(x["t"], x["l"])), 0).alias("m"))
-    m = m.select("doc_id", "lang", "m.w.n_words", "m.c.word_chars", "m.c.n_symbols", "m.n_dup_lines", "m.w.n_repeat_words", "m.c.classes", "m.w.common")
-    return m.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).withColumn(
-        "common", F.when(F.size("common") > 0, F.concat("common", F.array(F.col("n_words") - total(F.col("common"))))).otherwise(F.col("common"))
-    )
+    return _measured(docs.select("doc_id", "lang", text_of().alias("_t")), F.col("_t"), F.col("lang")).drop("_t")
 
 
 def distance(counts: Column, reference: Column) -> Column:
@@ -115,15 +123,19 @@ def distance(counts: Column, reference: Column) -> Column:
     return F.when((n > 0) & (m > 0), of(counts, reference, n.cast("double"), m.cast("double")))
 
 
-def references(measured: DataFrame, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """A row per language: pooled histograms of the documents that pass the base rules and the guards."""
+def references(measured: DataFrame, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """A row per language: pooled histograms of the documents that pass the base rules and the guards, if there are enough; else
+    the character classes of all languages together, and no words."""
     most = max(map(len, COMMON.values())) + 1
     fit = ~F.col("base_failed") & (F.col("n_words") >= least_words) & (total(F.col("classes")) >= least_chars)
-    return (
-        measured.where(fit).groupBy("lang")
-        .agg(*[F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(CLASSES)], *[F.sum(F.get("common", F.lit(k))).alias(f"w{k}") for k in range(most)])
-        .select(F.col("lang").alias("_lang"), F.array(*[F.col(f"c{k}") for k in range(CLASSES)]).alias("_classes"), F.filter(F.array(*[F.col(f"w{k}") for k in range(most)]), lambda x: x.isNotNull()).alias("_common"))
+    sums = measured.groupBy("lang").agg(
+        F.count_if(fit).alias("n_docs"), *[F.sum(F.when(fit, F.col("classes")[k]).otherwise(0)).alias(f"c{k}") for k in range(CLASSES)],
+        *[F.sum(F.when(fit, F.get("common", F.lit(k)))).alias(f"w{k}") for k in range(most)],
     )
+    sums = materialize(sums.select("lang", "n_docs", F.array(*[F.col(f"c{k}") for k in range(CLASSES)]).alias("classes"), F.filter(F.array(*[F.col(f"w{k}") for k in range(most)]), lambda x: x.isNotNull()).alias("words")))
+    pooled = F.array(*[F.lit(x or 0).cast("bigint") for x in sums.agg(*[F.sum(F.col("classes")[k]) for k in range(CLASSES)]).first()])  # six numbers
+    enough = F.col("n_docs") >= least_docs
+    return sums.select(F.col("lang").alias("_lang"), F.when(enough, F.col("classes")).otherwise(pooled).alias("_classes"), F.when(enough, F.col("words")).alias("_common"))
 
 
 def verdicts(measured: DataFrame, refs: DataFrame, far_classes: float = FAR_CLASSES, far_words: float = FAR_WORDS, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -143,15 +155,11 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is kept, all their columns. The references come from a pass of their own; the verdict is
     part of the row's own projection, so texts aren't shuffled to meet it (but for the join with the few references)."""
-    names = docs.columns
-    row = docs.withColumn("_m", F.struct(*[F.col(c).alias(c) for c in names]))
-    refs = materialize(references(measure(docs)))
-    text = F.coalesce(F.col("_m.text"), F.lit(""))
-    m = row.select("_m", F.col("_m.lang").alias("lang"), F.get(F.transform(F.array(F.struct(text.alias("t"), F.col("_m.lang").alias("l"))), lambda x: measures(x["t"], x["l"])), 0).alias("m"))
-    m = m.select("_m", "lang", "m.w.n_words", "m.w.n_repeat_words", "m.c.classes", "m.w.common")
-    m = m.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    m = m.withColumn("common", F.when(F.size("common") > 0, F.concat("common", F.array(F.col("n_words") - total(F.col("common"))))).otherwise(F.col("common")))
-    return verdicts(m, refs).where("kept").select(*[F.col("_m")[c].alias(c) for c in names])
+    slim = materialize(measure(docs))
+    refs = references(slim)
+    forget(slim)
+    rows = packed(docs).select("_m", F.col("_m.lang").alias("lang"))
+    return unpacked(verdicts(_measured(rows, F.coalesce(F.col("_m.text"), F.lit("")), F.col("lang")), refs).where("kept"), docs.columns)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
