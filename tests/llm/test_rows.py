@@ -1,6 +1,8 @@
 """Operators whose rows don't meet, against brute force in plain Python."""
 
 import hashlib
+import math
+import random
 import re
 import struct
 import zlib
@@ -121,7 +123,7 @@ def test_pieces(spark, docs):
     rows, df = docs
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = pieces.Model.of(path, 3)
-    for text in ["a", " ", "the cat", "  two  spaces ", "néw\nline\n", "\U0001f600x", "aaaa bbbb", "internationalization of the,,, \t"]:
+    for text in ["a", " ", "the cat", "  two  spaces ", "néw\nline\n", "\U0001f600x", "aaaa bbbb", "internationalization of the,,, \t", "a" * 50, "ab" * 30 + "\u4e2d" * 3]:
         want = brute_paths(model, pieces.SPACE + text.replace(" ", pieces.SPACE), 3)
         got = model.segment(text)
         assert [s for s, _ in got] == [s for s, _ in want], text
@@ -130,6 +132,15 @@ def test_pieces(spark, docs):
             assert model.decode([x])[0].decode() == text
         if len(want) > 1 and want[0][0] > want[1][0]:
             assert np.frombuffer(got[0][1], "<u4").tolist() == list(want[0][1])
+    # scores add up to sense: most words come out as the library's own segmentation has them, in no more pieces on the whole
+    from sentencepiece import SentencePieceProcessor
+
+    sp, words = SentencePieceProcessor(model_file=path), Counter(w for r in rows for w in WORD.findall(r[1] or "")[:2000] if len(w) < 40)
+    ours = {w: np.frombuffer(model.segment(w)[0][1], "<u4").tolist() for w in words}
+    theirs = {w: sp.encode(w) for w in words}
+    equal = sum(n for w, n in words.items() if ours[w] == theirs[w]) / words.total()
+    assert equal > 0.75 and sum(n * len(ours[w]) for w, n in words.items()) <= 1.02 * sum(n * len(theirs[w]) for w, n in words.items()), equal
+    assert abs(sum(math.exp(s) for s, _ in model.pieces.values()) - 1) < 1e-6
     got = pieces.digests(df, path).collect()
     assert len(got) == len(rows) and all(r.round_trip for r in got)
     assert all(list(r.n_best_scores) == sorted(r.n_best_scores, reverse=True) for r in got)
@@ -142,7 +153,8 @@ def test_chats(spark):
 
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
     rows += [(-5, t, "user" if t % 2 == 0 else "assistant", f"turn {t} <s>[INST]") for t in range(300)]
-    rows += [(-6, 0, "user", None), (-6, 0, "user", None), (-6, None, "tool", "x [/ROLE] y"), (-6, 5, None, "\\"), (None, 1, "assistant", "</s>"), (-7, 0, "user", "<\\-s> \\-[INST][/INST]<<SYS>>")]
+    rows += [(-6, 0, "user", None), (-6, 0, "user", None), (-6, None, "tool", "x [/ROLE] y"), (-6, 5, None, "\\"), (None, 1, "assistant", "</s>"), (-7, 0, "user", "<\\-s> \\-[INST][/INST]<<SYS>>"), (-8, 1, "user", " [/INST"), (-8, 2, "assistant", "x </s"), (-8, 3, "user", "[AS] [ROLE] a [AS] b"), (-8, 4, "[AS] x\\", " [/ROLE"), (-(1 << 63), 0, "user", "least id")]
+    rows += [(-9, None, "user" if k % 2 else "assistant", f"{k}") for k in range(150)] + [(-10, 3, "user", f"{k}") for k in range(130)]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     convs = {}
     for c, t, role, text in rows:
@@ -155,7 +167,8 @@ def test_chats(spark):
     chunks = chat.format_chats(df)
     same([tuple(r)[:5] for r in chat.read_back(chunks).collect()], want)
     bad = {r.conv_id: r.n_invalid for r in chat.read_back(chunks).collect()}
-    assert bad[-5] == 0 and bad[None] == 1 and bad[-6] == 3
+    assert bad[-5] == 0 and bad[None] == 1 and bad[-6] == 3 and bad[-10] == 129
+    assert all(r.n_turns <= chat.TURNS for r in chunks.collect())
     for r in chunks.collect():
         for part in r.segments:
             assert not part.loss or not any(c in part.text for c in chat.CONTROLS)
@@ -174,6 +187,29 @@ def quality_base(text):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), r, n < 10 or 100 * r > 20 * n
 
 
+def char_classes(text):
+    """Lower case, upper case, white space, digits, sentence marks, other."""
+    import unicodedata
+
+    out = [0] * 6
+    for c in text:
+        kind = unicodedata.category(c)
+        out[0 if kind == "Ll" else 1 if kind == "Lu" else 2 if c in " \t\n\x0b\x0c\r" else 3 if c in "0123456789" else 4 if c in ".,;:!?'\"()-" else 5] += 1
+    return out
+
+
+def common_words(text, common):
+    seen = Counter(WORD.findall(text))
+    return [*(seen[w] for w in common), sum(seen.values()) - sum(seen[w] for w in common)] if common else []
+
+
+def divergence(p, q):
+    """Jensen-Shannon distance to base 2."""
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    kl = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b) if x)
+    return math.sqrt(max(0.0, (kl(p, q) + kl(q, p)) / 2))
+
+
 def test_quality(spark, docs):
     from veilframe.llm import quality
 
@@ -181,6 +217,22 @@ def test_quality(spark, docs):
     got = quality.judge(df).collect()
     same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got], [(r[0], *quality_base(r[1] or "")) for r in rows])
     assert all(not (r.base_failed and r.kept) for r in got)
+    # references, distances and verdicts by the plain definition
+    counts = [(r[2], *quality_base(r[1] or ""), char_classes(r[1] or ""), common_words(r[1] or "", quality.COMMON.get(r[2]))) for r in rows]
+    fit = [c for c in counts if not c[6] and c[1] >= quality.LEAST_WORDS and sum(c[7]) >= quality.LEAST_CHARS]
+    every = list(map(sum, zip(*[c[7] for c in fit])))
+    refs = {}
+    for lang in {c[0] for c in counts}:
+        own = [c for c in fit if c[0] == lang]
+        refs[lang] = (list(map(sum, zip(*[c[7] for c in own]))), list(map(sum, zip(*[c[8] for c in own])))) if len(own) >= quality.LEAST_DOCS else (every, None)
+    assert {r[1] is None for r in refs.values()} == {True, False}
+    want = []
+    for r, c in zip(rows, counts):
+        a = divergence(c[7], refs[c[0]][0]) if sum(c[7]) >= quality.LEAST_CHARS else None
+        b = divergence(c[8], refs[c[0]][1]) if c[1] >= quality.LEAST_WORDS and c[8] and refs[c[0]][1] else None
+        want.append((r[0], *[None if x is None else round(x, 6) + 0.0 for x in (a, b)], not c[6] and (a or 0) <= quality.FAR_CLASSES and (b or 0) <= quality.FAR_WORDS))
+    same([(r.doc_id, *[None if x is None else round(x, 6) + 0.0 for x in (r.class_distance, r.word_distance)], r.kept) for r in got], want)
+    assert {w[3] for w in want} == {True, False} and any(not w[3] and not c[6] for w, c in zip(want, counts))
     assert all(len(r.classes) == 6 and sum(r.classes) == len(dict((x[0], x[1]) for x in rows)[r.doc_id] or "") for r in got)
     kept = quality.keep(df)
     assert kept.columns == df.columns
@@ -192,24 +244,57 @@ def luhn(d):
     return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
 
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def emails(text):
+    """Leftmost matches without overlaps: before each @ as many characters as may stand there, back to the match before."""
+    out, last = [], 0
+    for at in (k for k, c in enumerate(text) if c == "@"):
+        begin = at
+        while begin > last and text[begin - 1] in LOCAL:
+            begin -= 1
+        m = DOMAIN.match(text, at) if begin < at else None
+        if m:
+            out.append((begin, m.end()))
+            last = m.end()
+    return out
+
+
 def pii_base(text):
-    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)] if len(text) < 45000 or "@b" in text else []
-    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))] if len(text) < 25000 else []
+    out = [("email", *x) for x in emails(text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)", text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
     out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
     out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
     return out
 
 
+def pii_more(text):
+    """The added kinds, by plain rules: what a code says, its check, and a context word within 40 characters before it."""
+    out, near = [], lambda m, words: bool(re.search(r"(?<![a-z])(?:" + "|".join(words) + ")", text[max(0, m.start() - 40) : m.start()].lower()))
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", text):
+        if int("".join(str(int(c, 36)) for c in m[0][4:] + m[0][:4])) % 97 == 1:
+            out.append(("iban", m.start(), m.end()))
+    for kind, pattern, words in (("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ("ssn", "social", "security")), ("secret", r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])", ("token", "key", "secret", "password"))):
+        out += [(kind, m.start(), m.end()) for m in re.finditer(pattern, text) if near(m, words)]
+    return out
+
+
 def test_pii(spark, docs):
     from veilframe.llm import pii
 
     rows, df = docs
-    want = []
-    for r in rows:
-        base = pii_base(r[1] or "")
-        want.append((r[0], ",".join(f"{k}:{s}:{e}" for k, s, e in base)))
+    rng = random.Random(9)
+    made = ["GB82WEST12345698765432", "GB82WEST12345698765433", "DE89370400440532013000", "FR1420041010050500013M02606", "123-45-6789", "0123456789abcdef" * 2, "f" * 64, "a" * 31, "my token", "SSN", "the key", "monkey", "Passwords", "social security no", "x" * 45, "iban", "\u0130", "a@b.c", "1.2.3.4", "+45 12 34 56 78 90", "4111 1111 1111 1111", "\n", "."]
+    rows = [*rows, *[(60_000 + k, rng.choice([" ", "", ": "]).join(rng.choice(made) for _ in range(rng.randrange(1, 14))), *[None] * 5) for k in range(400)]]
+    rows.append((61_000, "key 0123456789abcdef0123456789abcdef a@b.cd " * 5000, *[None] * 5))
+    df = spark.createDataFrame(rows, DOCS)
+    listed = lambda found: ",".join(f"{k}:{s}:{e}" for k, s, e in found)
+    want = [(r[0], listed(pii_base(r[1] or "")), listed(pii_base(r[1] or "") + pii_more(r[1] or ""))) for r in rows]
     found = pii.find(df).collect()
-    same([(r.doc_id, ",".join(f"{x.kind}:{x.s}:{x.e}" for x in r.found if x.kind in pii.BASE)) for r in found], want)
+    same([(r.doc_id, listed((x.kind, x.s, x.e) for x in r.found if x.kind in pii.BASE), listed((x.kind, x.s, x.e) for x in r.found)) for r in found], want)
+    assert sum(w[1] != w[2] for w in want) > 100
     more = {r.doc_id: [(x.kind, x.s) for x in r.found if x.kind not in pii.BASE] for r in found}
     assert more[10_000 + 17] == [("iban", 0), ("ssn", 50), ("ssn", 63)]
     out = pii.mask(df)

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import places
 from .common import let, table, text_of
 
 #: The patterns.
@@ -40,20 +41,6 @@ LEAST = 0.6
 NEARBY = 40
 
 
-def places(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>> of all matches: start, end, match."""
-
-    def of(x: Column) -> Column:
-        step = lambda acc, i: let(
-            acc["at"] + F.length(F.get(x["gaps"], i)),
-            lambda s: F.struct((s + F.length(F.get(x["found"], i))).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + F.length(F.get(x["found"], i))).alias("e"), F.get(x["found"], i).alias("m")))).alias("out")),
-        )
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-        return F.when(F.size(x["found"]) == 0, zero["out"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), zero, step)["out"])
-
-    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), of)
-
-
 def digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]+", "")
 
@@ -87,7 +74,7 @@ def octets(m: Column) -> Column:
 
 def spans(text: Column) -> Column:
     """array<struct<kind, s, e, score>>, by kind as listed, then start. text isn't null and is a variable or a column."""
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
 
     def kept(kind: str, pattern: str, holds, may: Column | None = None) -> Column:
         found = places(text, pattern)
@@ -95,9 +82,9 @@ def spans(text: Column) -> Column:
         base, words, more = SCORES[kind]
 
         def scored(x: Column) -> Column:
-            before = F.lower(text.substr(F.greatest(x["s"] - NEARBY, F.lit(0)) + 1, F.least(x["s"], F.lit(NEARBY))))
+            before = F.lower(text.substr(F.greatest(x["start"] - NEARBY, F.lit(0)) + 1, F.least(x["start"], F.lit(NEARBY))))
             near = before.rlike(r"(?<![a-z])(?:" + "|".join(words) + ")")
-            return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), (F.lit(base) + F.when(near, more).otherwise(0.0)).alias("score"))
+            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("s"), x["end"].alias("e"), (F.lit(base) + F.when(near, more).otherwise(0.0)).alias("score"))
 
         return F.filter(F.transform(found, scored), lambda x: (x["score"] >= LEAST) | F.lit(kind in BASE))
 
