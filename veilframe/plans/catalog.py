@@ -182,6 +182,29 @@ def number_groups(spark, sf_dir):
     return grouping.dictionary(found, ["general_number"]).select("id", "variant_no", "variant")
 
 
+def digit_groups(spark, sf_dir):
+    """Which runs of four to six digits of the documents are one entity."""
+    found = D.mentions(D.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"), D.Registry.default().named("digit_sequence")))
+    return grouping.dictionary(found, ["general_number"]).select("id", F.col("variant_no").cast("bigint").alias("variant_no"), "variant")
+
+
+DIGITS_SQL = f"""WITH RECURSIVE m AS (SELECT surface AS v, row_number() OVER (ORDER BY first) AS ord FROM (
+  SELECT surface, min((doc_id, i)) AS first FROM (SELECT doc_id, f[i] AS surface, i FROM (SELECT doc_id, regexp_extract_all(text, '{TEXT_PATTERNS['digit_sequence']}') AS f, unnest(range(1, len(f) + 1)) AS i FROM documents)) GROUP BY surface)),
+p AS (SELECT x.ord AS a, y.ord AS b, x.v AS s, y.v AS t FROM m x JOIN m y ON x.ord < y.ord),
+lcs AS (
+  SELECT a, b, s, t, 0 AS i, list_transform(range(len(t) + 1), lambda z: 0) AS line FROM p
+  UNION ALL
+  SELECT a, b, s, t, i + 1, list_reduce(list_concat([[0]], list_transform(range(1, len(t) + 1), lambda j: [j])), lambda acc, z: list_append(acc, CASE WHEN s[i + 1] = t[z[1]] THEN line[z[1]] + 1 ELSE greatest(line[z[1] + 1], acc[-1]) END)) FROM lcs WHERE i < len(s)),
+near AS (SELECT b, list(a) AS earlier FROM lcs WHERE i = len(s) AND 200.0 * line[-1] / (len(s) + len(t)) > 80 GROUP BY b),
+steps AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS leaders
+  UNION ALL
+  SELECT k + 1, CASE WHEN len(list_intersect(leaders, coalesce(earlier, []))) = 0 THEN list_append(leaders, k + 1) ELSE leaders END FROM steps JOIN m ON m.ord = k + 1 LEFT JOIN near ON near.b = k + 1),
+done AS (SELECT leaders FROM steps ORDER BY k DESC LIMIT 1),
+led AS (SELECT v, ord, CASE WHEN list_contains(leaders, ord) THEN ord ELSE list_min(list_intersect(leaders, earlier)) END AS leader FROM m CROSS JOIN done LEFT JOIN near ON near.b = m.ord)
+SELECT '<GENERAL_NUMBER_' || dense_rank() OVER (ORDER BY leader) || '>' AS id, row_number() OVER (PARTITION BY leader ORDER BY ord) AS variant_no, v AS variant FROM led"""
+
+
 def name_groups(spark, sf_dir):
     names = _table(spark, sf_dir, "nation").select(F.lit("person").alias("category"), F.col("n_name").alias("surface"), F.col("n_nationkey").cast("bigint").alias("ord"))
     more = _table(spark, sf_dir, "nation").select(F.lit("person"), F.concat(F.col("n_name"), F.lit(" republic")), F.col("n_nationkey").cast("bigint") + 1000)
@@ -222,6 +245,32 @@ def pseudonymize_conversations(spark, sf_dir):
     return _rewritten(spark, _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", "text")
 
 
+def pseudonymize_typst(spark, sf_dir):
+    """The same rules with Typst's boundaries: a number is replaced as a whole word only."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rewrite.pseudonymize(docs, _rules(spark), rewrite.typst_boundary).select("doc_id", "text", F.col("counts")["general_number"].alias("n_numbers"))
+
+
+def _typst_sql() -> str:
+    before = _cascade_sql("text").removeprefix("replace(").removesuffix(", '1', '<GENERAL_NUMBER_1>')")
+    return f"SELECT doc_id, regexp_replace(t, '\\b1\\b', '<GENERAL_NUMBER_1>', 'g') AS text, len(regexp_extract_all(t, '\\b1\\b'))::BIGINT AS n_numbers FROM (SELECT doc_id, {before} AS t FROM documents)"
+
+
+def dictionary_yaml(spark, sf_dir):
+    """A dictionary of the nations, written as the file that people review, and read back."""
+    from ..sources import dictionary as K
+
+    nation, no = _table(spark, sf_dir, "nation"), (F.col("n_nationkey") + 1).cast("int")
+    rows = nation.select(F.lit("location").alias("category"), no.alias("entity_no"), F.format_string("<LOCATION_%d>", no).alias("id"), F.posexplode(F.array("n_name", F.concat(F.lit('"'), F.initcap("n_name"), F.lit('": \\ é\n')))).alias("variant_no", "variant"))
+    rows = rows.withColumn("variant_no", F.col("variant_no") + 1).withColumn("pattern", F.when(F.col("entity_no") % 2 == 0, F.lit("#1")))
+    return K.to_rows(spark, K.from_yaml(K.to_yaml(K.from_rows(rows)))).select("category", F.col("entity_no").cast("bigint").alias("entity_no"), "id", F.col("variant_no").cast("bigint").alias("variant_no"), "variant", "pattern")
+
+
+YAML_SQL = """SELECT 'location' AS category, (n_nationkey + 1)::BIGINT AS entity_no, '<LOCATION_' || (n_nationkey + 1) || '>' AS id, v AS variant_no,
+  CASE WHEN v = 1 THEN n_name ELSE '"' || list_aggregate(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') || '": ' || chr(92) || ' é' || chr(10) END AS variant,
+  CASE WHEN (n_nationkey + 1) % 2 = 0 THEN '#1' END AS pattern FROM nation, (VALUES (1::BIGINT), (2::BIGINT)) AS x(v)"""
+
+
 def replacement_counts(spark, sf_dir):
     return rewrite.totals(_rewritten(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))).select("category", "found", "replaced")
 
@@ -363,7 +412,7 @@ def queries() -> dict:
     for f in (
         span_offsets, resolve_overlaps, interval_anti_join, mentions_distinct, found_counts, entity_ids, pseudonymize_counts, normalized, similar_pairs, number_groups, name_groups, pseudonymize_documents,
         pseudonymize_conversations, replacement_counts, hyphen_join, tex_extract, md_to_typst, fake_format, typst_variables, possible_variants, context_boost, bib_prose, detect_all,
-        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups, detect_by_model,
+        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups, digit_groups, detect_by_model, pseudonymize_typst, dictionary_yaml,
     ):
         out[f.__name__] = f
     return out
@@ -394,6 +443,9 @@ def oracle_sql() -> dict[str, str]:
         "typst_variables": TYPST_SQL,
         "possible_variants": _variants_sql(),
         "date_groups": DATES_SQL,
+        "digit_groups": DIGITS_SQL,
+        "dictionary_yaml": YAML_SQL,
+        "pseudonymize_typst": _typst_sql(),
         "detect_by_model": "SELECT doc_id, 'person' AS category, surface, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b')) AS surface FROM documents) GROUP BY ALL",
         "context_boost": "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS score FROM orders",
         "bib_prose": "SELECT p_partkey AS doc_id, p_name || ' ' || p_brand || ' book k' AS text FROM part",
