@@ -311,3 +311,11 @@ def test_dictionary_as_yaml_and_table(spark, tmp_path, capsys):
         done.append((tmp_path / f"{name}.md").read_text())
     assert done[0] == done[1] and "<PERSON_1>" in done[0] and "John" not in done[0]
     assert "PERSON replaced: 2" in capsys.readouterr().out
+
+
+def test_preview_stands_out_on_a_terminal(monkeypatch):
+    from veilframe import cli
+
+    assert cli._shown("a <PERSON_1> #(P1V2)") == "a <PERSON_1> #(P1V2)"
+    monkeypatch.setattr(cli.sys.stdout, "isatty", lambda: True, raising=False)
+    assert cli._shown("a <PERSON_1> #(P1V2) <x>") == "a \033[1;36m<PERSON_1>\033[0m \033[1;36m#(P1V2)\033[0m <x>"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 from pathlib import Path
 
@@ -59,11 +60,16 @@ def extract(paths: list[str], config: str = "__temp.yaml", language: str = "en")
             print(f"  {c.upper()} found: {anonymizer.counts[f'{c}_found']}")
         print(f"Config written to {config}")
         if not config.endswith(".parquet"):
-            print(anonymizer.generate_yaml())
+            print(_shown(anonymizer.generate_yaml()))
 
     _guarded(run)
 
 
+def _shown(text: str) -> str:
+    """A preview; on a terminal, ids and variables stand out."""
+    return re.sub(r"<[A-Z_]+_\d+>|#\([A-Z]+\d+V\d+\)", "\033[1;36m\\g<0>\033[0m", text) if sys.stdout.isatty() else text
+
+
 def _report(counts: dict[str, int]) -> None:
     print("Replacement counts:")
     for c in CATEGORIES:
@@ -79,7 +85,7 @@ def plain(path: str, config: str | None, output: str | None = None) -> None:
         anonymizer = _loaded(config)
         print(f"Processing {path}...")
         _report(anonymize_file(path, anonymizer, target))
-        print(target.read_text(encoding="utf-8"))
+        print(_shown(target.read_text(encoding="utf-8")))
 
     _guarded(run)
 
@@ -97,7 +103,7 @@ def typst(path: str, config: str | None, output: str | None = None) -> None:
         for p in paths:
             print(f" - {p}")
         for p in (paths[1], paths[2], paths[0]):
-            print(f"\nPreview of {p.name}:\n{p.read_text(encoding='utf-8')}")
+            print(f"\nPreview of {p.name}:\n{_shown(p.read_text(encoding='utf-8'))}")
 
     _guarded(run)
 
