@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with the N best segmentations.
 
-The lattice of a text has an edge for every vocabulary piece that matches at a place, with the model's score, and one for
-each character that isn't a piece itself, with less than any piece's score; such a character is written as byte pieces. The best
+The lattice of a text has an edge for every vocabulary piece that matches at a place, with its log probability (the model's, or by
+Zipf's law from the order of a merge model, whose N best are so this module's and not the library's), and one for each character that isn't a piece itself, with less than any piece's score; such a character is written as byte pieces. The best
 path is found by a forward Viterbi pass. Its scores, the best from the start to each place, are exact heuristics for a
 backward A* search from the end: paths leave the queue in order of their whole score, so the first N are the N best.
 Ties are settled in a fixed way.
@@ -33,15 +33,30 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 BEST = 3
+#: Ranks at the head of a merge model's order whose probabilities are about equal.
+FLAT = 300
+#: Scores are multiples of 1 / GRAIN, so that sums are exact in any order, and equal ones equal.
+GRAIN = 1 << 20
 SPACE = "▁"
 MARK = SPACE.encode()
 
 
+def log_probabilities(scores: dict[int, float]) -> dict[int, float]:
+    """Scores that a lattice can add up. A unigram model's are log probabilities and stay. Those of a merge model are whole numbers, the places
+    of its merges, most frequent first; sums of places mean nothing, so the piece of rank r gets the probability 1 / (r + FLAT) of the
+    Zipf-Mandelbrot law: the first merges are mostly steps to longer pieces and seldom stand by themselves."""
+    if any(s != int(s) for s in scores.values()):
+        return scores
+    ranked = sorted(scores, key=lambda i: (-scores[i], i))
+    whole = math.log(sum(1 / (r + FLAT) for r in range(1, len(ranked) + 1)))
+    return {i: -math.log(r + FLAT) - whole for r, i in enumerate(ranked, 1)}
+
+
 class Model:
     """Pieces, scores and bytes of a SentencePiece file."""
 
     KEPT = 100_000
-    #: Longer words are searched on their own.
+    #: Longer words are learned apart from shorter ones.
     LONG = 40
     loaded: dict[tuple[str, int], "Model"] = {}
 
@@ -59,7 +74,8 @@ class Model:
         self.bytes = [byte[b] for b in range(256)]
         byte_of = {i: b for b, i in byte.items()}
         self.spelled = pa.array([bytes([byte_of[i]]) if i in byte_of else b"" if i in skip else sp.id_to_piece(i).encode() for i in range(size)], pa.large_binary())
-        self.pieces = {sp.id_to_piece(i): (sp.get_score(i), i) for i in range(size) if i not in skip and i not in byte_of}
+        own = {i: sp.get_score(i) for i in range(size) if i not in skip and i not in byte_of}
+        self.pieces = {sp.id_to_piece(i): (round(s * GRAIN) / GRAIN, i) for i, s in log_probabilities(own).items()}
         self.unknown = min(s for s, _ in self.pieces.values()) - 10
         self.prefixes = {p[:i] for p in self.pieces for i in range(1, len(p))}
         if any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.pieces):
@@ -87,6 +103,11 @@ class Model:
             cls.loaded[path, best] = cls(path, best)
         return cls.loaded[path, best]
 
+    def forget(self) -> None:
+        """Gives back the memory of the words, for whatever the worker does next."""
+        self.words, self.old, self.ranks = {}, {}, {}
+        pa.default_memory_pool().release_unused()
+
     def edges(self, chunk: str) -> list[list[tuple[int, float, int]]]:
         """For each place the edges that end there: (from, score, id); id -1 is a character as bytes."""
         n, into = len(chunk), [[] for _ in range(len(chunk) + 1)]
@@ -155,13 +176,13 @@ class Model:
 
     def learn(self, words: list[str]) -> None:
         """ids, score and least loss of an alternative of each word: forward and backward passes over all of them at once."""
-        put = self.words
-        for w in (w for w in words if len(w) > self.LONG):
-            got = self.searched(w, 2)
-            put[w] = (got[0][1], got[0][0], got[0][0] - got[1][0] if len(got) > 1 else math.inf)
-        words = [w for w in words if len(w) <= self.LONG]
-        for i in range(0, len(words), 20_000):
-            self._learn(words[i : i + 20_000])
+        for long in (False, True):  # long ones among themselves, so that few words wait for the places of one
+            some = [w for w in words if (len(w) > self.LONG) == long]
+            ends = np.cumsum([len(w) for w in some])
+            while len(some):
+                n = max(1, int(np.searchsorted(ends, 250_000, "right")))
+                self._learn(some[:n])
+                some, ends = some[n:], ends[n:] - ends[n - 1]
 
     def _learn(self, words: list[str]) -> None:
         size = np.array([len(w) for w in words])
@@ -187,7 +208,8 @@ class Model:
         first = np.cumsum(size) - size
         low = at - first[w]
         high, base = low + step, (first + np.arange(len(words)))[w]  # a word has one place more than characters
-        order = np.lexsort((low, w, high))
+        words_bits, place_bits = len(words).bit_length(), int(size.max()).bit_length()  # a batch's words and characters are bounded, so three fit into 63 bits
+        order = np.argsort((((high << words_bits) | w) << place_bits) | low)  # by end, word, beginning
         w, low, high, base, score, piece = w[order], low[order], high[order], base[order], score[order], piece[order]
         places = len(chars) + len(words)
         ahead, behind, by = np.zeros(places), np.zeros(places), np.zeros(places, np.int64)
@@ -199,7 +221,7 @@ class Model:
             ahead[to[group]] = top
             reached = np.flatnonzero(value == np.repeat(top, np.diff([*group, b - a])))[::-1]
             by[to[reached]] = reached + a
-        back = np.lexsort((w, -low))
+        back = np.argsort(((size.max() - low) << words_bits) | w, kind="stable")  # from the last beginning to the first
         limits = np.searchsorted(-low[back], np.arange(-size.max() + 1, 2))
         for a, b in zip(limits, limits[1:]):
             e = back[a:b]
@@ -313,6 +335,7 @@ def _mapped(docs: DataFrame, path: str, n: int, schema: str, of) -> DataFrame:
             for some in slices(b, 1, 1200, 4_000_000):
                 columns = of(model, some.column(1), model.batch(some.column(1)))
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(kinds[0]), *[pa.array(x, k) for x, k in zip(columns, kinds[1:])]], names=names)
+        model.forget()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
