@@ -1,25 +1,26 @@
 """Repeated strings by a distributed merge sort of suffixes that knows common prefixes.
 
 Every byte that a string of LENGTH bytes covers goes if the string also starts somewhere else, in any document. Strings that
-are equal stand next to each other among the sorted suffixes, so it is enough to sort suffixes, cut after LENGTH bytes, and look at the
-common prefix of neighbours. Each task sorts the suffixes of its documents into a run (equal ones become one), which is written in
+are equal stand next to each other among the sorted suffixes, so it is enough to sort suffixes and look at the common prefix of
+neighbours. Each task sorts what its documents bring into runs (equal ones become one), which are written in
 front-coded blocks: how much a suffix shares with the one before, and the rest (compressed). Blocks go to ranges of the order, whose
-limits are a bounded sample. A range merges its runs by a loser tree whose players carry the length of what they share with
-the last winner: the longer one wins, only equal lengths need comparing, and only from there on.
+limits are a sample. A range merges its runs by a loser tree whose players carry the length of what they share with
+the last winner: the longer one wins, only equal lengths need comparing, and only from there on. The merge alone decides what is repeated.
 
-Most suffixes can't have a twin, or have an obvious one, and are never cut out:
+Hashes leave out what can't have a twin, and tell which neighbouring suffixes go together as one key:
 1. A string has an anchor, the least (leftmost) hash of its GRAM-byte substrings. Equal strings have equal anchors at equal
    places, so strings whose anchor's hash occurs once are unique.
-2. The strings that share an anchor's occurrence are a span. Spans whose whole texts are equal (128 bits of hash) are one class
-   before the exchange, as equal keys are in any pre-aggregation: all strings of a class with two members are repeated.
-   If an anchor's hash has several classes, one member of each goes on.
+2. The strings that share an anchor's occurrence are a span. Spans whose hash (128 bits of it) occurs twice go to the sort whole, as suffixes
+   cut behind their last string: where two are equal, all strings of both are repeated. Where an anchor's hash has several such
+   hashes, one span of each goes on, as its strings may have twins in the others.
 3. Those spans are cut into blocks of STARTS starts, at fixed distances from the anchor. The bytes that all strings of a block
-   share are its core; where the core's hash occurs once, none of its strings has a twin. Blocks form classes as spans do, and
-   if a core has several, one member of each goes to the sort, which finds what they share.
+   share are its core; where the core's hash occurs once, none of its strings has a twin. Blocks whose hash occurs twice go to the sort whole,
+   as spans do, and if a core has several hashes, the suffixes of one block of each go there one by one, cut after LENGTH bytes.
 
 Scale: texts are shuffled once, into a table bucketed by row number, which all steps read in place; the rest moves hashes and places.
 Runs collapse equal suffixes, so a string that a third of all documents share comes to a range once per run. Ranges are made
-so that each has about RANGE blocks. A document's spans come together by its row number, bounded by its length.
+so that each has about RANGE blocks: limits that come to the driver are bounded, beyond them each range is cut again by the order of
+its own blocks. A document's spans come together by its row number, bounded by its length.
 
 Cases: null is the empty text; texts shorter than LENGTH keep everything; rows with equal ids are documents of their own (so equal
 texts of LENGTH bytes or more go entirely); an empty table gives an empty result; other columns are ignored."""
@@ -34,14 +35,19 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import forget, materialize, shared_dir, slices, table, tidy
 
 LENGTH, GRAM, STARTS = 400, 64, 8
+#: Kinds of keys in the sort: a suffix cut after LENGTH bytes, a whole block, a whole span.
+SUFFIX, WHOLE, SPAN = b"\x00", b"\x01", b"\x02"
 #: Suffixes in a front-coded block, blocks in a range (about), most limits that come to the driver,
 #: and bytes whose anchors are found at once (fewer than 2^28, as places are packed beside hashes).
-CODED, RANGE, LIMITS, PART = 256, 192, 20_000, 1 << 24
+CODED, RANGE, LIMITS, PART = 256, 192, 5000, 1 << 24
+#: Bytes of keys in a run.
+MEMORY = 48_000_000
 
 _rng = np.random.default_rng(8_080)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -137,7 +143,9 @@ def stored(docs: DataFrame) -> DataFrame:
     name = f"texts_{uuid.uuid4().hex}"
     with tidy(spark):
         rows.repartition(parts, "row").write.bucketBy(parts, "row").option("path", shared_dir(spark)).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its name alone: files with a path of their own stay, and out has found them
+    return out
 
 
 def repeated_anchors(texts: DataFrame) -> DataFrame:
@@ -150,23 +158,26 @@ def repeated_anchors(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(doc)), *[pa.array(x.astype(np.int32)) for x in (a, lo, hi)], pa.array(h.view(np.int64)), pa.array(w.view(np.int64))], names=["row", "a", "lo", "hi", "h", "w"])
 
     found = materialize(texts.select("row", "text").mapInArrow(run, "row long, a int, lo int, hi int, h long, w long"))
-    twice = found.groupBy("h").count().where("count > 1").select(F.col("h").alias("_h"))
+    twice = materialize(found.groupBy("h").count().where("count > 1").select(F.col("h").alias("_h")))  # a written side: the join can split a hot hash
     out = materialize(found.join(twice, F.col("h") == F.col("_h"), "left_semi"))
-    forget(found)
+    for done in (found, twice):
+        forget(done)
     return out
 
 
 def span_classes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """settled (row, lo, hi): spans that another one equals, all their strings repeat; and mixed (row, spans: array<struct<a, lo, hi>>):
-    one span of each class where an anchor's hash has several."""
+    """twice (row, lo, hi): spans whose hash another one has; and mixed (row, spans: array<struct<a, lo, hi>>): one span of each hash
+    where an anchor's hash has several."""
     key = [F.col("h"), F.col("w"), (F.col("lo") - F.col("a")).alias("x"), (F.col("hi") - F.col("lo")).alias("y")]
     keyed = found.select("row", "a", "lo", "hi", *key)
     classes = materialize(keyed.groupBy("h", "w", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct("row", "a", "lo", "hi")).alias("one")))
-    several = classes.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("k")).where("k > 1")
+    several = materialize(classes.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("k")).where("k > 1").select("_h"))
     many = classes.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in "hwxy"])
-    settled = keyed.join(many, (F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_semi").select("row", "lo", "hi")
-    mixed_up = classes.join(several, F.col("h") == F.col("_h"), "left_semi")
-    return settled, mixed_up.groupBy("one.row").agg(F.collect_list(F.struct("one.a", "one.lo", "one.hi")).alias("spans"))
+    twice = materialize(keyed.join(many, (F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_semi").select("row", "lo", "hi"))
+    mixed_up = materialize(classes.join(several, F.col("h") == F.col("_h"), "left_semi").groupBy("one.row").agg(F.collect_list(F.struct("one.a", "one.lo", "one.hi")).alias("spans")))
+    for done in (classes, several):
+        forget(done)
+    return twice, mixed_up
 
 
 def _spans(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -219,22 +230,23 @@ def shared_prefix(x: bytes, y: bytes, at: int) -> int:
     return at
 
 
-def front_coded(run: list[tuple[bytes, int, int]], size: int = CODED) -> Iterator[tuple[int, bytes, bytes, np.ndarray, np.ndarray, np.ndarray, bytes]]:
-    """A sorted run (suffix, row, start) in blocks: number, first and last suffix, lengths shared, rows, starts, the rest of each."""
+def front_coded(run: list[tuple[bytes, int, int, int]], size: int = CODED) -> Iterator[tuple]:
+    """A sorted run (key, row, lo, hi) in blocks: number, first and last key, lengths shared, lengths, rows, los, his, the rest of each."""
     for k in range(0, len(run), size):
         some, before, shared, rest = run[k : k + size], b"", [], []
-        for s, _, _ in some:
+        for s, *_ in some:
             n = shared_prefix(before, s, 0)
             shared.append(n)
             rest.append(s[n:])
             before = s
-        yield k // size, some[0][0], some[-1][0], np.array(shared, "<u2"), np.array([r for _, r, _ in some], "<i8"), np.array([t for _, _, t in some], "<i4"), b"".join(rest)
+        columns = [np.array(shared, "<u2"), np.array([len(x[0]) for x in some], "<u2"), np.array([x[1] for x in some], "<i8"), np.array([x[2] for x in some], "<i4"), np.array([x[3] for x in some], "<i4")]
+        yield k // size, some[0][0], some[-1][0], *columns, b"".join(rest)
 
 
-def decoded(shared: np.ndarray, rest: bytes, length: int = LENGTH) -> Iterator[tuple[int, bytes]]:
-    """Suffixes of a block, each with what it shares with the one before."""
+def decoded(shared: np.ndarray, lengths: np.ndarray, rest: bytes) -> Iterator[tuple[int, bytes]]:
+    """Keys of a block, each with what it shares with the one before."""
     at, before = 0, b""
-    for n in shared.tolist():
+    for n, length in zip(shared.tolist(), lengths.tolist()):
         before = before[:n] + rest[at : at + length - n]
         at += length - n
         yield n, before
@@ -291,63 +303,74 @@ def merged(runs: list[Iterator[tuple[int, bytes, object]]]) -> Iterator[tuple[in
             node //= 2
 
 
+RUNS = "run long, no int, low binary, high binary, shared binary, lengths binary, rows binary, los binary, his binary, rest binary"
+
+
 def sorted_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Runs of the suffixes that begin in the blocks at `starts`: front-coded blocks, and rows (range key null) for suffixes that
-    occur twice within a run already."""
-    schema = "run long, no int, low binary, high binary, shared binary, rows binary, starts binary, rest binary"
+    """wanted: row, keys: array<struct<kind, lo, hi>>. Runs of the keys: front-coded blocks, and rows without a number for keys that occur
+    twice within a run already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, count = TaskContext.get().partitionId(), 0
-        held: dict[bytes, tuple[int, int]] = {}
-        twice: list[tuple[int, int]] = []
+        part, count, size = TaskContext.get().partitionId(), 0, 0
+        held: dict[bytes, tuple[int, int, int]] = {}
+        twice: list[tuple[int, int, int]] = []
 
         def made():
-            nonlocal count
-            whole = sorted((s, r, t) for s, (r, t) in held.items())
-            out = [(part + (count << 24), no, low, high, a.tobytes(), r.tobytes(), t.tobytes(), zstandard.compress(rest)) for no, low, high, a, r, t, rest in front_coded(whole)]
+            nonlocal count, size
+            name = part + (count << 24)
+            whole = sorted((s, *what) for s, what in held.items())
+            out = [(name, no, low, high, *[x.tobytes() for x in columns], zstandard.compress(rest)) for no, low, high, *columns, rest in front_coded(whole)]
             if twice:
-                out.append((part + (count << 24), None, None, None, None, np.array([r for r, _ in twice], "<i8").tobytes(), np.array([t for _, t in twice], "<i4").tobytes(), None))
-            count += 1
+                out.append((name, None, None, None, None, None, *[np.array(x, t).tobytes() for x, t in zip(zip(*twice), ("<i8", "<i4", "<i4"))], None))
+            count, size = count + 1, 0
             held.clear()
             twice.clear()
-            columns = list(zip(*out))
-            types = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in schema.split(", ")])
+            types = (pa.int64(), pa.int32(), *[pa.binary()] * 8)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in RUNS.split(", ")])
+
+        def add(s: bytes, *what: int):
+            nonlocal size
+            if s in held:
+                twice.extend((what, held[s]))
+            else:
+                held[s] = what
+                size += len(s)
 
         for b in batches:
             rows, data = b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())
-            doc, (starts,) = _spans(b.column(2))
+            doc, (kinds, los, his) = _spans(b.column(2))
             limits = np.searchsorted(doc, np.arange(len(rows) + 1))
             for k, row in enumerate(rows):
-                text = data[k].as_py()
-                st = starts[limits[k] : limits[k + 1]]
-                every = np.unique((st[:, None] + np.arange(STARTS)[None, :]).ravel())
-                for t in every[(every >= 0) & (every <= len(text) - LENGTH)].tolist():
-                    s = text[t : t + LENGTH]
-                    if s in held:
-                        twice += [(row, t), held[s]]
-                    else:
-                        held[s] = (row, t)
-                if len(held) > 150_000:  # a run's memory is bounded
-                    yield made()
+                text, these = data[k].as_py(), slice(limits[k], limits[k + 1])
+                kind, lo, hi = kinds[these], los[these], his[these]
+                single = kind == 0
+                starts = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(lo[single].tolist(), hi[single].tolist())])) if single.any() else lo[:0]
+                for t in starts[(starts >= 0) & (starts <= len(text) - LENGTH)].tolist():
+                    add(SUFFIX + text[t : t + LENGTH], row, t, t)
+                    if size > MEMORY:
+                        yield made()
+                for which, x, y in zip(kind[~single].tolist(), lo[~single].tolist(), hi[~single].tolist()):
+                    add((WHOLE if which == 1 else SPAN) + text[x : y + LENGTH], row, x, y)
+                    if size > MEMORY:  # a run's memory is bounded
+                        yield made()
         if held:
             yield made()
 
-    return texts.select("row", "text").join(wanted, "row").select("row", "text", "starts").mapInArrow(run, schema)
+    return texts.select("row", "text").join(wanted, "row").select("row", "text", "keys").mapInArrow(run, RUNS)
 
 
 def twins(runs: DataFrame) -> DataFrame:
-    """row, start of every suffix that two runs (or one) have."""
+    """row, lo, hi: strings that start there have twins, as two runs (or one) have the key."""
     spark = runs.sparkSession
-    own = runs.where("no IS NULL").select("rows", "starts")
+    own = runs.where("no IS NULL").select("rows", "los", "his")
     coded = runs.where("no IS NOT NULL")
     n = coded.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE + 1)
-    sample = coded.select("low").orderBy(F.xxhash64("run", "no")).limit(LIMITS).collect()  # limits only balance the work
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE + 1)
+    sample = coded.select("low").orderBy(F.xxhash64("run", "no")).limit(min(LIMITS, 30 * wanted)).collect()  # limits only balance the work
     lows = sorted({r.low for r in sample})
-    parts = min(parts, len(lows) or 1)
+    parts = min(wanted, len(lows) or 1)
     limits = sorted({lows[len(lows) * k // parts] for k in range(1, parts)})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,73 +380,92 @@ def twins(runs: DataFrame) -> DataFrame:
         for b in batches:
             first = [bisect_right(limits, x) for x in b.column(2).to_pylist()]
             last = [bisect_right(limits, x) for x in b.column(3).to_pylist()]
-            index = [i for i, (x, y) in enumerate(zip(first, last)) for _ in range(x, y + 1)]
+            index = pa.array([i for i, (x, y) in enumerate(zip(first, last)) for _ in range(x, y + 1)], pa.int64())
             part = [p for x, y in zip(first, last) for p in range(x, y + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[b.column(c).take(pa.array(index, pa.int64())) for c in (0, 1, 4, 5, 6, 7)]], names=["part", "run", "no", "shared", "rows", "starts", "rest"])
-
-    dealt = coded.mapInArrow(deal, "part int, run long, no int, shared binary, rows binary, starts binary, rest binary")
-    dealt = dealt.repartition(max(1, len(limits) + 1), "part").sortWithinPartitions("part", "run", "no")
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[c.take(index) for c in b.columns]], names=["part", *b.schema.names])
+
+    dealt = coded.mapInArrow(deal, "part int, " + RUNS)
+    if wanted > 2 * parts:  # more ranges than limits: each is cut before every RANGE-th of the blocks that begin in it
+        slim = dealt.select("part", "low").where(F.col("low") >= F.coalesce(F.get(F.lit([bytearray(x) for x in limits]), F.col("part") - 1), F.lit(b""))) if limits else dealt.select("part", "low")
+        cuts = slim.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("low"))).where((F.col("k") % RANGE == 0) & (F.col("k") > 0))
+        cuts = materialize(cuts.groupBy(F.col("part").alias("_part")).agg(F.array_sort(F.collect_set("low")).alias("cuts")))
+        below = lambda c: F.size(F.filter("cuts", lambda x: x <= F.col(c)))
+        dealt = dealt.join(cuts, F.col("part") == F.col("_part"), "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<binary>")))
+        dealt = dealt.withColumn("sub", F.explode(F.sequence(below("low"), below("high")))).withColumns({"begin": F.get("cuts", F.col("sub") - 1), "end": F.get("cuts", F.col("sub"))}).drop("cuts", "_part")
+    else:
+        dealt = dealt.withColumns({"sub": F.lit(0), "begin": F.lit(None).cast("binary"), "end": F.lit(None).cast("binary")})
+    names = ["part", "sub", "begin", "end", "run", "shared", "lengths", "rows", "los", "his", "rest"]
+    dealt = dealt.repartition(wanted, "part", "sub").sortWithinPartitions("part", "sub", "run", "no").select(*names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, {}
+        key, held = None, {}
 
-        def suffixes(blocks: list, low: bytes | None, high: bytes | None):
+        def keys(blocks: list, low: bytes | None, high: bytes | None):
             before = None
-            for shared, rows, starts, rest in blocks:
-                for (n, s), r, t in zip(decoded(np.frombuffer(shared, "<u2"), zstandard.decompress(rest)), np.frombuffer(rows, "<i8").tolist(), np.frombuffer(starts, "<i4").tolist()):
+            for shared, lengths, rows, los, his, rest in blocks:
+                what = zip(*(np.frombuffer(x, t).tolist() for x, t in ((rows, "<i8"), (los, "<i4"), (his, "<i4"))))
+                for (n, s), w in zip(decoded(np.frombuffer(shared, "<u2"), np.frombuffer(lengths, "<u2"), zstandard.decompress(rest)), what):
                     if (low is None or s >= low) and (high is None or s < high):
                         # the first of a block is written whole; what it shares with the one before is seen here
-                        yield (n if n or before is None else shared_prefix(before, s, 0)), s, (r, t)
+                        yield (n if n or before is None else shared_prefix(before, s, 0)), s, w
                         before = s
 
         def out():
-            low, high = (limits[part - 1] if part else None), (limits[part] if part < len(limits) else None)
-            found, before, told = [], None, False
-            for n, _, what in merged([suffixes(x, low, high) for x in held.values()]):
-                if n >= LENGTH:
+            part, _, begin, end = key
+            low = max((x for x in (limits[part - 1] if part else None, begin) if x is not None), default=None)
+            high = min((x for x in (limits[part] if part < len(limits) else None, end) if x is not None), default=None)
+            found, before, last, told = [], None, b"", False
+            for n, s, what in merged([keys(x, low, high) for x in held.values()]):
+                same = n == len(s) == len(last)
+                if same:
                     if not told:
                         found.append(before)
                     found.append(what)
-                told, before = n >= LENGTH, what
-            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int32())], names=["row", "start"])
+                told, before, last = same, what, s
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["row", "lo", "hi"])
 
         for b in batches:
-            for p, run, shared, rows, starts, rest in zip(*[b.column(c).to_pylist() for c in (0, 1, 3, 4, 5, 6)]):
-                if p != part and held:
+            for part, sub, begin, end, run, *block in zip(*[c.to_pylist() for c in b.columns]):
+                if (part, sub, begin, end) != key and held:
                     yield out()
                     held = {}
-                part = p
-                held.setdefault(run, []).append((shared, rows, starts, rest))
+                key = (part, sub, begin, end)
+                held.setdefault(run, []).append(block)
         if held:
             yield out()
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows, starts in zip(b.column(0), b.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rows.as_buffer(), "<i8")), pa.array(np.frombuffer(starts.as_buffer(), "<i4"))], names=["row", "start"])
+            for x in zip(*b.columns):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c.as_buffer(), t)) for c, t in zip(x, ("<i8", "<i4", "<i4"))], names=["row", "lo", "hi"])
 
-    return dealt.mapInArrow(merge, "row long, start int").unionByName(own.mapInArrow(opened, "row long, start int"))
+    return dealt.mapInArrow(merge, "row long, lo int, hi int").unionByName(own.mapInArrow(opened, "row long, lo int, hi int"))
 
 
 def repeats(texts: DataFrame) -> DataFrame:
     """row, ranges: array<struct<lo, hi>> of starts that repeat, both included, of stored() texts."""
     anchored = repeated_anchors(texts)
     spans, mixed_up = span_classes(anchored)
+    forget(anchored)
     found = materialize(blocks(texts, mixed_up))
     classes = materialize(found.groupBy("core", "f").agg(F.count("*").alias("n"), F.min(F.struct("row", "st")).alias("one")))
-    cores = classes.groupBy(F.col("core").alias("_core")).agg(F.count("*").alias("k")).where("k > 1")
-    wanted = classes.join(cores, F.col("core") == F.col("_core"), "left_semi").select("one.row", "one.st").groupBy("row").agg(F.collect_list("st").alias("starts"))
+    cores = materialize(classes.groupBy(F.col("core").alias("_core")).agg(F.count("*").alias("k")).where("k > 1").select("_core"))
+    singles = classes.join(cores, F.col("core") == F.col("_core"), "left_semi").select("one.row", "one.st")
     many = classes.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in ("core", "f")])
-    whole = found.join(many, (F.col("core") == F.col("_core")) & (F.col("f") == F.col("_f")), "left_semi")
-    runs = materialize(sorted_runs(texts, wanted))
-    every = spans.unionByName(whole.select("row", F.col("st").alias("lo"), (F.col("st") + STARTS - 1).alias("hi"))).unionByName(twins(runs).select("row", F.col("start").alias("lo"), F.col("start").alias("hi")))
-    out = materialize(every.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
-    for done in (anchored, found, classes, runs):
+    whole = found.join(many, (F.col("core") == F.col("_core")) & (F.col("f") == F.col("_f")), "left_semi").select("row", "st")
+    block = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("st").alias("lo"), (F.col("st") + STARTS - 1).alias("hi"))
+    keys = spans.select("row", F.struct(F.lit(2).alias("kind"), "lo", "hi").alias("key")).unionByName(whole.select("row", block(1).alias("key"))).unionByName(singles.select("row", block(0).alias("key")))
+    wanted = materialize(keys.groupBy("row").agg(F.collect_list("key").alias("keys")))
+    for done in (spans, mixed_up, found, classes, cores):
         forget(done)
+    runs = materialize(sorted_runs(texts, wanted))
+    forget(wanted)
+    out = materialize(twins(runs).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    forget(runs)
     return out
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_share double, text string"
 
 
 def removed(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -439,24 +481,28 @@ def dedup(docs: DataFrame, schema: str, of) -> DataFrame:
     texts = stored(docs)
     found = repeats(texts)
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
-        for b in batches:
-            rows, data = [], b.column(1).cast(pa.large_binary())
-            for k, doc_id in enumerate(b.column(0).to_pylist()):
-                text, ranges = data[k].as_py(), b.column(2)[k]
-                lo, hi = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.values.flatten()) if ranges.is_valid else (none, none)
-                rows.append(of(doc_id, text, removed(len(text), lo, hi)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows) if rows else [[]] * len(names), schema.split(", "))], names=names)
+        for whole in batches:
+            for b in slices(whole, 1, 2000, 4_000_000):
+                rows, data = [], b.column(1).cast(pa.large_binary())
+                for k, doc_id in enumerate(b.column(0).to_pylist()):
+                    text, ranges = data[k].as_py(), b.column(2)[k]
+                    lo, hi = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.values.flatten()) if ranges.is_valid else (none, none)
+                    rows.append(of(doc_id, text, removed(len(text), lo, hi)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows) if rows else [[]] * len(names), schema.split(", "))], names=names)
 
     return texts.join(found, "row", "left").select("doc_id", "text", "ranges").mapInArrow(run, schema)
 
 
 def digest(doc_id, text: bytes, gone: np.ndarray) -> tuple:
-    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-    return doc_id, len(text), int(gone.sum()), int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1)), hashlib.sha256(kept).hexdigest()
+    """What is left as text: a character that a cut runs through becomes a replacement character."""
+    n = int(gone.sum())
+    kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if n else text
+    spans = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1)) if n else 0
+    return doc_id, len(text), n, spans, hashlib.sha256(kept).hexdigest(), n / len(text) if text else 0.0, kept.decode("utf-8", "replace")
 
 
 def kept_texts(docs: DataFrame) -> DataFrame:
