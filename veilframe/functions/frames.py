@@ -68,7 +68,7 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     out = materialize(make())  # its folder is the last
     for folder in _passing[begin:-1]:
         _delete(spark, folder)
-    del _passing[begin:]
+    del _passing[begin:-1]  # out itself may be on the way to something
     return out
 
 
