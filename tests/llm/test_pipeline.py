@@ -77,3 +77,22 @@ def test_run(spark):
     rows, docs = out.collect(), {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert rows and {r.doc_id for r in rows} <= docs.keys() and all(r.round_trip for r in rows)
     assert len(p.STAGES) == 5
+
+
+def test_odd_tables(spark):
+    """Each stage by itself: no rows, nulls alone, and columns under the operators' own names."""
+    import corpus_pipeline as p
+
+    sf, kind = "/root/testdata/sf0.001", "doc_id long, text string, lang string, source string, n_chars long"
+    nulls = spark.createDataFrame([(None,) * 5] * 3 + [(1, None, None, None, None), (1, "", "", "", 0)], kind)
+    clashing = spark.read.parquet(f"{sf}/documents.parquet").limit(40).selectExpr("*", "1 AS key", "'x' AS _m", "map(1, 2) AS _c", "2 AS size", "3 AS node", "'k' AS kept", "4.5 AS position", "array(1) AS `a.b`")
+    for name, stage in p.STAGES:
+        assert stage(spark, nulls.limit(0), sf).count() == 0, name
+        got = stage(spark, nulls, sf).collect()
+        # without words: rejected by the rules, in no mix, and alike to nothing
+        assert len(got) == {"quality rules": 0, "mixing to target weights": 0}.get(name, 5), name
+        out = stage(spark, clashing, sf)
+        if name != p.STAGES[-1][0]:
+            assert out.columns == clashing.columns, name
+            rows = out.collect()
+            assert rows and {(r.key, r._m, str(r._c), r["size"], r.node, r.kept, float(r.position), str(r["a.b"])) for r in rows} == {(1, "x", "{1: 2}", 2, 3, "k", 4.5, "[1]")}, name

@@ -125,8 +125,8 @@ def masked(text: Column, found: Column) -> Column:
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with their spans masked, all columns; n_chars follows the text, a null text stays null."""
     text = F.when(F.col("text").isNotNull(), let(text_of(), lambda t: let(spans(t), lambda f: masked(t, f))))
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(*docs.columns) if "n_chars" in docs.columns else out
+    out = docs.withColumn("text", text)  # in its place
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
