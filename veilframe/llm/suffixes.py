@@ -449,14 +449,17 @@ def repeats(texts: DataFrame) -> DataFrame:
     forget(anchored)
     found = materialize(blocks(texts, mixed_up))
     classes = materialize(found.groupBy("core", "f").agg(F.count("*").alias("n"), F.min(F.struct("row", "st")).alias("one")))
-    cores = materialize(classes.groupBy(F.col("core").alias("_core")).agg(F.count("*").alias("k")).where("k > 1").select("_core"))
-    singles = classes.join(cores, F.col("core") == F.col("_core"), "left_semi").select("one.row", "one.st")
     many = classes.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in ("core", "f")])
-    whole = found.join(many, (F.col("core") == F.col("_core")) & (F.col("f") == F.col("_f")), "left_semi").select("row", "st")
+    whole = materialize(found.join(many, (F.col("core") == F.col("_core")) & (F.col("f") == F.col("_f")), "left_semi").select("row", "st"))
+    forget(found)
+    cores = materialize(classes.groupBy(F.col("core").alias("_core")).agg(F.count("*").alias("k")).where("k > 1").select("_core"))
+    singles = materialize(classes.join(cores, F.col("core") == F.col("_core"), "left_semi").select("one.row", "one.st"))
+    for done in (classes, cores):
+        forget(done)
     block = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("st").alias("lo"), (F.col("st") + STARTS - 1).alias("hi"))
     keys = spans.select("row", F.struct(F.lit(2).alias("kind"), "lo", "hi").alias("key")).unionByName(whole.select("row", block(1).alias("key"))).unionByName(singles.select("row", block(0).alias("key")))
     wanted = materialize(keys.groupBy("row").agg(F.collect_list("key").alias("keys")))
-    for done in (spans, mixed_up, found, classes, cores):
+    for done in (spans, mixed_up, whole, singles):
         forget(done)
     runs = materialize(sorted_runs(texts, wanted))
     forget(wanted)
