@@ -276,8 +276,11 @@ def cores(rows: DataFrame, classes: DataFrame, threshold: float, words: int, sma
     heads = materialize(bands.groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("n"), F.min("id").alias("leader")).where(F.col("n") > small).drop("n"))
     picks = materialize(bands.join(heads, F.col("node") == F.col("_node")).groupBy("id").agg(F.min("leader").alias("leader")))
     forget(bands)
-    leaders = materialize(picks.where("id = leader").join(classes.select("id", F.col("signature").alias("_sign")), "id").select(F.col("id").alias("_leader"), "_sign"))
-    held = picks.where("id <> leader").join(classes.select("id", "signature"), "id").join(leaders, F.col("leader") == F.col("_leader"))
+    if picks.isEmpty():
+        return classes.select("id", F.col("id").alias("core")).limit(0)
+    picks = materialize(picks.join(classes.select("id", "signature"), "id"))
+    leaders = materialize(picks.where("id = leader").select(F.col("id").alias("_leader"), F.col("signature").alias("_sign")))
+    held = picks.where("id <> leader").join(leaders, F.col("leader") == F.col("_leader"))
     held = materialize(held.where(agreement(F.col("signature"), F.col("_sign")) >= (1 + threshold) / 2).select("id", "leader"))  # others are seldom that near
     counts = materialize(held.groupBy(F.col("leader").alias("_leader")).agg(F.count("*").alias("n")).where(F.col("n") > small).select("_leader", F.ceil(F.col("n") / block).cast("int").alias("parts")))
     if counts.isEmpty():
@@ -572,8 +575,7 @@ def linked(rows: DataFrame, found: DataFrame, threshold: float = THRESHOLD, word
     near = materialize(near.join(weights, F.col("core") == F.col("_core")).drop("_core").withColumnRenamed("id", "_near"))
     classes = materialize(classes.join(near, F.col("id") == F.col("_near"), "left").select("set", "key", "doc", "size", "bytes", "signature", "id", F.coalesce("core", "id").alias("unit"), (F.coalesce("weight", "size") - F.col("size")).alias("within")))
     lists, dealt = blocks(leaves(classes, threshold, plan(recall, threshold)[0], recall=recall), classes.select("id", "bytes"))
-    lists = materialize(lists)
-    signed = lists.join(classes.select("id", "unit", "size", "signature", "key"), "id")
+    signed = materialize(lists.join(classes.select("id", "unit", "size", "signature", "key"), "id"))
     agreeing = materialize(candidates(dealt.join(signed, "id"), least_agreement(recall, threshold)))
     wanted = materialize(agreeing.join(signed, "id"))
     found = materialize(solved(with_texts(rows, wanted), threshold, words, least_agreement(recall, threshold)))
