@@ -4,13 +4,12 @@ Two histograms describe a document: how often each character class occurs, and h
 does (all other words are one more bin). The references of a language are the pooled histograms of all its documents that
 pass the base rules and the length guard; of a language with too few of them only the character classes are judged, against all
 languages' together, so that a language of a few odd documents isn't its own reference. A document is compared with them by
-Jensen-Shannon distance (the square root of
-the divergence to base 2, so 0 to 1); one that is farther than a threshold is rejected. Guards: a histogram over fewer
-symbols than its guard asks for is noise and isn't judged, nor is one whose language has no reference.
+Jensen-Shannon distance (the square root of the divergence to base 2, so 0 to 1); one that is farther than a threshold is rejected.
+Guards: a histogram over fewer symbols than its guard asks for is noise and isn't judged, nor is one without a reference.
 
-Scale: one narrow pass, in which each text is measured once, computes the counts of a text inside its row (no word or window is shuffled); the references are an
-aggregation with partial sums to a row per language. The counts are written once, a few numbers per document, and read for
-the references and for the verdicts.
+Scale: one narrow pass, in which each text is measured once, computes the counts of a text inside its row (no word or window is
+shuffled); the references are an aggregation with partial sums to a row per language. The counts are written once, a few numbers per
+document, and read for the references and for the verdicts.
 
 Cases: a null or empty text has no words, so it fails the base rules; a null language is a language of its own; languages
 without a list of common words are judged by character classes alone; rows with equal doc_id are judged one by one; an empty
