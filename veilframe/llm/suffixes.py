@@ -361,37 +361,54 @@ def sorted_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select("row", "text").join(wanted, "row").select("row", "text", "keys").mapInArrow(run, RUNS)
 
 
-def twins(runs: DataFrame) -> DataFrame:
-    """row, lo, hi: strings that start there have twins, as two runs (or one) have the key."""
-    spark = runs.sparkSession
-    own = runs.where("no IS NULL").select("rows", "los", "his")
-    coded = runs.where("no IS NOT NULL")
-    n = coded.count()
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE + 1)
-    sample = coded.select("low").orderBy(F.xxhash64("run", "no")).limit(min(LIMITS, 30 * wanted)).collect()  # limits only balance the work
-    lows = sorted({r.low for r in sample})
-    parts = min(wanted, len(lows) or 1)
-    limits = sorted({lows[len(lows) * k // parts] for k in range(1, parts)})
+def limits_of(texts: DataFrame, wanted: DataFrame) -> tuple[int, list[bytes]]:
+    """Ranges for the keys of sorted_runs(), and at most LIMITS of their limits, about: keys chosen by a hash, which only balance the work."""
+    spark = texts.sparkSession
+    weight = F.aggregate("keys", F.lit(0).cast("bigint"), lambda acc, k: acc + F.when(k["kind"] == 0, STARTS).otherwise(1))
+    n = wanted.agg(F.sum(weight)).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (RANGE * CODED) + 1)
+    share = int(min(1.0, min(LIMITS, 30 * ranges) / max(1, n)) * (1 << 30))
+    some = wanted.select("row", F.filter("keys", lambda k: F.pmod(F.xxhash64("row", k["lo"], k["kind"]), 1 << 30) < share).alias("keys")).where(F.size("keys") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, (doc, (kinds, los, his)) = b.column(1).cast(pa.large_binary()), _spans(b.column(2))
+            out = []
+            for d, kind, lo, hi in zip(doc.tolist(), kinds.tolist(), los.tolist(), his.tolist()):
+                text, lo = data[d].as_py(), max(lo, 0)
+                out.append(((SUFFIX, WHOLE, SPAN)[kind] + text[lo : (lo if kind == 0 else hi) + LENGTH]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["low"])
+
+    lows = sorted({r.low for r in texts.select("row", "text").join(some, "row").select("row", "text", "keys").mapInArrow(run, "low binary").collect()})
+    parts = min(ranges, len(lows) or 1)
+    return ranges, sorted({lows[len(lows) * k // parts] for k in range(1, parts)})
+
+
+def twins(runs: DataFrame, wanted: int, limits: list[bytes]) -> DataFrame:
+    """row, lo, hi: strings that start there have twins, as two runs (or one) have the key. Blocks are dealt to their ranges as they come."""
+    parts = len(limits) + 1
+    if wanted > 2 * parts:
+        runs = materialize(runs)  # read twice then
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block goes to each range that it reaches into."""
+        """A block goes to each range that it reaches into; what has twins within its run is passed on."""
         from bisect import bisect_right
 
         for b in batches:
-            first = [bisect_right(limits, x) for x in b.column(2).to_pylist()]
-            last = [bisect_right(limits, x) for x in b.column(3).to_pylist()]
+            first = [k if x is None else bisect_right(limits, x) for k, x in enumerate(b.column(2).to_pylist())]
+            last = [k if x is None else bisect_right(limits, x) for k, x in enumerate(b.column(3).to_pylist())]
             index = pa.array([i for i, (x, y) in enumerate(zip(first, last)) for _ in range(x, y + 1)], pa.int64())
             part = [p for x, y in zip(first, last) for p in range(x, y + 1)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[c.take(index) for c in b.columns]], names=["part", *b.schema.names])
 
-    dealt = coded.mapInArrow(deal, "part int, " + RUNS)
+    dealt = runs.mapInArrow(deal, "part int, " + RUNS)
     if wanted > 2 * parts:  # more ranges than limits: each is cut before every RANGE-th of the blocks that begin in it
-        slim = dealt.select("part", "low").where(F.col("low") >= F.coalesce(F.get(F.lit([bytearray(x) for x in limits]), F.col("part") - 1), F.lit(b""))) if limits else dealt.select("part", "low")
+        slim = dealt.where("no IS NOT NULL").select("part", "low").where(F.col("low") >= F.coalesce(F.get(F.lit([bytearray(x) for x in limits]), F.col("part") - 1), F.lit(b""))) if limits else dealt.where("no IS NOT NULL").select("part", "low")
         cuts = slim.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("low"))).where((F.col("k") % RANGE == 0) & (F.col("k") > 0))
         cuts = materialize(cuts.groupBy(F.col("part").alias("_part")).agg(F.array_sort(F.collect_set("low")).alias("cuts")))
         below = lambda c: F.size(F.filter("cuts", lambda x: x <= F.col(c)))
         dealt = dealt.join(cuts, F.col("part") == F.col("_part"), "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<binary>")))
-        dealt = dealt.withColumn("sub", F.explode(F.sequence(below("low"), below("high")))).withColumns({"begin": F.get("cuts", F.col("sub") - 1), "end": F.get("cuts", F.col("sub"))}).drop("cuts", "_part")
+        dealt = dealt.withColumn("sub", F.explode(F.sequence(F.coalesce(below("low"), F.lit(0)), F.coalesce(below("high"), F.lit(0))))).withColumns({"begin": F.get("cuts", F.col("sub") - 1), "end": F.get("cuts", F.col("sub"))}).drop("cuts", "_part")
     else:
         dealt = dealt.withColumns({"sub": F.lit(0), "begin": F.lit(None).cast("binary"), "end": F.lit(None).cast("binary")})
     names = ["part", "sub", "begin", "end", "run", "shared", "lengths", "rows", "los", "his", "rest"]
@@ -426,6 +443,9 @@ def twins(runs: DataFrame) -> DataFrame:
 
         for b in batches:
             for part, sub, begin, end, run, *block in zip(*[c.to_pylist() for c in b.columns]):
+                if block[0] is None:  # twins within a run
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, t)) for x, t in zip(block[2:5], ("<i8", "<i4", "<i4"))], names=["row", "lo", "hi"])
+                    continue
                 if (part, sub, begin, end) != key and held:
                     yield out()
                     held = {}
@@ -434,12 +454,7 @@ def twins(runs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in zip(*b.columns):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c.as_buffer(), t)) for c, t in zip(x, ("<i8", "<i4", "<i4"))], names=["row", "lo", "hi"])
-
-    return dealt.mapInArrow(merge, "row long, lo int, hi int").unionByName(own.mapInArrow(opened, "row long, lo int, hi int"))
+    return dealt.mapInArrow(merge, "row long, lo int, hi int")
 
 
 def repeats(texts: DataFrame) -> DataFrame:
@@ -461,10 +476,8 @@ def repeats(texts: DataFrame) -> DataFrame:
     wanted = materialize(keys.groupBy("row").agg(F.collect_list("key").alias("keys")))
     for done in (spans, mixed_up, whole, singles):
         forget(done)
-    runs = materialize(sorted_runs(texts, wanted))
+    out = materialize(twins(sorted_runs(texts, wanted), *limits_of(texts, wanted)).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
     forget(wanted)
-    out = materialize(twins(runs).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
-    forget(runs)
     return out
 
 
