@@ -395,8 +395,8 @@ def twins(runs: DataFrame, wanted: int, limits: list[bytes]) -> DataFrame:
         from bisect import bisect_right
 
         for b in batches:
-            first = [k if x is None else bisect_right(limits, x) for k, x in enumerate(b.column(2).to_pylist())]
-            last = [k if x is None else bisect_right(limits, x) for k, x in enumerate(b.column(3).to_pylist())]
+            spread = [(r * 0x9E3779B1 >> 8) % wanted for r in b.column(0).to_pylist()]
+            first, last = ([r if x is None else bisect_right(limits, x) for r, x in zip(spread, b.column(c).to_pylist())] for c in (2, 3))
             index = pa.array([i for i, (x, y) in enumerate(zip(first, last)) for _ in range(x, y + 1)], pa.int64())
             part = [p for x, y in zip(first, last) for p in range(x, y + 1)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[c.take(index) for c in b.columns]], names=["part", *b.schema.names])
