@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chosen_path, curriculum, iblt, infill, pieces, pii, quality, rans, suffixes, sweep, urlrules
+from . import chat, chosen_path, curriculum, iblt, infill, pieces, pii, quality, rans, seeds, suffixes, sweep, urlrules
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_pii": pii.op10_pii,
         "op11_fill_in_middle": infill.op11_fill_in_middle,
         "op12_peak_concurrency": sweep.op12_peak_concurrency,
+        "op13_substring_dedup": seeds.op13_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": urlrules.OP6_SQL, "op9_curriculum": curriculum.OP9_SQL, "op11_fill_in_middle": infill.OP11_SQL, "op12_peak_concurrency": sweep.OP12_SQL}
+    return {"op6_url_filters": urlrules.OP6_SQL, "op9_curriculum": curriculum.OP9_SQL, "op11_fill_in_middle": infill.OP11_SQL, "op12_peak_concurrency": sweep.OP12_SQL, "op13_substring_dedup": seeds.OP13_SQL}

@@ -72,12 +72,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substrings of some bytes."""
+    """Hashes of any substrings of some bytes, or of a sequence of 64-bit numbers."""
 
     def __init__(self, raw: np.ndarray):
         up, self.down = powers(len(raw) + 1)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(BYTE[raw] * up[: len(raw)], out=self.sums[1:])
+        np.cumsum((BYTE[raw] if raw.dtype == np.uint8 else raw) * up[: len(raw)], out=self.sums[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
