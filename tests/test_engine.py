@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +157,8 @@ def test_large_dictionaries(spark, monkeypatch):
     one = sorted(map(repr, rewrite.pseudonymize(docs, d).collect()))
     monkeypatch.setattr(rewrite, "RULES", 5)
     assert sorted(map(repr, rewrite.pseudonymize(docs, d).collect())) == one
+    with pytest.raises(Exception, match="a variant is empty"):
+        rewrite.pseudonymize(docs, d.withColumn("variant", F.lit(""))).collect()
 
 
 def test_large_dictionaries_rewrite_inserted_ids(spark, monkeypatch):
@@ -171,9 +174,84 @@ def test_large_dictionaries_rewrite_inserted_ids(spark, monkeypatch):
     few = sorted(rewrite.pseudonymize(docs, d).collect())
     monkeypatch.setattr(rewrite, "RULES", 3)
     assert sorted(rewrite.pseudonymize(docs, d).collect()) == few
+    in_turn(monkeypatch, 2)
+    assert sorted(rewrite.pseudonymize(docs, d).collect()) == few
     assert "1500" not in few[0].text and few[0].counts["code_number"] == 1 and few[2].counts["location"] == 1
 
 
+def in_turn(monkeypatch, rules):
+    """Shards of so many rules, each of which is sent by itself."""
+    from veilframe.operators import automaton
+
+    monkeypatch.setattr(automaton.shards, "__defaults__", (rules,))
+    monkeypatch.setattr(automaton.together, "__defaults__", (1,))
+
+
+def plain_cascade(text, rows):
+    """All rules one after the other, by Python's regular expressions."""
+    import re
+
+    counts = Counter()
+    order = {c: k for k, c in enumerate(CATEGORIES)}
+    for category, _, by, _, variant, _ in sorted(rows, key=lambda r: (-len(r[4]), order[r[0]], r[1], r[3])):
+        bounded = category == "email_address" or (category == "person" and "\n" not in variant)
+        text, n = re.subn(rf"\b{re.escape(variant)}\b" if bounded else re.escape(variant), lambda _: by, text)  # noqa: B023
+        counts[category] += n
+    return text, {c: counts[c] for c in CATEGORIES}
+
+
+@pytest.mark.parametrize("way", ["small", "sent", "in turn"])
+def test_cascade_against_plain_python(spark, monkeypatch, way):
+    """Random rules over few letters, so that they overlap, nest in each other and in ids, and are completed by ids."""
+    from veilframe.operators import rewrite
+
+    rng = random.Random(5)
+    letters = ["a", "b", "1", "<", ">", " ", "é", "\n", "_", "-", "P", "\U0001f600"]
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    ids = ["<P1>", "<a1>", "", "1", "b", r"\1$&", "<P_é>", "> <"]
+    rows = [(rng.choice(CATEGORIES), rng.randrange(1, 9), rng.choice(ids), k, some(rng.choice([1, 2, 2, 3, 3, 4, 6, 9])), None) for k in range(150)]
+    rows += [("person", 3, "<P1>", 1000, rows[0][4], None)]  # a variant twice
+    docs = spark.createDataFrame([(k, some(rng.randrange(60)), "kept") for k in range(120)] + [(None, None, "x"), (700, "a1" * 500, "y")], "doc_id long, text string, counts string")
+    d = spark.createDataFrame(rows, "category string, entity_no int, id string, variant_no int, variant string, pattern string")
+    if way != "small":
+        monkeypatch.setattr(rewrite, "RULES", 3)
+    if way == "in turn":
+        in_turn(monkeypatch, 40)
+    got = rewrite.pseudonymize(docs.drop("counts"), d).collect()
+    want = {r.doc_id: plain_cascade(r.text, rows) for r in docs.collect() if r.text is not None}
+    for r in got:
+        assert (r.text, r.counts) == want[r.doc_id] if r.text is not None else r.doc_id is None
+    assert len(got) == 122 and sum(sum(c.values()) for _, c in want.values()) > 2000
+
+
+def test_trie():
+    from veilframe.operators.automaton import Trie
+
+    rng = random.Random(2)
+    for letters in ("ab", "abcdefgh\U0001f600\uffff"):
+        strings = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(60)})
+        texts = ["".join(rng.choice(letters + "z") for _ in range(rng.randrange(40))) for _ in range(50)] + ["", strings[0]]
+        got = Trie(strings).find(texts)
+        assert set(zip(*[x.tolist() for x in got])) == {(t, k) for t, x in enumerate(texts) for k, s in enumerate(strings) if s in x}
+    assert len(Trie(["a"]).find([])[0]) == len(Trie([]).find(["a"])[0]) == 0
+
+
+def test_a_million_variants(spark, monkeypatch):
+    """Texts aren't shuffled, and each names itself: what is left is known."""
+    from veilframe.operators import rewrite
+
+    n = 1_000_000
+    name = lambda k: F.concat(F.initcap(F.translate(F.conv(k * 7919 % n + n, 10, 26), "0123456789", "klmnopqrst")), F.lit(" "), F.initcap(F.translate(F.conv(k + 3 * n, 10, 26), "0123456789", "KLMNOPQRST")))
+    d = spark.range(n).select(F.lit("person").alias("category"), (F.col("id") + 1).cast("int").alias("entity_no"), F.format_string("<PERSON_%d>", F.col("id") + 1).alias("id"), F.lit(1).alias("variant_no"), name(F.col("id")).alias("variant"), F.lit(None).cast("string").alias("pattern"))
+    k = F.col("id") * 37 + 11
+    docs = spark.range(20_000).select("id", k.alias("k"), F.concat(F.lit("Here "), name(k), F.lit(" met x"), name(k + 5), F.lit(", "), name(k + 7), F.lit("."), F.repeat(F.lit(" Nobody Else of note"), 20)).alias("text"))
+    out = rewrite.pseudonymize(docs, d)
+    assert "Exchange" not in out._jdf.queryExecution().toString()
+    want = F.concat(F.lit("Here <PERSON_"), F.col("k") + 1, F.lit("> met x"), name(F.col("k") + 5), F.lit(", <PERSON_"), F.col("k") + 8, F.lit(">."))
+    got = out.select((F.substring_index("text", " Nobody", 1) == want).alias("same"), F.col("counts")["person"].alias("n")).groupBy("same", "n").count().collect()
+    assert [tuple(r) for r in got] == [(True, 2, 20_000)]
+
+
 def plain_leaders(items, similar):
     lead, out = [], {}
     for k, x in enumerate(items):
@@ -247,6 +325,23 @@ def test_streaming(spark, tmp_path):
     assert {(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "<PERSON_1> was here"), (2, None)}
 
 
+def test_streaming_with_large_dictionaries(spark, tmp_path, monkeypatch):
+    from veilframe.operators import rewrite
+    from veilframe.streaming.rewrite import read_stream, write_stream
+
+    rows = [("person", k, f"<PERSON_{k}>", 1, f"John Doe{k}", None) for k in range(1, 9)] + [("general_number", 1, "<N>", 1, "7", None)]
+    d = spark.createDataFrame(rows, "category string, entity_no int, id string, variant_no int, variant string, pattern string")
+    docs = spark.createDataFrame([(k, f"John Doe{k} was 7 here") for k in range(12)], "doc_id long, text string")
+    want = sorted(map(repr, rewrite.pseudonymize(docs, d).select("doc_id", "text").collect()))
+    docs.write.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(rewrite, "RULES", 3)
+    for way in ("sent", "turn"):
+        if way == "turn":
+            in_turn(monkeypatch, 4)
+        write_stream(read_stream(spark, str(tmp_path / "in"), "doc_id long, text string"), d, str(tmp_path / way), str(tmp_path / f"{way}-cp")).awaitTermination(120)
+        assert sorted(map(repr, spark.read.parquet(str(tmp_path / way)).select("doc_id", "text").collect())) == want
+
+
 def test_models(spark):
     from veilframe.operators import detect as D
 

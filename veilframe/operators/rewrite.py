@@ -1,10 +1,11 @@
 """Pseudonymising texts with an entity dictionary.
 
 Rules are the variants of all entities, longest first (then by category, entity, variant); each sees what the ones before
-it wrote. A dictionary is small, as people review it, but its size is looked at: up to RULES rules travel as one array and
-run inside each row, without a shuffle; of a larger dictionary each text first meets the variants that occur in it, by an
-equi-join on grams, and runs those alone. What they write may complete further variants: the places around inserted ids meet the
-dictionary too, until no text gets another rule. So both ways give the same result."""
+it wrote. A dictionary is small, as people review it, but its size is looked at. Up to RULES rules travel as one array and
+run inside each row. A larger dictionary becomes a trie, made in shards; while its shards have a bounded size they are sent to the executors, and
+a text runs the rules that the trie finds in it, within its row too: no text is shuffled, and a stream is rewritten as a table is. Beyond that
+the texts meet the shards in turn, each text then runs its own rules, and what they write meets the shards again, until no text gets another rule.
+All ways give the same result."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions.text import count_literal, let, literal, replacement
+from . import automaton
 from .detect import CATEGORIES
 from .grouping import kept
 
@@ -79,40 +81,48 @@ def counted(counts: Column) -> Column:
 def pseudonymize(docs: DataFrame, dictionary: DataFrame, boundary=plain_boundary, by: str = "id") -> DataFrame:
     """All columns of docs (text rewritten) and counts: map of category to number of replacements. A null text stays null.
 
-    Nothing is detected here: what isn't in the dictionary stays. Works on streams too, as long as the dictionary is small."""
+    Nothing is detected here: what isn't in the dictionary stays. Works on streams too, but for dictionaries beyond one sending, for which
+    streaming.rewrite.write_stream() does it by batches."""
     table = rules(dictionary, boundary, by)
     few = table.limit(RULES + 1).count() <= RULES  # the size that may be broadcast
     if few:
         one = table.groupBy().agg(F.coalesce(F.sort_array(F.collect_list(F.struct(*table.columns))), F.array().cast(RULE)).alias("_rules"))
-        rows = docs.crossJoin(F.broadcast(one))  # one row
+        out = docs.crossJoin(F.broadcast(one)).withColumn("_r", rewritten(F.col("text"), F.col("_rules")))  # one row
     else:
-        rows = with_own_rules(docs, table)
-    out = rows.withColumn("_r", rewritten(F.col("text"), F.col("_rules")))
+        ranked, written = automaton.shards(table)
+        sendings = automaton.together(written)
+        if len(sendings) == 1:
+            out = docs.withColumn("_r", automaton.cascaded(F.col("text"), *automaton.sent(written, sendings[0])))
+        elif docs.isStreaming:
+            raise ValueError("a dictionary of this size meets a stream in batches: use streaming.rewrite.write_stream")
+        else:
+            out = with_own_rules(docs, ranked, written, sendings).withColumn("_r", rewritten(F.col("text"), F.col("_rules")))
     return out.select(*[F.col("_r.text").alias("text") if c == "text" else c for c in docs.columns], counted(F.col("_r.counts")).alias("counts"))
 
 
-def with_own_rules(docs: DataFrame, table: DataFrame, gram: int = 4) -> DataFrame:
-    """docs with _rules: the rules that apply to the row's text. These are the variants shorter than a gram, those that occur in the text,
-    and those that occur near an id that such rules insert, in rounds until none is added: any other finds nothing at its turn."""
-    fields, none = F.struct(*table.columns), F.array().cast(RULE)
+def with_own_rules(docs: DataFrame, ranked: DataFrame, written: DataFrame, sendings: list[list[int]]) -> DataFrame:
+    """docs with _rules: the rules that apply to the row's text. These are those whose variants occur in the text, and those of variants that occur
+    near an id that such rules insert, in rounds until none is added: any other finds nothing at its turn."""
+    fields = F.struct(*[c for c in ranked.columns if c != "rank"])
     rows = docs.withColumn("_row", F.sha2("text", 256))  # equal texts have equal rules
     texts = rows.where(F.col("text").isNotNull()).select("_row", "text").dropDuplicates(["_row"])
-    keyed = table.where(F.length("variant") >= gram).select(F.substring("variant", 1, gram).alias("_g"), fields.alias("_rule"))
-    always = table.where(F.length("variant") < gram).groupBy().agg(F.coalesce(F.collect_list(fields), none).alias("_always"))
-    reach = table.agg(F.max(F.length("variant"))).first()[0] or 0
+    reach = ranked.agg(F.max(F.length("variant"))).first()[0] or 0
 
-    def met(parts: DataFrame) -> DataFrame:  # parts (_row, text): _row, _rule
-        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - gram + 1, F.lit(1))), lambda i: F.col("text").substr(i, F.lit(gram)))
-        return parts.select("_row", "text", F.explode(F.array_distinct(every)).alias("_g")).join(keyed, "_g").where(F.contains("text", F.col("_rule.variant"))).select("_row", "_rule").distinct()
+    def met(some: DataFrame) -> DataFrame:  # some (_row, text): _row, rank
+        out = None
+        for shards in sendings:  # each is sent, used and written before the next one
+            part = kept(automaton.met(some, written, shards).distinct())
+            out = part if out is None else out.unionByName(part)
+        return out
 
-    def listed(found: DataFrame, to: DataFrame) -> DataFrame:  # always is one row
-        own = found.groupBy("_row").agg(F.collect_list("_rule").alias("_own"))
-        return to.join(own, "_row", "left").crossJoin(always).withColumn("_rules", F.sort_array(F.concat(F.coalesce("_own", none), "_always"))).drop("_own", "_always")
+    def listed(found: DataFrame, to: DataFrame) -> DataFrame:
+        own = found.join(ranked.select("rank", fields.alias("_rule")), "rank").groupBy("_row").agg(F.sort_array(F.collect_list("_rule")).alias("_rules"))
+        return to.join(own, "_row", "left").withColumn("_rules", F.coalesce("_rules", F.array().cast(RULE)))
 
-    found, open_ = kept(met(texts)), texts
+    found, open_ = met(texts), texts
     while True:
         near = listed(found, open_).withColumn("_r", rewritten(F.col("text"), F.col("_rules"), reach)).select("_row", F.explode("_r.near").alias("text"))
-        new = kept(met(near).join(found, ["_row", "_rule"], "left_anti"))
+        new = kept(met(kept(near)).join(found, ["_row", "rank"], "left_anti").distinct())
         if new.isEmpty():
             return listed(found, rows).drop("_row")
         found, open_ = kept(found.unionByName(new)), texts.join(new.select("_row").distinct(), "_row", "left_semi")

@@ -256,6 +256,23 @@ def _typst_sql() -> str:
     return f"SELECT doc_id, regexp_replace(t, '\\b1\\b', '<GENERAL_NUMBER_1>', 'g') AS text, len(regexp_extract_all(t, '\\b1\\b'))::BIGINT AS n_numbers FROM (SELECT doc_id, {before} AS t FROM documents)"
 
 
+def pseudonymize_large(spark, sf_dir):
+    """A dictionary that grows with its table: names of parts, and their numbers, which also strike within the ids that others have inserted."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("k"), "p_name", F.lit(1).alias("variant_no"), F.lit(None).cast("string").alias("pattern"))
+    names = part.select(F.lit("location").alias("category"), F.col("k").alias("entity_no"), F.format_string("<LOCATION_%d>", "k").alias("id"), "variant_no", F.col("p_name").alias("variant"), "pattern")
+    numbers = part.select(F.lit("general_number").alias("category"), F.col("k").alias("entity_no"), F.format_string("<GENERAL_NUMBER_%d>", "k").alias("id"), "variant_no", F.col("k").cast("string").alias("variant"), "pattern")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    named = docs.join(part.select(F.col("k").cast("bigint").alias("doc_id"), "p_name"), "doc_id", "left").select("doc_id", F.concat_ws(" ", "text", "p_name", "doc_id").alias("text"))
+    return rewrite.pseudonymize(named, names.unionByName(numbers)).select("doc_id", "text")
+
+
+#: Rules in order, one after the other on each text.
+LARGE_SQL = """WITH r AS (SELECT p_name AS v, '<LOCATION_' || p_partkey || '>' AS b, 2 AS c, p_partkey AS k FROM part UNION ALL SELECT p_partkey::VARCHAR, '<GENERAL_NUMBER_' || p_partkey || '>', 7, p_partkey FROM part),
+rules AS (SELECT list({'t': '', 'v': v, 'b': b} ORDER BY len(v) DESC, c, k) AS rules FROM r),
+d AS (SELECT doc_id, concat_ws(' ', text, p_name, doc_id) AS text FROM documents LEFT JOIN part ON p_partkey = doc_id)
+SELECT doc_id, list_reduce(list_concat([{'t': text, 'v': '', 'b': ''}], rules), lambda acc, x: {'t': replace(acc.t, x.v, x.b), 'v': '', 'b': ''}).t AS text FROM d, rules"""
+
+
 def dictionary_yaml(spark, sf_dir):
     """A dictionary of the nations, written as the file that people review, and read back."""
     from ..sources import dictionary as K
@@ -412,7 +429,7 @@ def queries() -> dict:
     for f in (
         span_offsets, resolve_overlaps, interval_anti_join, mentions_distinct, found_counts, entity_ids, pseudonymize_counts, normalized, similar_pairs, number_groups, name_groups, pseudonymize_documents,
         pseudonymize_conversations, replacement_counts, hyphen_join, tex_extract, md_to_typst, fake_format, typst_variables, possible_variants, context_boost, bib_prose, detect_all,
-        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups, digit_groups, detect_by_model, pseudonymize_typst, dictionary_yaml,
+        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups, digit_groups, detect_by_model, pseudonymize_typst, dictionary_yaml, pseudonymize_large,
     ):
         out[f.__name__] = f
     return out
@@ -446,6 +463,7 @@ def oracle_sql() -> dict[str, str]:
         "digit_groups": DIGITS_SQL,
         "dictionary_yaml": YAML_SQL,
         "pseudonymize_typst": _typst_sql(),
+        "pseudonymize_large": LARGE_SQL,
         "detect_by_model": "SELECT doc_id, 'person' AS category, surface, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b')) AS surface FROM documents) GROUP BY ALL",
         "context_boost": "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS score FROM orders",
         "bib_prose": "SELECT p_partkey AS doc_id, p_name || ' ' || p_brand || ' book k' AS text FROM part",

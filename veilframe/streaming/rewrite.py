@@ -13,6 +13,13 @@ def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_stream(docs: DataFrame, dictionary: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Rewrites documents as they come and appends them as Parquet, each once."""
-    out = pseudonymize(docs, dictionary)
-    return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+    """Rewrites documents as they come and adds them as Parquet, each once. A dictionary of any size does: one that can't be sent to the
+    executors at once meets each batch as it meets a table, and a batch that is run again replaces its own folder."""
+    options = {"checkpointLocation": checkpoint}
+    trigger = trigger or {"availableNow": True}
+    try:
+        out = pseudonymize(docs, dictionary)
+    except ValueError:
+        each = lambda batch, no: pseudonymize(batch, dictionary).write.mode("overwrite").parquet(f"{path}/batch={no}")
+        return docs.writeStream.foreachBatch(each).options(**options).trigger(**trigger).start()
+    return out.writeStream.format("parquet").option("path", path).options(**options).outputMode("append").trigger(**trigger).start()
