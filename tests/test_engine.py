@@ -354,6 +354,12 @@ def test_models(spark):
     docs = spark.createDataFrame([(1, "Hi Zed"), (2, "none")], "doc_id long, text string")
     got = D.detect(docs, D.Registry.default().add_model(model)).collect()
     assert [(r.doc_id, r.surface, r.category) for r in got] == [(1, "Zed", "person")]
+    # spans stay with their rows, whatever the ids
+    find = D.model_from(lambda t: [("PERSON", t.index(w), t.index(w) + len(w), 0.9) for w in ("Zoltan", "Ödön") if w in t])
+    docs = spark.createDataFrame([(1, "Zoltan went home today"), (1, "abcdefghijkl mnop"), (None, "met\nÖdön"), (None, None), (2, "co-\nmet Zol-\ntan")], "doc_id long, text string")
+    got = D.detect(docs, D.Registry([]).add_model(find).add_model(D.model_from(lambda t: []))).collect()
+    assert sorted((str(r.doc_id), r.surface, r.start, r.end) for r in got) == [("1", "Zoltan", 0, 6), ("2", "Zol-\ntan", 8, 16), ("None", "Ödön", 4, 8)]
+    assert D.detect(docs.limit(0), D.Registry([]).add_model(find)).count() == 0
 
 
 def test_precedence(spark):

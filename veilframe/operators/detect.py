@@ -1,13 +1,14 @@
 """Detectors, and the DataFrame operators from texts to resolved, mapped spans.
 
 A detector is a pattern with a type, a score, context words and a language. A registry holds those of a session; further
-detectors are patterns, or functions on batches of rows (mapInPandas) for models that are no pattern."""
+detectors are patterns, or functions on batches of rows for models that are no pattern (operators/tagger.py has one)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,6 +148,24 @@ def detected(rows: DataFrame, name: str, text: Column, detectors: list[tuple[Col
     return once(rows, name, S.without_contained(F.col("_raised"), PRIORITY)).select(*names, name)
 
 
+def by_model(text: Column, model: Callable) -> Column:
+    """The spans that a model of the registry finds in a text, beside the row: rows need no ids of their own. The model is called with a
+    batch of rows at a time, whose numbers are their ids; spans that it gives for no row of the batch are an error."""
+    kind = pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+
+    @F.arrow_udf(S.NONE)
+    def run(texts: pa.Array) -> pa.Array:
+        import pandas as pd
+
+        found: list[list[dict]] = [[] for _ in range(len(texts))]
+        for out in model(iter([pd.DataFrame({"doc_id": range(len(texts)), "text": texts.to_pylist()})])):
+            for row, *what in zip(*[out[c] for c in ("doc_id", "entity_type", "start", "end", "score")]):
+                found[row].append(dict(zip(("entity_type", "start", "end", "score"), what)))
+        return pa.array(found, kind)
+
+    return run(text)
+
+
 def resolved(spans: Column) -> Column:
     """Mapped types only (others don't block), best first, none overlapping another."""
     return S.disjoint(F.filter(spans, lambda s: s["entity_type"].isin(*CATEGORY_OF)), PRIORITY)
@@ -161,14 +180,8 @@ def detect(docs: DataFrame, registry: Registry | None = None, language: str = "e
     base = docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []), hyphen_joined(F.coalesce("text", F.lit(""))).alias("dtext"))
     others = [x for x in ("en", "da") if "lang" in docs.columns and x != language and registry.of(x) != registry.of(language)]
     rows = detected(base, "spans", F.col("dtext"), [*[(F.col("lang") == x, registry.of(x)) for x in others], (None, registry.of(language))])
-    if registry.models:
-        keys = base.select("doc_id", F.col("dtext").alias("text"))
-        extra = None
-        for model in registry.models:
-            got = keys.mapInPandas(model, "doc_id long, entity_type string, start int, end int, score double")
-            extra = got if extra is None else extra.unionByName(got)
-        extra = extra.groupBy("doc_id").agg(F.collect_list(F.struct("entity_type", "start", "end", "score")).alias("more"))
-        rows = rows.join(extra, "doc_id", "left").withColumn("spans", F.concat("spans", F.coalesce("more", F.array().cast(S.NONE)))).drop("more")
+    for model in registry.models:
+        rows = rows.withColumn("spans", F.concat("spans", by_model(F.col("dtext"), model)))
     rows = once(once(rows, "best", resolved(F.col("spans"))), "cuts", hyphen_cuts(F.coalesce("text", F.lit(""))))
     rows = rows.select("doc_id", "text", "cuts", F.posexplode("best").alias("sel_rank", "s"))
     start, end = original_start(F.col("s.start"), F.col("cuts")), original_end(F.col("s.end"), F.col("cuts"))

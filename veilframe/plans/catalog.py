@@ -407,6 +407,45 @@ def detect_all(spark, sf_dir):
     return found.select("doc_id", "category", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"), "surface")
 
 
+def named_lines(spark, sf_dir) -> DataFrame:
+    """client_id, text, names (category, start, surface), held: the first line of a client's document with the client's name and city put between its words.
+    A name is held out of training or not, wherever it stands."""
+    line = F.filter(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " "), lambda w: w != "")
+    rows = _table(spark, sf_dir, "clients").join(_table(spark, sf_dir, "documents"), F.col("client_id") == F.col("doc_id"))
+    rows = rows.where("name IS NOT NULL AND city IS NOT NULL AND text IS NOT NULL").select("client_id", "name", "city", line.alias("words")).where("size(words) > 0")
+    at = lambda seed, n: F.pmod(F.xxhash64("client_id", F.lit(seed)), n + 1).cast("int")
+    rows = rows.withColumn("p", at(1, F.size("words"))).withColumn("q", F.col("p") + at(2, F.size("words") - F.col("p")))
+    parts = [F.slice("words", F.lit(1), F.col("p")), F.array("name"), F.slice("words", F.col("p") + 1, F.col("q") - F.col("p")), F.array(F.lit("in"), F.col("city")), F.slice("words", F.col("q") + 1, F.size("words"))]
+    before = lambda k: F.length(F.array_join(F.concat(*parts[:k], F.array(F.lit("in"))) if k == 3 else parts[0], " "))
+    place = lambda category, start, surface: F.struct(F.lit(category).alias("category"), start.alias("start"), F.col(surface).alias("surface"))
+    names = F.array(place("person", F.when(F.col("p") > 0, before(1) + 1).otherwise(0), "name"), place("location", before(3) + 1, "city"))
+    return rows.select("client_id", F.array_join(F.concat(*parts), " ").alias("text"), names.alias("names"), (F.pmod(F.xxhash64("name"), F.lit(5)) == 0).alias("held"))
+
+
+def tagged_names(spark, sf_dir):
+    """How many names and cities there are in lines with names that a tagger hasn't seen, and how many it finds and finds rightly; the same of the word list.
+    It is trained on silver labels: the dictionary of the other names, where they stand in the other lines."""
+    from ..operators import tagger
+
+    lines = grouping.kept(named_lines(spark, sf_dir))
+    known = lines.where("NOT held").select(F.explode("names").alias("n")).select("n.category", "n.surface").distinct()
+    dictionary = known.select("category", F.lit(1).alias("entity_no"), F.lit("").alias("id"), F.lit(1).alias("variant_no"), F.col("surface").alias("variant"))
+    model = tagger.trained(tagger.silver(lines.where("NOT held").select("text"), dictionary)).model()
+    unseen = lines.where("held")
+    true = unseen.select("client_id", F.explode("names").alias("n")).select("client_id", "n.*")
+    docs = unseen.select(F.col("client_id").alias("doc_id"), "text")
+
+    def counted(registry, name: str) -> DataFrame:
+        got = D.detect(docs, registry).where(F.col("category").isin("person", "location")).select(F.col("doc_id").alias("client_id"), "category", "start", "surface")
+        right = got.join(true, ["client_id", "category", "start", "surface"], "left_semi")
+        return got.groupBy("category").agg(F.count("*").alias(f"n_{name}")).join(right.groupBy("category").agg(F.count("*").alias(f"n_{name}_right")), "category", "left")
+
+    out = true.groupBy("category").agg(F.count("*").alias("n_true"))
+    for registry, name in ((D.Registry([]).add_model(model), "found"), (D.Registry.default().named("given_name", "street_en", "street_da"), "listed")):
+        out = out.join(counted(registry, name), "category", "left")
+    return out.select("category", "n_true", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_found", "n_found_right", "n_listed", "n_listed_right")])
+
+
 def _two_capitalized(text: str) -> list:
     import re
 
@@ -429,7 +468,7 @@ def queries() -> dict:
     for f in (
         span_offsets, resolve_overlaps, interval_anti_join, mentions_distinct, found_counts, entity_ids, pseudonymize_counts, normalized, similar_pairs, number_groups, name_groups, pseudonymize_documents,
         pseudonymize_conversations, replacement_counts, hyphen_join, tex_extract, md_to_typst, fake_format, typst_variables, possible_variants, context_boost, bib_prose, detect_all,
-        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups, digit_groups, detect_by_model, pseudonymize_typst, dictionary_yaml, pseudonymize_large,
+        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups, digit_groups, detect_by_model, pseudonymize_typst, dictionary_yaml, pseudonymize_large, tagged_names,
     ):
         out[f.__name__] = f
     return out
