@@ -304,6 +304,29 @@ def test_merging():
             assert k == suffixes.shared_prefix(a, b, 0)
 
 
+def test_each_key_is_dealt_once():
+    """Many runs: every key goes to one range in one block, and a range has as many keys as with few runs."""
+    from veilframe.llm import suffixes
+
+    rng = random.Random(4)
+    key = lambda: bytes(rng.choice(b"abcdef") for _ in range(12))
+    for n_runs in (20, 2000):
+        keys = sorted({key() for _ in range(20_000)})
+        ranges = 50
+        limits = sorted(rng.sample(keys, 30 * ranges))[30::30]
+        held = Counter()
+        for r in range(n_runs):
+            run = [(k, 0, 0, 0) for k in keys[r::n_runs]]
+            parts = list(suffixes.cut(run, limits))
+            assert [x for _, some in parts for x in some] == run and [p for p, _ in parts] == sorted({p for p, _ in parts})
+            for p, some in parts:
+                assert all((p == 0 or limits[p - 1] <= x[0]) and (p == len(limits) or x[0] < limits[p]) for x in some)
+                blocks = list(suffixes.front_coded(some))
+                assert sum(len(b[4]) for b in blocks) == len(some)
+                held[p] += len(some)
+        assert sum(held.values()) == len(keys) and max(held.values()) < 3 * len(keys) / ranges
+
+
 def test_anchors_in_parts():
     import numpy as np
 

@@ -3,8 +3,8 @@
 Every byte that a string of LENGTH bytes covers goes if the string also starts somewhere else, in any document. Strings that
 are equal stand next to each other among the sorted suffixes, so it is enough to sort suffixes and look at the common prefix of
 neighbours. Each task sorts what its documents bring into runs (equal ones become one), which are written in
-front-coded blocks: how much a suffix shares with the one before, and the rest (compressed). Blocks go to ranges of the order, whose
-limits are a sample. A range merges its runs by a loser tree whose players carry the length of what they share with
+front-coded blocks: how much a suffix shares with the one before, and the rest (compressed). Runs are cut at the limits of ranges of the order, which
+are a sample, so that each block belongs to one range and goes there once. A range merges its runs by a loser tree whose players carry the length of what they share with
 the last winner: the longer one wins, only equal lengths need comparing, and only from there on. The merge alone decides what is repeated.
 
 Hashes leave out what can't have a twin, and tell which neighbouring suffixes go together as one key:
@@ -19,8 +19,8 @@ Hashes leave out what can't have a twin, and tell which neighbouring suffixes go
 
 Scale: texts are shuffled once, into a table bucketed by row number, which all steps read in place; the rest moves hashes and places.
 Runs collapse equal suffixes, so a string that a third of all documents share comes to a range once per run. Ranges are made
-so that each has about RANGE blocks: limits that come to the driver are bounded, beyond them each range is cut again by the order of
-its own blocks. A document's spans come together by its row number, bounded by its length.
+so that each has about RANGE * CODED suffixes at any size: limits that come to the driver are bounded, beyond them each range is cut again by the order of
+its own blocks, and blocks that reach over such a cut are divided there. So every suffix is moved once, or twice. A document's spans come together by its row number, bounded by its length.
 
 Cases: null is the empty text; texts shorter than LENGTH keep everything; rows with equal ids are documents of their own (so equal
 texts of LENGTH bytes or more go entirely); an empty table gives an empty result; other columns are ignored."""
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ from .common import forget, materialize, shared_dir, slices, table, tidy
 LENGTH, GRAM, STARTS = 400, 64, 8
 #: Kinds of keys in the sort: a suffix cut after LENGTH bytes, a whole block, a whole span.
 SUFFIX, WHOLE, SPAN = b"\x00", b"\x01", b"\x02"
-#: Suffixes in a front-coded block, blocks in a range (about), most limits that come to the driver,
+#: Suffixes in a front-coded block, full blocks in a range (about), most limits that come to the driver,
 #: and bytes whose anchors are found at once (fewer than 2^28, as places are packed beside hashes).
 CODED, RANGE, LIMITS, PART = 256, 192, 5000, 1 << 24
 #: Bytes of keys in a run.
@@ -303,12 +304,27 @@ def merged(runs: list[Iterator[tuple[int, bytes, object]]]) -> Iterator[tuple[in
             node //= 2
 
 
-RUNS = "run long, no int, low binary, high binary, shared binary, lengths binary, rows binary, los binary, his binary, rest binary"
+RUNS = "part int, run long, no int, low binary, high binary, shared binary, lengths binary, rows binary, los binary, his binary, rest binary"
 
 
-def sorted_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: row, keys: array<struct<kind, lo, hi>>. Runs of the keys: front-coded blocks, and rows without a number for keys that occur
-    twice within a run already."""
+def arrow_blocks(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 8)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=[x.split()[0] for x in RUNS.split(", ")])
+
+
+def cut(run: list[tuple[bytes, int, int, int]], limits: list[bytes]) -> Iterator[tuple[int, list]]:
+    """The parts of a sorted run that lie between limits: number of the range (that of all keys below the first limit is 0), keys."""
+    at = 0
+    while at < len(run):
+        part = bisect_right(limits, run[at][0])
+        stop = len(run) if part == len(limits) else bisect_left(run, (limits[part],), at)
+        yield part, run[at:stop]
+        at = stop
+
+
+def sorted_runs(texts: DataFrame, wanted: DataFrame, limits: list[bytes]) -> DataFrame:
+    """wanted: row, keys: array<struct<kind, lo, hi>>. Runs of the keys: front-coded blocks, each of one range, and rows without a number for keys
+    that occur twice within a run already (in any range)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -321,14 +337,13 @@ def sorted_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             nonlocal count, size
             name = part + (count << 24)
             whole = sorted((s, *what) for s, what in held.items())
-            out = [(name, no, low, high, *[x.tobytes() for x in columns], zstandard.compress(rest)) for no, low, high, *columns, rest in front_coded(whole)]
+            out = [(own, name, no, low, high, *[x.tobytes() for x in columns], zstandard.compress(rest)) for own, some in cut(whole, limits) for no, low, high, *columns, rest in front_coded(some)]
             if twice:
-                out.append((name, None, None, None, None, None, *[np.array(x, t).tobytes() for x, t in zip(zip(*twice), ("<i8", "<i4", "<i4"))], None))
+                out.append(((name * 0x9E3779B1 >> 8) % (len(limits) + 1), name, None, None, None, None, None, *[np.array(x, t).tobytes() for x, t in zip(zip(*twice), ("<i8", "<i4", "<i4"))], None))
             count, size = count + 1, 0
             held.clear()
             twice.clear()
-            types = (pa.int64(), pa.int32(), *[pa.binary()] * 8)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in RUNS.split(", ")])
+            return arrow_blocks(out)
 
         def add(s: bytes, *what: int):
             nonlocal size
@@ -341,9 +356,9 @@ def sorted_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             rows, data = b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())
             doc, (kinds, los, his) = _spans(b.column(2))
-            limits = np.searchsorted(doc, np.arange(len(rows) + 1))
+            ends = np.searchsorted(doc, np.arange(len(rows) + 1))
             for k, row in enumerate(rows):
-                text, these = data[k].as_py(), slice(limits[k], limits[k + 1])
+                text, these = data[k].as_py(), slice(ends[k], ends[k + 1])
                 kind, lo, hi = kinds[these], los[these], his[these]
                 single = kind == 0
                 starts = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(lo[single].tolist(), hi[single].tolist())])) if single.any() else lo[:0]
@@ -384,55 +399,60 @@ def limits_of(texts: DataFrame, wanted: DataFrame) -> tuple[int, list[bytes]]:
     return ranges, sorted({lows[len(lows) * k // parts] for k in range(1, parts)})
 
 
-def twins(runs: DataFrame, wanted: int, limits: list[bytes]) -> DataFrame:
-    """row, lo, hi: strings that start there have twins, as two runs (or one) have the key. Blocks are dealt to their ranges as they come."""
-    parts = len(limits) + 1
-    if wanted > 2 * parts:
-        runs = materialize(runs)  # read twice then
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block goes to each range that it reaches into; what has twins within its run is passed on."""
-        from bisect import bisect_right
+def divided(runs: DataFrame, limits: list[bytes]) -> DataFrame:
+    """runs with sub: their ranges cut again, so that each part has about RANGE * CODED keys; blocks over a cut are divided."""
+    blocks = runs.where("no IS NOT NULL").select("part", "low", (F.octet_length("lengths") / 2).cast("bigint").alias("n"))
+    by = W.partitionBy("part").orderBy("low")
+    k = F.floor(F.sum("n").over(by) / (RANGE * CODED))
+    cuts = blocks.withColumn("k", k).withColumn("before", F.lag("k").over(by)).where("k > before")
+    cuts = materialize(cuts.groupBy(F.col("part").alias("_part")).agg(F.array_sort(F.collect_set("low")).alias("cuts")))
+    rows = runs.join(cuts, F.col("part") == F.col("_part"), "left").select(*runs.columns, F.coalesce("cuts", F.array().cast("array<binary>")).alias("cuts"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spread = [(r * 0x9E3779B1 >> 8) % wanted for r in b.column(0).to_pylist()]
-            first, last = ([r if x is None else bisect_right(limits, x) for r, x in zip(spread, b.column(c).to_pylist())] for c in (2, 3))
-            index = pa.array([i for i, (x, y) in enumerate(zip(first, last)) for _ in range(x, y + 1)], pa.int64())
-            part = [p for x, y in zip(first, last) for p in range(x, y + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[c.take(index) for c in b.columns]], names=["part", *b.schema.names])
-
-    dealt = runs.mapInArrow(deal, "part int, " + RUNS)
-    if wanted > 2 * parts:  # more ranges than limits: each is cut before every RANGE-th of the blocks that begin in it
-        slim = dealt.where("no IS NOT NULL").select("part", "low").where(F.col("low") >= F.coalesce(F.get(F.lit([bytearray(x) for x in limits]), F.col("part") - 1), F.lit(b""))) if limits else dealt.where("no IS NOT NULL").select("part", "low")
-        cuts = slim.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("low"))).where((F.col("k") % RANGE == 0) & (F.col("k") > 0))
-        cuts = materialize(cuts.groupBy(F.col("part").alias("_part")).agg(F.array_sort(F.collect_set("low")).alias("cuts")))
-        below = lambda c: F.size(F.filter("cuts", lambda x: x <= F.col(c)))
-        dealt = dealt.join(cuts, F.col("part") == F.col("_part"), "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<binary>")))
-        dealt = dealt.withColumn("sub", F.explode(F.sequence(F.coalesce(below("low"), F.lit(0)), F.coalesce(below("high"), F.lit(0))))).withColumns({"begin": F.get("cuts", F.col("sub") - 1), "end": F.get("cuts", F.col("sub"))}).drop("cuts", "_part")
+            out, subs = [], []
+            for *row, cuts in zip(*[c.to_pylist() for c in b.columns]):
+                part, name, no, low, high, shared, lengths, rows, los, his, rest = row
+                first, last = (0, 0) if no is None else (bisect_right(cuts, low), bisect_right(cuts, high))
+                if first == last:
+                    out.append(row)
+                    subs.append(first)
+                    continue
+                what = [np.frombuffer(x, t).tolist() for x, t in ((rows, "<i8"), (los, "<i4"), (his, "<i4"))]
+                keys = [s for _, s in decoded(np.frombuffer(shared, "<u2"), np.frombuffer(lengths, "<u2"), zstandard.decompress(rest))]
+                for sub, some in cut(list(zip(keys, *what)), cuts):
+                    for _, low, high, *columns, rest in front_coded(some):
+                        out.append((part, name, no, low, high, *[x.tobytes() for x in columns], zstandard.compress(rest)))
+                        subs.append(sub)
+            yield arrow_blocks(out).append_column("sub", pa.array(subs, pa.int32()))
+
+    return rows.mapInArrow(run, RUNS + ", sub int")
+
+
+def twins(runs: DataFrame, wanted: int, limits: list[bytes]) -> DataFrame:
+    """row, lo, hi: strings that start there have twins, as two runs (or one) have the key."""
+    if wanted > 2 * (len(limits) + 1):  # more ranges than limits
+        dealt = divided(materialize(runs), limits)
     else:
-        dealt = dealt.withColumns({"sub": F.lit(0), "begin": F.lit(None).cast("binary"), "end": F.lit(None).cast("binary")})
-    names = ["part", "sub", "begin", "end", "run", "shared", "lengths", "rows", "los", "his", "rest"]
+        dealt = runs.withColumn("sub", F.lit(0))
+    names = ["part", "sub", "run", "shared", "lengths", "rows", "los", "his", "rest"]
     dealt = dealt.repartition(wanted, "part", "sub").sortWithinPartitions("part", "sub", "run", "no").select(*names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
 
-        def keys(blocks: list, low: bytes | None, high: bytes | None):
+        def keys(blocks: list):
             before = None
             for shared, lengths, rows, los, his, rest in blocks:
                 what = zip(*(np.frombuffer(x, t).tolist() for x, t in ((rows, "<i8"), (los, "<i4"), (his, "<i4"))))
                 for (n, s), w in zip(decoded(np.frombuffer(shared, "<u2"), np.frombuffer(lengths, "<u2"), zstandard.decompress(rest)), what):
-                    if (low is None or s >= low) and (high is None or s < high):
-                        # the first of a block is written whole; what it shares with the one before is seen here
-                        yield (n if n or before is None else shared_prefix(before, s, 0)), s, w
-                        before = s
+                    # the first of a block is written whole; what it shares with the one before is seen here
+                    yield (n if n or before is None else shared_prefix(before, s, 0)), s, w
+                    before = s
 
         def out():
-            part, _, begin, end = key
-            low = max((x for x in (limits[part - 1] if part else None, begin) if x is not None), default=None)
-            high = min((x for x in (limits[part] if part < len(limits) else None, end) if x is not None), default=None)
             found, before, last, told = [], None, b"", False
-            for n, s, what in merged([keys(x, low, high) for x in held.values()]):
+            for n, s, what in merged([keys(x) for x in held.values()]):
                 same = n == len(s) == len(last)
                 if same:
                     if not told:
@@ -442,14 +462,14 @@ def twins(runs: DataFrame, wanted: int, limits: list[bytes]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["row", "lo", "hi"])
 
         for b in batches:
-            for part, sub, begin, end, run, *block in zip(*[c.to_pylist() for c in b.columns]):
+            for part, sub, run, *block in zip(*[c.to_pylist() for c in b.columns]):
                 if block[0] is None:  # twins within a run
                     yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, t)) for x, t in zip(block[2:5], ("<i8", "<i4", "<i4"))], names=["row", "lo", "hi"])
                     continue
-                if (part, sub, begin, end) != key and held:
+                if (part, sub) != key and held:
                     yield out()
                     held = {}
-                key = (part, sub, begin, end)
+                key = (part, sub)
                 held.setdefault(run, []).append(block)
         if held:
             yield out()
@@ -476,7 +496,8 @@ def repeats(texts: DataFrame) -> DataFrame:
     wanted = materialize(keys.groupBy("row").agg(F.collect_list("key").alias("keys")))
     for done in (spans, mixed_up, whole, singles):
         forget(done)
-    out = materialize(twins(sorted_runs(texts, wanted), *limits_of(texts, wanted)).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    ranges, limits = limits_of(texts, wanted)
+    out = materialize(twins(sorted_runs(texts, wanted, limits), ranges, limits).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
     forget(wanted)
     return out
 
