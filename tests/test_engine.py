@@ -275,6 +275,109 @@ def test_leaders(spark, threshold):
     assert {p for p in want if items[p[0]] or items[p[1]]} <= pairs <= want
     got = {r.id: r.leader for r in grouping.leaders(df, grouping.similar_pairs(df, threshold)).collect()}
     assert got == plain_leaders(items, lambda x, y: grouping.similarity(x, y) > threshold)
+    assert {r.id: r.leader for r in df.groupBy().applyInArrow(grouping.compared(threshold), "id long, leader long").collect()} == got
+
+
+def test_many_pairs_at_once():
+    from veilframe.operators.grouping import subsequence, subsequences
+
+    rng = random.Random(8)
+    some = lambda: "".join(rng.choice("abcdé\U0001f600") for _ in range(rng.choice([0, 1, 2, 5, 9, 17, 63, 64, 65, 130])))
+    pairs = [(some(), some()) for _ in range(400)]
+    assert subsequences(*map(list, zip(*pairs))).tolist() == [subsequence(*p) for p in pairs]
+
+
+@pytest.mark.parametrize("threshold", [80, 85, 95])
+def test_every_length_meets(spark, threshold):
+    """Pairs of lengths that meet by deletion and by segments, with edits at the limit."""
+    from veilframe.operators import grouping
+
+    rng = random.Random(threshold)
+    items = []
+    for n in [*range(1, 19), 25, 40, 63, 64, 65, 90]:
+        base = [rng.choice("0123456789ab") for _ in range(n)]
+        for _ in range(5):
+            x = list(base)
+            for _ in range(rng.randrange(n // 4 + 2)):
+                at = rng.randrange(len(x) + 1)
+                x[at : at + rng.randrange(2)] = rng.choice(["", "7", "c"])
+            items.append("".join(x))
+    items = sorted(set(items), key=lambda x: rng.random())
+    df = spark.createDataFrame(list(enumerate(items)), "id long, norm string")
+    got = {(r.a, r.b): r.score for r in grouping.similar_pairs(df, threshold).collect()}
+    want = {(i, j): grouping.similarity(items[i], items[j]) for i in range(len(items)) for j in range(i + 1, len(items))}
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items() if v > threshold}
+    assert len({len(items[a]) for a, _ in got}) > (10 if threshold < 95 else 3)
+
+
+def test_six_digits_at_scale(spark):
+    """No key has more rows than six digits allow; the pairs of some against all others by brute force."""
+    from veilframe.operators import grouping
+
+    n = 1_000_000
+    items = spark.range(n).select("id", F.lpad((F.col("id") * 7919 % n).cast("string"), 6, "0").alias("norm"))
+    assert grouping.keyed(items, 80).groupBy("key").count().agg(F.max("count")).first()[0] <= 55
+    items = grouping.kept(items.where("id % 10 = 0"))
+    few = [r.norm for r in items.where("id % 100000 = 0").collect()]
+    all_ = [r.norm for r in items.collect()]
+    near = grouping.by_deletion(items, 80)
+    norm = items.select(F.col("id").alias("_id"), "norm")
+    met = near.join(norm, F.col("a") == F.col("_id")).select("b", F.col("norm").alias("x")).join(norm, F.col("b") == F.col("_id")).select("x", F.col("norm").alias("y"))
+    got = {frozenset(r) for r in met.where(F.col("x").isin(few) | F.col("y").isin(few)).collect()}
+    want = set()
+    for x in few:
+        for y, k in zip(all_, grouping.subsequences([x] * len(all_), all_).tolist()):
+            if x != y and k >= 5:
+                want.add(frozenset((x, y)))
+    assert got == want and len(want) > 100
+
+
+def plain_components(n, edges):
+    root = list(range(n))
+
+    def of(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((of(a), of(b)))
+        root[b] = a
+    return [of(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("solo", [1_000_000, 60, 0])
+def test_leaders_of_graphs(spark, monkeypatch, solo):
+    """In one task, by components and in rounds: chains, stars, cliques and random graphs."""
+    from veilframe.operators import grouping
+
+    monkeypatch.setattr(grouping, "SOLO", solo)
+    rng = random.Random(4)
+    edges = {(k, k + 1) for k in range(12)} | {(20, k) for k in range(21, 60)} | {(i, j) for i in range(60, 74) for j in range(i + 1, 74)} | {tuple(sorted(rng.sample(range(80, 140), 2))) for _ in range(50)}
+    ids = list(range(150))
+    e = spark.createDataFrame(sorted(edges), "a long, b long")
+    got = {r.id: r.leader for r in grouping.leaders(spark.createDataFrame([(k,) for k in ids], "id long"), e).collect()}
+    assert got == plain_leaders({k: k for k in ids}, lambda x, y: (x, y) in edges)
+    roots = {r.id: r.root for r in grouping.components(e).collect()}
+    want = plain_components(150, edges)
+    assert roots == {k: want[k] for pair in edges for k in pair}
+    assert grouping.leaders(spark.createDataFrame([(3,)], "id long"), e.limit(0)).collect() == [(3, 3)]
+
+
+def test_a_chain_takes_few_steps(spark, monkeypatch):
+    from veilframe.operators import grouping
+
+    n, order = 10_000, list(range(10_000))
+    random.Random(3).shuffle(order)
+    edges = spark.createDataFrame([tuple(sorted(p)) for p in zip(order, order[1:])], "a long, b long")
+    steps = []
+    monkeypatch.setattr(grouping, "kept", lambda df, kept=grouping.kept: steps.append(1) or kept(df))
+    monkeypatch.setattr(grouping, "SOLO", n - 1)
+    led = grouping.leaders(spark.range(n), edges)
+    assert led.count() == n and len(steps) == 1  # few enough for one task
+    steps.clear()
+    assert grouping.components(edges).where("root <> 0").count() == 0
+    assert len(steps) <= 20
 
 
 def test_similarity(spark):
@@ -302,6 +405,52 @@ def test_name_merge(spark):
     assert ["Smith"] in groups.values()  # two longer names fit
 
 
+@pytest.mark.parametrize("alone", [1000, 0])
+def test_name_groups_by_brute_force(spark, monkeypatch, alone):
+    """Names of one to three words, short forms and similar spellings: groups as they come out one by one, by all pairs."""
+    from veilframe.operators import grouping
+
+    monkeypatch.setattr(grouping, "ALONE", alone)
+    rng = random.Random(9)
+    words = ["Anna", "Åse", "Bo", "Christensen", "Christiansen", "D'Arc", "El-Sayed", "Lee", "Li", "Ødegaard", "Jo.", "A.", "Ch.", "L.", "Xx.", "Long.", "phone"]
+    names = list(dict.fromkeys(rng.choice([" ", " ", "\n"]).join(rng.choice(words) for _ in range(rng.choice([1, 1, 2, 2, 2, 3, 3]))) for _ in range(160)))
+    names += ["A. B. C. D.", "12", "Anna 7"]
+    df = spark.createDataFrame([("person", n, k + 1) for k, n in enumerate(names)], "category string, surface string, ord long")
+
+    def norm(x):
+        for old, new in (("å", "aa"), ("æ", "ae"), ("ø", "oe"), ("-", ""), ("\n", " ")):
+            x = x.lower().replace(old, new)
+        return x
+
+    def fits(short, full):
+        a, b, at = norm(short).split(), norm(full).split(), 0
+        if not a or len(a) >= len(b):
+            return False
+        for w in a:
+            at = next((k + 1 for k in range(at, len(b)) if b[k] == w or (w.endswith(".") and len(w) <= 4 and b[k][0] == w[0])), None)
+            if at is None:
+                return False
+        return True
+
+    valid = [n for n in names if 1 <= len(n.split()) <= 3 and all(any(c.isalpha() for c in w) and w.lower() != "phone" for w in n.split())]
+    leader = plain_leaders(valid, lambda x, y: grouping.similarity(norm(x), norm(y)) > 85)
+    groups = {}
+    for k, to in leader.items():
+        groups.setdefault(to, []).append(valid[k])
+    order = sorted(groups.values(), key=lambda g: -max(map(len, g)))
+    rep = [max(g, key=len) for g in order]
+    merged = [list(g) for g in order]
+    for k, r in enumerate(rep):
+        near = [j for j in range(k) if fits(r, rep[j])]
+        if len(near) == 1:
+            merged[near[0]] += order[k]
+            merged[k] = []
+    want = [(no, v + 1, x) for no, g in enumerate([g for g in merged if g], 1) for v, x in enumerate(g)]
+    got = grouping.dictionary(df, ["person"]).orderBy("entity_no", "variant_no").collect()
+    assert [(r.entity_no, r.variant_no, r.variant) for r in got] == want
+    assert any(not g for g in merged) and any(len(g) > 1 for g in order)
+
+
 def test_hyphens(spark):
     a = Anonymizer("en", spark)
     text = "Johan-\nnes a-\nb-\nc x -\ny 12-\n34"

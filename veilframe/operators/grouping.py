@@ -1,31 +1,45 @@
 """Spelling variants: which surfaces of a category are one entity.
 
-Leaders: in first-seen order, a surface that no leader before it is similar enough to becomes a leader; any other goes to the
-earliest leader that is. That is the lexicographically first maximal independent set of the similarity graph, and it is found in
-rounds: a surface whose earlier neighbours are all decided is decided, and one next to a leader is decided at once.
+Similar pairs come from an equi-join, not from all pairs. Two texts whose similarity is above a threshold have a common subsequence of
+a length that follows from theirs. If few characters have to be left out of both to reach it, they meet at what is left: each text
+is keyed by all its subsequences of the lengths in question (hashed), at most KEYS for a pair of lengths. A key is then nearly as long as the
+texts, so few can have it: for six digits, 55 of a million. Longer texts meet by segments: if the shorter one is cut into one segment more than there can be
+edits, one of them is in the other text, moved by no more than there are edits. Pairs of ids are made distinct before their texts join
+them, and are verified by their similarity, many pairs at a time: bits of a number are the rows of a pair's table, lanes of an array are pairs.
 
-Similar pairs come from an equi-join, not from all pairs: two texts that few single-character edits separate share one of a number of
-segments almost in place. If the shorter one is cut into one segment more than there can be edits, one of them is in the
-other text, moved by no more than there are edits. Pairs that meet so are verified by their similarity."""
+Leaders: in first-seen order, a surface that no leader before it is similar enough to becomes a leader; any other goes to the
+earliest leader that is. That is the lexicographically first maximal independent set of the similarity graph. Surfaces that are equal once normalised
+go with the first of them. Up to ALONE texts are compared with the leaders before them in one task; of more texts
+the similar pairs are found. Up to SOLO pairs are settled one by one in one task; beyond that the graph's components are found by
+pointer jumping and each is settled so, side by side; only within a component of more pairs it takes rounds: a surface
+whose earlier neighbours are all decided is decided, and one next to a leader is decided at once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import forget, numbered_within
 from ..functions.frames import materialize as kept
 from ..functions.frames import numbered as in_order
-from ..functions.frames import numbered_within
-from ..functions.text import normalized_name, normalized_number, possible_variant, valid_name
+from ..functions.text import normalized_name, normalized_number, valid_name, words
 
 #: Similarity above which two surfaces of a category are one entity. Others are only themselves.
 THRESHOLDS = {"person": 85, "phone_number": 80, "date_number": 95, "id_number": 80, "code_number": 80, "general_number": 80}
 
 
+#: Keys by deletion for a pair of lengths, length of texts that are looked at for them, pairs that one task settles, and texts that one task
+#: compares with the leaders among them.
+KEYS, LONGEST, SOLO, ALONE = 600, 64, 1_000_000, 1000
+
+
 def subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, the rows of its table as bits of a number."""
     where: dict[str, int] = {}
@@ -42,71 +56,279 @@ def similarity(a: str, b: str) -> float:
     return 200.0 * subsequence(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def _codes(texts: list[str], width: int, fill: int) -> np.ndarray:
+    """Code points, a row a text."""
+    out = np.full((len(texts), width), fill, np.uint32)
+    for k, t in enumerate(texts):
+        out[k, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    return out
+
+
+def subsequences(a: list[str], b: list[str]) -> np.ndarray:
+    """subsequence() of many pairs at once: those whose first text has the same length run as the lanes of arrays."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([len(x) for x in a], np.int64)
+    for n in np.unique(sizes).tolist():
+        if n > 64:
+            for k in np.flatnonzero(sizes == n).tolist():
+                out[k] = subsequence(a[k], b[k])
+        elif n:
+            here = np.flatnonzero(sizes == n)
+            here = here[np.argsort([len(b[k]) for k in here.tolist()], kind="stable")]
+            for at in range(0, len(here), 16_384):
+                some = here[at : at + 16_384].tolist()
+                x, y = _codes([a[k] for k in some], n, 0), _codes([b[k] for k in some], max(len(b[k]) for k in some), 0x110000)
+                row = np.full(len(some), ~np.uint64(0))
+                for c in y.T:
+                    where = np.zeros(len(some), np.uint64)
+                    for i in range(n):
+                        where |= (x[:, i] == c).astype(np.uint64) << np.uint64(i)
+                    hit = row & where
+                    row = (row + hit) | (row - hit)
+                out[some] = n - np.bitwise_count(row & np.uint64((1 << n) - 1)).astype(np.int64)
+    return out
+
+
+def _least(n: int, m: int, threshold: int) -> int:
+    """Length of the common subsequence that makes texts of two lengths similar."""
+    return threshold * (n + m) // 200 + 1
+
+
+@lru_cache
+def deletions(threshold: int) -> tuple[dict[int, tuple[int, ...]], frozenset[tuple[int, int]]]:
+    """By length: the lengths of subsequences that a text is keyed by; and the pairs of lengths that meet so."""
+    kept_, pairs = {}, set()
+    for n in range(1, LONGEST + 1):
+        for m in range(n, 2 * LONGEST):
+            k = _least(n, m, threshold)
+            if k <= n and comb(n, k) + comb(m, k) <= KEYS:
+                pairs |= {(n, m), (m, n)}
+                for x in (n, m):
+                    kept_.setdefault(x, set()).add(k)
+    return {n: tuple(sorted(x)) for n, x in kept_.items()}, frozenset(pairs)
+
+
+_rng = np.random.default_rng(4_141)
+_FACTOR = _rng.integers(1, 1 << 63, 2 * LONGEST + 1, dtype=np.uint64) | np.uint64(1)
+
+
+@lru_cache(maxsize=256)
+def _choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), np.int64).reshape(-1, k)
+
+
+def keyed(items: DataFrame, threshold: int) -> DataFrame:
+    """id, n, key: the hashes of a text's subsequences, each once."""
+    lengths, _ = deletions(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            sizes = np.array([len(t) for t in texts], np.int64)
+            for n in np.unique(sizes).tolist():
+                here = np.flatnonzero(sizes == n)
+                for k in lengths.get(n, ()):
+                    chosen = _choices(n, k)
+                    step = max(1, 2_000_000 // (len(chosen) * k))
+                    for at in range(0, len(here), step):
+                        some = here[at : at + step]
+                        codes = _codes([texts[i] for i in some.tolist()], n, 0).astype(np.uint64) + np.uint64(7)
+                        key = np.full((len(some), len(chosen)), k, np.uint64)
+                        for j in range(k):
+                            key = (key ^ (key >> np.uint64(29))) * _FACTOR[j] + codes[:, chosen[:, j]]
+                        key = np.sort(key ^ (key >> np.uint64(31)), axis=1)
+                        new = np.ones(key.shape, bool)
+                        new[:, 1:] = key[:, 1:] != key[:, :-1]
+                        count = new.sum(1)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[some], count)), pa.array(np.full(count.sum(), n, np.int32)), pa.array(key[new].view(np.int64))], names=["id", "n", "key"])
+
+    return items.select("id", "norm").mapInArrow(run, "id long, n int, key long")
+
+
+def by_deletion(items: DataFrame, threshold: int) -> DataFrame:
+    """a < b: pairs of ids that have a key in common."""
+    keys = kept(keyed(items.where(F.length("norm").isin(*deletions(threshold)[0])), threshold))
+    again = kept(keys.groupBy(F.col("key").alias("_key")).count().where("count > 1").select("_key"))
+    keys_ = kept(keys.join(again, F.col("key") == F.col("_key"), "left_semi"))
+    other = keys_.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("key").alias("_key"))
+    pairs = keys_.join(other, (F.col("key") == F.col("_key")) & (F.col("id") < F.col("b")))
+    out = kept(pairs.where(200 * F.least("n", "m") > threshold * (F.col("n") + F.col("m"))).select(F.col("id").alias("a"), "b").distinct())
+    for done in (keys, again, keys_):
+        forget(done)
+    return out
+
+
 def _edits(n: Column, threshold: int) -> Column:
     """Most single-character edits of two texts with n characters together whose similarity is above a threshold."""
     return F.ceil((100 - threshold) * n / 100).cast("int") - 1
 
 
-def similar_pairs(items: DataFrame, threshold: int) -> DataFrame:
-    """items (id, norm): a, b (a < b by id), score of all pairs above the threshold."""
-    n = F.length("norm")
-    items = items.select("id", "norm", n.alias("n"))
+def by_segment(items: DataFrame, threshold: int) -> DataFrame:
+    """a < b: pairs of ids, of lengths that don't meet by deletion, that share a segment almost in place."""
+    pairs = sorted(n * 1000 + m for n, m in deletions(threshold)[1])
+    other = lambda n, m: ~((n < 1000) & (m < 1000) & F.array_contains(F.array(*[F.lit(p) for p in pairs] or [F.lit(-1)]), (n * 1000 + m).cast("int")))
+    items = items.select("id", "norm", F.length("norm").alias("n")).where("n > 0")
     longest = lambda x: F.floor(x * (200 - threshold) / threshold).cast("int")
     segments = lambda x: F.least(_edits(x + longest(x), threshold) + 1, F.greatest(x, F.lit(1)))  # noqa: E731  of a text of length x
     begin = lambda x, k, of: F.floor(x * k / of).cast("int")
-    short = items.where("n > 0").withColumn("k", segments(F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    short = items.where(other(F.col("n"), longest(F.col("n")))).withColumn("k", segments(F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     at = begin(F.col("n"), F.col("i"), F.col("k"))
-    short = short.select(F.col("id").alias("sid"), F.col("norm").alias("snorm"), F.col("n").alias("sn"), "i", F.col("norm").substr(at + 1, begin(F.col("n"), F.col("i") + 1, F.col("k")) - at).alias("part"))
+    short = short.select(F.col("id").alias("sid"), F.col("n").alias("sn"), "i", F.col("norm").substr(at + 1, begin(F.col("n"), F.col("i") + 1, F.col("k")) - at).alias("part"))
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold / (200 - threshold)).cast("int"))
-    long = items.where("n > 0").withColumn("sn", F.explode(F.sequence(least, F.col("n")))).withColumn("k", segments(F.col("sn"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    long = items.withColumn("sn", F.explode(F.sequence(least, F.col("n")))).where(other(F.col("n"), F.col("sn"))).withColumn("k", segments(F.col("sn"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     at, size = begin(F.col("sn"), F.col("i"), F.col("k")), begin(F.col("sn"), F.col("i") + 1, F.col("k")) - begin(F.col("sn"), F.col("i"), F.col("k"))
     edits = _edits(F.col("n") + F.col("sn"), threshold)
     moves = F.sequence(F.greatest(at - edits, F.lit(0)), F.least(at + edits, F.col("n") - size))
     long = long.where(F.greatest(at - edits, F.lit(0)) <= F.least(at + edits, F.col("n") - size))
-    long = long.withColumn("part", F.explode(F.array_distinct(F.transform(moves, lambda p: F.col("norm").substr(p + 1, size))))).select(F.col("id").alias("lid"), F.col("norm").alias("lnorm"), "sn", "i", "part")
-    pairs = long.join(short, ["sn", "i", "part"]).where("lid <> sid")
-    pairs = pairs.select(F.least("lid", "sid").alias("a"), F.greatest("lid", "sid").alias("b"), F.when(F.col("lid") < F.col("sid"), F.col("lnorm")).otherwise(F.col("snorm")).alias("x"), F.when(F.col("lid") < F.col("sid"), F.col("snorm")).otherwise(F.col("lnorm")).alias("y")).distinct()
-    empty = items.where("n = 0").select(F.col("id"))
-    first = empty.agg(F.min("id").alias("a"))
+    long = long.withColumn("part", F.explode(F.array_distinct(F.transform(moves, lambda p: F.col("norm").substr(p + 1, size))))).select(F.col("id").alias("lid"), "sn", "i", "part")
+    met = long.join(short, ["sn", "i", "part"]).where("lid <> sid")
+    return kept(met.select(F.least("lid", "sid").alias("a"), F.greatest("lid", "sid").alias("b")).distinct())
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def similar_pairs(items: DataFrame, threshold: int) -> DataFrame:
+    """items (id, norm): a, b (a < b by id), score of all pairs above the threshold. Texts that are empty are paired with the first of them only."""
+    items = kept(items.select("id", "norm"))
+    pairs = by_deletion(items, threshold).unionByName(by_segment(items, threshold)).distinct()
+    own = lambda id_, text: items.select(F.col("id").alias(id_), F.col("norm").alias(text))
+    pairs = pairs.join(own("_a", "x"), F.col("a") == F.col("_a")).select("a", "b", "x").join(own("_b", "y"), F.col("b") == F.col("_b")).select("a", "b", "x", "y")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b["score"] = [similarity(x, y) for x, y in zip(b.x, b.y)]
-            yield b.loc[b.score > threshold, ["a", "b", "score"]]
+            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            n = np.array([len(p) + len(q) for p, q in zip(x, y)], np.float64)
+            score = 200.0 * subsequences(x, y) / np.maximum(n, 1)
+            some = pa.array(score > threshold)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(some), b.column(1).filter(some), pa.array(score).filter(some)], names=["a", "b", "score"])
 
-    # texts that are empty once normalised are equal: linked to the first of them, which is their leader
-    alike = empty.join(first, F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(100.0).alias("score"))
-    return pairs.mapInPandas(scored, "a long, b long, score double").unionByName(alike)
+    empty = items.where("norm = ''").select("id")
+    alike = empty.join(empty.agg(F.min("id").alias("a")), F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(100.0).alias("score"))
+    return pairs.mapInArrow(scored, "a long, b long, score double").unionByName(alike)
 
 
-def leaders(items: DataFrame, edges: DataFrame) -> DataFrame:
-    """items (id, in first-seen order), edges (a < b): id, leader."""
-    edges = kept(edges.select("a", "b"))
-    if edges.isEmpty():
-        return items.select("id", F.col("id").alias("leader"))
-    state = kept(items.select("id").join(edges.select(F.col("b").alias("id")).distinct().withColumn("_open", F.lit(True)), "id", "left").select("id", F.when(F.col("_open"), F.lit(None)).otherwise(F.lit(True)).alias("leads")))
-    while not state.where("leads IS NULL").isEmpty():
+def settled(edges: pa.Table) -> pa.Table:
+    """The rule itself, one by one, on pairs (a, b): id and leader of all that are in one."""
+    a, b = edges["a"].to_numpy(), edges["b"].to_numpy()
+    order = np.lexsort((a, b))
+    a, b = a[order], b[order]
+    leader = {x: x for x in np.setdiff1d(a, b).tolist()}  # nobody before them is like them
+    at = 0
+    for x, n in zip(*[v.tolist() for v in np.unique(b, return_counts=True)]):
+        leader[x] = next((y for y in a[at : at + n].tolist() if leader[y] == y), x)
+        at += n
+    return pa.table({"id": pa.array(leader.keys(), pa.int64()), "leader": pa.array(leader.values(), pa.int64())})
+
+
+def compared(threshold: int):
+    """The rule itself on few texts (id, norm): id and leader."""
+
+    def run(items: pa.Table) -> pa.Table:
+        items = items.sort_by("id")
+        ids, texts, leads, out = items["id"].to_pylist(), items["norm"].to_pylist(), [], []
+        for k, x in enumerate(texts):
+            near = [i for i in leads if 200 * min(len(texts[i]), len(x)) > threshold * (len(texts[i]) + len(x)) or not x and not texts[i]]
+            common = subsequences([texts[i] for i in near], [x] * len(near)).tolist()
+            to = next((i for i, n in zip(near, common) if 200.0 * n > threshold * (len(texts[i]) + len(x)) or texts[i] == x), k)
+            if to == k:
+                leads.append(k)
+            out.append(ids[to])
+        return pa.table({"id": pa.array(ids, pa.int64()), "leader": pa.array(out, pa.int64())})
+
+    return run
+
+
+def written(df: DataFrame, changed: Column) -> tuple[DataFrame, int]:
+    """kept(df) and how many of its rows fulfil a condition, counted as they are written."""
+    seen = Observation()
+    out = kept(df.observe(seen, F.count(F.when(changed, 1)).alias("n")))
+    return out.drop("_changed"), seen.get["n"]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b): id, root: the least id of each component, by hooking and pointer jumping."""
+    both = kept(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
+    state = kept(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("root")))
+    of = lambda df, x, root: df.select(F.col("id").alias(x), F.col("root").alias(root))
+    n = 1
+    while n:
+        near = both.join(of(state, "v", "near"), "v").join(of(state, "u", "root"), "u").select("u", "near", "root")
+        hooks = near.select(F.col("u").alias("x"), "near").union(near.select("root", "near")).groupBy("x").agg(F.min("near").alias("near"))
+        hooked = state.join(hooks, F.col("id") == F.col("x")).select("id", F.col("root").alias("before"), F.least("root", "near").alias("root"))
+        step = kept(hooked)
+        jump = step.join(of(step, "_r", "r1"), F.col("root") == F.col("_r")).drop("_r").join(of(step, "_r", "r2"), F.col("r1") == F.col("_r")).drop("_r").join(of(step, "_r", "r3"), F.col("r2") == F.col("_r"))
+        new, n = written(jump.select("id", F.col("r3").alias("root"), (F.col("r3") != F.col("before")).alias("_changed")), F.col("_changed"))
+        for done in (step, state):
+            forget(done)
+        state = new
+    forget(both)
+    return state
+
+
+def in_rounds(edges: DataFrame) -> DataFrame:
+    """id, leader of all in edges (a, b): whoever can be decided is decided, until all are."""
+    nodes = edges.select(F.col("a").alias("id"), F.lit(False).alias("_open")).union(edges.select("b", F.lit(True)))
+    state = kept(nodes.groupBy("id").agg(F.max("_open").alias("_open")).select("id", F.when(~F.col("_open"), F.lit(True)).alias("leads")))
+    n = 1
+    while n:
         before = edges.join(state, F.col("a") == F.col("id")).groupBy("b").agg(F.max(F.coalesce("leads", F.lit(False))).alias("_near"), F.max(F.col("leads").isNull()).alias("_unsure"))
-        state = kept(state.join(before, F.col("id") == F.col("b"), "left").select("id", F.coalesce("leads", F.when(F.col("_near"), F.lit(False)).when(~F.col("_unsure"), F.lit(True))).alias("leads")))
+        new = state.join(before, F.col("id") == F.col("b"), "left").select("id", F.coalesce("leads", F.when(F.col("_near"), F.lit(False)).when(~F.col("_unsure"), F.lit(True))).alias("leads"))
+        new, n = written(new, F.col("leads").isNull())
+        forget(state)
+        state = new
     led = edges.join(state.where("leads"), F.col("a") == F.col("id")).groupBy("b").agg(F.min("a").alias("_a"))
     return state.join(led, F.col("id") == F.col("b"), "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("_a")).alias("leader"))
 
 
+def leaders(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """items (id, in first-seen order), edges (a < b): id, leader."""
+    edges, n = written(edges.select("a", "b"), F.lit(True))
+    if n <= SOLO:  # so many fit into one task, whatever the table's size
+        found = edges.groupBy().applyInArrow(settled, "id long, leader long")
+    else:
+        roots = components(edges)
+        within = edges.join(roots, F.col("a") == F.col("id")).select("root", "a", "b")
+        sizes = kept(within.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("n")))
+        within = kept(within.join(sizes, F.col("root") == F.col("_root")).select("root", "a", "b", "n"))
+        small, giant = within.where(F.col("n") <= SOLO), within.where(F.col("n") > SOLO)
+        found = small.groupBy("root").applyInArrow(lambda table: settled(table), "id long, leader long")
+        if not giant.isEmpty():
+            found = found.unionByName(in_rounds(giant))
+    found = found.select(F.col("id").alias("_id"), "leader")
+    return items.select("id").join(found, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("leader", "id").alias("leader"))
+
+
+def patterns(words: Column, short: bool) -> Column:
+    """What a name is keyed by. A short form: its words, beginnings with a full stop as one letter with a full stop. A full name of up to three words: all
+    that its short forms can be."""
+    initial = lambda w: F.concat(F.substring(w, 1, 1), F.lit("."))
+    if short:
+        return F.array_join(F.transform(words, lambda w: F.when(w.endswith(".") & (F.length(w) <= 4), initial(w)).otherwise(w)), " ")
+    either = lambda k: F.array(F.get(words, F.lit(k)), initial(F.get(words, F.lit(k))))
+    two = lambda i, j: F.flatten(F.transform(either(i), lambda x: F.transform(either(j), lambda y: F.concat(x, F.lit(" "), y))))
+    one = F.flatten(F.array(*map(either, range(3))))
+    every = F.when(F.size(words) == 2, F.flatten(F.array(either(0), either(1)))).when(F.size(words) == 3, F.concat(one, two(0, 1), two(0, 2), two(1, 2)))
+    return F.array_distinct(F.coalesce(every, F.array().cast("array<string>")))
+
+
 def merged_names(groups: DataFrame) -> DataFrame:
-    """groups (ord, surface, leader): ord, surface, group_ord, var_ord. A group whose longest name is a short form of exactly one
-    longer group's goes behind it; groups are numbered by their longest name, longest first."""
-    longest = W.partitionBy("leader").orderBy(F.desc(F.length("surface")), "ord")
-    rep = groups.withColumn("_k", F.row_number().over(longest)).where("_k = 1").select(F.col("leader").alias("g"), F.col("surface").alias("rep"))
-    rep = kept(in_order(rep, [F.desc(F.length("rep")), F.col("g")], "rank"))
-    word = lambda c: F.split(F.trim(normalized_name(F.col(c))), r"(?U)\s+")
-    small = rep.select(F.col("g").alias("sg"), F.col("rep").alias("srep"), F.col("rank").alias("srank"), F.substring(F.get(word("rep"), F.lit(0)), 1, 1).alias("_c"))
-    cores = rep.withColumn("_c", F.explode(F.array_distinct(F.transform(word("rep"), lambda w: w.substr(1, 1)))))
-    near = small.join(cores, "_c").where((F.col("rank") < F.col("srank")) & possible_variant(F.col("srep"), F.col("rep")))
-    to = near.groupBy("sg").agg(F.count_distinct("g").alias("n"), F.min("g").alias("to")).where("n = 1")
+    """groups (ord, surface, leader; names of at most three words): ord, surface, group_ord, var_ord. A group whose longest name is a
+    short form of exactly one longer group's goes behind it; groups are numbered by their longest name, longest first.
+
+    Short forms and full names meet at the short form's pattern. To know whether there is exactly one, each pattern's first two groups are
+    enough, so none has more rows than that."""
+    best = groups.groupBy("leader").agg(F.min(F.struct((-F.length("surface")).alias("n"), "ord", "surface")).alias("_b"))
+    rep = kept(in_order(best.select(F.col("leader").alias("g"), F.col("_b.surface").alias("rep")), [F.desc(F.length("rep")), F.col("g")], "rank"))
+    named = rep.withColumn("_w", words(normalized_name(F.col("rep"))))
+    full = named.select("g", "rank", F.explode(patterns(F.col("_w"), False)).alias("pattern"))
+    first = kept(full.groupBy("pattern").agg(F.min(F.struct("rank", "g")).alias("one")))
+    second = full.join(first.select(F.col("pattern").alias("_p"), F.col("one.g").alias("_g")), (F.col("pattern") == F.col("_p")) & (F.col("g") != F.col("_g"))).groupBy(F.col("pattern").alias("_p")).agg(F.min("rank").alias("next"))
+    two = first.join(second, F.col("pattern") == F.col("_p"), "left").select(F.col("pattern").alias("_p"), F.col("one.rank").alias("first"), F.col("one.g").alias("to"), "next")
+    short = named.select("g", "rank", patterns(F.col("_w"), True).alias("pattern"), F.size("_w").alias("_n")).where("_n BETWEEN 1 AND 2")
+    only = (F.col("first") < F.col("rank")) & (F.col("next").isNull() | (F.col("next") >= F.col("rank")))
+    to = short.join(kept(two), F.col("pattern") == F.col("_p")).where(only).select(F.col("g").alias("sg"), "to")
     target = rep.join(to, F.col("g") == F.col("sg"), "left").select("g", "rank", F.coalesce("to", "g").alias("to"))
     ranks = rep.select(F.col("g").alias("to"), F.col("rank").alias("group_ord"))
-    out = groups.join(target, F.col("leader") == F.col("g")).join(ranks, "to")
-    return out.select("ord", "surface", "group_ord", F.row_number().over(W.partitionBy("group_ord").orderBy("rank", "ord")).alias("var_ord"))
+    out = groups.join(target, F.col("leader") == F.col("g")).join(ranks, "to").select("ord", "surface", "group_ord", "rank")
+    return numbered_within(out, "group_ord", [F.col("rank"), F.col("ord")], "var_ord").select("ord", "surface", "group_ord", F.col("var_ord").cast("int").alias("var_ord"))
 
 
 def grouped(mentioned: DataFrame, category: str) -> DataFrame:
@@ -117,12 +339,18 @@ def grouped(mentioned: DataFrame, category: str) -> DataFrame:
     if category == "person":
         own = own.where(valid_name(F.col("surface")))
     own = kept(own.withColumn("norm", normalized_name(F.col("surface")) if category == "person" else normalized_number(F.col("surface"))))
-    led = leaders(own, similar_pairs(own, THRESHOLDS[category]))
-    groups = own.join(led, "id").select(F.col("id").alias("ord"), "surface", "leader")
+    firsts, n = written(own.groupBy("norm").agg(F.min("id").alias("id")), F.lit(True))
+    if n <= ALONE:
+        led = firsts.select("id", "norm").groupBy().applyInArrow(compared(THRESHOLDS[category]), "id long, leader long")
+    else:
+        led = leaders(firsts, similar_pairs(firsts, THRESHOLDS[category]))
+    led = led.select(F.col("id").alias("_id"), "leader")
+    led = kept(firsts.join(led, F.col("id") == F.col("_id")).select(F.col("norm").alias("_norm"), "leader"))
+    groups = own.join(led, F.col("norm") == F.col("_norm")).select(F.col("id").alias("ord"), "surface", "leader")
     if category == "person":
         out = merged_names(groups)
     else:
-        out = groups.select("ord", "surface", F.col("leader").alias("group_ord"), F.row_number().over(W.partitionBy("leader").orderBy("ord")).alias("var_ord"))
+        out = numbered_within(groups, "leader", [F.col("ord")], "var_ord").select("ord", "surface", F.col("leader").alias("group_ord"), F.col("var_ord").cast("int").alias("var_ord"))
     return out.select(F.lit(category).alias("category"), "surface", F.col("group_ord").cast("bigint").alias("group_ord"), "var_ord")
 
 

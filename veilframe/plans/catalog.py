@@ -221,6 +221,52 @@ def supplier_name_groups(spark, sf_dir):
     return grouping.dictionary(names, ["person"]).select("id", "variant_no", "variant")
 
 
+def _client_names(spark, sf_dir) -> DataFrame:
+    """Names of clients as mentions: many spellings of some, beginnings with a full stop, accents."""
+    rows = _table(spark, sf_dir, "clients").where("trim(name) <> ''")
+    return D.mentions(rows.select(F.col("client_id").alias("doc_id"), F.lit(0).alias("sel_rank"), F.lit("person").alias("category"), F.col("name").alias("surface")))
+
+
+def client_name_pairs(spark, sf_dir):
+    names = _client_names(spark, sf_dir).select(F.col("ord").alias("id"), T.normalized_name(F.col("surface")).alias("norm"))
+    return grouping.similar_pairs(names, 85).select("a", "b", F.round("score", 6).alias("score"))
+
+
+def client_name_groups(spark, sf_dir):
+    """Which spellings of clients' names are one entity: similar ones, and short forms of exactly one longer name."""
+    return grouping.dictionary(_client_names(spark, sf_dir), ["person"]).select("id", F.col("variant_no").cast("bigint").alias("variant_no"), "variant")
+
+
+#: Names in order (distinct, normalised), pairs whose letters don't rule it out, and their longest common subsequences.
+_NAMES_SQL = """m AS (SELECT name AS v, row_number() OVER (ORDER BY min(client_id)) AS ord, replace(replace(replace(replace(replace(lower(name), 'å', 'aa'), 'æ', 'ae'), 'ø', 'oe'), '-', ''), chr(10), ' ') AS s FROM clients WHERE trim(name) <> '' GROUP BY name),
+bags AS (SELECT *, list_transform(range(1, len(s) + 1), lambda i: s[i] || len(list_filter(range(1, i + 1), lambda j: s[j] = s[i]))) AS bag FROM {from_}),
+p AS (SELECT x.{key} AS a, y.{key} AS b, x.s AS s, y.s AS t FROM bags x JOIN bags y ON x.{key} < y.{key} AND 200 * least(len(x.s), len(y.s)) > 85 * (len(x.s) + len(y.s)) WHERE 200 * len(list_intersect(x.bag, y.bag)) > 85 * (len(x.s) + len(y.s))),
+lcs AS (
+  SELECT a, b, s, t, 0 AS i, list_transform(range(len(t) + 1), lambda z: 0) AS line FROM p
+  UNION ALL
+  SELECT a, b, s, t, i + 1, list_reduce(list_concat([[0]], list_transform(range(1, len(t) + 1), lambda j: [j])), lambda acc, z: list_append(acc, CASE WHEN s[i + 1] = t[z[1]] THEN line[z[1]] + 1 ELSE greatest(line[z[1] + 1], acc[-1]) END)) FROM lcs WHERE i < len(s)),
+near_pairs AS (SELECT a, b, 200.0 * line[-1] / (len(s) + len(t)) AS score FROM lcs WHERE i = len(s) AND 200.0 * line[-1] / (len(s) + len(t)) > 85)"""
+CLIENT_PAIRS_SQL = "WITH RECURSIVE " + _NAMES_SQL.format(from_="m", key="ord") + " SELECT a, b, round(score, 6)::DOUBLE AS score FROM near_pairs"
+
+
+def _client_groups_sql() -> str:
+    head = _NAMES_SQL.format(from_="valid", key="k").replace("bags AS", r"""valid AS (SELECT *, row_number() OVER (ORDER BY ord) AS k FROM (SELECT *, list_filter(string_split_regex(v, '\s+'), lambda x: x <> '') AS w FROM m)
+  WHERE len(w) BETWEEN 1 AND 3 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '\pL'))) = 0 AND len(list_filter(w, lambda x: lower(x) IN ('multiline', 'phone', 'account', 'code', 'street'))) = 0),
+bags AS""")
+    return f"""WITH RECURSIVE {head},
+near AS (SELECT b, list(a) AS earlier FROM near_pairs GROUP BY b),
+steps AS (
+  SELECT 0::BIGINT AS n, []::BIGINT[] AS leaders
+  UNION ALL
+  SELECT n + 1, CASE WHEN len(list_intersect(leaders, coalesce(earlier, []))) = 0 THEN list_append(leaders, n + 1) ELSE leaders END FROM steps JOIN valid ON valid.k = n + 1 LEFT JOIN near ON near.b = n + 1),
+done AS (SELECT leaders FROM steps ORDER BY n DESC LIMIT 1),
+led AS (SELECT v, s, k, CASE WHEN list_contains(leaders, k) THEN k ELSE list_min(list_intersect(leaders, earlier)) END AS leader FROM valid CROSS JOIN done LEFT JOIN near ON near.b = valid.k),
+reps AS (SELECT *, row_number() OVER (ORDER BY len(v) DESC, leader) AS rank FROM (SELECT leader, v, s, row_number() OVER (PARTITION BY leader ORDER BY len(v) DESC, k) AS r FROM led) WHERE r = 1),
+fits AS (SELECT x.leader, min(y.rank) AS to_rank FROM reps x JOIN reps y ON y.rank < x.rank AND {_variant_sql("x.s", "y.s")} GROUP BY x.leader HAVING count(*) = 1),
+target AS (SELECT r.leader, r.rank, coalesce(to_rank, r.rank) AS g FROM reps r LEFT JOIN fits f ON f.leader = r.leader)
+SELECT '<PERSON_' || dense_rank() OVER (ORDER BY g) || '>' AS id, row_number() OVER (PARTITION BY g ORDER BY rank, k) AS variant_no, v AS variant FROM led JOIN target USING (leader)"""
+
+
 def _rules(spark) -> DataFrame:
     return spark.createDataFrame(list(RULES), LONG)
 
@@ -468,7 +514,7 @@ def queries() -> dict:
     for f in (
         span_offsets, resolve_overlaps, interval_anti_join, mentions_distinct, found_counts, entity_ids, pseudonymize_counts, normalized, similar_pairs, number_groups, name_groups, pseudonymize_documents,
         pseudonymize_conversations, replacement_counts, hyphen_join, tex_extract, md_to_typst, fake_format, typst_variables, possible_variants, context_boost, bib_prose, detect_all,
-        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups, digit_groups, detect_by_model, pseudonymize_typst, dictionary_yaml, pseudonymize_large, tagged_names,
+        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups, digit_groups, detect_by_model, pseudonymize_typst, dictionary_yaml, pseudonymize_large, tagged_names, client_name_pairs, client_name_groups,
     ):
         out[f.__name__] = f
     return out
@@ -503,6 +549,8 @@ def oracle_sql() -> dict[str, str]:
         "dictionary_yaml": YAML_SQL,
         "pseudonymize_typst": _typst_sql(),
         "pseudonymize_large": LARGE_SQL,
+        "client_name_pairs": CLIENT_PAIRS_SQL,
+        "client_name_groups": _client_groups_sql(),
         "detect_by_model": "SELECT doc_id, 'person' AS category, surface, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b')) AS surface FROM documents) GROUP BY ALL",
         "context_boost": "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS score FROM orders",
         "bib_prose": "SELECT p_partkey AS doc_id, p_name || ' ' || p_brand || ' book k' AS text FROM part",
