@@ -511,6 +511,29 @@ def test_models(spark):
     assert D.detect(docs.limit(0), D.Registry([]).add_model(find)).count() == 0
 
 
+def test_spans_that_overlap_none(spark):
+    from veilframe.operators.detect import not_overlapping
+
+    rng = random.Random(6)
+    span = lambda: (rng.choice([1, 1, 1, 2, None]), (a := rng.choice([None, *range(90)])), None if a is None or rng.random() < 0.05 else a + rng.choice([0, 1, 2, 3, 9]))
+    base, extra = [span() for _ in range(60)], [(*span(), rng.random()) for _ in range(300)]
+    b, e = (spark.createDataFrame(rows, f"doc_id long, start int, end int{more}") for rows, more in ((base, ""), (extra, ", _end double")))
+    clash = lambda x, y: None not in (*x[:3], *y[:3]) and x[0] == y[0] and x[1] < y[2] and y[1] < x[2]
+    want = [x for x in extra if not any(clash(x, y) for y in base)]
+    assert sorted(map(repr, map(tuple, not_overlapping(b, e).collect()))) == sorted(map(repr, want)) and 20 < len(want) < 280
+    assert not_overlapping(b.limit(0), e).count() == 300 and not_overlapping(b, e.limit(0)).count() == 0
+
+
+def test_a_document_with_a_million_spans(spark):
+    """All in one document: every third span of extra touches two of base, the others overlap one."""
+    from veilframe.operators.detect import not_overlapping
+
+    n = 1_000_000
+    base = spark.range(n).select(F.lit(1).alias("doc_id"), (F.col("id") * 30).alias("start"), (F.col("id") * 30 + 20).alias("end")).union(spark.createDataFrame([(2, 0, 10**9)]))
+    extra = spark.range(n).select(F.lit(1).alias("doc_id"), (F.col("id") * 30 + 20).alias("start"), (F.col("id") * 30 + 30 + F.when(F.col("id") % 3 == 0, 0).otherwise(1)).alias("end"), "id")
+    assert not_overlapping(base, extra).agg(F.count("*"), F.sum(F.col("id") % 3)).first() == ((n + 2) // 3, 0)
+
+
 def test_precedence(spark):
     from veilframe.operators import detect as D
 

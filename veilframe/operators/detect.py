@@ -10,10 +10,11 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from ..functions.frames import numbered_within, once
+from ..functions.frames import materialize, numbered_within, once
 from ..functions.text import hyphen_cuts, hyphen_joined, original_end, original_start, stripped
 
 #: Fixed values, in the order that ties and outputs follow.
@@ -195,9 +196,24 @@ def category_of(entity_type: Column) -> Column:
 
 
 def not_overlapping(base: DataFrame, extra: DataFrame) -> DataFrame:
-    """The spans of extra that overlap none of base, within each doc_id."""
-    b = base.select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return extra.join(b, (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
+    """The spans of extra that overlap none of base, within each doc_id; half open. Spans without id, start or end overlap nothing.
+
+    A sweep: in the order of base's starts and extra's ends, a span of extra is overlapped if the largest end among the spans of base before it is
+    behind its start. The order is cut into ranges; each has its running maximum, and what the ranges before it have of the same document is carried to
+    it, a row a range and document. So no task has more than a range, however many spans a document has."""
+    names = extra.columns
+    marks = base.where("doc_id IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("start").cast("long").alias("_at"), F.lit(1).alias("_base"), F.col("end").cast("long").alias("_end"))
+    asked = extra.select(F.col("doc_id").alias("_d"), F.col("end").cast("long").alias("_at"), F.lit(0).alias("_base"), F.lit(None).cast("long").alias("_end"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    rows = marks.unionByName(asked, allowMissingColumns=True)
+    order = ["_d", "_at", "_base"]  # an end comes before a start at the same place: they touch
+    rows = materialize(rows.repartitionByRange(*order, "_end").withColumn("_part", F.spark_partition_id()))
+    before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = rows.withColumn("_reach", F.max("_end").over(before.partitionBy("_part", "_d"))).where("_base = 0")
+    most = rows.groupBy("_part", "_d").agg(F.max("_end").alias("_end"))
+    carried = most.select(F.col("_part").alias("_p"), F.col("_d").alias("_doc"), F.max("_end").over(W.partitionBy("_d").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_carried")).where("_carried IS NOT NULL")
+    own = own.join(materialize(carried), (F.col("_part") == F.col("_p")) & (F.col("_d") == F.col("_doc")), "left")
+    free = ~F.coalesce(F.greatest("_reach", "_carried") > F.col("_row")["start"], F.lit(False)) | F.col("_d").isNull()
+    return own.where(free).select(*[F.col("_row")[c].alias(c) for c in names])
 
 
 def mentions(found: DataFrame) -> DataFrame:
