@@ -511,6 +511,22 @@ def test_models(spark):
     assert D.detect(docs.limit(0), D.Registry([]).add_model(find)).count() == 0
 
 
+def test_places_with_what_stands_before(spark):
+    from veilframe.functions.spans import places_with
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["ab", "x", "é", "\U0001f600", " ", "abab", "a"]) for _ in range(n)) for n in (0, 1, 2, 5, 40, 40, 200)] + [None, "ab" * 30]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for before, of_bytes in ((7, True), (7, False), (1, True)):
+        got = [r[0] for r in df.select(places_with(F.col("t"), "ab", before, 2, of_bytes)).collect()]
+        for t, found in zip(texts, got):
+            if t is None:
+                assert not found
+                continue
+            want = [(m.start(), m.end(), "ab", t[max(0, m.start() - before) : m.start()], len(t[: m.start()].encode()), len(t[: m.end()].encode())) for m in re.finditer("ab", t)]
+            assert [tuple(x) for x in found] == [w if of_bytes else w[:4] for w in want]
+
+
 def test_spans_that_overlap_none(spark):
     from veilframe.operators.detect import not_overlapping
 

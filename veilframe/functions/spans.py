@@ -21,6 +21,31 @@ def places(text: Column, pattern: str) -> Column:
     return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), of)
 
 
+def places_with(text: Column, pattern: str, before: int, shortest: int, of_bytes: bool = False) -> Column:
+    """places() with before: so many characters at most that stand before a match; shortest: characters that a match has at least. With of_bytes also
+    b and c: where a match begins and ends in the text's bytes. What stands before is joined from the gaps and matches next to it, so no match costs
+    more the later it comes."""
+    pieces = 2 * (before // shortest + 2)
+    last = lambda x: F.right(x, F.lit(before))
+    size = lambda x: F.struct(F.length(x).alias("n"), F.octet_length(x).alias("b")) if of_bytes else F.length(x)
+    plus = lambda x, y: F.struct((x["n"] + y["n"]).alias("n"), (x["b"] + y["b"]).alias("b")) if of_bytes else x + y
+
+    def of(x: Column) -> Column:
+        near = F.flatten(F.transform(x["found"], lambda m, i: F.array(last(F.get(x["gaps"], i)), last(m))))
+        ends = let(F.transform(x["found"], lambda m, i: plus(size(F.get(x["gaps"], i)), size(m))), lambda e: running(e, plus))
+
+        def match(e: Column, near: Column, m: Column, i: Column) -> Column:
+            end = F.get(e, i)["n"] if of_bytes else F.get(e, i)
+            begin = F.greatest(2 * i + 2 - pieces, F.lit(1))
+            context = last(F.array_join(F.slice(near, begin, 2 * i + 2 - begin), ""))
+            more = [(F.get(e, i)["b"] - F.octet_length(m)).alias("b"), F.get(e, i)["b"].alias("c")] if of_bytes else []
+            return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("m"), context.alias("before"), *more)
+
+        return let(F.struct(ends.alias("e"), near.alias("near")), lambda y: F.transform(x["found"], lambda m, i: match(y["e"], y["near"], m, i)))
+
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), of)
+
+
 def span(entity_type, start: Column, end: Column, score) -> Column:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(as_column(entity_type).alias("entity_type"), start.cast("int").alias("start"), end.cast("int").alias("end"), as_column(score).cast("double").alias("score"))
