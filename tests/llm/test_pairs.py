@@ -240,6 +240,19 @@ def test_peeling_recovers(spark):
     assert not all(ok for ok, _, _ in got) and all(abs(n - m) <= (0 if ok else 0.25 * m) for ok, n, m in got)
 
 
+def test_a_document_of_many_paragraphs(spark):
+    """Exact at any size: more paragraphs than tables of 2^16 cells hold, a third of them others in the second."""
+    from pyspark.sql import functions as F
+
+    from veilframe.llm import iblt
+
+    n, first = 200_000, 70_000
+    sets = spark.range(1).select(*[F.transform(F.sequence(F.col("id") + a, F.col("id") + a + n - 1), lambda k: F.xxhash64(k)).alias(c) for c, a in (("x", 0), ("y", first))])
+    r = iblt.differing(iblt.fingerprints(sets, [F.col("x"), F.col("y")]), [(0, 1)]).select(F.get("_d", F.lit(0)).alias("d"), F.get("_f", F.lit(0))["f"]["size"].alias("size"))
+    r = r.select("size", "d.ok", "d.n", F.size(F.array_distinct("d.found.k")).alias("found"), F.size(F.filter("d.found", lambda x: x["n"] == 1)).alias("left")).first()
+    assert tuple(r) == (1 << 18, True, 2.0 * first, 2 * first, first)
+
+
 def covered(texts, length):
     """Flags by brute force: where each string of so many bytes starts."""
     at = {}

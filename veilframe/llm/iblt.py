@@ -7,15 +7,15 @@ count is 1 or -1 and whose check fits its digest holds just that one; it is note
 which may leave more such cells. If cells are left over, peeling failed and is tried again with larger tables.
 
 A fingerprint is the number of digests and one table, with as many cells in a segment as the document has paragraphs (the next power
-of two, LARGEST at most), and twice as many until the table can be peeled by itself. Tables of fewer cells are folds of it: cells whose places are equal in the lower bits add up. Two
+of two), and twice as many until the table can be peeled by itself. Tables of fewer cells are folds of it: cells whose places are equal in the lower bits add up. Two
 fingerprints are compared by them alone: first a fold of BASE cells in a segment is subtracted and peeled, which a few differences
-pass; then the largest that both have; then each table is peeled by itself, which gives the whole sets. Only where a document has
-too many paragraphs for LARGEST (some 150,000) and differs too much from the other, the number of differences is estimated, by the part of the
-difference's cells that are empty.
+pass; then the largest that both have; then each table is peeled by itself, which gives the whole sets. Only for a document whose table can't be
+peeled at any size (two of its digests would need equal check hashes, or an array more than LARGEST cells) the number of
+differences is estimated, by the part of the difference's cells that are empty.
 
 The likeness of two documents is the Jaccard similarity of their sets of paragraphs, from the sizes and the recovered digests.
 
-Scale: tables are arrays in a row; an item is looked at some 64 times, and for the cells of its 64th of the table; only edits() shuffles, texts once: documents are dealt by ranges of doc_id (limits are approximate quantiles, at most
+Scale: tables are arrays in a row, filled from sorted items in near-linear time; only edits() shuffles, texts once: documents are dealt by ranges of doc_id (limits are approximate quantiles, at most
 LIMITS of them, between which ids are cut evenly as often as needed), sorted within them, and see their successor; the first of a range goes
 to the range before too, told by a join with one row per range, which is broadcast while Spark's threshold allows it.
 
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import let, materialize, once, table, text_of
 
-#: Cells in a segment of the smallest and the largest table; rounds of peeling (each takes all that is pure, so few are needed);
-#: how often a fingerprint's table is doubled (two digests that share all three cells part with 7 / 8 each time).
-BASE, LARGEST, ROUNDS, DOUBLINGS = 4, 1 << 16, 100, 4
+#: Cells in a segment of the smallest table, and of the largest that an array can be; rounds of peeling (each takes all that is pure, so few are needed);
+#: how often a fingerprint's table is doubled at most (two digests that share all three cells part with 7 / 8 each time).
+BASE, LARGEST, ROUNDS, DOUBLINGS = 4, 1 << 28, 100, 24
 #: Documents in a range of ids, about; most limits that come to the driver.
 RANGE, LIMITS = 2000, 10_000
 FOUND = "array<struct<k:bigint,n:bigint>>"
@@ -48,8 +48,10 @@ def check(k: Column) -> Column:
 
 
 def _slot(c: Column, segment: Column, size: Column) -> Column:
-    """Place in a segment of a digest with check hash c; size is a power of two."""
-    return F.call_function("shiftrightunsigned", c, 21 * segment).bitwiseAND(size.cast("bigint") - 1).cast("int")
+    """Place in a segment of a digest with check hash c; size is a power of two. Three times 21 bits of c; beyond them a hash of c adds upper ones."""
+    low = F.call_function("shiftrightunsigned", c, 21 * segment).bitwiseAND(F.least(size, F.lit(1 << 21)).cast("bigint") - 1)
+    high = F.when(size > 1 << 21, F.shiftleft(F.xxhash64(c, segment).bitwiseAND(F.shiftright(size, 21).cast("bigint") - 1), 21)).otherwise(F.lit(0).cast("bigint"))
+    return (low + high).cast("int")
 
 
 def _empty() -> Column:
@@ -64,19 +66,25 @@ def _add(a: Column, b: Column) -> Column:
     return _cell(a["n"] + b["n"], a, b)
 
 
-def _filled(placed: Column, low: Column, size: Column) -> Column:
-    """Cells low .. low + size - 1 of items with their place `at`."""
-    return F.transform(F.sequence(low, low + size - 1), lambda i: F.aggregate(F.filter(placed, lambda x: x["at"] == i), _empty(), _add))
+def cells(items: Column, size: Column) -> Column:
+    """The table of some items (k, n: how often it counts): 3 * size cells. Items are sorted by their place, so that those of a cell stand together, and
+    the cells between two places are empty."""
 
+    def dense(p: Column) -> Column:
+        at = lambda i: F.get(p, i)["at"]
+        firsts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
 
-def cells(items: Column, size: Column) -> Column:
-    """The table of some items (k, n: how often it counts): 3 * size cells. In a large one items are split 64 ways first."""
+        def filled(f: Column) -> Column:
+            own = lambda i, j: F.aggregate(F.slice(p, i + 1, F.coalesce(F.get(f, j + 1), F.size(p)) - i), _empty(), _add)
+            gap = lambda i, j: at(i) - F.when(j > 0, at(F.get(f, j - 1)) + 1).otherwise(0)
+            parts = F.transform(f, lambda i, j: F.concat(F.array_repeat(_empty(), gap(i, j)), F.array(own(i, j))))
+            return F.concat(F.flatten(parts), F.array_repeat(_empty(), size - 1 - at(F.size(p) - 1)))
+
+        return F.when(F.size(p) == 0, F.array_repeat(_empty(), size.cast("int"))).otherwise(let(firsts, filled))
 
     def segment(s: Column) -> Column:
-        placed = F.transform(items, lambda x: F.struct(_slot(check(x["k"]), s, size).alias("at"), x["k"].alias("k"), x["n"].alias("n"), check(x["k"]).alias("c")))
-        width = F.shiftright(size, 6)
-        part = lambda p, g: let(F.filter(p, lambda x: (x["at"] >= g * width) & (x["at"] < (g + 1) * width)), lambda some: _filled(some, g * width, width))
-        return let(placed, lambda p: F.when(size <= 64, _filled(p, F.lit(0), size)).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda g: part(p, g)))))
+        placed = F.transform(items, lambda x: let(check(x["k"]), lambda c: F.struct(_slot(c, s, size).alias("at"), x["k"].alias("k"), x["n"].alias("n"), c.alias("c"))))
+        return let(F.sort_array(placed), dense)
 
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), segment))
 
@@ -102,7 +110,8 @@ def peel(difference: Column, size: Column) -> Column:
 
     def rounds(acc: Column, _) -> Column:
         pure = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (check(c["k"]) == c["c"]))
-        new = F.array_distinct(F.transform(pure, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
+        side = lambda n: F.transform(F.array_distinct(F.transform(F.filter(pure, lambda c: c["n"] == n), lambda c: c["k"])), lambda k: F.struct(k.alias("k"), F.lit(n).cast("bigint").alias("n")))  # noqa: E731  digests alone: their distinct ones are told by a hash
+        new = F.concat(side(1), side(-1))
 
         def taken(found: Column) -> Column:
             left = F.struct(minus(acc["cells"], cells(found, size)).alias("cells"), F.concat(acc["found"], found).alias("found"), F.lit(True).alias("live"))
@@ -135,11 +144,12 @@ def fingerprints(rows: DataFrame, sets: list[Column]) -> DataFrame:
     def first(n: Column) -> Column:
         return F.least(F.lit(LARGEST), F.greatest(F.lit(BASE), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1))))).cast("int")))
 
-    rows = once(rows, "_f", F.transform("_s", lambda items: let(first(F.size(items)), lambda size: made(items, size))))
-    for _ in range(DOUBLINGS):
-        more = lambda items, x: F.when(x["set"]["ok"] | (x["f"]["size"] >= LARGEST), x).otherwise(let(x["f"]["size"] * 2, lambda size: made(items, size)))
-        rows = once(rows, "_g", F.zip_with("_s", "_f", more)).drop("_f").withColumnRenamed("_g", "_f")
-    return rows.drop("_s")
+    def enough(items: Column) -> Column:
+        none = F.struct(F.struct(F.size(items).alias("n"), F.shiftright(first(F.size(items)), 1).alias("size"), F.array().cast("array<struct<n:bigint,k:bigint,c:bigint>>").alias("cells")).alias("f"), F.struct(F.array().cast("array<bigint>").alias("keys"), F.lit(False).alias("ok")).alias("set"))
+        step = lambda acc, _: F.when(acc["set"]["ok"] | (acc["f"]["size"] >= LARGEST), acc).otherwise(let(acc["f"]["size"] * 2, lambda size: made(items, size)))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(DOUBLINGS)), none, step)
+
+    return once(rows, "_f", F.transform("_s", enough)).drop("_s")
 
 
 def _all_empty(table: Column) -> Column:
