@@ -9,7 +9,8 @@ only begin where a run begins (or right after the match before), groups that rep
 as a whole run of 13 to 19 digits at once.
 
 Scale: everything happens inside a row; nothing is shuffled. Spark has no function for the places of all matches, so they
-come from the gaps that split() leaves and the matches, by a running sum.
+come from the gaps that split() leaves and the matches, by a running sum; what stands before a match comes from there too, and masking
+joins its parts once. So finding and masking take time in proportion to text and matches (times the logarithm of these).
 
 Cases: a null text is empty and has no spans; rows with equal doc_id are judged one by one; very long texts and runs cost time in
 proportion; an empty table gives an empty result; other columns are ignored by find() and carried along by mask()."""
@@ -19,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import places
+from ..functions.spans import places_with
+from ..functions.text import running
 from .common import let, table, text_of
 
 #: The patterns.
@@ -37,8 +39,8 @@ SCORES = {
     "iban": (0.9, ("iban", "account", "bank"), 0.1), "ssn": (0.4, ("ssn", "social", "security"), 0.4), "secret": (0.4, ("token", "key", "secret", "password"), 0.4),
 }
 LEAST = 0.6
-#: Characters before a span in which a context word counts.
-NEARBY = 40
+#: Characters before a span in which a context word counts, and that each pattern's matches have at least.
+NEARBY, SHORTEST = 40, 4
 
 
 def digits(m: Column) -> Column:
@@ -72,19 +74,19 @@ def octets(m: Column) -> Column:
     return F.forall(F.split(m, r"\."), lambda p: let(F.regexp_replace(p, "^0+", ""), lambda v: (F.length(v) <= 3) & (F.coalesce(v.try_cast("int"), F.lit(0)) <= 255)))
 
 
-def spans(text: Column) -> Column:
-    """array<struct<kind, s, e, score>>, by kind as listed, then start. text isn't null and is a variable or a column."""
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+def spans(text: Column, of_bytes: bool = False) -> Column:
+    """array<struct<kind, s, e, score>>, by kind as listed, then start. text isn't null and is a variable or a column. With of_bytes
+    also b and c, the places in bytes."""
+    none = F.array().cast("array<struct<start:int,end:int,m:string,before:string" + (",b:int,c:int>>" if of_bytes else ">>"))
 
     def kept(kind: str, pattern: str, holds, may: Column | None = None) -> Column:
-        found = places(text, pattern)
+        found = places_with(text, pattern, NEARBY, SHORTEST, of_bytes)
         found = F.filter(found if may is None else F.when(may, found).otherwise(none), holds)
         base, words, more = SCORES[kind]
 
         def scored(x: Column) -> Column:
-            before = F.lower(text.substr(F.greatest(x["start"] - NEARBY, F.lit(0)) + 1, F.least(x["start"], F.lit(NEARBY))))
-            near = before.rlike(r"(?<![a-z])(?:" + "|".join(words) + ")")
-            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("s"), x["end"].alias("e"), (F.lit(base) + F.when(near, more).otherwise(0.0)).alias("score"))
+            near = F.lower(x["before"]).rlike(r"(?<![a-z])(?:" + "|".join(words) + ")")
+            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("s"), x["end"].alias("e"), (F.lit(base) + F.when(near, more).otherwise(0.0)).alias("score"), *[x[c].alias(c) for c in "bc" if of_bytes])
 
         return F.filter(F.transform(found, scored), lambda x: (x["score"] >= LEAST) | F.lit(kind in BASE))
 
@@ -105,26 +107,29 @@ def listed(found: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and found, a row per document."""
-    return docs.select("doc_id", let(text_of(), spans).alias("found"))
+    return docs.select("doc_id", let(text_of(), lambda t: spans(t)).alias("found"))
 
 
 def masked(text: Column, found: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of spans that overlap, the first to begin (then the longest) names the whole."""
-    ordered = F.sort_array(F.transform(found, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
+    """The text with each span (of spans() with places in bytes) replaced by its kind in brackets; of spans that overlap, the first to begin (then the
+    longest) names the whole. Parts are cut from the text's bytes, where a cut costs what it takes, and are joined once."""
+    ordered = F.sort_array(F.transform(found, lambda x: F.struct(x["b"].alias("b"), (-x["c"]).alias("c"), x["kind"].alias("kind"))))
+    reach = lambda o: let(F.transform(o, lambda x: -x["c"]), lambda e: running(e, F.greatest))  # noqa: E731  the furthest end so far
 
-    def step(acc: Column, x: Column) -> Column:
-        end = -x["e"]
-        name = F.when(x["s"] >= acc["at"], F.concat(text.substr(acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.concat(acc["out"], name).alias("out"))
+    def joined(y: Column) -> Column:
+        raw, spans_, ends = y["raw"], y["o"], y["reach"]
+        until = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        cut = lambda b, e: F.substring(raw, b + 1, e - b).cast("string")
+        part = lambda x, i: F.when(x["b"] >= until(i), F.concat(cut(until(i), x["b"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+        return F.concat(F.array_join(F.transform(spans_, part), ""), cut(F.get(ends, F.size(spans_) - 1), F.octet_length(raw)))
 
-    return F.when(F.size(found) == 0, text).otherwise(
-        let(F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step), lambda x: F.concat(x["out"], text.substr(x["at"] + 1, F.length(text))))
-    )
+    whole = let(ordered, lambda o: let(F.struct(text.cast("binary").alias("raw"), o.alias("o"), reach(o).alias("reach")), joined))
+    return F.when(F.size(found) == 0, text).otherwise(whole)
 
 
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with their spans masked, all columns; n_chars follows the text, a null text stays null."""
-    text = F.when(F.col("text").isNotNull(), let(text_of(), lambda t: let(spans(t), lambda f: masked(t, f))))
+    text = F.when(F.col("text").isNotNull(), let(text_of(), lambda t: let(spans(t, True), lambda f: masked(t, f))))
     out = docs.withColumn("text", text)  # in its place
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))) if "n_chars" in docs.columns else out
 
