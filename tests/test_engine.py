@@ -464,13 +464,14 @@ def test_hyphens(spark):
 
 
 def test_streaming(spark, tmp_path):
-    from veilframe.streaming.rewrite import read_stream, write_stream
+    from veilframe.streaming.rewrite import read_stream, replaced, write_stream
 
     spark.createDataFrame([(1, "John Doe was here"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     a = Anonymizer("en", spark)
     a.load_replacements({"PERSON": [{"id": "<PERSON_1>", "variants": ["John Doe"]}]})
     q = write_stream(read_stream(spark, str(tmp_path / "in"), "doc_id long, text string"), a.dictionary(), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
+    assert {c: n for c, n in replaced(q).items() if n} == {"person": 1}
     assert {(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "<PERSON_1> was here"), (2, None)}
 
 

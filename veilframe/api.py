@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import hyphen_joined
@@ -90,17 +90,19 @@ def anonymize_file(path, anonymizer: Anonymizer, output) -> dict[str, int]:
     path = files.checked(path)
     raw = files.read_raw(anonymizer.spark, [path])
     if path.suffix == ".bib":
-        fields = grouping.kept(anonymizer.anonymize_documents(files.bib_fields(raw)))
-        done, row = fields, files.bib_text(fields.select("doc_id", "entry_no", "field_no", "field", "text")).first()
+        rows, seen = rewrite.observed(anonymizer.anonymize_documents(files.bib_fields(raw)))
+        fields = grouping.kept(rows)
+        row = files.bib_text(fields.select("doc_id", "entry_no", "field_no", "field", "text")).first()
         text = row.text if row else ""
     else:
-        done = grouping.kept(anonymizer.anonymize_documents(raw.select("doc_id", "text")))
-        text = done.first().text
+        rows, seen = rewrite.observed(anonymizer.anonymize_documents(raw.select("doc_id", "text")))
+        text = grouping.kept(rows).first().text
     files.write_text(output, text)
-    counts = Anonymizer._zero()
-    for r in rewrite.totals(done).collect():
-        counts[f"{r.category}_found"], counts[f"{r.category}_replaced"] = r.found, r.replaced
-    return counts
+    return _counts(seen)
+
+
+def _counts(seen: Observation) -> dict[str, int]:
+    return Anonymizer._zero() | {f"{c}_{what}": n for c, n in seen.get.items() for what in ("found", "replaced")}
 
 
 def md_to_typst(md: str, spark: SparkSession | None = None) -> str:
@@ -122,13 +124,13 @@ def export_typst(path, anonymizer: Anonymizer, output=None) -> tuple[dict[str, i
     entities = anonymizer.dictionary()
     named = grouping.kept(typst.variables(entities))
     raw = files.read_raw(anonymizer.spark, [path]).select("doc_id", "text")
-    done = grouping.kept(typst.with_variables(raw, entities).withColumn("main", typst.main_text(F.col("text"), real.name, path.suffix == ".md")))
+    rows, seen = rewrite.observed(typst.with_variables(raw, entities))
+    done = grouping.kept(rows.withColumn("main", typst.main_text(F.col("text"), real.name, path.suffix == ".md")))
     main.parent.mkdir(parents=True, exist_ok=True)
-    lines = named.orderBy("ord").select(typst.let_line(F.col("var"), F.col("real_value")), typst.let_line(F.col("var"), F.col("fake_value"))).collect()
-    files.write_text(real, "".join(x[0] for x in lines))
-    files.write_text(fake, "".join(x[1] for x in lines))
+    lines = named.orderBy("ord").select(typst.let_line(F.col("var"), F.col("real_value")), typst.let_line(F.col("var"), F.col("fake_value")))
+    with open(real, "w", encoding="utf-8", newline="") as r, open(fake, "w", encoding="utf-8", newline="") as f:
+        for x in lines.toLocalIterator():  # a part at a time, however large the dictionary
+            r.write(x[0])
+            f.write(x[1])
     files.write_text(main, done.first().main)
-    counts = Anonymizer._zero()
-    for r in rewrite.totals(done).collect():
-        counts[f"{r.category}_found"], counts[f"{r.category}_replaced"] = r.found, r.replaced
-    return counts, (main, real, fake)
+    return _counts(seen), (main, real, fake)

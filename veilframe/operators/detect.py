@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import calendar, phones
 from ..functions import spans as S
 from ..functions.frames import materialize, numbered_within, once
 from ..functions.text import hyphen_cuts, hyphen_joined, original_end, original_start, stripped
@@ -38,6 +39,7 @@ class Detector:
     languages: tuple[str, ...] = ("en", "da")
     flags: str = FLAGS
     group: str = ""  # detectors of a group are one recognizer; its type where empty
+    check: Callable[[Column], Column] | None = field(default=None, compare=False)  # what a match has to fulfil besides
 
     @property
     def regex(self) -> str:
@@ -78,6 +80,15 @@ NATIVE = (
 )
 
 
+#: Name, type, pattern, score, flags and check of detectors whose matches are looked at more closely.
+CHECKED = (
+    ("PHONE_NUMBER", "phone_international", phones.PATTERN, 0.4, "(?U)", phones.valid),
+    ("DATE_TIME", "written_date", calendar.WRITTEN, 0.85, "(?Ui)", calendar.valid_written),
+    ("DATE_TIME", "iso_date", calendar.ISO, 0.85, "(?U)", calendar.valid_iso),
+    ("DATE_TIME", "relative_date", calendar.RELATIVE, 0.6, "(?Ui)", None),
+)
+
+
 @dataclass
 class Registry:
     """What is detected: patterns, and functions on batches with rows (doc_id, text) -> (doc_id, entity_type, start, end, score)."""
@@ -90,6 +101,12 @@ class Registry:
         own = [Detector(t, n, p, s, c) for t, n, p, s, c in PATTERNS]
         return cls(own + [Detector(t, n, p, s, flags=f) for t, n, p, s, f in NATIVE])
 
+    @classmethod
+    def extended(cls) -> "Registry":
+        """The default detectors, month dates by the calendar instead of their pattern alone, and international phone numbers by their countries' plans."""
+        own = [d for d in cls.default().detectors if d.name != "month_date"]
+        return cls(own + [Detector(t, n, p, s, flags=f, check=check) for t, n, p, s, f, check in CHECKED])
+
     def add(self, detector: Detector) -> "Registry":
         self.detectors.append(detector)
         return self
@@ -137,7 +154,8 @@ def detected(rows: DataFrame, name: str, text: Column, detectors: list[tuple[Col
         return value
 
     def matches(d: Detector) -> Column:
-        return F.transform(S.places(text, d.regex), lambda m: S.span(d.entity_type, m["start"], m["end"], d.score))
+        found = S.places(text, d.regex)
+        return F.transform(found if d.check is None else F.filter(found, lambda m: d.check(m["m"])), lambda m: S.span(d.entity_type, m["start"], m["end"], d.score))
 
     none, names = F.array().cast(f"array<{S.NONE}>"), rows.columns
     rows = once(rows, "_raw", chosen(lambda g: F.array(*[F.concat(*map(matches, some)) for some in g.values()]) if g else none))

@@ -9,7 +9,7 @@ All ways give the same result."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
@@ -128,6 +128,16 @@ def with_own_rules(docs: DataFrame, ranked: DataFrame, written: DataFrame, sendi
         found, open_ = kept(found.unionByName(new)), texts.join(new.select("_row").distinct(), "_row", "left_semi")
 
 
+def observed(rewritten_docs: DataFrame, name: str = "replaced") -> tuple[DataFrame, Observation | None]:
+    """The same rows, and what counts how often each category is replaced while they are written (once, to one place): no second read is needed. On
+    a stream the progress of the query has these numbers under the name, batch by batch; see streaming.rewrite.replaced()."""
+    sums = [F.coalesce(F.sum(F.col("counts")[c]), F.lit(0)).alias(c) for c in CATEGORIES]
+    if rewritten_docs.isStreaming:
+        return rewritten_docs.observe(name, *sums), None
+    seen = Observation(name)
+    return rewritten_docs.observe(seen, *sums), seen
+
+
 def totals(rewritten_docs: DataFrame) -> DataFrame:
     """category, found, replaced (always equal) over all rows."""
     pairs = rewritten_docs.select(F.explode("counts").alias("category", "n")).groupBy("category").agg(F.sum("n").alias("n"))

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.frames import numbered_within
 from ..functions.text import digit_count, fake_digits, masked_digits, typst_markup
 from .detect import CATEGORIES
 from .rewrite import NUMBERS, pseudonymize, typst_boundary
 
-#: What the variables of a category begin with.
+#: What the variables of a category begin with, and their fake values by number of entity and variant (None: digits in the real one's format).
 PREFIX = {"person": "P", "email_address": "E", "location": "A", "phone_number": "PH", "date_number": "DT", "id_number": "ID", "code_number": "CD", "general_number": "GN"}
+FAKE = {"person": "Person%d Var%d", "email_address": "email%dvar%d@example.com", "location": "Address%d Var%d", **dict.fromkeys(NUMBERS)}
 
 
 def longest(variants: Column) -> Column:
@@ -24,17 +26,15 @@ def variables(dictionary: DataFrame, seed: int = 0) -> DataFrame:
     (longest first). Fake numbers keep their format; their digits depend on the entity's id alone and its variants share them."""
     category = F.col("category")
     per_entity = W.partitionBy("category", "entity_no")
-    prefix = F.element_at(F.create_map(*[F.lit(x) for pair in PREFIX.items() for x in pair]), category)
-    out = dictionary.withColumn("_v", F.row_number().over(per_entity.orderBy(F.desc(F.length("variant")), "variant_no")))
-    out = out.withColumn("_n", F.max(digit_count(F.col("variant"))).over(per_entity)).withColumn("_e", F.dense_rank().over(W.partitionBy("category").orderBy("entity_no")))
+    of = lambda table: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), category)
+    entity = numbered_within(dictionary.select("category", "entity_no").distinct(), "category", [F.col("entity_no")], "_e").select(F.col("category").alias("_c"), F.col("entity_no").alias("_no"), F.col("_e").cast("int").alias("_e"))
+    out = dictionary.join(entity, (category == F.col("_c")) & (F.col("entity_no") == F.col("_no"))).withColumn("_v", F.row_number().over(per_entity.orderBy(F.desc(F.length("variant")), "variant_no")))
+    out = out.withColumn("_n", F.max(digit_count(F.col("variant"))).over(per_entity))
     digits = fake_digits(F.col("id"), F.col("_n"), seed)
-    fake = (
-        F.when(category == "person", F.format_string("Person%d Var%d", "_e", "_v"))
-        .when(category == "email_address", F.format_string("email%dvar%d@example.com", "_e", "_v"))
-        .when(category == "location", F.format_string("Address%d Var%d", "_e", "_v"))
-        .when(category.isin(*NUMBERS), masked_digits(F.col("variant"), digits))
-        .otherwise("<FAKE>")
-    )
+    fake = F.when(category.isin(*NUMBERS), masked_digits(F.col("variant"), digits))
+    for c, form in FAKE.items():
+        fake = fake if form is None else F.when(category == c, F.format_string(form, "_e", "_v")).otherwise(fake)
+    prefix = of(PREFIX)
     rank = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), category)
     return out.select(*dictionary.columns, F.concat(prefix, F.col("_e"), F.lit("V"), F.col("_v")).alias("var"), F.col("variant").alias("real_value"), fake.alias("fake_value"), F.struct(rank, F.col("_e"), F.col("_v")).alias("ord"))
 

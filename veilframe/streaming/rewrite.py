@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.rewrite import pseudonymize
+from ..operators.detect import CATEGORIES
+from ..operators.rewrite import observed, pseudonymize
 
 
 def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -18,8 +19,18 @@ def write_stream(docs: DataFrame, dictionary: DataFrame, path: str, checkpoint:
     options = {"checkpointLocation": checkpoint}
     trigger = trigger or {"availableNow": True}
     try:
-        out = pseudonymize(docs, dictionary)
+        out = observed(pseudonymize(docs, dictionary))[0]
     except ValueError:
         each = lambda batch, no: pseudonymize(batch, dictionary).write.mode("overwrite").parquet(f"{path}/batch={no}")
         return docs.writeStream.foreachBatch(each).options(**options).trigger(**trigger).start()
     return out.writeStream.format("parquet").option("path", path).options(**options).outputMode("append").trigger(**trigger).start()
+
+
+def replaced(query: StreamingQuery) -> dict[str, int]:
+    """How often each category was replaced in the batches that a query still reports, as counted when they were written."""
+    out = dict.fromkeys(CATEGORIES, 0)
+    for progress in query.recentProgress:
+        row = (progress["observedMetrics"] or {}).get("replaced")
+        for c, n in (row.asDict() if row else {}).items():
+            out[c] += n
+    return out
