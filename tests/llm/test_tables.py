@@ -147,14 +147,14 @@ def test_position_inverts(spark):
             assert abs(demand(r.t) - r.u) < 1e-9
 
 
-@pytest.mark.parametrize("name", ["op6_url_filters", "op9_curriculum"])
+@pytest.mark.parametrize("name", ["op6_url_filters", "op9_curriculum", "op11_fill_in_middle", "op12_peak_concurrency", "op13_substring_dedup"])
 def test_sql(spark, name):
     import duckdb
 
     from veilframe.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "sales", "sale_lines", "clients"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, SF).select(*want.columns).collect()
