@@ -64,3 +64,22 @@ def test_phones_in_texts(spark):
     text = "call +45 12 34 56 78, +45 22 34 56 78 or +45 22 34 56 7; 0044 (0) 20 7946 0958, +1 (415) 555-2671, +1 (115) 555-2671 x+4522345678"
     found = D.detect(spark.createDataFrame([(1, text)], "doc_id long, text string"), D.Registry.extended().named("phone_international")).orderBy("start").collect()
     assert [r.surface for r in found] == ["+45 22 34 56 78", "0044 (0) 20 7946 0958", "+1 (415) 555-2671"]
+
+
+def test_chunks_of_long_texts(spark):
+    """Texts cut at many places have the spans, places, scores and ranks of whole ones; ids may repeat or be null."""
+    import random
+
+    from veilframe.operators import detect as D
+
+    rng = random.Random(3)
+    parts = ["John Doe", "Anna B. Larsen", "code", "tel", "my id is", "123456-1234", "12 34 56 78", "(123456)", "2020-12345", "01.02.20", "a@b.com", "12 May 2020", "12 Baker Street, London", "æble", "x-\ny", "1234-\n5678", "é", "100,50.abc", "...", "123-4567 (890)a"]
+    text = lambda n: "".join(rng.choice(parts) + rng.choice([" ", "\n", "\n\n", "\n\n\n", " \n\n", ", "]) for _ in range(n))
+    rows = [(k % 5 if k % 7 else None, text(rng.randrange(120))) for k in range(24)] + [(99, None), (99, ""), (98, "\n\nJohn Doe 1234"), (98, "no place to cut 123456" * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(repr, D.detect(docs, D.Registry.extended()).collect()))
+    assert len(want) > 400 and sorted(map(repr, D.detect_in_chunks(docs, D.Registry.extended(), size=40).collect())) == want
+    assert sum(len(list(D.pieces(t or "", 40))) > 2 for _, t in rows) > 10
+    assert all("".join(p for _, p in D.pieces(t or "", 40)) == (t or "") for _, t in rows)
+    wide = D.Registry.default().named("digit_sequence").add(D.Detector("CODE_NUMBER", "over_lines", r"code\s+tel", 0.9))
+    assert sorted(map(repr, D.detect_in_chunks(docs, wide, size=40).collect())) == sorted(map(repr, D.detect(docs, wide).collect()))

@@ -5,7 +5,7 @@ detectors are patterns, or functions on batches of rows for models that are no p
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -122,6 +122,12 @@ class Registry:
         return [d for d in self.detectors if language in d.languages]
 
 
+#: The detectors of this module: none of their matches reaches across an empty line that a letter follows.
+_OWN = [*Registry.default().detectors, *Registry.extended().detectors]
+#: Characters of a chunk of a long text.
+CHUNK = 1 << 20
+
+
 def model_from(of: Callable[[str], list]) -> Callable:
     """For Registry.add_model: a function on batches from one on texts. of(text) gives (entity_type, start, end, score) of all that a statistical
     model finds, in code points, end exclusive; a model that takes long to load is best loaded at its first call and kept."""
@@ -136,10 +142,10 @@ def model_from(of: Callable[[str], list]) -> Callable:
     return run
 
 
-def detected(rows: DataFrame, name: str, text: Column, detectors: list[tuple[Column | None, list[Detector]]]) -> DataFrame:
+def detected(rows: DataFrame, name: str, text: Column, detectors: list[tuple[Column | None, list[Detector]]], before: Column | None = None) -> DataFrame:
     """rows with a column of all spans of a text: each recognizer's, without those that one of its own contains; context raises scores
-    after that. detectors: those of the rows for which a condition holds, the last ones (without a condition) of all others. Each step is
-    computed once a row, words only where a context could count."""
+    after that. detectors: those of the rows for which a condition holds, the last ones (without a condition) of all others. before: words that
+    stand before the text and count as context too. Each step is computed once a row, words only where a context could count."""
 
     def groups(some: list[Detector]) -> dict[tuple, list[Detector]]:
         out: dict[tuple, list[Detector]] = {}
@@ -161,7 +167,8 @@ def detected(rows: DataFrame, name: str, text: Column, detectors: list[tuple[Col
     rows = once(rows, "_raw", chosen(lambda g: F.array(*[F.concat(*map(matches, some)) for some in g.values()]) if g else none))
     rows = once(rows, "_own", F.transform("_raw", lambda x: S.without_contained(x, PRIORITY)))
     asks = chosen(lambda g: F.exists(F.array(*[F.size(F.get("_own", F.lit(k))) > 0 for k, (_, context) in enumerate(g) if context] or [F.lit(False)]), lambda x: x))
-    rows = once(rows, "_words", F.when(asks, S.words_in(text)))
+    ahead = [] if before is None else [F.transform(before, lambda w: F.struct((-1 - F.length(w)).alias("start"), F.lit(-1).alias("end"), w.alias("m")))]
+    rows = once(rows, "_words", F.when(asks, F.concat(*ahead, S.words_in(text))))
     raised = lambda context, k: S.boosted(F.col("_words"), F.get("_own", F.lit(k)), context) if context else F.get("_own", F.lit(k))
     rows = once(rows, "_raised", chosen(lambda g: F.flatten(F.array(*[raised(context, k) for k, (_, context) in enumerate(g)])) if g else F.flatten(none)))
     return once(rows, name, S.without_contained(F.col("_raised"), PRIORITY)).select(*names, name)
@@ -197,8 +204,7 @@ def detect(docs: DataFrame, registry: Registry | None = None, language: str = "e
     column lang, rows of the languages en and da use their own detectors, all others `language`'s."""
     registry = registry or Registry.default()
     base = docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []), hyphen_joined(F.coalesce("text", F.lit(""))).alias("dtext"))
-    others = [x for x in ("en", "da") if "lang" in docs.columns and x != language and registry.of(x) != registry.of(language)]
-    rows = detected(base, "spans", F.col("dtext"), [*[(F.col("lang") == x, registry.of(x)) for x in others], (None, registry.of(language))])
+    rows = detected(base, "spans", F.col("dtext"), by_language(docs, registry, language))
     for model in registry.models:
         rows = rows.withColumn("spans", F.concat("spans", by_model(F.col("dtext"), model)))
     rows = once(once(rows, "best", resolved(F.col("spans"))), "cuts", hyphen_cuts(F.coalesce("text", F.lit(""))))
@@ -209,6 +215,65 @@ def detect(docs: DataFrame, registry: Registry | None = None, language: str = "e
     return rows.withColumn("surface", surface).drop("text").where("surface <> ''")
 
 
+def by_language(docs: DataFrame, registry: Registry, language: str) -> list[tuple[Column | None, list[Detector]]]:
+    others = [x for x in ("en", "da") if "lang" in docs.columns and x != language and registry.of(x) != registry.of(language)]
+    return [*[(F.col("lang") == x, registry.of(x)) for x in others], (None, registry.of(language))]
+
+
+def pieces(text: str, size: int) -> Iterator[tuple[int, str]]:
+    """A text in parts of size characters and more, each with its place, cut only behind an empty line and before a letter."""
+    begin = 0
+    while begin < len(text):
+        cut = text.find("\n\n", begin + size)
+        while cut >= 0 and not text[cut + 2 : cut + 3].isalpha():
+            cut = text.find("\n\n", cut + 1)
+        end = cut + 2 if cut >= 0 else len(text)
+        yield begin, text[begin:end]
+        begin = end
+
+
+def detect_in_chunks(docs: DataFrame, registry: Registry | None = None, language: str = "en", size: int = CHUNK) -> DataFrame:
+    """The same rows as detect(), for documents that are too long for one task: texts of over size characters are cut, and their chunks are detected in many
+    tasks. No pattern of this module matches across an empty line that a letter follows, so that is where texts are cut; the five words before
+    a cut go with a chunk as context; overlaps hang together within chunks. Only sel_rank looks at a whole document, and it is made from sorted ranges.
+    A text without such places stays whole, and so do all texts if the registry has a model or a detector of somebody's own, which may look further.
+
+    docs may have null and repeated ids; null texts have no spans. Writes the chunks of long texts to the shared folder."""
+    registry = registry or Registry.default()
+    if registry.models or not all(d in _OWN for d in registry.detectors):
+        return detect(docs, registry, language)
+    more = ["lang"] if "lang" in docs.columns else []
+    docs = docs.select("doc_id", "text", *more)
+    long = F.length("text") > size
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def cut(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                for start, text in pieces(row["text"], size):
+                    yield pa.RecordBatch.from_pylist([row | {"text": text, "_start": start}], schema=pa.schema([*b.schema, pa.field("_start", pa.int32())]))
+
+    chunks = docs.where(long).withColumn("_row", F.monotonically_increasing_id())
+    chunks = chunks.mapInArrow(cut, ", ".join([*[f"{c} {k}" for c, k in kinds.items()], "_row bigint", "_start int"]))
+    chunks = materialize(chunks.repartition("_row", "_start"))
+    chunks = once(chunks, "dtext", hyphen_joined(F.col("text")))
+    # every chunk but the first begins with a word, so those of five chunks are enough
+    last = chunks.select("_row", "_start", F.slice(F.reverse(F.transform(S.words_in(F.col("dtext")), lambda w: w["m"])), 1, 5).alias("_w"))
+    near = W.partitionBy("_row").orderBy("_start").rowsBetween(-5, -1)  # a row a chunk, without its text
+    ahead = materialize(last.select("_row", "_start", F.flatten(F.transform(F.collect_list("_w").over(near), lambda w: F.reverse(w))).alias("_ahead")))
+    rows = chunks.join(ahead.select("_row", "_start", F.slice(F.reverse("_ahead"), 1, 5).alias("_ahead")), ["_row", "_start"])
+    rows = detected(rows, "spans", F.col("dtext"), by_language(docs, registry, language), F.reverse("_ahead"))
+    rows = once(once(rows, "best", resolved(F.col("spans"))), "cuts", hyphen_cuts(F.col("text")))
+    rows = rows.select("doc_id", "_row", "_start", "text", "cuts", F.explode("best").alias("s"))
+    start, end = original_start(F.col("s.start"), F.col("cuts")), original_end(F.col("s.end"), F.col("cuts"))
+    surface = stripped(F.col("text").substr(start + 1, end - start))
+    rows = rows.select("doc_id", "_row", "s", (F.col("_start") + start).alias("start"), (F.col("_start") + end).alias("end"), surface.alias("surface"))
+    rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITY]), F.col("s.entity_type"))
+    rows = numbered_within(rows, "_row", [-F.col("s.score"), F.col("start"), F.col("s.start") - F.col("s.end"), rank], "_rank")
+    rows = rows.select("doc_id", (F.col("_rank") - 1).cast("int").alias("sel_rank"), "s.entity_type", category_of(F.col("s.entity_type")).alias("category"), "start", "end", "s.score", "surface")
+    return detect(docs.where(~F.coalesce(long, F.lit(False))), registry, language).unionByName(rows.where("surface <> ''"))
+
+
 def category_of(entity_type: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in CATEGORY_OF.items() for x in pair]), entity_type)
 

@@ -453,6 +453,65 @@ def detect_all(spark, sf_dir):
     return found.select("doc_id", "category", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"), "surface")
 
 
+#: Detectors that SQL can say too, and their patterns for SQL.
+NUMBERS = TEXT_PATTERNS | {name: made[4] for name, made in MADE.items()}
+
+
+def _broken_lines(spark, sf_dir) -> DataFrame:
+    """The documents with words and numbers parted at line ends, empty lines between sentences, and an id, a code and dates of each document's own."""
+    no = F.lpad(F.col("doc_id").cast("string"), 6, "0")
+    own = F.concat(F.lit(". Its "), F.element_at(F.array(*map(F.lit, _NEAR)), (F.col("doc_id") % 4 + 1).cast("int")), F.lit(" ("), no, F.lit("). By 2020-"), F.substring(no, 2, 5), F.lit(", 12-\n"), F.substring(no, 5, 2), F.lit(".03.21 and 1,2.abc"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace(F.concat(F.coalesce("text", F.lit("")), own), F.lit("e "), F.lit("e-\n")), F.lit(". "), F.lit(".\n\n")).alias("text"))
+
+
+#: What stands before a document's own numbers: some raise their scores.
+_NEAR = ("phone", "name", "file, account", "Code of it all was once")
+
+
+def _numbers(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", F.col("sel_rank").cast("bigint").alias("sel_rank"), "category", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"), F.round("score", 6).alias("score"), "surface")
+
+
+def detect_numbers(spark, sf_dir):
+    """Numbers, dates, ids, codes and addresses from parted words to resolved spans of the original text, their scores raised by context."""
+    return _numbers(D.detect(_broken_lines(spark, sf_dir), D.Registry.default().named(*NUMBERS)))
+
+
+def detect_numbers_in_chunks(spark, sf_dir):
+    """The same with texts cut every 500 characters and more."""
+    return _numbers(D.detect_in_chunks(_broken_lines(spark, sf_dir), D.Registry.default().named(*NUMBERS), size=500))
+
+
+def _numbers_sql() -> str:
+    every = " UNION ALL ".join(
+        f"SELECT doc_id, '{d.entity_type}' AS entity_type, {d.score}::DOUBLE AS score, {D.PRIORITY.index(d.entity_type)} AS prio, start_at, end_at FROM ({_SPANS.replace('{p}', NUMBERS[d.name]).replace('FROM documents', 'FROM d')})"
+        for d in D.Registry.default().named(*NUMBERS).detectors
+    )
+    best = lambda rows: f"SELECT * FROM {rows} x WHERE NOT EXISTS (SELECT 1 FROM {rows} y WHERE y.doc_id = x.doc_id AND y.entity_type = x.entity_type AND y.start_at <= x.start_at AND x.end_at <= y.end_at AND (-y.score, y.start_at, y.start_at - y.end_at) < (-x.score, x.start_at, x.start_at - x.end_at))"
+    context, category = "|".join(D.NUMBER_CONTEXT), " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in D.CATEGORY_OF.items())
+    part = r"regexp_replace({}, '([\pL\p{{Nd}}])-\n([\pL\p{{Nd}}])', '\1' || chr(1) || '\2', 'g')"
+    words = r"[\pL\pM\p{Nd}\p{Pc}]+"
+    no, near = "lpad(doc_id::VARCHAR, 6, '0')", ", ".join(f"'{x}'" for x in _NEAR)
+    own = f"'. Its ' || [{near}][doc_id % 4 + 1] || ' (' || {no} || '). By 2020-' || substr({no}, 2, 5) || ', 12-' || chr(10) || substr({no}, 5, 2) || '.03.21 and 1,2.abc'"
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, replace(replace(coalesce(text, '') || {own}, 'e ', 'e-' || chr(10)), '. ', '.' || chr(10) || chr(10)) AS t FROM documents),
+marked AS (SELECT doc_id, t, {part.format(part.format("t"))} AS m FROM t),
+d AS (SELECT doc_id, t, replace(m, chr(1), '') AS text, string_split(m, chr(1)) AS parts FROM marked),
+cuts AS (SELECT doc_id, sum(len(p)) OVER (PARTITION BY doc_id ORDER BY i) AS cut FROM (SELECT doc_id, parts[i] AS p, i FROM (SELECT doc_id, parts, unnest(range(1, len(parts))) AS i FROM d))),
+every AS (SELECT DISTINCT * FROM ({every})),
+own AS ({best("every")}),
+raised AS (SELECT o.doc_id, entity_type, CASE WHEN entity_type = 'GENERAL_NUMBER' AND len(list_filter(regexp_extract_all(d.text[1:start_at], '{words}')[-5:], lambda w: regexp_matches(lower(w), '{context}'))) > 0 THEN least(score + 0.35, 1.0) ELSE score END AS score, prio, start_at, end_at FROM own o JOIN d USING (doc_id)),
+top AS ({best("raised")}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start_at, end_at DESC, prio) AS rn FROM top),
+steps AS (
+  SELECT doc_id, rn, [{{'s': start_at, 'e': end_at}}] AS taken, true AS ok FROM ranked WHERE rn = 1
+  UNION ALL
+  SELECT r.doc_id, r.rn, CASE WHEN free THEN list_append(taken, {{'s': r.start_at, 'e': r.end_at}}) ELSE taken END, free
+  FROM (SELECT s.doc_id, s.taken, r.rn, r.start_at, r.end_at, len(list_filter(s.taken, lambda x: x.s < r.end_at AND r.start_at < x.e)) = 0 AS free FROM steps s JOIN ranked r ON r.doc_id = s.doc_id AND r.rn = s.rn + 1) r),
+chosen AS (SELECT r.*, row_number() OVER (PARTITION BY r.doc_id ORDER BY r.rn) - 1 AS sel_rank FROM ranked r JOIN steps s ON r.doc_id = s.doc_id AND r.rn = s.rn WHERE s.ok),
+back AS (SELECT c.doc_id, sel_rank, entity_type, score, start_at + 2 * count(cut) FILTER (cut <= start_at) AS s, end_at + 2 * count(cut) FILTER (cut < end_at) AS e FROM chosen c LEFT JOIN cuts k ON k.doc_id = c.doc_id GROUP BY c.doc_id, sel_rank, entity_type, score, start_at, end_at)
+SELECT b.doc_id, sel_rank, CASE entity_type {category} END AS category, s AS start_at, e AS end_at, round(score, 6) AS score, trim(t[s + 1:e]) AS surface FROM back b JOIN d ON d.doc_id = b.doc_id"""
+
+
 def named_lines(spark, sf_dir) -> DataFrame:
     """client_id, text, names (category, start, surface), held: the first line of a client's document with the client's name and city put between its words.
     A name is held out of training or not, wherever it stands."""
@@ -514,7 +573,7 @@ def queries() -> dict:
     for f in (
         span_offsets, resolve_overlaps, interval_anti_join, mentions_distinct, found_counts, entity_ids, pseudonymize_counts, normalized, similar_pairs, number_groups, name_groups, pseudonymize_documents,
         pseudonymize_conversations, replacement_counts, hyphen_join, tex_extract, md_to_typst, fake_format, typst_variables, possible_variants, context_boost, bib_prose, detect_all,
-        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups, digit_groups, detect_by_model, pseudonymize_typst, dictionary_yaml, pseudonymize_large, tagged_names, client_name_pairs, client_name_groups,
+        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups, digit_groups, detect_by_model, pseudonymize_typst, dictionary_yaml, pseudonymize_large, tagged_names, client_name_pairs, client_name_groups, detect_numbers, detect_numbers_in_chunks,
     ):
         out[f.__name__] = f
     return out
@@ -529,6 +588,8 @@ def oracle_sql() -> dict[str, str]:
         "span_offsets": f"SELECT doc_id, start_at, end_at FROM ({_spans_sql('general_number')})",
         "resolve_overlaps": RESOLVE_SQL,
         "interval_anti_join": INTERVAL_SQL,
+        "detect_numbers": _numbers_sql(),
+        "detect_numbers_in_chunks": _numbers_sql(),
         "mentions_distinct": f"SELECT 'email_address' AS category, surface, ord FROM ({_EMAILS})",
         "found_counts": f"SELECT category, CASE WHEN category = 'email_address' THEN (SELECT count(*) FROM ({_EMAILS})) ELSE 0 END AS found FROM {_CATEGORIES}",
         "entity_ids": f"SELECT '<EMAIL_ADDRESS_' || ord || '>' AS id, surface AS variant FROM ({_EMAILS})",
