@@ -609,3 +609,29 @@ def test_preview_stands_out_on_a_terminal(monkeypatch):
     assert cli._shown("a <PERSON_1> #(P1V2)") == "a <PERSON_1> #(P1V2)"
     monkeypatch.setattr(cli.sys.stdout, "isatty", lambda: True, raising=False)
     assert cli._shown("a <PERSON_1> #(P1V2) <x>") == "a \033[1;36m<PERSON_1>\033[0m \033[1;36m#(P1V2)\033[0m <x>"
+
+
+def test_a_dictionary_that_grows_with_a_stream(spark, tmp_path):
+    """Three batches of a stream and a restart between them give the dictionary of one batch; a batch that is run again changes nothing."""
+    from veilframe.operators import detect as D
+    from veilframe.operators import grouping
+    from veilframe.streaming import dictionary as growing
+
+    rng = random.Random(9)
+    number = lambda: "".join(rng.choice("0123456789") for _ in range(rng.choice((4, 5, 6))))
+    known = [number() for _ in range(40)]
+    near = lambda x: x[:2] + rng.choice("0123456789") + x[3:]
+    texts = [" and ".join(rng.choice((number, lambda: rng.choice(known), lambda: near(rng.choice(known))))() for _ in range(20)) + f" a{rng.randrange(9)}@x.org (" + number()[:4] + "77)" for _ in range(12)]
+    registry = lambda: D.Registry.default().named("digit_sequence", "email", "parenthesized_code")
+    docs = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    rows = list(enumerate(texts)) + [(12, None), (13, ""), (14, texts[0])]
+    folder, source, state = (str(tmp_path / x) for x in ("dictionary", "in", "state"))
+    for part in (rows[:5], rows[5:6], rows[6:]):
+        docs(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id long, text string").parquet(source)  # a new query each time goes on from the checkpoint
+        growing.extend_stream(stream, folder, state, registry()).awaitTermination()
+    show = lambda df: sorted((r.category, r.id, r.variant_no, r.variant) for r in df.collect())
+    want = show(grouping.dictionary(D.mentions(D.detect(docs(rows), registry())), ["email_address", "code_number", "general_number"]))
+    assert len(want) > 100 and any(v > 1 for _, _, v, _ in want) and show(growing.dictionary(spark, folder)) == want
+    growing.extend(folder, D.mentions(D.detect(docs(rows[5:6]), registry())), 1)
+    assert show(growing.dictionary(spark, folder)) == want

@@ -11,7 +11,7 @@ from .functions.text import hyphen_joined
 from .operators import detect as D
 from .operators import grouping, rewrite, typst
 from .sources import dictionary as K
-from .sources import files
+from .sources import files, folder
 
 
 class Anonymizer:
@@ -101,6 +101,20 @@ def anonymize_file(path, anonymizer: Anonymizer, output) -> dict[str, int]:
     return _counts(seen)
 
 
+def anonymize_folder(path: str, anonymizer: Anonymizer, output: str) -> dict[str, int]:
+    """Rewrites all files of a folder into another, under their paths within it; of BibTeX each field of each entry. Tasks read and write the files."""
+    raw = folder.read_folder(anonymizer.spark, path)
+    fields = files.bib_fields(raw.where("fmt = 'bib'"))
+    rest = raw.where("fmt <> 'bib'").select("doc_id", F.lit(0).alias("entry_no"), F.lit(0).alias("field_no"), F.lit(None).cast("string").alias("field"), "text")
+    rows, seen = rewrite.observed(anonymizer.anonymize_documents(fields.unionByName(rest)))
+    done = grouping.kept(rows.select("doc_id", "entry_no", "field_no", "field", "text"))
+    texts = files.bib_text(done.where("field IS NOT NULL")).unionByName(done.where("field IS NULL").select("doc_id", "text"))
+    name = F.col("path").substr(F.lit(len(folder.top(path)) + 2), F.length("path"))
+    named = raw.select(F.col("doc_id").alias("_id"), name.alias("name")).join(texts, F.col("_id") == F.col("doc_id"), "left")  # a file without entries has no row
+    folder.write_folder(named.select("name", F.coalesce("text", F.lit("")).alias("text")), output)
+    return _counts(seen)
+
+
 def _counts(seen: Observation) -> dict[str, int]:
     return Anonymizer._zero() | {f"{c}_{what}": n for c, n in seen.get.items() for what in ("found", "replaced")}
 

@@ -205,6 +205,20 @@ led AS (SELECT v, ord, CASE WHEN list_contains(leaders, ord) THEN ord ELSE list_
 SELECT '<GENERAL_NUMBER_' || dense_rank() OVER (ORDER BY leader) || '>' AS id, row_number() OVER (PARTITION BY leader ORDER BY ord) AS variant_no, v AS variant FROM led"""
 
 
+def digit_groups_in_batches(spark, sf_dir):
+    """The same by a dictionary that three batches of documents extend."""
+    from ..functions.frames import shared_dir
+    from ..streaming import dictionary as growing
+
+    docs, folder = _table(spark, sf_dir, "documents").select("doc_id", "text"), shared_dir(spark)
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    width = ((most or 0) - (least or 0)) // 3 + 1
+    for batch in range(3):
+        part = docs.where(F.floor((F.col("doc_id") - F.lit(least or 0)) / width) == batch)
+        growing.extend(folder, D.mentions(D.detect(part, D.Registry.default().named("digit_sequence"))), batch)
+    return growing.dictionary(spark, folder).select("id", F.col("variant_no").cast("bigint").alias("variant_no"), "variant")
+
+
 def name_groups(spark, sf_dir):
     names = _table(spark, sf_dir, "nation").select(F.lit("person").alias("category"), F.col("n_name").alias("surface"), F.col("n_nationkey").cast("bigint").alias("ord"))
     more = _table(spark, sf_dir, "nation").select(F.lit("person"), F.concat(F.col("n_name"), F.lit(" republic")), F.col("n_nationkey").cast("bigint") + 1000)
@@ -448,6 +462,17 @@ def bib_prose(spark, sf_dir):
     return prose(raw).select("doc_id", "text")
 
 
+def bib_files(spark, sf_dir):
+    """A BibTeX file for each supplier, written by tasks and read back."""
+    from ..functions.frames import shared_dir
+    from ..sources import files, folder
+
+    path = shared_dir(spark)
+    entry = F.concat(F.lit("@book{k, title = {"), F.col("s_name"), F.lit('}, note = "'), F.col("s_nationkey").cast("string"), F.lit('"}'))
+    folder.write_folder(_table(spark, sf_dir, "supplier").select(F.format_string("%d.bib", "s_suppkey").alias("name"), entry.alias("text")), path)
+    return files.prose(folder.read_folder(spark, path)).select(F.substring_index("path", "/", -1).alias("name"), "text")
+
+
 def detect_all(spark, sf_dir):
     found = D.detect(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "category", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"), "surface")
@@ -573,7 +598,7 @@ def queries() -> dict:
     for f in (
         span_offsets, resolve_overlaps, interval_anti_join, mentions_distinct, found_counts, entity_ids, pseudonymize_counts, normalized, similar_pairs, number_groups, name_groups, pseudonymize_documents,
         pseudonymize_conversations, replacement_counts, hyphen_join, tex_extract, md_to_typst, fake_format, typst_variables, possible_variants, context_boost, bib_prose, detect_all,
-        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups, digit_groups, detect_by_model, pseudonymize_typst, dictionary_yaml, pseudonymize_large, tagged_names, client_name_pairs, client_name_groups, detect_numbers, detect_numbers_in_chunks,
+        all_mentions, all_found_counts, all_entity_ids, all_pseudonymize_counts, supplier_pairs, supplier_name_groups, date_groups, digit_groups, detect_by_model, pseudonymize_typst, dictionary_yaml, pseudonymize_large, tagged_names, client_name_pairs, client_name_groups, detect_numbers, detect_numbers_in_chunks, digit_groups_in_batches, bib_files,
     ):
         out[f.__name__] = f
     return out
@@ -607,6 +632,7 @@ def oracle_sql() -> dict[str, str]:
         "possible_variants": _variants_sql(),
         "date_groups": DATES_SQL,
         "digit_groups": DIGITS_SQL,
+        "digit_groups_in_batches": DIGITS_SQL,
         "dictionary_yaml": YAML_SQL,
         "pseudonymize_typst": _typst_sql(),
         "pseudonymize_large": LARGE_SQL,
@@ -614,5 +640,6 @@ def oracle_sql() -> dict[str, str]:
         "client_name_groups": _client_groups_sql(),
         "detect_by_model": "SELECT doc_id, 'person' AS category, surface, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b')) AS surface FROM documents) GROUP BY ALL",
         "context_boost": "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS score FROM orders",
+        "bib_files": "SELECT s_suppkey || '.bib' AS name, s_name || ' ' || s_nationkey || ' book k' AS text FROM supplier",
         "bib_prose": "SELECT p_partkey AS doc_id, p_name || ' ' || p_brand || ' book k' AS text FROM part",
     }
