@@ -310,6 +310,49 @@ def test_every_length_meets(spark, threshold):
     assert len({len(items[a]) for a, _ in got}) > (10 if threshold < 95 else 3)
 
 
+def test_pairs_of_blocks():
+    """All pairs of two blocks and within one, also beyond 64 characters, with a character many times, and of lengths that are left out."""
+    from veilframe.operators import grouping
+
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("0123456789.0é") for _ in range(draw.choice((1, 2, 6, 11, 16, 16, 23, 70)))) for _ in range(90)]
+    texts += ["".join(c for c in t if draw.random() < 0.9) + draw.choice("1.é") for t in texts]
+    for threshold in (60, 80, 95):
+        near = lambda i, j: grouping.similarity(texts[i], texts[j])
+        block, apart = grouping.Block(texts), None
+        got = {(i, j): s for p, q, some in grouping.alike(block, block, threshold, apart, True) for i, j, s in zip(p.tolist(), q.tolist(), some.tolist())}
+        assert got == {(i, j): near(i, j) for j in range(len(texts)) for i in range(j) if near(i, j) > threshold} and got
+        low, high = grouping.Block(texts[:90]), grouping.Block(texts[90:])
+        got = {(i, j + 90) for p, q, _ in grouping.alike(low, high, threshold) for i, j in zip(p.tolist(), q.tolist())}
+        assert got == {(i, j) for i in range(90) for j in range(90, 180) if near(i, j) > threshold}
+
+
+@pytest.mark.parametrize("few, meets", [(0, 100), (0, 10**9), (10**6, 100)])
+def test_both_ways_to_pairs(spark, monkeypatch, few, meets):
+    """By keys and blocks, by blocks as keys are shared by too many, and by blocks alone: the same pairs, each once."""
+    from veilframe.operators import grouping
+
+    monkeypatch.setattr(grouping, "FEW", few)
+    monkeypatch.setattr(grouping, "MEETS", meets)
+    draw = random.Random(4)
+    texts = list(dict.fromkeys(["%06d" % draw.randrange(3000) for _ in range(120)] + ["".join(draw.choice("01") for _ in range(draw.choice((16, 17, 21)))) for _ in range(60)]))
+    got = sorted((r.a, r.b) for r in grouping.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, norm string"), 80).collect())
+    assert got == [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if grouping.similarity(texts[i], texts[j]) > 80]
+
+
+@pytest.mark.parametrize("pays", [0.0, 1.1])
+def test_leaders_by_rounds(spark, monkeypatch, pays):
+    """Many texts that are alike: leaders one by one, in rounds to the end or with pairs of those that a round leaves. No table has all pairs."""
+    from veilframe.operators import grouping
+
+    for name, value in (("HEAD", 150), ("LEADS", 3), ("PAYS", pays)):
+        monkeypatch.setattr(grouping, name, value)
+    items = ["", *(f"supplier#{k:09d}" for k in range(0, 60_000, 61))]
+    df = spark.createDataFrame(list(enumerate(items)), "id long, norm string")
+    got = {r.id: r.leader for r in grouping.led(df, 85).collect()}
+    assert got == plain_leaders(items, lambda x, y: grouping.similarity(x, y) > 85) and len(set(got.values())) > 12
+
+
 def test_six_digits_at_scale(spark):
     """No key has more rows than six digits allow; the pairs of some against all others by brute force."""
     from veilframe.operators import grouping
