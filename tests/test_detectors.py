@@ -83,3 +83,17 @@ def test_chunks_of_long_texts(spark):
     assert all("".join(p for _, p in D.pieces(t or "", 40)) == (t or "") for _, t in rows)
     wide = D.Registry.default().named("digit_sequence").add(D.Detector("CODE_NUMBER", "over_lines", r"code\s+tel", 0.9))
     assert sorted(map(repr, D.detect_in_chunks(docs, wide, size=40).collect())) == sorted(map(repr, D.detect(docs, wide).collect()))
+
+
+def test_branching():
+    """The names told apart letter by letter are those that were tried one after the other."""
+    import re
+
+    from veilframe.operators import detect as D
+
+    words = [*D.GIVEN, "an", "a", "b"]
+    tree = re.compile(D.branching(words))
+    assert len(D.branching(["one"])) == 3 and D.branching(D.GIVEN).count("|") < len(D.GIVEN) and "john|jon" not in D.branching(D.GIVEN)
+    for w in words:
+        assert tree.fullmatch(w) and not tree.fullmatch(w + "x")
+        assert bool(tree.fullmatch(w[:-1])) == (w[:-1] in words)
