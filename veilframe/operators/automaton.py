@@ -73,11 +73,12 @@ class Trie:
             child[branching] = first_state + np.arange(branching.sum())
             children.append(child)
             low, high, depth = which[new][branching], which[new][branching] + size[branching], depth + 1
-        self.keys, self.children, self.ends = np.concatenate(keys), np.concatenate(children), np.concatenate(ends)
-        self.first = np.full(_GAP + 1, 0, np.int64)  # what a character leads to from the root; 0: nothing
+        # a worker has the tries of all shards that were sent, so numbers are small and there is no room for characters that no string begins with
+        self.keys, self.children, self.ends = np.concatenate(keys), np.concatenate(children).astype(np.int32), np.concatenate(ends).astype(np.int32)
         at_root = self.keys < 1 << 21
+        self.first = np.zeros(int(self.keys[at_root].max(initial=0)) + 2, np.int64)  # what a character leads to from the root; 0: nothing
         self.first[self.keys[at_root]] = self.children[at_root]
-        self.sizes = sizes
+        self.begins, self.sizes = self.begins.astype(np.int32), sizes.astype(np.int32)
 
     def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Which text and which string, each pair once."""
@@ -85,7 +86,7 @@ class Trie:
         if not len(raw) or not len(self.sizes):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         found = [(np.empty(0, np.int64),) * 2]
-        state = self.first[raw]
+        state = self.first[np.minimum(raw, len(self.first) - 1)]
         at = np.flatnonzero(state)
         state, depth = state[at], 1
         while len(at):
@@ -104,7 +105,7 @@ class Trie:
             key = (state << 21) | raw[at + depth]
             place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             alive = self.keys[place] == key
-            at, state, depth = at[alive], self.children[place[alive]], depth + 1
+            at, state, depth = at[alive], self.children[place[alive]].astype(np.int64), depth + 1
         where, which = (np.concatenate(x) for x in zip(*found))
         text = np.searchsorted(begins, where, "right") - 1
         return np.divmod(np.unique(text * len(self.sizes) + which), len(self.sizes))
@@ -119,7 +120,7 @@ class Rules:
         self.variant, self.by = rows["variant"].combine_chunks(), rows["by"].combine_chunks()
         each = self.variant.to_pylist()
         first = [k for k, v in enumerate(each) if k == 0 or v != each[k - 1]]
-        self.first = np.array([*first, len(each)], np.int64)
+        self.first = np.array([*first, len(each)], np.int32)
         self.trie = Trie([each[k] for k in first])
         self.used = set(np.unique(self.trie.codes).tolist())
         self.reach = int(self.trie.sizes.max(initial=0))
