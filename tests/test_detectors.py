@@ -97,3 +97,18 @@ def test_branching():
     for w in words:
         assert tree.fullmatch(w) and not tree.fullmatch(w + "x")
         assert bool(tree.fullmatch(w[:-1])) == (w[:-1] in words)
+
+
+def test_what_matches_contain(spark):
+    """Texts without what every match of a detector contains aren't searched for it: the same spans as with a search of all."""
+    from dataclasses import replace
+
+    from veilframe.operators import detect as D
+
+    texts = ["", None, "no digit here", "٣٣٣٣ and x@y.com", "Anna Larsen, no digits", "wo-\nman@foo.org x-\ny", "12 March 2020", "Skovvej ٣", "at@once", "1 Baker Street and 471100", "a-\n\n", "4-\n711-\n00 id"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    own = D.Registry.default()
+    assert {d.name for d in own.detectors if not d.has} == {"given_name"}
+    found = lambda r: sorted(tuple(x) for x in D.detect(docs, r).collect())
+    got = found(own)
+    assert got == found(D.Registry([replace(d, has="") for d in own.detectors])) and {x[0] for x in got} == {3, 4, 5, 6, 7, 9, 11}
