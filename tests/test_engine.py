@@ -340,6 +340,23 @@ def test_both_ways_to_pairs(spark, monkeypatch, few, meets):
     assert got == [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if grouping.similarity(texts[i], texts[j]) > 80]
 
 
+@pytest.mark.parametrize("made", [0, 10**9])
+def test_keys_that_pay(spark, monkeypatch, made):
+    """Keys are made only where they are less work than the pairs of blocks that they replace: the same pairs either way."""
+    from veilframe.operators import grouping
+
+    names = {14: 2549, 15: 4811, 16: 8178, 17: 11380, 18: 9237, 19: 5112, 20: 3172}  # 44,000 of some lengths
+    assert not grouping.keys_pay(names, 85) and grouping.keys_pay({n: 40 * k for n, k in names.items()}, 85) and grouping.keys_pay({6: 10**6}, 80)
+    monkeypatch.setattr(grouping, "FEW", 0)
+    monkeypatch.setattr(grouping, "MADE", made)
+    asked, own = [], grouping.by_deletion
+    monkeypatch.setattr(grouping, "by_deletion", lambda *x: asked.append(x) or own(*x))
+    draw = random.Random(5)
+    texts = list(dict.fromkeys("%06d" % draw.randrange(3000) for _ in range(120)))
+    got = sorted((r.a, r.b) for r in grouping.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, norm string"), 80).collect())
+    assert got == [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if grouping.similarity(texts[i], texts[j]) > 80] and bool(asked) == (made == 0)
+
+
 @pytest.mark.parametrize("pays", [0.0, 1.1])
 def test_leaders_by_rounds(spark, monkeypatch, pays):
     """Many texts that are alike: leaders one by one, in rounds to the end or with pairs of those that a round leaves. No table has all pairs."""
