@@ -327,6 +327,19 @@ def test_pairs_of_blocks():
         assert got == {(i, j) for i in range(90) for j in range(90, 180) if near(i, j) > threshold}
 
 
+@pytest.mark.parametrize("begin", ["", "ab", "supplier#0000", "x" * 60])
+def test_blocks_with_a_common_begin(begin):
+    """What all texts begin with isn't compared: the same pairs and similarities, whole texts' lengths deciding."""
+    from veilframe.operators import grouping
+
+    draw = random.Random(8)
+    x, y = ([begin + "".join(draw.choice("0123456789p") for _ in range(draw.randrange(0 if begin else 1, 9))) for _ in range(80)] for _ in range(2))
+    assert grouping.shared_begin(x, y) >= len(begin)
+    for threshold in (60, 85):
+        got = {(i, j): s for p, q, some in grouping.alike(grouping.Block(x), grouping.Block(y), threshold) for i, j, s in zip(p.tolist(), q.tolist(), some.tolist())}
+        assert got == {(i, j): s for i, a in enumerate(x) for j, b in enumerate(y) if (s := grouping.similarity(a, b)) > threshold} and got
+
+
 @pytest.mark.parametrize("few, meets", [(0, 100), (0, 10**9), (10**6, 100)])
 def test_both_ways_to_pairs(spark, monkeypatch, few, meets):
     """By keys and blocks, by blocks as keys are shared by too many, and by blocks alone: the same pairs, each once."""
