@@ -112,3 +112,20 @@ def test_what_matches_contain(spark):
     found = lambda r: sorted(tuple(x) for x in D.detect(docs, r).collect())
     got = found(own)
     assert got == found(D.Registry([replace(d, has="") for d in own.detectors])) and {x[0] for x in got} == {3, 4, 5, 6, 7, 9, 11}
+
+
+def test_what_is_near_names(spark):
+    """Texts in which a given name isn't followed by white space and a capital aren't searched for persons; all others are, in any case of letters."""
+    from dataclasses import replace
+
+    from veilframe.operators import detect as D
+
+    own = D.Registry.default().named("given_name")
+    assert own.detectors[0].near and not any(d.near for d in D.Registry.default().detectors if d.name != "given_name")
+    rng = random.Random(5)
+    signs = ["john", "JOHN", "Maria", "SØREN", "søren", "Kaſper", "marK", "jenſ", "Lars", " ", " ", "\n", "Doe", "D.", "É", "𐐀", "and", "Og", ".", "1", "ǅ", "̈", "İ", "_"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with_, without = (sorted(map(tuple, D.detect(docs, D.Registry(some)).collect())) for some in (own.detectors, [replace(d, near="") for d in own.detectors]))
+    assert with_ == without and len(with_) > 20
+    assert docs.where(F.rlike("text", F.lit(own.detectors[0].near))).count() < len(texts) / 2
