@@ -160,3 +160,18 @@ def test_sql(spark, name):
     got = queries.queries()[name](spark, SF).select(*want.columns).collect()
     near = lambda row: repr([round(x, 6) if isinstance(x, float) else x for x in row])
     assert Counter(map(near, want.fetchall())) == Counter(map(near, got))
+
+
+def test_parts_that_are_met_again_stay():
+    """When an encoder's parts are too many, those that later batches had too stay, however many it met once; ids are those of the tokenizer."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    from veilframe.llm.rans import Encoder
+
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    enc.MOST = 50
+    texts = [f"the same words, always the same {k}x{k} y{k}. And\nnew{k} lines {k}" for k in range(200)]
+    got = [ids for k in range(0, 200, 5) for ids in enc.batch(pa.array(texts[k : k + 5]))]
+    assert got == [enc._of(t).tobytes() for t in texts]
+    assert {" same", " words", " always", "\nnew"} & set(enc.parts.to_pylist()) >= {" same", " words", " always"} and len(enc.parts) <= 2 * enc.MOST

@@ -101,9 +101,9 @@ def encode_block(ids: np.ndarray, t: Tables, lanes: int = LANES, steps: int = ST
     for step in range(total - 1, -1, -1):
         lo, hi = step * lanes, min(n, (step + 1) * lanes)
         x, f = states[: hi - lo], freq[lo:hi]
-        full = x >= most[lo:hi]
-        if full.any():
-            out = x[full]
+        full = np.flatnonzero(x >= most[lo:hi])
+        if len(full):
+            out = x.take(full)
             words.append(out.astype(np.uint32))  # the low half
             n_words += len(out)
             x[full] = out >> np.uint64(32)
@@ -130,7 +130,7 @@ def decode_block(data: bytes, t: Tables, first: int = 0, last: int | None = None
     stream = np.frombuffer(body, "<u4")
     last = parts if last is None else min(last, parts)
     out = np.empty(min(n, last * steps * lanes) - first * steps * lanes if first < last else 0, np.int32)
-    mask, shift, slots = np.uint64((1 << bits) - 1), np.uint64(bits), t.slots
+    mask, shift, slots, freq, begins = np.uint64((1 << bits) - 1), np.uint64(bits), t.slots, t.freq, t.start
     for part in range(first, last):
         begin = HEADER.size + part * size
         p, states = struct.unpack_from("<I", data, begin)[0], np.frombuffer(data, "<u8", lanes, begin + 4).astype(np.uint64)
@@ -138,14 +138,13 @@ def decode_block(data: bytes, t: Tables, first: int = 0, last: int | None = None
             lo, hi = step * lanes, min(n, (step + 1) * lanes)
             x = states[: hi - lo]
             slot = x & mask
-            s = slots[slot.astype(np.int64)]
+            s = slots.take(slot.view(np.int64))
             out[lo - first * steps * lanes : hi - first * steps * lanes] = s
-            x = t.freq[s] * (x >> shift) + slot - t.start[s]
-            low = x < LOW
-            if low.any():
-                k = int(np.count_nonzero(low))
-                x[low] = (x[low] << np.uint64(32)) | stream[p : p + k]
-                p += k
+            x = freq.take(s) * (x >> shift) + slot - begins.take(s)
+            low = np.flatnonzero(x < LOW)
+            if len(low):
+                x[low] = (x.take(low) << np.uint64(32)) | stream[p : p + len(low)]
+                p += len(low)
             states[: hi - lo] = x
     ids = t.ids[out] if len(out) else np.empty(0, np.uint32)
     if first == 0 and last == parts and zlib.crc32(ids.astype("<u4").tobytes()) != crc_ids:
@@ -178,7 +177,7 @@ class Encoder:
         self.special = [] if plain else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.parts, self.ids = pa.array([""], pa.large_string()), pa.array([b""], pa.large_binary())
-        self.used = np.ones(1, bool)
+        self.again = np.ones(1, bool)
         self.newline = self._of("\n")
 
     @classmethod
@@ -198,8 +197,8 @@ class Encoder:
         led, large = pc.starts_with(parts, "\n").to_numpy(zero_copy_only=False), pa.large_string()
         raw, at = _joined(pc.if_else(pa.array(led), parts, pc.binary_join_element_wise(pa.scalar("", large), parts, pa.scalar("\n", large))))
         ids, begins, n = [], [], 0
-        for i in range(0, len(parts), 500):
-            j = min(i + 500, len(parts))
+        for i in range(0, len(parts), 100):
+            j = min(i + 100, len(parts))
             got = self._of(str(raw[at[i] : at[j]], "utf-8"))
             begin = np.flatnonzero(got == self.newline[0])
             if len(self.newline) != 1 or len(begin) != j - i:
@@ -216,21 +215,22 @@ class Encoder:
 
     def _known(self, parts: pa.Array) -> pa.Array:
         """Ids of different parts; those not met before are learned."""
-        at = pc.index_in(parts, self.parts)
-        new = parts.filter(at.is_null())
-        self.used[at.drop_null().to_numpy()] = True
-        if len(new):
-            odd = pc.or_(pc.match_substring_regex(new, ODD), pc.is_in(new, pa.array([" ", "\n"], pa.large_string())))
-            strange, plain = new.filter(odd), new.filter(pc.invert(odd))
+        at = pc.fill_null(pc.index_in(parts, self.parts), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = at < 0
+        self.again[at[~unknown]] = True
+        if unknown.any():
+            new, n = parts.filter(pa.array(unknown)), len(self.parts)
+            odd = pc.or_(pc.match_substring_regex(new, ODD), pc.is_in(new, pa.array([" ", "\n"], pa.large_string()))).to_numpy(zero_copy_only=False)
+            strange, plain = new.filter(pa.array(odd)), new.filter(pa.array(~odd))
             learned = [f(x) for f, x in ((self._one_by_one, strange), (self._together, plain)) if len(x)]
             self.parts, self.ids = pa.concat_arrays([self.parts, strange, plain]), pa.concat_arrays([self.ids, *learned])
-            self.used = np.concatenate([self.used, np.ones(len(new), bool)])
-            at = pc.index_in(parts, self.parts)
-        out = self.ids.take(at)
-        if len(self.parts) > 2 * self.MOST:  # what the last batches used stays, if it isn't too much
-            stay = self.used if self.used.sum() <= self.MOST else np.arange(len(self.used)) < 1
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+            at[unknown] = n + np.where(odd, np.cumsum(odd), len(strange) + np.cumsum(~odd)) - 1
+        out = self.ids.take(pa.array(at))
+        if len(self.parts) > 2 * self.MOST:  # what was met again stays, if it isn't too much; many parts stand in one batch alone
+            stay = self.again if self.again.sum() <= self.MOST else np.arange(len(self.again)) < 1
             self.parts, self.ids = self.parts.filter(pa.array(stay)), self.ids.filter(pa.array(stay))
-            self.used = np.arange(int(stay.sum())) < 1
+            self.again = np.arange(int(stay.sum())) < 1
         return out
 
     def batch(self, texts: pa.Array) -> list[bytes]:
