@@ -98,3 +98,49 @@ def test_names_not_seen(spark, tmp_path, capsys):
     assert {(r.doc_id, r.start, r.end) for r in found} == {(d, b, e) for (d, _), x in zip(rows, again.spans([t for _, t in rows])) for _, b, e in x}
     assert len(found) > 100
     assert tagger.trained(lines.selectExpr("array(text) AS tokens", "array(0) AS labels").limit(0), rounds=1).spans(["Ann"]) == [[]]
+
+
+def test_learning_many_together():
+    """Sentences that are looked at many together, and copies at once, move the weights as one by one."""
+    from veilframe.operators.tagger import _EDGE, LABELS, OWN, SIDE, Chain, features
+
+    r = random.Random(2)
+    words = [f"{a}{b}" for a in ("An", "bo", "Ka", "to") for b in ("la", "ri", "x", "nes", "Q")]
+    data = []
+    for _ in range(700):
+        own = [r.choice(words) for _ in range(r.choice((1, 2, 3, 9)))]
+        data.append((own, np.array([(1 if w[0] == "A" else 3 if w.endswith("nes") and k else 0) for k, w in enumerate(own)]), r.choice((1, 1, 1, 4))))
+    first = np.round(np.random.default_rng(5).normal(size=Chain().flat().shape), 2)
+    plain, total, n = Chain.of(first.copy()), 0, 1
+    for own, gold, copies in data:  # one by one, the best labels of all by hand
+        for _ in range(copies):
+            ids = np.stack([features(w) for w in own])
+            left, right = np.concatenate([_EDGE[:1], ids[:-1]])[:, OWN : OWN + SIDE], np.concatenate([ids[1:], _EDGE[1:]])[:, OWN + SIDE :]
+            ids = np.concatenate([ids[:, :OWN], left, right], 1)
+            guess = plain.labels([own])[0]
+            wrong = guess != gold
+            for label, sign in ((gold, 1.0), (guess, -1.0)):
+                np.add.at(plain.emit, (ids[wrong], label[wrong, None]), sign)
+                if wrong.any():
+                    np.add.at(plain.follow, (np.concatenate([[LABELS], label[:-1]]), label), sign)
+            total, n = total + (plain.flat() - first), n + 1
+    chain = Chain.of(first.copy())
+    mean = chain.learned(iter(data))
+    assert np.allclose(chain.flat(), plain.flat(), atol=1e-9) and np.allclose(mean, first + total / n, atol=1e-9) and np.abs(total).max() > 100
+
+
+def test_all_sentences_are_trained_on(spark):
+    """More sentences than the sample that once was trained on: the weights are those of all, in one shard and, with few to a shard, by their mean."""
+    from veilframe.operators import tagger
+
+    n = 21_000
+    rows = spark.range(n).selectExpr("concat_ws(' ', 'the', conv(cast(id * 7919 % 65521 AS string), 10, 20), if(id % 5 = 0, 'Lee', 'x')) AS text", "id % 5 = 0 AS named")
+    dictionary = spark.createDataFrame([("person", 1, "", 1, "Lee")], "category string, entity_no int, id string, variant_no int, variant string")
+    labelled = tagger.silver(rows.select("text"), dictionary)
+    every = labelled.selectExpr("tokens", "labels", "xxhash64(tokens, 1) AS at", "xxhash64(tokens, 7) AS shard").collect()
+    assert len(every) == n and sum(any(r.labels) for r in every) == n // 5
+    every = [(r.shard, r.tokens, np.array(r.labels)) for r in sorted(every, key=lambda r: (r["at"], r.tokens))]
+    one = tagger.Chain().learned((w, x) for _, w, x in every)
+    assert np.allclose(tagger.trained(labelled, rounds=1, shards=1).weights, one, atol=1e-8)
+    each = [tagger.Chain().learned((w, x) for k, w, x in every if k % 3 == shard) for shard in range(3)]
+    assert np.allclose(tagger.trained(labelled, rounds=1, shards=1, size=n // 3).weights, np.mean(each, 0), atol=1e-8)

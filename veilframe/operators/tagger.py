@@ -6,14 +6,16 @@ its own word, the word before and the word after bring along, so each word is lo
 All sentences of a batch go through the chain together, the longest first.
 
 Training is iterated parameter mixing: in each round every shard of the sentences starts from the same weights and goes once through its own, and the
-mean of what the shards end with starts the next round. Labels can be silver: where names from a dictionary stand in texts. The
-sample that is trained on is bounded (SAMPLE), and weights have a fixed size; tagging is a narrow step over all texts."""
+mean of what the shards end with starts the next round. Labels can be silver: where names from a dictionary stand in texts. All sentences are
+trained on, copies each: their shards have a bounded size (SHARD) and are read batch by batch, and weights have a fixed size; tagging is a narrow step over all texts."""
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from .rewrite import rules
 TYPES = ("PERSON", "LOCATION")
 #: Labels by number: 0 is none, then the first and the further tokens of each type.
 LABELS = 1 + 2 * len(TYPES)
-#: Hashed features, sentences to train on at most (about), shards that are trained apart, rounds.
-BUCKETS, SAMPLE, SHARDS, ROUNDS = 1 << 17, 20_000, 8, 5
+#: Hashed features, different sentences of a shard (about), shards that are trained apart at least, rounds.
+BUCKETS, SHARD, SHARDS, ROUNDS = 1 << 17, 50_000, 8, 5
 TOKEN = re.compile(r"\w+(?:['’-]\w+)*|[^\w\s]|\n")
 _ENDS = frozenset(".!?\n")
 
@@ -49,6 +51,8 @@ def features(word: str) -> np.ndarray:
     return np.array([zlib.crc32(x.encode()) % BUCKETS for x in named], np.int64)
 
 
+#: The same of words met again.
+hashed = lru_cache(maxsize=100_000)(features)
 OWN, SIDE = 8, 3
 _EDGE = np.stack([features("\x02"), features("\x03")])  # before and behind a sentence
 
@@ -105,33 +109,72 @@ class Chain:
             out[k] = labels[b : b + n]
         return out
 
-    def learned(self, sentences: list[tuple[list[str], np.ndarray]]) -> np.ndarray:
-        """Mean of the weights while they go through labelled sentences once: a sentence that gets wrong labels moves them."""
+    def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The best labels of sentences one behind the other; ids: a row of features a token."""
+        emitted, begins = self.emit[ids].sum(1), np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        sizes, begins = sizes[order], begins[order]
+        best, back = self.follow[-1] + emitted[begins], []
+        for t in range(1, int(sizes[0])):
+            n = int(np.searchsorted(-sizes, -t, "left"))
+            ways = best[:n, :, None] + self.follow[None, :-1]
+            back.append(ways.argmax(1))
+            best[:n] = ways.max(1) + emitted[begins[:n] + t]
+        out, now = np.zeros(len(ids), np.int64), best.argmax(1)
+        for t in range(len(back), -1, -1):
+            if t < len(back):
+                m = len(back[t])
+                now[:m] = back[t][np.arange(m), now[:m]]
+            n = int(np.searchsorted(-sizes, -t, "left"))
+            out[begins[:n] + t] = now[:n]
+        return out
+
+    def learned(self, sentences: Iterable[tuple]) -> np.ndarray:
+        """Mean of the weights while they go through labelled sentences (words, labels, and how many copies of it follow each other) once: a sentence that gets wrong labels
+        moves them. Until one does, weights stay, so sentences are looked at many together, and again only behind the first that is wrong."""
         spent = np.zeros_like(self.emit), np.zeros_like(self.follow)
-        known: dict[str, np.ndarray] = {}
-        for at, (words, gold) in enumerate(sentences, 1):
-            ids = np.stack([known[w] if w in known else known.setdefault(w, features(w)) for w in words])
-            left, right = np.concatenate([_EDGE[:1], ids[:-1]])[:, OWN : OWN + SIDE], np.concatenate([ids[1:], _EDGE[1:]])[:, OWN + SIDE :]
-            ids = np.concatenate([ids[:, :OWN], left, right], 1)
-            emitted = self.emit[ids].sum(1)
-            best, back = self.follow[-1] + emitted[0], []
-            for e in emitted[1:]:
-                ways = best[:, None] + self.follow[:-1]
-                back.append(ways.argmax(0))
-                best = ways.max(0) + e
-            guess = [int(best.argmax())]
-            for b in reversed(back):
-                guess.append(int(b[guess[-1]]))
-            guess = np.array(guess[::-1])
-            if (wrong := guess != gold).any():
-                for label, sign in ((gold, 1.0), (guess, -1.0)):
-                    np.add.at(self.emit, (ids[wrong], label[wrong, None]), sign)
-                    np.add.at(spent[0], (ids[wrong], label[wrong, None]), sign * at)
-                    before = np.concatenate([[LABELS], label[:-1]])
-                    np.add.at(self.follow, (before, label), sign)
-                    np.add.at(spent[1], (before, label), sign * at)
-        n = len(sentences) + 1
-        return np.concatenate([(self.emit - spent[0] / n).ravel(), (self.follow - spent[1] / n).ravel()])
+        at = 0
+
+        def moved(ids: np.ndarray, gold: np.ndarray, guess: np.ndarray) -> None:
+            wrong = guess != gold
+            for label, sign in ((gold, 1.0), (guess, -1.0)):
+                np.add.at(self.emit, (ids[wrong], label[wrong, None]), sign)
+                np.add.at(spent[0], (ids[wrong], label[wrong, None]), sign * at)
+                before = np.concatenate([[LABELS], label[:-1]])
+                np.add.at(self.follow, (before, label), sign)
+                np.add.at(spent[1], (before, label), sign * at)
+
+        for some in batched(sentences, 4096):
+            sizes = np.array([len(x[0]) for x in some], np.int64)
+            begins = np.append(0, np.cumsum(sizes))
+            number: dict[str, int] = {}
+            flat = np.array([number.setdefault(w, len(number)) for x in some for w in x[0]], np.int64)
+            rows = np.concatenate([np.stack([hashed(w) for w in number]), _EDGE])
+            left, right = np.append(len(number), flat[:-1]), np.append(flat[1:], len(number) + 1)
+            left[begins[:-1]], right[begins[1:] - 1] = len(number), len(number) + 1
+            ids, gold = np.concatenate([rows[flat, :OWN], rows[left, OWN : OWN + SIDE], rows[right, OWN + SIDE :]], 1), np.concatenate([x[1] for x in some])
+            copies, long = [x[2] if len(x) > 2 else 1 for x in some], np.append(np.flatnonzero(sizes > 64), len(some))
+            k, ahead = 0, 16
+            while k < len(some):
+                stop = min(k + ahead, max(k + 1, int(long[np.searchsorted(long, k)])))  # long ones alone
+                guess = self.decoded(ids[begins[k] : begins[stop]], sizes[k:stop])
+                wrong = guess != gold[begins[k] : begins[stop]]
+                if not wrong.any():
+                    at += sum(copies[k:stop])
+                    k, ahead = stop, min(2 * ahead, 512)
+                    continue
+                j = int(np.searchsorted(begins, begins[k] + int(wrong.argmax()), "right")) - 1
+                at += sum(copies[k:j])
+                own = slice(begins[j], begins[j + 1])
+                guess, left_ = guess[begins[j] - begins[k] : begins[j + 1] - begins[k]], copies[j]
+                while left_ and (guess != gold[own]).any():
+                    at, left_ = at + 1, left_ - 1
+                    moved(ids[own], gold[own], guess)
+                    guess = self.decoded(ids[own], sizes[j : j + 1]) if left_ else guess
+                at += left_
+                ahead = max(8, 2 * (j - k))
+                k = j + 1
+        return np.concatenate([(self.emit - spent[0] / (at + 1)).ravel(), (self.follow - spent[1] / (at + 1)).ravel()])
 
 
 def sentences_of(text: str) -> list[list[tuple[str, int]]]:
@@ -205,17 +248,14 @@ def dense(rows: DataFrame) -> np.ndarray:
 LABELLED = "tokens array<string>, labels array<int>"
 
 
-def sampled(df: DataFrame, most: int, by: str) -> DataFrame:
-    """About `most` rows at most, by a hash of a column."""
-    n = df.count()
-    return df if n <= most else df.where(F.pmod(F.xxhash64(by, F.lit(13)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-
-
-def silver(docs: DataFrame, dictionary: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """LABELLED sentences of about `most` of the documents (text): tokens where a person or location of a dictionary (long form) stands
-    are labelled so, the longest name first, all others are not. An empty dictionary gives no sentences."""
+def silver(docs: DataFrame, dictionary: DataFrame, most: int | None = None) -> DataFrame:
+    """LABELLED sentences of the documents (text; equal ones once): tokens where a person or location of a dictionary (long form) stands
+    are labelled so, the longest name first, all others are not. An empty dictionary gives no sentences. most: about so many documents, by a hash, for who wants no more."""
     wanted = dictionary.where(F.col("category").isin("person", "location"))
-    texts = kept(sampled(docs.where("text IS NOT NULL"), most, "text").select(F.sha2("text", 256).alias("_row"), "text").dropDuplicates(["_row"]))
+    texts = docs.where("text IS NOT NULL")
+    if most is not None:
+        texts = texts.where(F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1 << 30)) < int(most / max(most, texts.count(), 1) * (1 << 30)))
+    texts = kept(texts.select(F.sha2("text", 256).alias("_row"), "text").dropDuplicates(["_row"]))
     ranked, written = automaton.shards(rules(wanted))
     found = None
     for some in automaton.together(written):
@@ -247,30 +287,31 @@ def silver(docs: DataFrame, dictionary: DataFrame, most: int = SAMPLE) -> DataFr
     return texts.join(own, "_row", "left").select("text", "names").mapInArrow(run, LABELLED)
 
 
-def trained(labelled: DataFrame, rounds: int = ROUNDS, most: int = SAMPLE, shards: int = SHARDS) -> Tagger:
-    """labelled: LABELLED sentences, of which about `most` at most are used."""
+def trained(labelled: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS, size: int = SHARD) -> Tagger:
+    """labelled: LABELLED sentences, all of which are used: in so many shards at least, and in as many as have about `size` different sentences."""
     spark = labelled.sparkSession
-    some = sampled(labelled.where(F.size("tokens") > 0), most, "tokens")
-    some = kept(some.withColumn("shard", F.pmod(F.xxhash64("tokens", F.lit(7)), F.lit(shards)).cast("int")).repartition(shards, "shard"))
+    some = kept(labelled.where(F.size("tokens") > 0).groupBy("tokens", "labels").agg(F.count("*").alias("copies")))
+    shards = max(shards, -(-some.count() // size))
+    dealt = some.select(F.pmod(F.xxhash64("tokens", F.lit(7)), F.lit(shards)).alias("shard"), F.xxhash64("tokens", F.lit(1)).alias("at"), "tokens", "labels", "copies")
+    ordered = dealt.repartition(2 * shards, "shard").sortWithinPartitions("shard", "at", "tokens", "labels")  # twice, so that few partitions have several
     weights = np.zeros(BUCKETS * LABELS + (LABELS + 1) * LABELS)
     total = np.zeros_like(weights)
     for _ in range(rounds):
         start = spark.sparkContext.broadcast(weights)
 
-        def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-            rows = rows.sort_by("at")
-            own = list(zip(rows["tokens"].to_pylist(), (np.array(x) for x in rows["labels"].to_pylist())))
-            chain = Chain.of(start.value.copy())  # noqa: B023
+        def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = ((w, np.array(x), n) for b in batches for w, x, n in zip(*[b[c].to_pylist() for c in ("tokens", "labels", "copies")]))
+            first = start.value  # noqa: B023
+            chain = Chain.of(first.copy())
             mean = chain.learned(own)
             last = chain.flat()
-            k = np.flatnonzero((last != 0) | (mean != 0))
-            return pa.table({"k": k.astype(np.int64), "value": last[k], "mean": mean[k]})
-
-        ordered = some.select("shard", F.xxhash64("tokens", F.lit(1)).alias("at"), "tokens", "labels")
-        out = ordered.groupBy("shard").applyInArrow(run, "k long, value double, mean double").groupBy("k").agg(F.sum("value").alias("value"), F.sum("mean").alias("mean"))
-        out = kept(out)
-        weights, mean = (np.round(dense(out.select("k", F.col(c).alias("value"))) / shards, 9) for c in ("value", "mean"))  # sums come in any order
-        total += mean
+            k = np.flatnonzero((last != first) | (mean != first))
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(last[k] - first[k]), pa.array(mean[k] - first[k])], names=["k", "value", "mean"])
+
+        out = kept(ordered.groupBy("shard").applyInArrow(run, "k long, value double, mean double").groupBy("k").agg(F.sum("value").alias("value"), F.sum("mean").alias("mean")))
+        more, mean = (np.round(dense(out.select("k", F.col(c).alias("value"))) / shards, 9) for c in ("value", "mean"))  # sums come in any order
+        total += weights + mean
+        weights = weights + more
         start.destroy()
         forget(out)
     forget(some)
