@@ -224,6 +224,40 @@ def test_cascade_against_plain_python(spark, monkeypatch, way):
     assert len(got) == 122 and sum(sum(c.values()) for _, c in want.values()) > 2000
 
 
+def test_many_rules_of_one_variant():
+    """Tables repeat names under other keys: rules of a variant that is there wait one at a time, and all of them run as in turn where ids bring the variant back."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from veilframe.operators import automaton
+
+    r = random.Random(4)
+    rules = [("ab", f"<{k}>", False) for k in range(2000)] + [("abc", f"[{k % 3 and 'ab' or 'x'}{k}]", k % 2 == 0) for k in range(300)] + [("x", "ab" if k < 40 else "y", True) for k in range(60)] + [(str(k), f"({k})", False) for k in range(90)]
+    r.shuffle(rules)
+    rules.sort(key=lambda x: -len(x[0]))
+    shards = []
+    for at in range(0, len(rules), 700):
+        some = sorted((v, k, by, b) for k, (v, by, b) in enumerate(rules[at : at + 700], at))
+        shards.append(automaton.Rules(pa.table({"rank": pa.array([x[1] for x in some], pa.int64()), "category": pa.array([0] * len(some), pa.int32()), "variant": [x[0] for x in some], "by": [x[2] for x in some], "bounded": [x[3] for x in some]})))
+    texts = [" ".join(r.choice(("ab", "abc", "abcd", "x", "xab", "17", "zz")) for _ in range(12)) for _ in range(300)]
+
+    def plain(text):
+        n = 0
+        for v, by, bounded in rules:
+            if v in text:
+                text, k = re.subn(rf"\b{v}\b" if bounded else v, by, text)
+                n += k
+        return text, n
+
+    cascade = automaton.Cascade(shards)
+    tracemalloc.start()
+    got = cascade.texts(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(t, sum(c)) for t, c in got] == [plain(t) for t in texts] and most < 20_000_000
+
+
 def test_trie():
     from veilframe.operators.automaton import Trie
 

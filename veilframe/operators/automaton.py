@@ -8,7 +8,8 @@ alive; most end after a step or two.
 
 The cascade gives what running all rules in turn gives: a rule changes a text only if its variant is there at its turn, and it can be there
 only because it was at first or because an id that has been inserted completes it. So the rules of variants found at first wait in
-order; each one that replaces something adds the rules of what stands in, or reaches into, its id and that come later."""
+order; each one that replaces something adds the rules of what stands in, or reaches into, its id and that come later. Of rules with one variant only the next
+one waits, and the one behind it if the variant is still there then: a table may have very many of them."""
 
 from __future__ import annotations
 
@@ -125,13 +126,27 @@ class Rules:
         self.used = set(np.unique(self.trie.codes).tolist())
         self.reach = int(self.trie.sizes.max(initial=0))
 
-    def in_texts(self, texts: list[str]) -> list[list[int]]:
-        """The rules (rows) whose variants occur in each text."""
+    def variants_in(self, texts: list[str]) -> list[list[int]]:
+        """The variants (their numbers) that occur in each text."""
         out: list[list[int]] = [[] for _ in texts]
         for t, v in zip(*[x.tolist() for x in self.trie.find(texts)]):
-            out[t].extend(range(self.first[v], self.first[v + 1]))
+            out[t].append(v)
         return out
 
+    def in_texts(self, texts: list[str]) -> list[list[int]]:
+        """The rules (rows) whose variants occur in each text."""
+        return [[k for v in found for k in range(self.first[v], self.first[v + 1])] for found in self.variants_in(texts)]
+
+    def after(self, v: int, rank: int) -> int | None:
+        """The first rule (row) of a variant behind a rank."""
+        begin, end = int(self.first[v]), int(self.first[v + 1])
+        k = begin if self.ranks[begin] > rank else begin + int(np.searchsorted(self.ranks[begin:end], rank, "right"))
+        return k if k < end else None
+
+
+#: Ids whose variants a worker keeps.
+KNOWN = 20_000
+
 
 class Cascade:
     """All rules of some shards, run in turn on texts."""
@@ -139,26 +154,55 @@ class Cascade:
     def __init__(self, shards: list[Rules]):
         self.shards, self.known = shards, {}
 
-    def near(self, text: str, spans: list[tuple[int, int]], by: str) -> list[tuple[int, int, int]]:
-        """Rules (rank, shard, number) of variants within an inserted id, or that reach into one of its places."""
-        if by not in self.known:
-            self.known[by] = [(int(r.ranks[k]), s, k) for s, r in enumerate(self.shards) for k in r.in_texts([by])[0]] if by else []
-        out = list(self.known[by])
+    def look(self, ids: list[str]) -> None:
+        """Finds the variants (shard, number) within ids, all together."""
+        if len(self.known) + len(ids) > KNOWN:
+            self.known.clear()
+        self.known |= {by: [] for by in ids}
+        for s, r in enumerate(self.shards):
+            for by, found in zip(ids, r.variants_in(ids)):
+                self.known[by] += [(s, v) for v in found]
+
+    def expect(self, found: list[list[tuple[int, int]]]) -> None:
+        """Looks at ids that rules of these variants may insert, and at what may be inserted into those, as far as they are kept."""
+        some = {x for own in found for x in own}
+        seen: set[tuple[int, int]] = set()
+        while some:
+            ids = {self.shards[s].by[int(self.shards[s].first[v])].as_py() for s, v in some}
+            new = [by for by in ids if by and by not in self.known][: KNOWN // 2]
+            if len(self.known) + len(new) > KNOWN and seen:
+                return
+            self.look(new)
+            seen |= some
+            some = {x for by in new for x in self.known[by]} - seen
+
+    def near(self, text: str, spans: list[tuple[int, int]], by: str) -> list[tuple[int, int]]:
+        """Variants (shard, number) within an inserted id, or that reach into one of its places."""
+        if by and by not in self.known:
+            self.look([by])
+        out = list(self.known[by]) if by else []
         for s, r in enumerate(self.shards):
             # only a variant with the id's first or last character can stand across its border
             if r.reach > 1 and (not by or ord(by[0]) in r.used or ord(by[-1]) in r.used):
                 around = [text[max(0, b - r.reach + 1) : e + r.reach - 1] for b, e in spans]
-                out += [(int(r.ranks[k]), s, k) for found in r.in_texts(list(dict.fromkeys(around))) for k in found]
+                out += [(s, v) for found in r.variants_in(list(dict.fromkeys(around))) for v in found]
         return out
 
-    def run(self, text: str, found: list[tuple[int, int, int]]) -> tuple[str, list[int]]:
-        """The text after all rules and how often each category was replaced; found: the rules whose variants it has at first."""
-        counts, waiting, seen = [0] * len(CATEGORIES), list(found), set(found)
-        heapq.heapify(waiting)
+    def run(self, text: str, found: list[tuple[int, int]]) -> tuple[str, list[int]]:
+        """The text after all rules and how often each category was replaced; found: the variants (shard, number) that it has at first."""
+        counts, waiting, open_ = [0] * len(CATEGORIES), [], set()
+
+        def wait(variants: list[tuple[int, int]], rank: int) -> None:
+            for own in variants:
+                if own not in open_ and (k := self.shards[own[0]].after(own[1], rank)) is not None:
+                    open_.add(own)
+                    heapq.heappush(waiting, (int(self.shards[own[0]].ranks[k]), k, own))
+
+        wait(found, -1)
         while waiting:
-            rule = heapq.heappop(waiting)
-            rank, s, k = rule
-            r = self.shards[s]
+            rank, k, own = heapq.heappop(waiting)
+            open_.remove(own)
+            r = self.shards[own[0]]
             variant, by = r.variant[k].as_py(), r.by[k].as_py()
             parts, spans, at, size = [], [], 0, 0
             place = text.find(variant)
@@ -176,17 +220,17 @@ class Cascade:
             if spans:
                 text = "".join(parts) + text[at:]
                 counts[r.categories[k]] += len(spans)
-                for new in self.near(text, spans, by):
-                    if new[0] > rank and new not in seen:
-                        seen.add(new)
-                        heapq.heappush(waiting, new)
+                wait(self.near(text, spans, by), rank)
+            if variant in text:
+                wait([own], rank)
         return text, counts
 
     def texts(self, texts: list[str]) -> list[tuple[str, list[int]]]:
         found: list[list] = [[] for _ in texts]
         for s, r in enumerate(self.shards):
-            for own, ks in zip(found, r.in_texts(texts)):
-                own += [(int(r.ranks[k]), s, k) for k in ks]
+            for own, ks in zip(found, r.variants_in(texts)):
+                own += [(s, v) for v in ks]
+        self.expect(found)
         return [self.run(t, f) for t, f in zip(texts, found)]
 
 
@@ -267,8 +311,12 @@ def cascaded(text: Column, name: str, files: Broadcast) -> Column:
         own = Cascade(loaded(name, files))
         kind = pa.struct([("text", pa.string()), ("counts", pa.list_(pa.int64()))])
         for b in batches:
-            done = [(t, *x) for some in parts(b.to_pylist()) for t, x in zip(some, own.texts([t or "" for t in some]))]
-            yield pa.array([{"text": None if t is None else new, "counts": counts} for t, new, counts in done], kind)
+            out = []
+            for at in range(0, len(b), 512):  # not all texts of a batch as Python's at once
+                for some in parts(b.slice(at, 512).to_pylist()):
+                    done = own.texts([t or "" for t in some])
+                    out.append(pa.array([{"text": None if t is None else new, "counts": counts} for t, (new, counts) in zip(some, done)], kind))
+            yield pa.concat_arrays(out) if out else pa.array([], kind)
 
     return run(text)
 
