@@ -361,6 +361,37 @@ def test_pairs_of_blocks():
         assert got == {(i, j) for i in range(90) for j in range(90, 180) if near(i, j) > threshold}
 
 
+@pytest.mark.parametrize("n, m", [(17, 17), (17, 18), (16, 18), (15, 20), (21, 21), (22, 24), (9, 9), (5, 6), (30, 33)])
+def test_halves_that_meet(monkeypatch, n, m):
+    """Texts whose halves don't meet aren't compared: the same pairs as of all with all, characters left out and put in anywhere; names leave few of all pairs."""
+    from veilframe.operators import grouping
+
+    draw = random.Random(n * m)
+    some = lambda size: "".join(draw.choice(("an", "el", "jo", "ström", "ley", "é", "ko ", "b")) for _ in range(size))[:size]
+    x = list(dict.fromkeys(some(n) for _ in range(1100)))
+    y = []
+    for t in x:  # as long as the others are, by some steps to and fro
+        for _ in range(draw.randrange(3)):
+            k = draw.randrange(len(t) + 1)
+            t = t[:k] + draw.choice("ankoxé ") + t[k:]
+        while len(t) != m:
+            k = draw.randrange(len(t))
+            t = t[:k] + t[k + 1 :] if len(t) > m else t[:k] + draw.choice("ankoxé ") + t[k:]
+        y.append(t)
+    y = list(dict.fromkeys(y))
+    pairs = lambda threshold, a, b: sorted((i, j, s) for p, q, each in grouping.alike(grouping.Block(a), grouping.Block(b), threshold, None, a is b) for i, j, s in zip(p.tolist(), q.tolist(), each.tolist()))
+    monkeypatch.setattr(grouping, "LEAVE", 1)
+    own, used = grouping.by_halves, []
+    for threshold in (80, 85, 95):
+        for a, b in ((x, y), (x, x)):
+            monkeypatch.setattr(grouping, "by_halves", lambda *z: used.append(own(*z)) or used[-1])
+            got = pairs(threshold, a, b)
+            monkeypatch.setattr(grouping, "by_halves", lambda *z: None)
+            assert got == pairs(threshold, a, b)
+    left = [len(z[0]) for z in used if z is not None]
+    assert n < 9 or left and (n < 15 or min(left) < len(x) * len(y) / 50)
+
+
 @pytest.mark.parametrize("begin", ["", "ab", "supplier#0000", "x" * 60])
 def test_blocks_with_a_common_begin(begin):
     """What all texts begin with isn't compared: the same pairs and similarities, whole texts' lengths deciding."""
